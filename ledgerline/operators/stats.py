@@ -30,10 +30,10 @@ def quantile_grid(df: DataFrame, c: str, step: float = 0.05, by: Sequence[str] =
 
 def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75%, max per column as long rows.
-    One scan: columns are stacked to (column, value) and grouped by column."""
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
-                                            for c in cols])).alias("s")).select("s.column", "s.x")
-    return stacked.groupBy("column").agg(
+    One scan: columns are stacked to (measure, value) and grouped by column."""
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x"))
+                                            for c in cols])).alias("s")).select("s.measure", "s.x")
+    return stacked.groupBy("measure").agg(
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"), F.percentile("x", F.lit(0.25)).alias("p25"),
         F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.75)).alias("p75"),

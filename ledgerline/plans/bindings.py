@@ -129,7 +129,7 @@ BINDINGS: dict[str, str] = {
                CASE WHEN CAST(get_json_object(props, '$.k') AS INT) < 15 THEN '{{"sourceString": "Craft"}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 30 THEN '{{"sourceString": "epochchest.gem.' || get_json_object(props, '$.k') || '"}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 45 THEN '{{"sourceString": "race.drop"}}'
-                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 60 THEN '{{"sourceString": "HeldGemReward.Jackpot.' || get_json_object(props, '$.k') || '"}}'
+                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 60 THEN '{{"sourceString": "HeldGemReward.Jackpot.Daily"}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 70 THEN '{{"sourceString": "Airdrop"}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 80 THEN '{{"sourceString": null}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 90 THEN '{{"sourceString": {{"x": 1}}}}'
