@@ -90,8 +90,9 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, vec_cols: Sequence[s
     p = F.array(*[F.col(v).cast("double") for v in vec_cols])
     dist = lambda c: F.aggregate(
         F.zip_with(c["c"], p, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-    best = F.array_min(F.transform(cents, lambda c: F.struct(dist(c).alias("d2"), c["cid"].alias("cid"))))
-    return (points.withColumn("_best", best)
+    best = F.array_min(F.transform(F.col("_cents"), lambda c: F.struct(dist(c).alias("d2"), c["cid"].alias("cid"))))
+    return (points.withColumn("_cents", cents)
+            .withColumn("_best", best)
             .withColumn(cluster_col, F.col("_best.cid"))
             .withColumn("dist2", F.col("_best.d2"))
-            .drop("_best"))
+            .drop("_cents", "_best"))

@@ -167,6 +167,19 @@ BINDINGS: dict[str, str] = {
     "checkpoints": """
         SELECT sha2(CAST(user_id AS STRING), 256) AS user_id, CAST(ts AS DATE) AS checkpoint
         FROM {events} WHERE event_type IN ('signup', 'view')""",
+    "cluster_history": """
+        SELECT run_date, user_id, ga_id,
+               CASE event_type WHEN 'view' THEN -1 WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS cluster,
+               CASE event_type WHEN 'view' THEN 'F2P' WHEN 'click' THEN 'Casual' WHEN 'error' THEN 'Grinder'
+                    WHEN 'purchase' THEN 'Collector' ELSE 'Unknown' END AS cluster_name
+        FROM (SELECT run_date, user_id, ga_id, event_type,
+                     row_number() OVER (PARTITION BY run_date, user_id ORDER BY n DESC, event_type) AS rn
+              FROM (SELECT CASE WHEN CAST(ts AS DATE) < DATE '2024-01-16' THEN TIMESTAMP '2024-01-15 06:00:00'
+                                ELSE TIMESTAMP '2024-01-30 06:00:00' END AS run_date,
+                           CAST(user_id AS STRING) AS user_id, sha2(CAST(user_id AS STRING), 256) AS ga_id,
+                           event_type, count(*) AS n
+                    FROM {events} GROUP BY 1, 2, 3, 4) AS c) AS r
+        WHERE rn = 1""",
     # ---------------- daily report facts (events, pre-aggregated per day) ----------------
     "kpi_revenue": """
         SELECT CAST(ts AS DATE) AS Date, 'item ' || get_json_object(props, '$.k') AS item_name,
