@@ -1,3 +1,491 @@
-"""Registered forecast queries (Spark) and their DuckDB oracles."""
+"""Registered forecasting queries (Spark) and their DuckDB oracles."""
 
 from __future__ import annotations
+
+import math
+import os
+import uuid
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window, functions as F
+
+from ledgerline.functions.exprs import clip, month_range
+from ledgerline.operators.aggregates import by_year, grand_total, model_range
+from ledgerline.operators.joins import align
+from ledgerline.operators.reshape import melt
+from ledgerline.operators.windows import difference, first_last_value, lag_features, sequence_index, split_holdout
+from ledgerline.plans import bindings as B
+from ledgerline.plans import forecast as FC
+from ledgerline.plans.registry import register
+from ledgerline.session import checkpoint_dir
+from ledgerline.sources.sinks import write_csv
+from ledgerline.sources.tables import read_policies
+
+START, END = "1995-01-01", "2001-08-01"      # partial months outside are removed
+TREND_START = "1998-01-01"
+FEE_CAP = math.log(1.5) / 12
+BASE_YEAR = 2000
+SPIKE = "2001-05-01"
+MODELS = ["seasonal_naive", "log_trend", "trend_season"]
+def t_sql(c: str = "month") -> str:
+    return f"CAST((year({c}) - 1995) * 12 + month({c}) - 1 AS INTEGER)"
+
+
+T_SQL = t_sql()
+
+
+def policies(spark, d):
+    return B.binding(spark, d, "policies")
+
+
+def monthly(spark, d):
+    return FC.prepare(policies(spark, d), START, END)
+
+
+def long(spark, d):
+    return FC.to_long(monthly(spark, d))
+
+
+def sql_forecasts(spark, d):
+    lg = long(spark, d)
+    return (FC.fc_seasonal_naive(lg)
+            .unionByName(FC.fc_log_trend(lg, TREND_START))
+            .unionByName(FC.fc_trend_season(lg, TREND_START)))
+
+
+# ------------------------------------------------------------------ oracle CTEs
+CTE = {
+    "pv": """SELECT tenant, CAST(date_trunc('month', effective_date) AS DATE) AS month,
+        sum(CASE WHEN is_renewal = 'No' THEN written_premium END) AS new_premium,
+        coalesce(sum(CASE WHEN is_renewal = 'Yes' THEN written_premium END), 0) AS renewal_premium,
+        sum(fees) AS fees, count(CASE WHEN is_renewal = 'No' THEN policy_id END) AS new_pol,
+        count(CASE WHEN is_renewal = 'Yes' THEN policy_id END) AS ren_pol, count(policy_id) AS tot_pol
+        FROM policies GROUP BY 1, 2""",
+    "pvw": f"SELECT * FROM pv WHERE month >= DATE '{START}' AND month < DATE '{END}'",
+    "spine": f"""SELECT t.tenant, CAST(g.m AS DATE) AS month FROM (SELECT DISTINCT tenant FROM pvw) AS t,
+        generate_series(DATE '{START}', DATE '{END}' - INTERVAL 1 MONTH, INTERVAL 1 MONTH) AS g(m)""",
+    "monthly": """SELECT s.tenant, s.month, p.new_premium, p.renewal_premium, p.fees,
+        coalesce(p.new_pol, 0) AS new_pol, coalesce(p.ren_pol, 0) AS ren_pol, coalesce(p.tot_pol, 0) AS tot_pol,
+        p.new_premium + p.renewal_premium AS total_premium, p.new_premium + p.renewal_premium + p.fees AS topline_revenue
+        FROM spine s LEFT JOIN pvw p ON s.tenant = p.tenant AND s.month = p.month""",
+    "long": """SELECT tenant, 'new_premium' AS series, month, CAST(new_premium AS DOUBLE) AS value, CAST(new_pol AS DOUBLE) AS policy_count FROM monthly
+        UNION ALL SELECT tenant, 'renewal_premium', month, CAST(renewal_premium AS DOUBLE), CAST(ren_pol AS DOUBLE) FROM monthly
+        UNION ALL SELECT tenant, 'fees', month, CAST(fees AS DOUBLE), CAST(tot_pol AS DOUBLE) FROM monthly""",
+    "hz": """SELECT l.tenant, l.series, r.s AS step, CAST(l.last + to_months(CAST(r.s AS INTEGER)) AS DATE) AS month
+        FROM (SELECT tenant, series, max(month) AS last FROM long GROUP BY 1, 2) AS l, range(1, 37) AS r(s)""",
+    "dec0": f"""SELECT *, ln(1 + value) AS y, month(month) AS moy FROM long""",
+    "dec1": """SELECT *, CASE WHEN count(y) OVER (PARTITION BY tenant, series ORDER BY month ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13
+        THEN (sum(y) OVER (PARTITION BY tenant, series ORDER BY month ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+              + 0.5 * (lag(y, 6) OVER (PARTITION BY tenant, series ORDER BY month) + lead(y, 6) OVER (PARTITION BY tenant, series ORDER BY month))) / 12
+        END AS trend FROM dec0""",
+    "sidx": """SELECT tenant, series, moy, avg(y - trend) - avg(avg(y - trend)) OVER (PARTITION BY tenant, series) AS seasonal_index
+        FROM dec1 GROUP BY tenant, series, moy""",
+    "trend": f"""SELECT tenant, series, regr_slope(y, t) AS slope, regr_intercept(y, t) AS intercept, exp(regr_slope(y, t) * 12) - 1 AS cagr
+        FROM (SELECT tenant, series, {T_SQL} AS t, ln(1 + value) AS y FROM long WHERE month >= DATE '{TREND_START}' AND value IS NOT NULL) AS x
+        GROUP BY 1, 2""",
+    "f_naive": """SELECT h.tenant, h.series, h.month, 'seasonal_naive' AS model, l.value AS forecast FROM hz h
+        LEFT JOIN (SELECT tenant, series, value, 12 - row_number() OVER (PARTITION BY tenant, series ORDER BY month DESC) AS pos FROM long) AS l
+        ON h.tenant = l.tenant AND h.series = l.series AND l.pos = (h.step - 1) % 12 AND l.pos >= 0""",
+    "f_trend": f"""SELECT h.tenant, h.series, h.month, 'log_trend' AS model, exp(tr.intercept + tr.slope * {t_sql('h.month')}) - 1 AS forecast
+        FROM hz h JOIN trend tr ON h.tenant = tr.tenant AND h.series = tr.series""",
+    "f_ts": f"""SELECT h.tenant, h.series, h.month, 'trend_season' AS model,
+        exp(tr.intercept + tr.slope * {t_sql('h.month')} + coalesce(s.seasonal_index, 0)) - 1 AS forecast
+        FROM hz h JOIN trend tr ON h.tenant = tr.tenant AND h.series = tr.series
+        LEFT JOIN sidx s ON h.tenant = s.tenant AND h.series = s.series AND s.moy = month(h.month)""",
+}
+CTE["fc"] = "SELECT * FROM f_naive UNION ALL SELECT * FROM f_trend UNION ALL SELECT * FROM f_ts"
+CTE["wide"] = "SELECT tenant, series, month, " + ", ".join(
+    f"max(CASE WHEN model = '{m}' THEN forecast END) AS {m}" for m in MODELS) + " FROM fc GROUP BY 1, 2, 3"
+CTE["ens"] = "SELECT tenant, series, month, avg(forecast) AS forecast FROM fc GROUP BY 1, 2, 3"
+PREP = ["pv", "pvw", "spine", "monthly", "long"]
+FCS = PREP + ["hz", "dec0", "dec1", "sidx", "trend", "f_naive", "f_trend", "f_ts", "fc"]
+
+
+def ow(*ctes):
+    return B.oracle_with(["policies"], {k: CTE[k] for k in ctes})
+
+
+# ------------------------------------------------------------------ preparation
+@register("agg_month_pivot", sql=ow("pv") + "SELECT * FROM pv", dbl=["new_premium", "renewal_premium", "fees"], dates=("month",))
+def q_pivot(spark, d):
+    """Policy rows -> monthly new / renewal / fees / counts per tenant."""
+    return FC.month_pivot(policies(spark, d))
+
+
+MONTHLY_DBL = ["new_premium", "renewal_premium", "fees", "total_premium", "topline_revenue"]
+
+
+@register("fc_prepare", sql=ow(*PREP[:4]) + "SELECT * FROM monthly", dbl=MONTHLY_DBL, dates=("month",))
+def q_prepare(spark, d):
+    """Monthly series, partial months removed, calendar-complete (counts 0, values NULL)."""
+    return monthly(spark, d)
+
+
+@register("join_calendar_spine", sql=ow(*PREP[:4]) + "SELECT * FROM monthly", dbl=MONTHLY_DBL, dates=("month",))
+def q_spine(spark, d):
+    return monthly(spark, d)
+
+
+@register("join_align_months", sql=ow("pv") + """SELECT coalesce(n.tenant, r.tenant, f.tenant) AS tenant, coalesce(n.month, r.month, f.month) AS month,
+    n.new_premium, r.renewal_premium, f.fees FROM
+    (SELECT tenant, month, new_premium FROM pv WHERE new_premium IS NOT NULL) AS n
+    FULL OUTER JOIN (SELECT tenant, month, renewal_premium FROM pv) AS r ON n.tenant = r.tenant AND n.month = r.month
+    FULL OUTER JOIN (SELECT tenant, month, fees FROM pv) AS f ON coalesce(n.tenant, r.tenant) = f.tenant AND coalesce(n.month, r.month) = f.month""",
+          dbl=["new_premium", "renewal_premium", "fees"], dates=("month",))
+def q_align(spark, d):
+    """Separate monthly series aligned on (tenant, month) by full outer joins."""
+    pv = FC.month_pivot(policies(spark, d))
+    n = pv.filter(F.col("new_premium").isNotNull()).select("tenant", "month", "new_premium")
+    r = pv.select("tenant", "month", "renewal_premium")
+    f = pv.select("tenant", "month", "fees")
+    return n.join(r, ["tenant", "month"], "full_outer").join(f, ["tenant", "month"], "full_outer")
+
+
+@register("scan_flat_file")
+def q_flat_file(spark, d):
+    """Policy rows exported as CSV and re-read with a declared schema and a parsed date."""
+    out = os.path.join(checkpoint_dir(spark), "policies_csv", uuid.uuid4().hex)
+    write_csv(policies(spark, d), out)
+    return read_policies(spark, out, fmt="csv", date_col="effective_date",
+                        schema="tenant string, effective_date string, is_renewal string, written_premium double, fees double, policy_id long")
+
+
+@register("scan_saved_result")
+def q_saved(spark, d):
+    """Reopen the stored output of an earlier job (the monthly frame written as Parquet)."""
+    from ledgerline.sources.tables import read_result
+    out = os.path.join(checkpoint_dir(spark), "monthly", uuid.uuid4().hex)
+    monthly(spark, d).write.mode("overwrite").parquet(out)
+    return read_result(spark, out)
+
+
+@register("sink_replace_table")
+def q_replace(spark, d):
+    """Create-or-replace target: written twice, the second replaces the first."""
+    from ledgerline.sources.sinks import replace_table
+    out = os.path.join(checkpoint_dir(spark), "replace", uuid.uuid4().hex)
+    m = monthly(spark, d)
+    replace_table(m, out)
+    replace_table(m, out)
+    return spark.read.parquet(out)
+
+
+@register("fc_winsorise", sql=ow(*PREP) + """SELECT l.*, least(greatest(l.value, q.lo), q.hi) AS value_w FROM long l JOIN
+    (SELECT tenant, series, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM long
+     WHERE month >= DATE '1996-01-01' GROUP BY 1, 2) AS q ON l.tenant = q.tenant AND l.series = q.series
+    WHERE l.month >= DATE '1996-01-01'""", dbl=["value", "policy_count", "value_w"], dates=("month",))
+def q_winsorise(spark, d):
+    """Clip each series to its 2.5% / 97.5% quantiles on the training window."""
+    return FC.winsorise(long(spark, d), 0.025, 0.975, train_start="1996-01-01")
+
+
+FOURIER_SQL = ", ".join(f"sin(2 * pi() * t / {p}) AS sin_{p}, cos(2 * pi() * t / {p}) AS cos_{p}" for p in FC.PERIODS)
+
+
+@register("fc_fourier", sql=ow(*PREP) + f"SELECT tenant, series, month, t, {FOURIER_SQL} FROM (SELECT *, {T_SQL} AS t FROM long) AS x",
+          dbl=[f"{f}_{p}" for p in FC.PERIODS for f in ("sin", "cos")], dates=("month",))
+def q_fourier(spark, d):
+    """sin/cos at periods 12, 6, 4, 3 of the month index."""
+    lg = long(spark, d).withColumn("t", FC.month_index(F.col("month")))
+    return FC.fourier(lg).select("tenant", "series", "month", "t", *[f"{f}_{p}" for p in FC.PERIODS for f in ("sin", "cos")])
+
+
+FEAT_SQL = f"""SELECT a.tenant, a.series, a.month, a.value, a.is_future, {t_sql('a.month')} AS t,
+    CASE WHEN a.is_future THEN st.pl ELSE a.policy_count END / (st.pm + 1e-8) AS policy_norm,
+    CAST(a.month = DATE '{SPIKE}' AS DOUBLE) AS spike
+  FROM (SELECT tenant, series, month, value, policy_count, false AS is_future FROM long
+        UNION ALL SELECT tenant, series, month, NULL, NULL, true FROM hz) AS a
+  JOIN (SELECT tenant, series, avg(policy_count) AS pm, arg_max(policy_count, month) AS pl FROM long GROUP BY 1, 2) AS st
+    ON a.tenant = st.tenant AND a.series = st.series"""
+
+
+@register("fc_features", sql=ow(*PREP, "hz") + f"SELECT *, {FOURIER_SQL} FROM ({FEAT_SQL}) AS f",
+          dbl=["value", "policy_norm", "spike"] + [f"{f}_{p}" for p in FC.PERIODS for f in ("sin", "cos")], dates=("month",))
+def q_features(spark, d):
+    """History + 36 future months: Fourier terms, normalised policy count held at
+    its last value, one-month spike flag."""
+    return FC.features(long(spark, d), 36, SPIKE)
+
+
+DEC_OUT = "SELECT d.tenant, d.series, d.month, d.y, d.trend, s.seasonal_index, d.y - d.trend - s.seasonal_index AS resid FROM dec1 d " \
+          "LEFT JOIN sidx s ON d.tenant = s.tenant AND d.series = s.series AND d.moy = s.moy"
+
+
+@register("fc_decompose", sql=ow(*PREP, "dec0", "dec1", "sidx") + DEC_OUT, dbl=["y", "trend", "seasonal_index", "resid"],
+          dates=("month",))
+def q_decompose(spark, d):
+    """Centred 2x12 moving-average trend, centred monthly seasonal index, residual (log1p scale)."""
+    return FC.decompose(long(spark, d)).select("tenant", "series", "month", "y", "trend", "seasonal_index", "resid")
+
+
+@register("fc_seasonal_index", sql=ow(*PREP, "dec0", "dec1", "sidx") + """SELECT s.tenant, s.moy, avg(s.seasonal_index) AS donor_seasonal
+    FROM sidx s WHERE s.series IN ('new_premium', 'renewal_premium') GROUP BY 1, 2""", dbl=["donor_seasonal"], dates=())
+def q_sidx(spark, d):
+    """Seasonal index by calendar month averaged over two donor series."""
+    return FC.donor_season(FC.decompose(long(spark, d)), ["new_premium", "renewal_premium"])
+
+
+@register("fc_log_trend", sql=ow(*PREP, "trend") + "SELECT * FROM trend", dbl=["slope", "intercept", "cagr"], dates=())
+def q_log_trend(spark, d):
+    """Line through log1p(value) since the trend start; CAGR = e^(12 slope) - 1."""
+    return FC.log_trend(long(spark, d), TREND_START)
+
+
+@register("fc_log_trend_capped", sql=ow(*PREP) + f"""SELECT tenant, series,
+    CASE WHEN s0 > {FEE_CAP!r} THEN {FEE_CAP!r} ELSE s0 END AS slope,
+    CASE WHEN s0 > {FEE_CAP!r} THEN yl - {FEE_CAP!r} * tl ELSE i0 END AS intercept, exp(s0 * 12) - 1 AS cagr
+    FROM (SELECT tenant, series, regr_slope(y, t) AS s0, regr_intercept(y, t) AS i0, arg_max(y, t) AS yl, max(t) AS tl
+          FROM (SELECT tenant, series, {T_SQL} AS t, ln(1 + value) AS y FROM long WHERE month >= DATE '{TREND_START}' AND value IS NOT NULL) AS x
+          GROUP BY 1, 2) AS f""", dbl=["slope", "intercept", "cagr"], dates=())
+def q_log_trend_cap(spark, d):
+    """Slope capped at ln(1.5)/12 per month, re-anchored at the last point."""
+    return FC.log_trend(long(spark, d), TREND_START, cap=FEE_CAP)
+
+
+@register("win_seasonal_tile", sql=ow(*PREP, "hz", "f_naive") + "SELECT * FROM f_naive", dbl=["forecast"], dates=("month",))
+def q_tile(spark, d):
+    """Last 12 values repeated over 36 steps (step s -> position (s-1) mod 12)."""
+    return FC.fc_seasonal_naive(long(spark, d))
+
+
+FC_DBL = ["forecast"]
+
+
+@register("fc_compare", sql=ow(*FCS, "wide") + "SELECT tenant, series, CAST(year(month) AS INTEGER) AS year, "
+          + ", ".join(f"sum({m}) AS {m}" for m in MODELS) + " FROM wide WHERE "
+          + " AND ".join(f"{m} IS NOT NULL" for m in MODELS) + " GROUP BY 1, 2, 3", dbl=MODELS, dates=())
+def q_compare(spark, d):
+    """Models aligned on common months, annual totals side by side."""
+    return FC.compare(sql_forecasts(spark, d), MODELS)
+
+
+@register("melt_models", sql=ow(*FCS, "wide") + """SELECT tenant, series, year, model, value FROM (SELECT tenant, series, CAST(year(month) AS INTEGER) AS year, """
+          + ", ".join(f"sum({m}) AS {m}" for m in MODELS) + " FROM wide WHERE " + " AND ".join(f"{m} IS NOT NULL" for m in MODELS)
+          + f" GROUP BY 1, 2, 3) UNPIVOT (value FOR model IN ({', '.join(MODELS)}))", dbl=["value"], dates=())
+def q_melt(spark, d):
+    """Wide model columns -> (year, series, model, value)."""
+    return melt(FC.compare(sql_forecasts(spark, d), MODELS), ["tenant", "series", "year"], MODELS, "model", "value")
+
+
+@register("fc_ensemble", sql=ow(*FCS, "ens") + "SELECT * FROM ens", dbl=FC_DBL, dates=("month",))
+def q_ensemble(spark, d):
+    """Equal-weight mean of the models per series and month."""
+    return FC.ensemble(sql_forecasts(spark, d))
+
+
+@register("fc_band", sql=ow(*FCS, "wide") + "SELECT *, least(" + ", ".join(MODELS) + ") AS low, greatest(" + ", ".join(MODELS)
+          + ") AS high FROM wide", dbl=MODELS + ["low", "high"], dates=("month",))
+def q_band(spark, d):
+    """Min-max range across models per month."""
+    return FC.band(sql_forecasts(spark, d), MODELS)
+
+
+@register("agg_row_minmax", sql=ow(*FCS, "wide") + "SELECT tenant, series, month, least(" + ", ".join(MODELS) + ") AS low, greatest("
+          + ", ".join(MODELS) + ") AS high FROM wide", dbl=["low", "high"], dates=("month",))
+def q_row_minmax(spark, d):
+    w = FC.band(sql_forecasts(spark, d), MODELS)
+    lo, hi = model_range(MODELS)
+    return w.select("tenant", "series", "month", lo.alias("low"), hi.alias("high"))
+
+
+@register("fc_yoy", sql=ow(*FCS, "ens") + f"""SELECT y.tenant, y.year, y.topline, y.actual_months, y.topline / nullif(b.topline, 0) - 1 AS yoy FROM
+    (SELECT tenant, CAST(year(month) AS INTEGER) AS year, sum(coalesce(a, f)) AS topline, count(a) AS actual_months FROM
+       (SELECT coalesce(a.tenant, f.tenant) AS tenant, coalesce(a.month, f.month) AS month, a.a, f.f FROM
+          (SELECT tenant, month, sum(value) AS a FROM long GROUP BY 1, 2) AS a
+          FULL OUTER JOIN (SELECT tenant, month, sum(forecast) AS f FROM ens GROUP BY 1, 2) AS f
+          ON a.tenant = f.tenant AND a.month = f.month) AS j GROUP BY 1, 2) AS y
+    LEFT JOIN (SELECT tenant, sum(value) AS topline FROM long WHERE year(month) = {BASE_YEAR} GROUP BY 1) AS b ON y.tenant = b.tenant""",
+          dbl=["topline", "yoy"], dates=())
+def q_yoy(spark, d):
+    """Annual topline (actual months where present, else forecast) vs the base-year actual."""
+    lg = long(spark, d)
+    act = lg.groupBy("tenant", "month").agg(F.sum("value").alias("value"))
+    ens = FC.ensemble(sql_forecasts(spark, d)).groupBy("tenant", "month").agg(F.sum("forecast").alias("forecast"))
+    return FC.yoy(ens, act, BASE_YEAR)
+
+
+INS = f"""SELECT l.tenant, l.series, l.month, l.value, exp(tr.intercept + tr.slope * {t_sql('l.month')} + coalesce(s.seasonal_index, 0)) - 1 AS forecast
+    FROM long l JOIN trend tr ON l.tenant = tr.tenant AND l.series = tr.series
+    LEFT JOIN sidx s ON l.tenant = s.tenant AND l.series = s.series AND s.moy = month(l.month)"""
+
+
+@register("fc_mape", sql=ow(*PREP, "dec0", "dec1", "sidx", "trend") + f"""SELECT tenant, series, 'trend_season' AS model,
+    avg(abs(value - forecast) / greatest(value, 1)) * 100 AS mape FROM
+    (SELECT *, row_number() OVER (PARTITION BY tenant, series ORDER BY month DESC) AS rn FROM ({INS}) AS i) AS x
+    WHERE rn <= 12 GROUP BY 1, 2""", dbl=["mape"], dates=())
+def q_mape(spark, d):
+    """MAPE of the trend+season fit over each series' last 12 months."""
+    lg = long(spark, d)
+    tr = FC.log_trend(lg, TREND_START)
+    s = FC.seasonal_by_month(FC.decompose(lg))
+    ins = lg.join(tr, ["tenant", "series"]).withColumn("moy", F.month("month")).join(s, ["tenant", "series", "moy"], "left")
+    f = ins.select("tenant", "series", "month", F.lit("trend_season").alias("model"),
+                   F.expm1(F.col("intercept") + F.col("slope") * FC.month_index(F.col("month"))
+                           + F.coalesce(F.col("seasonal_index"), F.lit(0.0))).alias("forecast"))
+    return FC.mape(lg.filter(F.col("value").isNotNull()), f, 12)
+
+
+@register("agg_year_rollup", sql=ow(*PREP) + "SELECT tenant, series, CAST(year(month) AS INTEGER) AS year, sum(value) AS value FROM long GROUP BY 1, 2, 3",
+          dbl=["value"], dates=())
+def q_year(spark, d):
+    return by_year(long(spark, d), "month", ["value"], keys=["tenant", "series"])
+
+
+@register("agg_grand_total", sql=ow(*FCS, "ens") + """SELECT sum(CASE WHEN series = 'new_premium' THEN forecast END) AS new_premium,
+    sum(CASE WHEN series = 'renewal_premium' THEN forecast END) AS renewal_premium, sum(CASE WHEN series = 'fees' THEN forecast END) AS fees,
+    sum(forecast) AS topline_revenue FROM ens""", dbl=["new_premium", "renewal_premium", "fees", "topline_revenue"], dates=())
+def q_grand(spark, d):
+    e = FC.ensemble(sql_forecasts(spark, d))
+    s = F.col("series")
+    return grand_total(e, {"new_premium": F.sum(F.when(s == "new_premium", F.col("forecast"))),
+                           "renewal_premium": F.sum(F.when(s == "renewal_premium", F.col("forecast"))),
+                           "fees": F.sum(F.when(s == "fees", F.col("forecast"))),
+                           "topline_revenue": F.sum("forecast")})
+
+
+LAGS = ", ".join(f"lag(value, {i}) OVER (PARTITION BY tenant, series ORDER BY month) AS lag_{i}" for i in range(1, 13))
+
+
+@register("win_lag_features", sql=ow(*PREP) + f"SELECT * FROM (SELECT tenant, series, month, value, {LAGS} FROM long) AS x WHERE lag_12 IS NOT NULL",
+          dbl=["value"] + [f"lag_{i}" for i in range(1, 13)], dates=("month",))
+def q_lags(spark, d):
+    """12 lagged values per target; the first 12 rows of a series are dropped."""
+    return lag_features(long(spark, d).select("tenant", "series", "month", "value"), ["tenant", "series"], "month", "value", 12)
+
+
+@register("win_sequence_index", sql=ow(*PREP) + """SELECT tenant, series, month, CAST(row_number() OVER (PARTITION BY tenant, series ORDER BY month) - 1 AS INTEGER) AS t
+    FROM long""", dates=("month",))
+def q_seq(spark, d):
+    return sequence_index(long(spark, d).select("tenant", "series", "month"), ["tenant", "series"], "month")
+
+
+@register("win_first_last_value", sql=ow(*PREP) + """SELECT tenant, series, arg_min(value, month) AS first_value, arg_max(value, month) AS last_value
+    FROM long GROUP BY 1, 2""", dbl=["first_value", "last_value"], dates=())
+def q_first_last(spark, d):
+    return first_last_value(long(spark, d), ["tenant", "series"], "month", "value")
+
+
+@register("win_holdout_split", sql=ow(*PREP) + """SELECT tenant, series, month, value, row_number() OVER (PARTITION BY tenant, series ORDER BY month DESC) <= 12 AS is_holdout
+    FROM long""", dbl=["value"], dates=("month",))
+def q_holdout(spark, d):
+    """Last 12 points of each series flagged as validation."""
+    return split_holdout(long(spark, d).select("tenant", "series", "month", "value"), ["tenant", "series"], "month", 12)
+
+
+@register("win_difference", sql=ow(*PREP) + """SELECT tenant, series, month, value, w1 - lag(w1, 12) OVER (PARTITION BY tenant, series ORDER BY month) AS value_diff FROM
+    (SELECT *, value - lag(value, 1) OVER (PARTITION BY tenant, series ORDER BY month) AS w1 FROM long) AS x""",
+          dbl=["value", "value_diff"], dates=("month",))
+def q_diff(spark, d):
+    """Ordinary (lag 1) then seasonal (lag 12) differencing."""
+    return difference(long(spark, d).select("tenant", "series", "month", "value"), ["tenant", "series"], "month", "value", d=1, D=1, m=12)
+
+
+@register("fn_math", sql=ow(*PREP) + """SELECT tenant, series, month, ln(1 + value) AS log1p_value, exp(ln(1 + value)) - 1 AS roundtrip,
+    abs(value - lag(value) OVER (PARTITION BY tenant, series ORDER BY month)) AS abs_change,
+    least(greatest(value, 10000), 500000) AS clipped, sin(month(month)) + cos(month(month)) AS trig FROM long""",
+          dbl=["log1p_value", "roundtrip", "abs_change", "clipped", "trig"], dates=("month",))
+def q_math(spark, d):
+    """log1p, expm1, abs, clip (= least(greatest)), sin, cos."""
+    lg = long(spark, d)
+    w = Window.partitionBy("tenant", "series").orderBy("month")
+    return lg.select("tenant", "series", "month", F.log1p("value").alias("log1p_value"),
+                     F.expm1(F.log1p("value")).alias("roundtrip"),
+                     F.abs(F.col("value") - F.lag("value").over(w)).alias("abs_change"),
+                     clip("value", 10000, 500000).alias("clipped"),
+                     (F.sin(F.month("month")) + F.cos(F.month("month"))).alias("trig"))
+
+
+@register("fn_date", sql=ow() + """SELECT policy_id, CAST(date_trunc('month', effective_date) AS DATE) AS month, CAST(year(effective_date) AS INTEGER) AS year,
+    CAST(month(effective_date) AS INTEGER) AS moy, strftime(effective_date, '%b %Y') AS label, effective_date - 3 AS minus3,
+    CAST(len(generate_series(CAST(date_trunc('month', effective_date) AS DATE), greatest(CAST(date_trunc('month', effective_date) AS DATE), DATE '2001-07-01'), INTERVAL 1 MONTH)) AS INTEGER) AS months_left
+    FROM policies""", dates=("month", "minus3"))
+def q_date(spark, d):
+    """Month truncation, year, month, text label, +/- days, month ranges."""
+    p = policies(spark, d)
+    m = F.trunc("effective_date", "month")
+    return p.select("policy_id", m.alias("month"), F.year("effective_date").alias("year"), F.month("effective_date").alias("moy"),
+                    F.date_format("effective_date", "MMM yyyy").alias("label"), F.date_sub("effective_date", 3).alias("minus3"),
+                    F.size(F.sequence(m, F.greatest(m, F.to_date(F.lit("2001-07-01"))), F.expr("INTERVAL 1 MONTH"))).alias("months_left"))
+
+
+# ------------------------------------------------------------------ model fits (rows-only)
+
+def _train(spark, d):
+    return FC.winsorise(long(spark, d), 0.025, 0.975, train_start="1996-01-01")
+
+
+@register("fc_additive")
+def q_additive(spark, d):
+    """Ridge fit of log value on trend hinges + yearly Fourier + policy count, 36 steps, capped at 2x last."""
+    return _train(spark, d).groupBy("tenant", "series").applyInPandas(lambda pdf: FC.additive_fit(pdf), FC.FC_SCHEMA)
+
+
+@register("fc_logistic_borrowed")
+def q_saturating(spark, d):
+    """Fees: logit-linear growth between floor and cap plus half the donor's yearly shape."""
+    tr = _train(spark, d)
+    donor = tr.filter(F.col("series") == "new_premium").groupBy("tenant", "series").applyInPandas(lambda pdf: FC.seasonal_component(pdf), "tenant string, moy int, donor_seasonal double")
+    fees = tr.filter(F.col("series") == "fees").withColumn("moy", F.month("month")).join(donor, ["tenant", "moy"], "left")
+    return fees.groupBy("tenant", "series").applyInPandas(lambda pdf: FC.saturating_fit(pdf), FC.FC_SCHEMA)
+
+
+@register("fc_order_search")
+def q_orders(spark, d):
+    """AIC of every (p, d, P, D) per series; the chosen order is the per-series minimum."""
+    aics = long(spark, d).groupBy("tenant", "series").applyInPandas(lambda pdf: FC.order_search_fit(pdf), FC.ORDER_SCHEMA)
+    best = aics.groupBy("tenant", "series").agg(F.min(F.struct("aic", "p", "d", "sp", "sd")).alias("b"))
+    return aics.join(best, ["tenant", "series"]).withColumn(
+        "chosen", (F.col("aic") == F.col("b.aic")) & (F.col("p") == F.col("b.p")) & (F.col("d") == F.col("b.d"))
+        & (F.col("sp") == F.col("b.sp")) & (F.col("sd") == F.col("b.sd"))).drop("b")
+
+
+def _sarima(spark, d):
+    return long(spark, d).groupBy("tenant", "series").applyInPandas(lambda pdf: FC.sarima_fit(pdf), FC.FC_SCHEMA)
+
+
+@register("fc_sarima")
+def q_sarima(spark, d):
+    """Seasonal AR (orders by AIC on the training part), refit on all, 36 steps with 95% bounds."""
+    return _sarima(spark, d)
+
+
+@register("fc_fee_rate")
+def q_fee_rate(spark, d):
+    """fees / total premium, de-seasoned by the donor index, AR on the log rate,
+    capped at +50%/yr, times the premium forecast (joined on tenant, month)."""
+    lg = long(spark, d)
+    m = monthly(spark, d).select("tenant", "month", (F.col("fees") / F.col("total_premium")).alias("rate"))
+    donor = FC.donor_season(FC.decompose(lg), ["new_premium", "renewal_premium"])
+    prem = _sarima(spark, d).filter(F.col("series").isin("new_premium", "renewal_premium")) \
+        .groupBy("tenant", "month").agg(F.sum("forecast").alias("prem_fc"))
+    hist = m.withColumn("is_future", F.lit(False)).withColumn("prem_fc", F.lit(None).cast("double"))
+    fut = prem.withColumn("rate", F.lit(None).cast("double")).withColumn("is_future", F.lit(True))
+    allr = hist.unionByName(fut).withColumn("moy", F.month("month")).join(donor, ["tenant", "moy"], "left") \
+        .withColumn("spike", (F.col("month") == F.lit(SPIKE).cast("date")).cast("double")).withColumn("series", F.lit("fees"))
+    return allr.groupBy("tenant").applyInPandas(lambda pdf: FC.fee_rate_fit(pdf), FC.FC_SCHEMA)
+
+
+@register("fc_residual_learner")
+def q_residual(spark, d):
+    """Residuals after log trend + seasonal: one global linear model over 12 lags
+    + Fourier + policy (all series' rows), then a recursive, clipped roll-out per series."""
+    lg = long(spark, d)
+    dec = FC.decompose(lg)
+    tr = FC.log_trend(lg, TREND_START)
+    base = dec.join(tr, ["tenant", "series"]).withColumn("t", FC.month_index(F.col("month")))
+    base = base.withColumn("resid", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t")) - F.coalesce(F.col("seasonal_index"), F.lit(0.0)))
+    st = base.groupBy("tenant", "series").agg(F.min("resid").alias("_mn"), F.max("resid").alias("_mx"),
+                                              F.avg("policy_count").alias("_pm"))
+    sc = base.join(st, ["tenant", "series"]).withColumn("r_sc", (F.col("resid") - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + F.lit(1e-12))) \
+        .withColumn("policy_norm", F.col("policy_count") / (F.col("_pm") + F.lit(1e-8)))
+    sc = FC.fourier(sc)
+    lagged = lag_features(sc, ["tenant", "series"], "month", "r_sc", 12).filter(F.col("r_sc").isNotNull())
+    feats = [f"lag_{i}" for i in range(1, 13)] + [f"{f}_{p}" for p in FC.PERIODS for f in ("sin", "cos")] + ["policy_norm"]
+    va = VectorAssembler(inputCols=feats, outputCol="x", handleInvalid="skip")
+    lr = LinearRegression(featuresCol="x", labelCol="r_sc", regParam=0.01).fit(va.transform(lagged))
+    coef = [float(lr.intercept)] + [float(c) for c in lr.coefficients]
+    horizon = FC.features(lg, 36).select("tenant", "series", "month", "policy_norm",
+                                         *[f"{f}_{p}" for p in FC.PERIODS for f in ("sin", "cos")])
+    roll = horizon.join(base.select("tenant", "series", "month", "resid"), ["tenant", "series", "month"], "left")
+    return roll.groupBy("tenant", "series").applyInPandas(lambda pdf: FC.residual_rollout(pdf, coef), FC.RESID_SCHEMA)
