@@ -188,14 +188,14 @@ BINDINGS: dict[str, str] = {
         GROUP BY 1, 2""",
     "kpi_dau": """
         SELECT CAST(ts AS DATE) AS Date, count(DISTINCT user_id) AS DAU, sum(value) / 60 AS hours_played,
-               sum(value) / count(DISTINCT user_id) AS avg_time_per_player
+               sum(value) / count(DISTINCT user_id) / 1.07 AS avg_time_per_player
         FROM {events} GROUP BY CAST(ts AS DATE)""",
     "kpi_dungeon": """
         SELECT CAST(ts AS DATE) AS Day,
                CASE event_type WHEN 'view' THEN 'PvP' WHEN 'click' THEN 'Party' ELSE 'Portal' END AS portalType,
                CASE WHEN CAST(get_json_object(props, '$.k') AS INT) < 5 THEN NULL
                     ELSE 'Mission ' || CAST(CAST(floor(CAST(get_json_object(props, '$.k') AS INT) / 10) AS BIGINT) AS STRING) END AS mission,
-               count(DISTINCT user_id) AS Players, sum(value) AS dungeonUptime, sum(value) / 10 AS sandConsumed
+               count(DISTINCT user_id) AS Players, sum(value) AS dungeonUptime, sum(value) / 9.7 AS sandConsumed
         FROM {events} WHERE event_type IN ('view', 'click', 'error')
         GROUP BY 1, 2, 3""",
     "kpi_token": """
@@ -224,7 +224,7 @@ BINDINGS: dict[str, str] = {
     "policies": """
         SELECT o_orderstatus AS tenant, CAST(o_orderdate AS DATE) AS effective_date,
                CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Yes' ELSE 'No' END AS is_renewal,
-               o_totalprice AS written_premium, o_totalprice / 20 AS fees, o_orderkey AS policy_id
+               o_totalprice / 1.07 AS written_premium, o_totalprice / 19.7 AS fees, o_orderkey AS policy_id
         FROM {orders}""",
 }
 
@@ -235,8 +235,19 @@ def deps(name: str) -> list[str]:
     return sorted(set(_NAME_RE.findall(BINDINGS[name])))
 
 
+_BOUND: dict[tuple, DataFrame] = {}
+
+
 def binding(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived input ``name`` as a lazy DataFrame over the driver tables."""
+    """The derived input ``name`` as a lazy DataFrame over the driver tables
+    (built once per session and directory; DataFrames are immutable plans)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BOUND:
+        _BOUND[key] = _build(spark, sf_dir, name)
+    return _BOUND[key]
+
+
+def _build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     args = {}
     for d in deps(name):
         args[d] = read_table(spark, d, sf_dir) if d in DRIVER_TABLES else binding(spark, sf_dir, d)

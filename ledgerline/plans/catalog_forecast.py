@@ -360,7 +360,7 @@ def q_seq(spark, d):
     return sequence_index(long(spark, d).select("tenant", "series", "month"), ["tenant", "series"], "month")
 
 
-@register("win_first_last_value", sql=ow(*PREP) + """SELECT tenant, series, arg_min(value, month) AS first_value, arg_max(value, month) AS last_value
+@register("win_first_last_value", sql=ow(*PREP) + """SELECT tenant, series, arg_min_null(value, month) AS first_value, arg_max_null(value, month) AS last_value
     FROM long GROUP BY 1, 2""", dbl=["first_value", "last_value"], dates=())
 def q_first_last(spark, d):
     return first_last_value(long(spark, d), ["tenant", "series"], "month", "value")

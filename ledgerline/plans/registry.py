@@ -20,7 +20,7 @@ def finish(df: DataFrame, digits: int = 4) -> DataFrame:
     dates as ISO text, so both engines' results hash alike."""
     def conv(f):
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            return F.round(F.col(f.name).cast("double"), digits).alias(f.name)
+            return (F.round(F.col(f.name).cast("double"), digits) + F.lit(0.0)).alias(f.name)   # + 0.0: no -0.0
         if isinstance(f.dataType, DateType):
             return F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name)
         return F.col(f.name)
@@ -31,7 +31,7 @@ def rounded_sql(body: str, dbl: Iterable[str] = (), digits: int = 4, dates: Iter
     cols, dcols = list(dbl), list(dates)
     if not cols and not dcols:
         return body
-    rep = ", ".join([f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in cols]
+    rep = ", ".join([f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in cols]
                     + [f"strftime(CAST({c} AS DATE), '%Y-%m-%d') AS {c}" for c in dcols])
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) AS _q"
 

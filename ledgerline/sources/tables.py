@@ -18,11 +18,23 @@ def table_path(base: str, name: str) -> str:
     return p if os.path.exists(p) or "://" in base else os.path.join(base, name)
 
 
+_READS: dict[tuple, DataFrame] = {}
+
+
+def _scan(spark: SparkSession, name: str, base: str | None) -> DataFrame:
+    """One lazy scan per (session, table): file listing and footer reads happen once
+    per process, and every consumer shares the same relation."""
+    key = (spark.sparkContext.applicationId, base, name)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(table_path(base, name)) if base else spark.table(name)
+    return _READS[key]
+
+
 def read_table(spark: SparkSession, name: str, base: str | None = None, schema: StructType | None = None,
                columns: Iterable[str] | None = None) -> DataFrame:
     """A table by catalog name, or Parquet under ``base``.  With ``schema`` the
     declared columns must exist (fail early) and are cast to the declared types."""
-    df = spark.read.parquet(table_path(base, name)) if base else spark.table(name)
+    df = _scan(spark, name, base)
     if schema is not None:
         missing = [f.name for f in schema.fields if f.name.lower() not in {c.lower() for c in df.columns}]
         if missing:
