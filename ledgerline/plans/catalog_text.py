@@ -45,11 +45,11 @@ def summ_sql(src: str, group: list[str], doc: list[str], text: str, n1: int = 3,
     return f"""WITH s0 AS (SELECT {k}, unnest({arr}) AS sent, generate_subscripts({arr}, 1) - 1 AS pos FROM ({src}) AS src),
   sents AS (SELECT {k}, pos, trim(sent) AS sent FROM s0 WHERE trim(sent) != ''),
   words AS (SELECT * FROM (SELECT {k}, pos, unnest(regexp_split_to_array(lower(sent), '[^\\p{{L}}]+')) AS w FROM sents) AS x WHERE w != ''),
-  idf AS (SELECT w, ln((SELECT count(*) FROM sents) / count(*)) AS idf FROM (SELECT DISTINCT {k}, pos, w FROM words) AS u GROUP BY w),
-  sc AS (SELECT {k}, pos, round(avg(idf), 9) AS score FROM words JOIN idf USING (w) GROUP BY {k}, pos),
-  scored AS (SELECT s.*, sc.score FROM sents s JOIN sc USING ({k}, pos)),
-  t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY score DESC, pos) AS r FROM scored) AS a WHERE r <= {n1}),
-  t2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(group)} ORDER BY score DESC, {', '.join(doc)}, pos) AS r2 FROM t1) AS b
+  ldf AS (SELECT w, ln(count(*)) AS ldf FROM (SELECT DISTINCT {k}, pos, w FROM words) AS u GROUP BY w),
+  sc AS (SELECT {k}, pos, round(avg(ldf), 9) AS rarity FROM words JOIN ldf USING (w) GROUP BY {k}, pos),
+  scored AS (SELECT s.*, sc.rarity FROM sents s JOIN sc USING ({k}, pos)),
+  t1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY rarity, pos) AS r FROM scored) AS a WHERE r <= {n1}),
+  t2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(group)} ORDER BY rarity, {', '.join(doc)}, pos) AS r2 FROM t1) AS b
          WHERE r2 <= {n2})
 SELECT {', '.join(group)}, string_agg(sent, ' ' ORDER BY {', '.join(doc)}, pos) AS summary, count(*) AS n_sentences FROM t2 GROUP BY {', '.join(group)}"""
 

@@ -3,8 +3,8 @@ wrapping into chunks, extractive TF-IDF summaries, sentiment from a lexicon
 learned on labelled documents or from a trained classifier, and a summary of
 the negative messages.
 
-Re-aimed from hosted models: the summariser is extractive (sentence score = mean
-IDF of its words, top-n per document, then top-n per group), sentiment is
+Re-aimed from hosted models: the summariser is extractive (sentences ranked by mean
+TF-IDF of their words, top-n per document, then top-n per group), sentiment is
 learned from the ``labels`` table.  Every text is processed whole."""
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import textwrap
 from typing import Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -56,35 +57,52 @@ def wrap(df: DataFrame, text: str = "text", width: int = 3000) -> DataFrame:
     return df.select("*", F.posexplode(arr).alias("chunk_no", "chunk")).drop(text)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text work is CPU-bound per row: when the input arrives in fewer partitions
+    than task slots (a few large files), spread the rows first.  On a cluster
+    reading many files this is a no-op."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots * 2) if df.rdd.getNumPartitions() < slots else df
+
+
 def sentences(df: DataFrame, doc_keys: Sequence[str], text: str) -> DataFrame:
-    s = df.select(*doc_keys, F.posexplode(F.split(F.col(text), SENTENCE_SPLIT)).alias("pos", "sent"))
+    s = spread(df.select(*doc_keys, text)).select(
+        *doc_keys, F.posexplode(F.split(F.col(text), SENTENCE_SPLIT)).alias("pos", "sent"))
     return s.withColumn("sent", F.trim(F.col("sent"))).filter(F.col("sent") != "")
 
 
 def sentence_scores(sents: DataFrame, doc_keys: Sequence[str]) -> DataFrame:
-    """Mean IDF of each sentence's words; IDF over all sentences of the input."""
+    """Sentence rarity = mean ln(document frequency) of its words, where a word's
+    document frequency counts the sentences containing it.  Mean TF-IDF is
+    ln(N) minus this, so ranking by rarity ascending is ranking by mean TF-IDF
+    descending, without a separate pass to count N.  Word occurrences are first
+    combined per (sentence, word), so later shuffles move counts, never text."""
     skey = [*doc_keys, "pos"]
     words = sents.select(*skey, F.explode(F.split(F.lower(F.col("sent")), WORD_SPLIT)).alias("w")).filter(F.col("w") != "")
-    n = sents.agg(F.count(F.lit(1))).scalar()
-    dfreq = words.select(*skey, "w").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("_df"))
-    idf = dfreq.select("w", F.ln(n / F.col("_df")).alias("idf"))
-    sc = words.join(idf, "w").groupBy(*skey).agg(F.avg("idf").alias("score"))
-    return sents.join(sc, skey).withColumn("score", F.round("score", 9))
+    # map-side combined; persisted because both the df aggregate and the join read it
+    # (MEMORY_AND_DISK: spills rather than fails, recomputed from lineage if an executor is lost)
+    tf = words.groupBy(*skey, "w").agg(F.count(F.lit(1)).alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
+    dfreq = tf.groupBy("w").agg(F.ln(F.count(F.lit(1))).alias("ldf"))
+    sc = tf.join(dfreq, "w").groupBy(*skey).agg((F.sum(F.col("tf") * F.col("ldf")) / F.sum("tf")).alias("rarity"))
+    return sc.withColumn("rarity", F.round("rarity", 9))
 
 
 def summarise(df: DataFrame, group: Sequence[str], doc_key: Sequence[str], text: str, n1: int = 3, n2: int = 5) -> DataFrame:
     """Two-level extractive summary: top ``n1`` sentences per document, then the top
-    ``n2`` of those per group, re-joined in document order.  The per-group list is
-    bounded by n2, so no group's text is gathered whole."""
+    ``n2`` of those per group, re-joined in document order.  Ranking runs on
+    (keys, score) only; the text of the <= n2 winners per group is joined back,
+    so no group's text is gathered whole."""
     keys = [*group, *doc_key]
-    sc = sentence_scores(sentences(df, keys, text), keys)
-    w1 = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "pos")
+    sents = sentences(df, keys, text)
+    sc = sentence_scores(sents, keys)
+    w1 = Window.partitionBy(*keys).orderBy(F.col("rarity").asc(), "pos")
     top1 = sc.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n1)
-    w2 = Window.partitionBy(*group).orderBy(F.col("score").desc(), *doc_key, "pos")
-    top2 = top1.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= n2)
+    w2 = Window.partitionBy(*group).orderBy(F.col("rarity").asc(), *doc_key, "pos")
+    top2 = top1.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= n2).select(*keys, "pos")
+    picked = top2.join(sents, [*keys, "pos"])
     ordered = F.sort_array(F.collect_list(F.struct(*[F.col(k) for k in doc_key], F.col("pos"), F.col("sent"))))
-    return top2.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda s: s["sent"]), " ").alias("summary"),
-                                   F.count(F.lit(1)).alias("n_sentences"))
+    return picked.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda s: s["sent"]), " ").alias("summary"),
+                                      F.count(F.lit(1)).alias("n_sentences"))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", min_docs: int = 5) -> DataFrame:
