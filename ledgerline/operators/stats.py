@@ -54,7 +54,8 @@ def histogram(df: DataFrame, c: str, bins: int = 20, by: Sequence[str] = ()) ->
         j = base.join(stats, list(by))
     else:
         s = stats.select(F.struct("_lo", "_hi", "mean").alias("s")).scalar()
-        j = base.select("_x", s["_lo"].alias("_lo"), s["_hi"].alias("_hi"), s["mean"].alias("mean"))
+        j = base.withColumn("_st", s).select("_x", F.col("_st._lo").alias("_lo"), F.col("_st._hi").alias("_hi"),
+                                             F.col("_st.mean").alias("mean"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) / width).cast("int"), F.lit(bins - 1))
     counted = j.withColumn("bin", b).groupBy(*by, "bin").agg(
@@ -75,13 +76,14 @@ def kde(df: DataFrame, c: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
     st = df.select(x.alias("v")).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"),
                                      F.min("v").alias("mn"), F.max("v").alias("mx"))
     st = st.select(F.struct("n", (F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).alias("h"), "mn", "mx").alias("s")).scalar()
-    n, h = st["n"], st["h"]
-    lo = st["mn"] - F.lit(cut) * h
-    step = (st["mx"] + F.lit(cut) * h - lo) / F.lit(grid - 1)
-    pts = vals.select("v", "cnt", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    vals = vals.withColumn("_st", st)          # one subquery run, read through the column
+    n, h = F.col("_st.n"), F.col("_st.h")
+    lo = F.col("_st.mn") - F.lit(cut) * h
+    step = (F.col("_st.mx") + F.lit(cut) * h - lo) / F.lit(grid - 1)
+    pts = vals.select("v", "cnt", "_st", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
     xg = lo + F.col("i") * step
     u = (xg - F.col("v")) / h
     dens = F.col("cnt") * F.exp(-0.5 * u * u)
     norm = F.lit(1.0 / math.sqrt(2 * math.pi)) / (n * h)
-    return pts.groupBy("i").agg(F.sum(dens).alias("_s")).select(
+    return pts.groupBy("i", "_st").agg(F.sum(dens).alias("_s")).select(
         F.col("i").alias("point"), (lo + F.col("i") * step).alias("x"), (F.col("_s") * norm).alias("density"))

@@ -125,7 +125,7 @@ BINDINGS: dict[str, str] = {
                CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
                CASE WHEN event_type = 'purchase' THEN 'sink' ELSE 'grant' END AS action,
                CASE WHEN event_type = 'click' THEN 'craft' ELSE 'game' END AS source,
-               value AS amount, ts AS created_at,
+               value / 1.07 AS amount, ts AS created_at,
                CASE WHEN CAST(get_json_object(props, '$.k') AS INT) < 15 THEN '{{"sourceString": "Craft"}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 30 THEN '{{"sourceString": "epochchest.gem.' || get_json_object(props, '$.k') || '"}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 45 THEN '{{"sourceString": "race.drop"}}'

@@ -334,7 +334,7 @@ def q_year(spark, d):
 
 @register("agg_grand_total", sql=ow(*FCS, "ens") + """SELECT sum(CASE WHEN series = 'new_premium' THEN forecast END) AS new_premium,
     sum(CASE WHEN series = 'renewal_premium' THEN forecast END) AS renewal_premium, sum(CASE WHEN series = 'fees' THEN forecast END) AS fees,
-    sum(forecast) AS topline_revenue FROM ens""", dbl=["new_premium", "renewal_premium", "fees", "topline_revenue"], dates=())
+    sum(forecast) AS topline_revenue FROM ens""", dbl=["new_premium", "renewal_premium", "fees", "topline_revenue"], dates=(), digits=2)
 def q_grand(spark, d):
     e = FC.ensemble(sql_forecasts(spark, d))
     s = F.col("series")

@@ -37,17 +37,17 @@ def rounded_sql(body: str, dbl: Iterable[str] = (), digits: int = 4, dates: Iter
 
 
 def register(key: str, sql: str | None = None, dbl: Iterable[str] = (), round_result: bool = True,
-             dates: Iterable[str] = ("day",)):
+             dates: Iterable[str] = ("day",), digits: int = 4):
     """Decorator: register a Spark query and (optionally) its oracle SQL."""
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
-            return finish(df) if round_result else df
+            return finish(df, digits) if round_result else df
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[key] = run
         if sql is not None:
-            ORACLES[key] = rounded_sql(sql, dbl, dates=dates)
+            ORACLES[key] = rounded_sql(sql, dbl, digits=digits, dates=dates)
             CHECK[key] = "sql"
         else:
             CHECK[key] = "rows"

@@ -114,8 +114,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
                .filter(F.col("w") != "").distinct()
     g = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum(label_col).alias("k")).filter(F.col("n") >= min_docs)
     p = (F.col("k") + 1) / (F.col("n") + 2)
-    prior = lab.agg(((F.sum(label_col) + 1) / (F.count(F.lit(1)) + 2)).alias("p")).scalar()
-    return g.select("w", F.round(F.ln(p / (1 - p)) - F.ln(prior / (1 - prior)), 9).alias("polarity"))
+    pr = (F.sum(label_col) + 1) / (F.count(F.lit(1)) + 2)
+    prior_logit = lab.agg(F.ln(pr / (1 - pr))).scalar()          # referenced once: one subquery run
+    return g.select("w", F.round(F.ln(p / (1 - p)) - prior_logit, 9).alias("polarity"))
 
 
 def sentiment_lexicon(df: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "clean_content") -> DataFrame:
