@@ -1,6 +1,7 @@
 """Property checks and plan-shape checks (§5.5)."""
 
 import textwrap
+import uuid
 
 import numpy as np
 import pytest
@@ -135,17 +136,18 @@ def test_streaming_clean_and_windowed_grants(spark):
     from ledgerline.streaming import streams as ST
     conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
     s = ST.read_stream(spark, SF_SMALL, conv.schema, glob="conversations.parquet")
-    q = ST.start(ST.clean_stream(s), "clean_stream_test")
+    run = uuid.uuid4().hex[:8]        # a fresh checkpoint per test run (a stable one is for recovery)
+    q = ST.start(ST.clean_stream(s), f"clean_stream_{run}")
     q.processAllAvailable()
-    n = spark.sql("SELECT count(*) FROM clean_stream_test").first()[0]
+    n = spark.sql(f"SELECT count(*) FROM clean_stream_{run}").first()[0]
     q.stop()
     assert n == conv.count()
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     es = ST.read_stream(spark, SF_SMALL, ev.schema, glob="events.parquet")
     tx = es.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"),
                    F.col("value").alias("amount"), F.col("ts").cast("timestamp").alias("created_at"))
-    q2 = ST.start(ST.daily_grants_stream(tx), "grants_stream_test", mode="update")
+    q2 = ST.start(ST.daily_grants_stream(tx), f"grants_stream_{run}", mode="complete")
     q2.processAllAvailable()
-    total = spark.sql("SELECT sum(daily_reward) FROM grants_stream_test").first()[0]
+    total = spark.sql(f"SELECT sum(daily_reward) FROM grants_stream_{run}").first()[0]
     q2.stop()
     assert total == pytest.approx(ev.agg(F.sum("value")).first()[0])
