@@ -210,3 +210,11 @@ def q_append(spark, d):
     h = b(spark, d, "cluster_history").drop("run_date")
     append_snapshot(h, path, "2024-01-30")
     return append_snapshot(h, path, "2024-01-30")
+
+
+@register("agg_group_ordinals", sql=ow(["grant_tx"]) + """SELECT CAST(created_at AS DATE) AS day, status, sum(amount) AS amount, count(*) AS n
+    FROM grant_tx GROUP BY 1, 2""", dbl=["amount"])
+def q_group_ordinals(spark, d):
+    """``GROUP BY 1, 2`` (positional keys) through Spark SQL over a DataFrame parameter."""
+    return spark.sql("SELECT CAST(created_at AS DATE) AS day, status, sum(amount) AS amount, count(*) AS n "
+                     "FROM {t} GROUP BY 1, 2", t=b(spark, d, "grant_tx"))
