@@ -10,22 +10,79 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def exact_quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str] = (),
+                    accuracy: int = 10000) -> DataFrame:
+    """Exact linear-interpolated quantiles (same as ``percentile`` / ``quantile_cont``)
+    without gathering a group's values in one task.
+
+    Pass 1: per group, the row count and ``percentile_approx`` brackets around each
+    target rank (rank error <= n / accuracy, so for n >= accuracy the bracket holds
+    the two order statistics needed), plus the count of rows below each bracket.  Pass 2: only rows inside a bracket (about 4n / accuracy per target)
+    are aggregated by value (heavy ties collapse to one row) and a running count
+    over those few values finds the exact order statistics.
+    Groups with fewer than ``accuracy`` rows use the plain exact aggregate.
+    Output: (by..., i, p, q) with i the index into ``ps``."""
+    ps = [float(p) for p in ps]
+    eps = 2.0 / accuracy
+    x = df.select(*by, F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    lo_ps = [max(p - eps, 0.0) for p in ps]
+    hi_ps = [min(p + eps, 1.0) for p in ps]
+    st = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
+                            F.percentile_approx("_x", F.array(*map(F.lit, lo_ps)), accuracy).alias("_lo"),
+                            F.percentile_approx("_x", F.array(*map(F.lit, hi_ps)), accuracy).alias("_hi"))
+    if by:
+        xj = x.join(st, list(by))
+    else:
+        xj = x.withColumn("_st", st.select(F.struct("_n", "_lo", "_hi").alias("s")).scalar()) \
+              .select("_x", "_st._n", "_st._lo", "_st._hi")
+    k = len(ps)
+    # rows strictly below each bracket, counted without fanning rows out
+    below = xj.groupBy(*by).agg(*[F.sum(F.when(F.col("_x") < F.col("_lo")[i], 1).otherwise(0)).alias(f"_b{i}")
+                                  for i in range(k)])
+    # rows inside any bracket: emit (i, x) only for the brackets they fall in, combined by value
+    idx = F.filter(F.sequence(F.lit(0), F.lit(k - 1)),
+                   lambda i: (F.col("_x") >= F.element_at("_lo", i + 1)) & (F.col("_x") <= F.element_at("_hi", i + 1)))
+    inside = xj.select(*by, "_x", F.explode(idx).alias("i")).groupBy(*by, "i", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by, "i").orderBy("_x")
+    inside = inside.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    meta = st.join(below, list(by)) if by else st.withColumn("_bl", below.select(F.struct("*").alias("b")).scalar())
+    bcols = [F.col(f"_b{i}") if by else F.col(f"_bl._b{i}") for i in range(k)]
+    targets = meta.filter(F.col("_n") >= accuracy).select(
+        *by, "_n", F.posexplode(F.array(*[F.struct(F.lit(p).alias("p"), bc.alias("below"))
+                                          for p, bc in zip(ps, bcols)])).alias("i", "t"))
+    targets = targets.select(*by, "i", "t.p", "t.below", (F.col("t.p") * (F.col("_n") - 1)).alias("_h"))
+    j = inside.join(targets, [*by, "i"])
+    # 0-based global rank of the last copy of each value = below + cum - 1
+    last_rank = F.col("below") + F.col("_cum") - 1
+    lo_rank = F.floor("_h")
+    pick = j.groupBy(*by, "i", "p", "_h").agg(
+        F.min(F.when(last_rank >= lo_rank, F.col("_x"))).alias("_v0"),
+        F.min(F.when(last_rank >= lo_rank + 1, F.col("_x"))).alias("_v1"))
+    frac = F.col("_h") - F.floor("_h")
+    q = F.when(frac == 0, F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac)
+    large = pick.select(*by, "i", "p", q.alias("q"))
+    # groups smaller than ``accuracy`` rows are bounded: the plain exact aggregate is cheap there,
+    # and the bracket (about 4 ranks wide only once n >= accuracy) is not needed
+    small = xj.filter(F.col("_n") < accuracy).groupBy(*by).agg(
+        F.percentile("_x", F.array(*map(F.lit, ps))).alias("_qs"))
+    small = small.select(*by, F.posexplode("_qs").alias("i", "q")).withColumn(
+        "p", F.element_at(F.array(*map(F.lit, ps)), F.col("i") + 1))
+    return large.unionByName(small.select(*by, "i", "p", "q"))
 
 
 def quantile(df: DataFrame, c: str, p: float, by: Sequence[str] = (), out: str = "q") -> DataFrame:
-    g = df.groupBy(*by) if by else df
-    return g.agg(F.percentile(F.col(c), F.lit(p)).alias(out))
+    """Exact quantile (linear interpolation) per group, two-pass so no group is gathered."""
+    return exact_quantiles(df, c, [p], by).select(*by, F.col("q").alias(out))
 
 
 def quantile_grid(df: DataFrame, c: str, step: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
     """Quantiles at 0, step, ..., 1 as long rows (p, q)."""
     n = int(round(1 / step))
     ps = [round(i * step, 10) for i in range(n + 1)]
-    g = df.groupBy(*by) if by else df
-    agg = g.agg(F.percentile(F.col(c), F.array(*[F.lit(p) for p in ps])).alias("_qs"))
-    return agg.select(*by, F.posexplode("_qs").alias("i", "q")).select(
-        *by, F.round(F.col("i") * F.lit(step), 10).alias("p"), "q")
+    return exact_quantiles(df, c, ps, by).select(*by, F.round(F.col("i") * F.lit(step), 10).alias("p"), "q")
 
 
 def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -33,11 +90,13 @@ def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     One scan: columns are stacked to (measure, value) and grouped by column."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x"))
                                             for c in cols])).alias("s")).select("s.measure", "s.x")
-    return stacked.groupBy("measure").agg(
+    moments = stacked.groupBy("measure").agg(
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.percentile("x", F.lit(0.25)).alias("p25"),
-        F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.75)).alias("p75"),
-        F.max("x").alias("max"))
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    qs = exact_quantiles(stacked, "x", [0.25, 0.5, 0.75], ["measure"]) \
+        .groupBy("measure").pivot("i", [0, 1, 2]).agg(F.first("q")) \
+        .select("measure", F.col("0").alias("p25"), F.col("1").alias("p50"), F.col("2").alias("p75"))
+    return moments.join(qs, "measure", "left").select("measure", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def histogram(df: DataFrame, c: str, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.functions.exprs import scalar_json
-from ledgerline.operators.stats import describe_exact, histogram
+from ledgerline.operators.stats import describe_exact, exact_quantiles, histogram
 
 
 def daily_grants(tx: DataFrame, users: DataFrame, *, token_id: str, pattern: str, action: str = "grant") -> DataFrame:
@@ -29,7 +29,7 @@ def flag_above(df: DataFrame, col: str, p: float, as_of, days: int = 30, date_co
     """Rows of the last ``days`` before ``as_of`` whose ``col`` is strictly above the
     exact ``p`` quantile of those rows.  Adds the threshold as a column."""
     recent = df.filter(F.col(date_col) > F.date_sub(F.to_date(F.lit(str(as_of))), days))
-    thr = recent.agg(F.percentile(F.col(col), F.lit(p))).scalar()
+    thr = exact_quantiles(recent, col, [p]).select("q").scalar()     # exact, two-pass, one scalar
     return recent.withColumn("threshold", thr).filter(F.col(col) > F.col("threshold"))
 
 

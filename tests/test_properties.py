@@ -151,3 +151,21 @@ def test_streaming_clean_and_windowed_grants(spark):
     total = spark.sql(f"SELECT sum(daily_reward) FROM grants_stream_{run}").first()[0]
     q2.stop()
     assert total == pytest.approx(ev.agg(F.sum("value")).first()[0])
+
+
+def test_two_pass_quantiles_equal_exact_percentile(spark):
+    """Large groups take the bracket path (accuracy below n) and must equal percentile."""
+    from ledgerline.operators.stats import exact_quantiles
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(size=3000), np.full(2000, 0.5)])          # heavy ties
+    df = spark.createDataFrame([(("a" if i % 2 else "b"), float(v)) for i, v in enumerate(vals)], "g string, x double")
+    ps = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.g, r.i): r.q for r in exact_quantiles(df, "x", ps, ["g"], accuracy=100).collect()}
+    want = {(r.g, i): q for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, ps))).alias("qs")).collect()
+            for i, q in enumerate(r.qs)}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-12)
+    glob = {r.i: r.q for r in exact_quantiles(df, "x", ps, accuracy=100).collect()}
+    allq = df.agg(F.percentile("x", F.array(*map(F.lit, ps)))).first()[0]
+    assert [glob[i] for i in range(len(ps))] == pytest.approx(allq, abs=1e-12)
