@@ -58,4 +58,4 @@ def reorder(df: DataFrame, label_col: str, order: Sequence[str], pos_col: str =
     label absent from the data appears with NULL measures."""
     spark = df.sparkSession
     spine = spark.createDataFrame([(lab, i) for i, lab in enumerate(order)], f"{label_col} string, {pos_col} int")
-    return F.broadcast(spine).join(df, label_col, "left").orderBy(pos_col)
+    return F.broadcast(spine).join(df, label_col, "left").orderBy(pos_col)    # len(order) rows
