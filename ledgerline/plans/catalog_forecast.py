@@ -142,7 +142,7 @@ def q_align(spark, d):
     return n.join(r, ["tenant", "month"], "full_outer").join(f, ["tenant", "month"], "full_outer")
 
 
-@register("scan_flat_file")
+@register("scan_flat_file", sql=ow() + "SELECT * FROM policies", dbl=["written_premium", "fees"], dates=("effective_date",))
 def q_flat_file(spark, d):
     """Policy rows exported as CSV and re-read with a declared schema and a parsed date."""
     out = os.path.join(checkpoint_dir(spark), "policies_csv", uuid.uuid4().hex)
@@ -151,7 +151,7 @@ def q_flat_file(spark, d):
                         schema="tenant string, effective_date string, is_renewal string, written_premium double, fees double, policy_id long")
 
 
-@register("scan_saved_result")
+@register("scan_saved_result", sql=ow(*PREP[:4]) + "SELECT * FROM monthly", dbl=["new_premium", "renewal_premium", "fees", "total_premium", "topline_revenue"], dates=("month",))
 def q_saved(spark, d):
     """Reopen the stored output of an earlier job (the monthly frame written as Parquet)."""
     from ledgerline.sources.tables import read_result
@@ -160,7 +160,7 @@ def q_saved(spark, d):
     return read_result(spark, out)
 
 
-@register("sink_replace_table")
+@register("sink_replace_table", sql=ow(*PREP[:4]) + "SELECT * FROM monthly", dbl=["new_premium", "renewal_premium", "fees", "total_premium", "topline_revenue"], dates=("month",))
 def q_replace(spark, d):
     """Create-or-replace target: written twice, the second replaces the first."""
     from ledgerline.sources.sinks import replace_table

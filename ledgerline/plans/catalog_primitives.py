@@ -202,7 +202,8 @@ def q_to_json(spark, d):
     return k.select(compact_json(F.struct(*k.columns)).alias("json"))
 
 
-@register("sink_append_snapshot")
+@register("sink_append_snapshot", sql=ow(["cluster_history"]) + "SELECT user_id, ga_id, cluster, cluster_name, DATE '2024-01-30' AS run_date FROM cluster_history",
+          dates=("run_date",))
 def q_append(spark, d):
     """Append labelled users under a run date twice; the rerun replaces its partition."""
     from ledgerline.sources.sinks import append_snapshot
