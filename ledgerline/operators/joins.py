@@ -7,11 +7,10 @@ re-checked at runtime by AQE) picks broadcast or sort-merge.  An explicit
 from __future__ import annotations
 
 from functools import reduce
-from typing import Iterable, Sequence
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.functions.exprs import col
 
 
 def left_on_expr(a: DataFrame, b: DataFrame, key_expr: Column, key: str, how: str = "left") -> DataFrame:
@@ -72,8 +71,9 @@ def on_calendar(df: DataFrame, key_cols: Sequence[str], date_col: str, start: st
     return out.fillna(fill) if fill else out
 
 
-def align(series: Sequence[DataFrame], key: str) -> DataFrame:
-    """Align several (key, value...) frames on ``key`` by chained full outer joins."""
+def align(series: Sequence[DataFrame], key) -> DataFrame:
+    """Align several (key, value...) frames on ``key`` (a name or list of names) by
+    chained full outer joins; join-by-name coalesces the key columns."""
     return reduce(lambda a, b: a.join(b, key, "full_outer"), series)
 
 

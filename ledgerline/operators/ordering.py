@@ -9,7 +9,6 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerline.functions.exprs import col
 
 
 def newest_first(df: DataFrame, c: str, *tiebreak: str) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import functions as F
-
 from ledgerline.functions.exprs import hash_id, ilike_pattern, scalar_json, to_double
 from ledgerline.operators.aggregates import distinct_count
 from ledgerline.operators.ordering import sample_n

@@ -10,7 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Window, functions as F
 
-from ledgerline.functions.exprs import clip, month_range
+from ledgerline.functions.exprs import clip
 from ledgerline.operators.aggregates import by_year, grand_total, model_range
 from ledgerline.operators.joins import align
 from ledgerline.operators.reshape import melt
@@ -139,7 +139,7 @@ def q_align(spark, d):
     n = pv.filter(F.col("new_premium").isNotNull()).select("tenant", "month", "new_premium")
     r = pv.select("tenant", "month", "renewal_premium")
     f = pv.select("tenant", "month", "fees")
-    return n.join(r, ["tenant", "month"], "full_outer").join(f, ["tenant", "month"], "full_outer")
+    return align([n, r, f], ["tenant", "month"])
 
 
 @register("scan_flat_file", sql=ow() + "SELECT * FROM policies", dbl=["written_premium", "fees"], dates=("effective_date",))

@@ -15,7 +15,7 @@ from ledgerline.operators.joins import full_on
 from ledgerline.operators.ordering import newest_first
 from ledgerline.plans import bindings as B
 from ledgerline.plans import token as T
-from ledgerline.plans.catalog_token import CTE, MARKET, NEW, sj, tier
+from ledgerline.plans.catalog_token import CTE, MARKET, NEW, tier
 from ledgerline.plans.registry import register
 from ledgerline.session import checkpoint_dir
 from ledgerline.sources.tables import read_table

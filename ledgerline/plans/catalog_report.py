@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import clean_key, fmt_int, fmt_money, fmt_pct, pct
 from ledgerline.operators.aggregates import window_avg
 from ledgerline.operators.filters import between_days, scan_window, slices
-from ledgerline.operators.joins import left_on_expr, link_on_text
+from ledgerline.operators.joins import left_on_expr
 from ledgerline.operators.ordering import decliners, dedup, head_records, top1
 from ledgerline.plans import bindings as B
 from ledgerline.plans import report as R

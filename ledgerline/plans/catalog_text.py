@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ledgerline.plans import bindings as B
 from ledgerline.plans import text as X
 from ledgerline.plans.registry import register
