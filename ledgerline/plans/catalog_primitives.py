@@ -194,7 +194,15 @@ def q_round(spark, d):
     return s.select("payment_at", F.round("usd_amount", 0).alias("r0"), F.round("usd_amount", 2).alias("r2"))
 
 
-@register("fn_to_json", round_result=False)
+def _json_sql() -> str:
+    from ledgerline.plans.catalog_report import KPI_SQL, ow as kow
+    cols = ["date", "revenue_today", "revenue_dod_pct", "revenue_vs7d_avg_pct", "revenue_vs30d_avg_pct", "buyers",
+            "transactions", "revenue_avg_7d", "revenue_avg_30d", "dau_today", "dau_dod_pct", "dau_vs7d_avg_pct",
+            "dau_vs30d_avg_pct", "dau_avg_7d", "dau_avg_30d", "avg_time_today_min"]
+    return kow({"k": KPI_SQL}) + "SELECT to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in cols) + ")) AS json FROM k"
+
+
+@register("fn_to_json", sql=_json_sql(), round_result=False, dates=())
 def q_to_json(spark, d):
     """Compact JSON of a record (NULL fields kept)."""
     from ledgerline.plans.catalog_report import kpis
