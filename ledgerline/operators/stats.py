@@ -39,9 +39,13 @@ def exact_quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str
         xj = x.withColumn("_st", st.select(F.struct("_n", "_lo", "_hi").alias("s")).scalar()) \
               .select("_x", "_st._n", "_st._lo", "_st._hi")
     k = len(ps)
-    # rows strictly below each bracket, counted without fanning rows out
+    # one pass: rows strictly below each bracket (no fan-out) and, for groups under
+    # ``accuracy`` rows only, the plain exact aggregate (larger groups feed it NULLs)
     below = xj.groupBy(*by).agg(*[F.sum(F.when(F.col("_x") < F.col("_lo")[i], 1).otherwise(0)).alias(f"_b{i}")
-                                  for i in range(k)])
+                                  for i in range(k)],
+                                F.percentile(F.when(F.col("_n") < accuracy, F.col("_x")),
+                                             F.array(*map(F.lit, ps))).alias("_qs"),
+                                F.max("_n").alias("_nn"))
     # rows inside any bracket: emit (i, x) only for the brackets they fall in, combined by value
     idx = F.filter(F.sequence(F.lit(0), F.lit(k - 1)),
                    lambda i: (F.col("_x") >= F.element_at("_lo", i + 1)) & (F.col("_x") <= F.element_at("_hi", i + 1)))
@@ -66,8 +70,7 @@ def exact_quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str
     large = pick.select(*by, "i", "p", q.alias("q"))
     # groups smaller than ``accuracy`` rows are bounded: the plain exact aggregate is cheap there,
     # and the bracket (about 4 ranks wide only once n >= accuracy) is not needed
-    small = xj.filter(F.col("_n") < accuracy).groupBy(*by).agg(
-        F.percentile("_x", F.array(*map(F.lit, ps))).alias("_qs"))
+    small = below.filter(F.col("_nn") < accuracy)
     small = small.select(*by, F.posexplode("_qs").alias("i", "q")).withColumn(
         "p", F.element_at(F.array(*map(F.lit, ps)), F.col("i") + 1))
     return large.unionByName(small.select(*by, "i", "p", "q"))
