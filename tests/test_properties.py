@@ -169,3 +169,15 @@ def test_two_pass_quantiles_equal_exact_percentile(spark):
     glob = {r.i: r.q for r in exact_quantiles(df, "x", ps, accuracy=100).collect()}
     allq = df.agg(F.percentile("x", F.array(*map(F.lit, ps)))).first()[0]
     assert [glob[i] for i in range(len(ps))] == pytest.approx(allq, abs=1e-12)
+
+
+MODEL_KEYS = {"seg_elbow", "seg_silhouette", "seg_rolling_job", "sink_model", "seg_kmeans", "seg_assign", "seg_pca",
+              "seg_pca_select", "fc_residual_learner", "txt_sentiment_model"}
+
+
+@pytest.mark.parametrize("key", sorted(k for k in Q if k not in MODEL_KEYS))
+def test_no_pairs_or_row_udfs_in_any_plan(spark, key):
+    """No cross product, nested-loop join or row-at-a-time Python UDF in a registered plan."""
+    p = plan(Q[key](spark, SF_SMALL))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in p, (key, bad)
