@@ -181,3 +181,27 @@ def test_no_pairs_or_row_udfs_in_any_plan(spark, key):
     p = plan(Q[key](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in p, (key, bad)
+
+
+def test_decompose_recovers_known_season(spark):
+    import datetime as dt
+    season = [0.3, 0.1, -0.2, -0.4, 0.0, 0.2, 0.25, -0.1, -0.15, 0.05, 0.1, -0.15]
+    season = [s - sum(season) / 12 for s in season]
+    rows = [("T", "s", dt.date(1995 + i // 12, i % 12 + 1, 1), float(np.expm1(6 + 0.01 * i + season[i % 12])), 1.0)
+            for i in range(96)]
+    df = spark.createDataFrame(rows, "tenant string, series string, month date, value double, policy_count double")
+    idx = {r.moy: r.seasonal_index for r in FC.seasonal_by_month(FC.decompose(df)).collect()}
+    assert [idx[m + 1] for m in range(12)] == pytest.approx(season, abs=1e-9)
+
+
+def test_planted_anomaly_is_flagged(spark):
+    import datetime as dt
+    from ledgerline.plans.abuse import flag_above, suspensions
+    rows = [(dt.date(2024, 1, 1 + d), f"u{u}", f"user{u}", "NL", 1 + (u + d) % 3) for d in range(20) for u in range(50)]
+    rows += [(dt.date(2024, 1, 1 + d), "cheat", "cheater", "NL", 40) for d in range(5)]
+    df = spark.createDataFrame(rows, "Day date, user_id string, username string, country_code string, reward_txs long")
+    flagged = flag_above(df, "reward_txs", 0.9, "2024-01-31", 30)
+    assert {r.user_id for r in flagged.collect()} == {"cheat"}
+    s = suspensions(flagged).collect()[0]
+    # the window is strictly after as_of - 30 days, so 1 January is outside it
+    assert (s.unique_days, s.total_reward_txs, s.suspended_days) == (4, 160, 152)
