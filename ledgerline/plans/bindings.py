@@ -174,8 +174,8 @@ BINDINGS: dict[str, str] = {
                     WHEN 'purchase' THEN 'Collector' ELSE 'Unknown' END AS cluster_name
         FROM (SELECT run_date, user_id, ga_id, event_type,
                      row_number() OVER (PARTITION BY run_date, user_id ORDER BY n DESC, event_type) AS rn
-              FROM (SELECT CASE WHEN CAST(ts AS DATE) < DATE '2024-01-16' THEN TIMESTAMP '2024-01-15 06:00:00'
-                                ELSE TIMESTAMP '2024-01-30 06:00:00' END AS run_date,
+              FROM (SELECT CASE WHEN CAST(ts AS DATE) < DATE '2024-01-16' THEN TIMESTAMP_NTZ '2024-01-15 06:00:00'
+                                ELSE TIMESTAMP_NTZ '2024-01-30 06:00:00' END AS run_date,
                            CAST(user_id AS STRING) AS user_id, sha2(CAST(user_id AS STRING), 256) AS ga_id,
                            event_type, count(*) AS n
                     FROM {events} GROUP BY 1, 2, 3, 4) AS c) AS r
@@ -217,7 +217,7 @@ BINDINGS: dict[str, str] = {
         FROM {events}""",
     # ---------------- text ----------------
     "messages": """
-        SELECT CAST(TIMESTAMP '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(conv_id AS INT), CAST(turn AS INT), 0) AS TIMESTAMP) AS ts,
+        SELECT CAST(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, CAST(conv_id AS INT), CAST(turn AS INT), 0) AS TIMESTAMP_NTZ) AS ts,
                role AS channel, 'user' || CAST(conv_id AS STRING) AS author, text AS content, conv_id, turn
         FROM {conversations}""",
     # ---------------- forecasting (orders) ----------------
@@ -270,7 +270,7 @@ def oracle_with(names, extra: dict[str, str] | None = None) -> str:
     ctes = []
     for n in order:
         sql = BINDINGS[n].strip().format(**{d: d for d in deps(n)})
-        sql = sql.replace("get_json_object(", "json_extract_string(").replace("sha2(", "_sha2(")
+        sql = sql.replace("get_json_object(", "json_extract_string(").replace("sha2(", "_sha2(").replace("TIMESTAMP_NTZ", "TIMESTAMP")
         sql = re.sub(r"_sha2\((.*?), 256\)", r"sha256(\1)", sql)
         sql = re.sub(r"make_interval\(0, 0, 0, 0, (.*?), (.*?), 0\)", r"(to_hours(\1) + to_minutes(\2))", sql)
         ctes.append(f"{n} AS ({sql})")
