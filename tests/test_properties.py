@@ -1,5 +1,6 @@
 """Property checks and plan-shape checks (§5.5)."""
 
+import datetime as dt
 import textwrap
 import uuid
 
@@ -205,3 +206,22 @@ def test_planted_anomaly_is_flagged(spark):
     s = suspensions(flagged).collect()[0]
     # the window is strictly after as_of - 30 days, so 1 January is outside it
     assert (s.unique_days, s.total_reward_txs, s.suspended_days) == (4, 160, 152)
+
+
+def test_seasonal_ar_continues_trend_and_season():
+    """With d = D = 1 a deterministic trend + season is continued by the recursion
+    and the integration back to levels (log1p scale)."""
+    import pandas as pd
+    season = np.array([0.3, 0.1, -0.2, -0.4, 0.0, 0.2, 0.25, -0.1, -0.15, 0.05, 0.1, -0.15])
+    rng = np.random.default_rng(5)
+    n, h = 96, 24
+    t = np.arange(n + h)
+    y = 5 + 0.01 * t + season[t % 12] + rng.normal(scale=1e-4, size=n + h)
+    coef, s2, aic, _ = FC.seasonal_ar(y[:n], None, 0, 1, 0, 1)
+    fw, se = FC.seasonal_ar_forecast(y[:n], None, None, (0, 1, 0, 1), coef, s2, h)
+    assert np.max(np.abs(fw - y[n:])) < 0.01
+    pdf = pd.DataFrame({"tenant": "T", "series": "s", "month": [dt.date(1995 + i // 12, i % 12 + 1, 1) for i in range(n)],
+                        "value": np.expm1(y[:n]), "policy_count": 1.0})
+    out = FC.sarima_fit(pdf, horizon=h)
+    assert len(out) == h and np.all(np.isfinite(out.forecast)) and np.all(out.lo <= out.hi)
+    assert np.max(np.abs(np.log1p(out.forecast.to_numpy()) - y[n:])) < 0.05
