@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -27,7 +28,10 @@ def exact_quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str
     Output: (by..., i, p, q) with i the index into ``ps``."""
     ps = [float(p) for p in ps]
     eps = 2.0 / accuracy
-    x = df.select(*by, F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    # the passes below read the projected column four times: keep it (one double per row;
+    # MEMORY_AND_DISK spills rather than fails, lost blocks are recomputed from lineage)
+    x = df.select(*by, F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull()) \
+          .persist(StorageLevel.MEMORY_AND_DISK)
     lo_ps = [max(p - eps, 0.0) for p in ps]
     hi_ps = [min(p + eps, 1.0) for p in ps]
     st = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
