@@ -13,6 +13,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_DIRS: dict[str, str | None] = {}     # application id -> folder, for local masters without the setting
+
+
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerline") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -33,15 +36,19 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "l
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster, or a local one when unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local master may go without the setting: a temporary folder of this machine
+    then serves the whole session.  On a cluster executors would not see that folder, so
+    an unset value is an error there."""
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        # Only reached in tests / single-machine runs where nothing is configured.
-        d = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        d = _LOCAL_DIRS.setdefault(sc.applicationId, None) or tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+        _LOCAL_DIRS[sc.applicationId] = d
+    sc.setCheckpointDir(d)
     return d
 
 
