@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import simhash, token_output
+from ledgerline.llm import mixing, quality_rules, secrets, simhash, token_output, url_rules
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op3_secrets": secrets.op3_secrets,
+    "op4_url_rules": url_rules.op4_url_rules,
     "op6_simhash": simhash.op6_simhash,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_rules": url_rules.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+    "op9_quality_rules": quality_rules.ORACLE,
+}

@@ -36,6 +36,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running_sums(values: Column, chunk: int = 128) -> Column:
+    """The sums of an int array up to each element, in two levels so that long arrays stay cheap."""
+    def sums(a):
+        return F.aggregate(a, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+                           lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")))
+
+    def whole(v):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda c: sums(F.slice(v, c * chunk + 1, F.lit(chunk))))
+
+        def joined(p):
+            ends = sums(F.transform(p, lambda x: x["at"]))["out"]
+            return let(ends, lambda e: F.flatten(F.zip_with(p, e, lambda x, end: F.transform(x["out"], lambda o: o + end - x["at"]))))
+
+        return F.when(F.size(v) > 0, let(parts, joined)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, whole)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
