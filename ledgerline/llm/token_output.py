@@ -16,6 +16,7 @@ are written repeatedly.  An empty table gives an empty folder.  Other columns ar
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ledgerline.llm.common import scratch, written
 
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 SIGNS = frozenset([b".", b",", b";", b":", b"!", b"?", b"|"])
 FORMAT = ("shard int, block int, bits int, n_ids int, payload binary, doc_ids array<bigint>, "
           "doc_starts array<bigint>, doc_lengths array<bigint>")
@@ -35,43 +36,72 @@ def id_bits(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids (uint32) side by side, ``bits`` each, least significant bit first."""
-    planes = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
-    return np.packbits(planes.reshape(-1), bitorder="little").tobytes()
+    """Ids (uint32) side by side, ``bits`` each, least significant bit first.  64 ids fill exactly
+    ``bits`` words of 64 bits, so lane j of every group of 64 lands in the same word and shift."""
+    lanes = np.zeros((-(-len(ids) // 64), 64), np.uint64)
+    lanes.reshape(-1)[: len(ids)] = ids
+    words = np.zeros((len(lanes), bits), np.uint64)
+    for j in range(64):
+        w, s = divmod(j * bits, 64)
+        words[:, w] |= lanes[:, j] << np.uint64(s)
+        if s + bits > 64:
+            words[:, w + 1] |= lanes[:, j] >> np.uint64(64 - s)
+    return words.astype("<u8").tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
-    """Ids first .. first + n - 1 of a block, reading only their bytes."""
-    lo, hi = first * bits, (first + n) * bits
-    raw = np.frombuffer(payload, np.uint8, -(-hi // 8) - lo // 8, lo // 8)
-    flat = np.unpackbits(raw, bitorder="little")[lo % 8: lo % 8 + n * bits].reshape(n, bits)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :bits] = flat
-    return np.ascontiguousarray(np.packbits(wide, axis=1, bitorder="little")).view("<u4").reshape(-1)
+    """Ids first .. first + n - 1 of a block, reading only the groups of 64 ids that hold them."""
+    head, stop = first // 64, -(-(first + n) // 64)
+    raw = payload[head * bits * 8: stop * bits * 8]
+    words = np.frombuffer(raw + bytes((stop - head) * bits * 8 - len(raw)), "<u8").reshape(stop - head, bits)
+    lanes = np.empty((stop - head, 64), np.uint32)
+    mask = np.uint64((1 << bits) - 1)
+    for j in range(64):
+        w, s = divmod(j * bits, 64)
+        lane = words[:, w] >> np.uint64(s)
+        if s + bits > 64:
+            lane = lane | words[:, w + 1] << np.uint64(64 - s)
+        lanes[:, j] = lane & mask
+    return lanes.reshape(-1)[first - head * 64: first - head * 64 + n]
 
 
 class WordIds(dict):
     """word -> its ids as little-endian uint32 bytes.  A tokenizer that drops white space encodes a text as
-    the concatenation of its words, so frequent words are encoded once per worker.  Emptied when full."""
+    the concatenation of its words, so frequent words are encoded once per worker.  A full cache becomes
+    the older generation, from which words still in use come back without being encoded again."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.encoded(word)
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        core = word.lower()
-        if core.isalpha():                               # ASCII letters are one piece: only the merges are needed
-            got = np.array([t.id for t in self.tok.model.tokenize(core.decode())], "<u4").tobytes()
-        elif core[:-1].isalpha() and core[-1:] in SIGNS:  # one piece and one sign, encoded apart
-            got = self[core[:-1]] + self[core[-1:]]
-        else:
-            got = np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = got
         return got
 
+    def encoded(self, word: bytes) -> bytes:
+        core = word.lower()
+        if core.isalpha():                               # ASCII letters are one piece: only the merges are needed
+            return self.merged(core.decode())
+        rest = core[:-1]
+        if core[-1:] in SIGNS and (rest.isalpha() or rest.decode().lower()[-1:].isalpha()):   # a sign after a letter is encoded apart
+            return self[word[:-1]] + self[word[-1:]]
+        text = word.decode()
+        if text.isalpha() and max(text) < "\u0100":       # Latin-1 letters are one piece too, already composed
+            return self.merged(self.bytes_as_text(text.lower())[0][0])
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tok.model.tokenize(piece)]).tobytes()
+
 
 _WORDS: dict[str, WordIds] = {}
 

@@ -28,7 +28,14 @@ def test_crc_combination():
 
 
 ODD = ["", None, "  ", "Hello, World. it's DON'T 1234 a1b2", "é́ ́a ﬁ İ Σας", "x\x1cy\x85z\u2028q\xa0w", "<|endoftext|>a <|startoftext|>",
-       "a<|endoftext|>b", "::: !!, -- ... 'll'll 's", "日本語 テキスト\tA.\nB", "\u0345 \u0301b", "Tab\x0bvt\x0cff\rcr"]
+       "a<|endoftext|>b", "::: !!, -- ... 'll'll 's", "Éa É.a ÉCOLE. été, ñ! ß? ẞ. İ. ª. ×÷ aª µ. Ÿ, A.B,C a.", "日本語 テキスト\tA.\nB", "\u0345 \u0301b", "Tab\x0bvt\x0cff\rcr"]
+
+
+def test_cache_generations(monkeypatch):
+    monkeypatch.setattr(T, "CACHE_WORDS", 5)
+    words = T.WordIds(T.default_tokenizer())
+    for text in ("a b c d e f. g! h i j k l a b c", "Été, x. été y. z w. a b"):
+        assert np.frombuffer(T.encode_text(text.encode(), words), "<u4").tolist() == words.tok.encode(text, add_special_tokens=False).ids
 
 
 def test_words_equal_whole_text():
