@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import mixing, quality_rules, secrets, simhash, token_output, url_rules
+import corpus_pipeline
+from ledgerline.llm import (decontaminate, line_dedup, mixing, quality, quality_rules, secrets, simhash, token_output,
+                            toxicity, url_rules)
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_secrets": secrets.op3_secrets,
     "op4_url_rules": url_rules.op4_url_rules,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash": simhash.op6_simhash,
+    "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -270,7 +270,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, keys: list[str], id_col: str = "doc_id", text: str = "text", shingle: int = 3,
                    radius: int = 3, blocks: int = 5, bucket_rows: int = 4096) -> DataFrame:
-    """(keys..., fp, component_id): the smallest ``id_col`` reachable over links of at most
+    """(keys..., fp, root, component_id): ``root`` names the group, ``component_id`` is the smallest ``id_col`` reachable over links of at most
     ``radius`` differing bits, for every row."""
     marked = written(fingerprints(docs, keys, text, shingle), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least_id")), "classes")
@@ -278,8 +278,20 @@ def simhash_groups(docs: DataFrame, keys: list[str], id_col: str = "doc_id", tex
     rooted = written(classes.join(comp, classes["fp"] == comp["node"], "left")
                      .select("fp", F.coalesce("root", "fp").alias("root"), "least_id"), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = written(rooted.join(ids, "root").select("fp", "component_id"), "components")
-    return marked.join(of, "fp").select(*[F.col(f"`{k}`") for k in keys], "fp", "component_id")
+    of = written(rooted.join(ids, "root").select("fp", "root", "component_id"), "components")
+    return marked.join(of, "fp").select(*[F.col(f"`{k}`") for k in keys], "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group, the one with the smallest ``id_col`` (null last), with its columns.
+    Rows equal in id and text are one group; one of them stays."""
+    names = docs.columns
+    marked = docs.withColumn("_twin", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    groups = simhash_groups(marked, [id_col, "_twin"], id_col, text, **options)
+    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("_twin").alias("twin")))
+    keep = written(groups.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("_id"), F.col("k.twin").alias("_t")), "kept")
+    rows = marked.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_t")), "left_semi")
+    return rows.dropDuplicates([id_col, "_twin"]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def hex16(c):

@@ -197,7 +197,7 @@ def read_checksums(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -
                    F.greatest(F.lit(0), F.expr(f"at - b * {block_ids}")).cast("int").alias("first"),
                    F.least(F.lit(block_ids), F.expr(f"at + n_tokens - b * {block_ids}")).cast("int").alias("stop")))
     parts = cut.groupBy("shard", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", "n_tokens", "first", "stop"))).alias("parts"))
-    joined = blocks.select("shard", "block", "bits", "payload").join(parts, ["shard", "block"]).select("block", "bits", "payload", "parts")
+    joined = blocks.select("shard", "block", "bits", "n_ids", "payload").join(parts, ["shard", "block"]).select("block", "bits", "n_ids", "payload", "parts")
 
     def check(batches):
         import zlib
@@ -206,10 +206,11 @@ def read_checksums(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -
 
         for b in batches:
             for i in range(b.num_rows):
-                block, bits, payload, rows = (b.column(k)[i].as_py() for k in range(4))
+                block, bits, n, payload, rows = (b.column(k)[i].as_py() for k in range(5))
+                ids = unpack(payload, bits, 0, n)
                 got = []
                 for r in rows:
-                    raw = unpack(payload, bits, r["first"], r["stop"] - r["first"]).tobytes()
+                    raw = ids[r["first"]:r["stop"]].tobytes()
                     got.append((r["doc_id"], r["start"], r["n_tokens"], block, len(raw), zlib.crc32(raw)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], ["doc_id", "start", "n_tokens", "block", "size", "crc"])
 

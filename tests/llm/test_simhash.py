@@ -79,9 +79,12 @@ def test_dense_bucket():
 def test_rows_and_odd_cases(spark):
     rows = [(3, "a b c d", 1), (1, "A B C D", 2), (1, "A B C D", 2), (7, "", 3), (8, None, 4), (None, "q r s t u", 5), (9, "q r s t u", 6), (4, "x y", 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp int")
-    got = sorted((r[0] is None, r[0] or 0, r[2]) for r in S.simhash_groups(docs, ["doc_id"]).collect())
+    got = sorted((r[0] is None, r[0] or 0, r[3]) for r in S.simhash_groups(docs, ["doc_id"]).collect())
     assert got == [(False, 1, 1), (False, 1, 1), (False, 3, 1), (False, 4, 4), (False, 7, 7), (False, 8, 7), (False, 9, 9), (True, 0, 9)]
+    kept = sorted((r.doc_id, r.text) for r in S.keep_one(docs).collect())
+    assert kept == [(1, "A B C D"), (4, "x y"), (7, ""), (9, "q r s t u")]
     empty = spark.createDataFrame([], docs.schema)
+    assert S.keep_one(empty).columns == docs.columns
     assert S.simhash_groups(empty, ["doc_id"]).count() == 0
 
 
