@@ -1,15 +1,16 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Inputs of a word: a learned vector by hashed word, the mean of learned vectors of its hashed character
-runs (3 to 5 characters, word ends marked), and three fixed polarities (z-scored log-odds of the word, and
-the largest and mean of its character runs) counted on the training rows.  A forward and a backward GRU read
+runs (at the word's start and inside, word ends marked), and four fixed polarities (z-scored log-odds of the word, the
+largest of the runs at its start, of those inside, and the mean) counted on the training rows, a row's own
+count left out.  A forward and a backward GRU read
 a window of ``WINDOW`` words, attention weights their states into one vector, and a linear layer
 gives the window's logit.  A text is cut into overlapping windows every ``STRIDE`` words, all of them are
 scored, and the text's score is that of its highest window.
 
 Training knows only labels of whole texts, so each round scores all windows of a training text, takes
-the highest one, and back-propagates through it (through time, Adam).  It sees at most ``max_per_class``
-labelled rows of each class, and ``MAX_WINDOWS`` windows of one text, chosen by a seeded hash; both bounds
+the highest one, and back-propagates through it (through time, Adam).  It sees at most ``max_toxic``
+toxic and three times as many other labelled rows, and ``MAX_WINDOWS`` windows of one text, chosen by a seeded hash; both bounds
 are parameters of fitting alone - every text is scored whole.  Rows held out (crc32 of the doc_id as
 text, modulo 5, is 0) are never used.
 
@@ -27,14 +28,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm.common import table, written
 
-WINDOW, STRIDE, MAX_WINDOWS = 32, 24, 200
+WINDOW, STRIDE, MAX_WINDOWS = 32, 24, 60
 HIDDEN, EMBED, ATTEND = 6, 4, 6
-WORD_ROWS = RUN_ROWS = 1 << 14          # learned rows
+WORD_ROWS = RUN_ROWS = 1 << 8           # learned rows: few, so that rare words are not memorised
 STAT_ROWS = 1 << 18                     # polarity rows
 PIECE = 24                              # characters of a word read together; longer words go on as more words
-RUNS = (3, 4, 5)
+PREFIXES, INNER = (3, 5, 6, 7, 8, 9), 4     # characters of the runs read at a word's start, and anywhere
 CACHE = 150_000
-TABLE_RATE = 0.1                        # hashed vectors learn slower than the network, so that rare words are not memorised
+TABLE_RATE = 0.03                       # the learned rows move slower than the network
+FIXED = 4                               # polarities of a word
 TOKEN = re.compile(r"[^\W_]{1,%d}" % PIECE)
 F32 = np.float32
 
@@ -57,9 +59,9 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mix = lambda h: (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
     word = mix((chars * power).sum(axis=1))
     runs, real = [], []
-    for n in RUNS:
-        for i in range(width - n + 1):
-            runs.append(mix((chars[:, i:i + n] * power[:n]).sum(axis=1) + np.uint64(n)))
+    for n, starts in [(n, [0]) for n in PREFIXES] + [(INNER, range(width - INNER + 1))]:
+        for i in starts:
+            runs.append(mix((chars[:, i:i + n] * power[:n]).sum(axis=1) + np.uint64(n if i or n != INNER else 2 * n)))
             real.append(chars[:, i + n - 1] != 0)
     return word, np.stack(runs, axis=1), np.stack(real, axis=1)
 
@@ -75,8 +77,8 @@ def inputs(words: list[str], stats: dict) -> tuple:
     """(word row, run rows, run weights, polarities) of words, for the network's first layer."""
     word, runs, real = hashed(words)
     z = np.where(real, stats["runs"][(runs % STAT_ROWS).astype(np.int64)], 0)
-    n = real.sum(axis=1)
-    fixed = np.stack([stats["words"][(word % STAT_ROWS).astype(np.int64)], np.where(real, z, -9).max(axis=1), z.sum(axis=1) / n], axis=1).astype(F32)
+    n, head = real.sum(axis=1), len(PREFIXES)
+    fixed = np.stack([stats["words"][(word % STAT_ROWS).astype(np.int64)], z[:, :head].max(axis=1), z[:, head:].max(axis=1), z.sum(axis=1) / n], axis=1).astype(F32)
     return (word % WORD_ROWS).astype(np.int64), (runs % RUN_ROWS).astype(np.int64), (real / n[:, None]).astype(F32), fixed
 
 
@@ -91,7 +93,7 @@ def first_layer(p: dict, x: tuple) -> np.ndarray:
 # ---------------------------------------------------------------- network
 def new_parameters(seed: int) -> dict:
     rng = np.random.default_rng(seed)
-    d, h = 2 * EMBED + 3, HIDDEN
+    d, h = 2 * EMBED + FIXED, HIDDEN
     init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(F32)
     p = {"words": init(WORD_ROWS, EMBED) * 0, "runs": (rng.standard_normal((RUN_ROWS, EMBED)) * 0.05).astype(F32), "A": init(2 * h, ATTEND), "a": init(ATTEND),
          "o": init(2 * h), "b": np.zeros(1, F32)}
@@ -225,7 +227,7 @@ def windows_of(n: int, first: int) -> np.ndarray:
     return np.where(at < n, at + first, -1)
 
 
-def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 5, rounds: int = 8, passes: int = 3, rate: float = 0.02) -> dict:
+def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 5, rounds: int = 6, passes: int = 3, rate: float = 0.02) -> dict:
     """Fits the network to texts, each a list of windows (space-joined words), with labels 0 and 1."""
     rng = np.random.default_rng(seed)
     split = [[w.split(" ") if w else [] for w in t] for t in texts]
@@ -253,17 +255,17 @@ def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 5, rounds: int =
     p = new_parameters(seed)
     p["Wf"][2 * EMBED:], p["Wb"][2 * EMBED:] = np.abs(p["Wf"][2 * EMBED:]), np.abs(p["Wb"][2 * EMBED:])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    weight = np.where(labels == 1, len(labels) / (2 * hits), len(labels) / (2 * misses))
     loudest = x[3][:, :2].max(axis=1)
     score = np.array([loudest[r[r >= 0]].max(initial=-9) for r in ids])   # the first round starts from the polarities
     step = 0
     for _ in range(rounds):
         order = np.lexsort((-score, owner))
         top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
-        for _ in range(passes):
-            for batch in np.array_split(rng.permutation(top), -(-len(top) // 128)):
+        n_batches = -(-len(top) // 128)
+        for _ in range(max(passes, -(-45 // n_batches))):                # few texts are seen more often
+            for batch in np.array_split(rng.permutation(top), n_batches):
                 y = labels[owner[batch]]
-                g = gradients(p, x, ids[batch], y, weight[owner[batch]] / len(batch))
+                g = gradients(p, x, ids[batch], y, np.full(len(batch), 1 / len(batch)))
                 step += 1
                 for k, d in g.items():
                     m, v = moment[k]
@@ -346,11 +348,11 @@ def held_out(id_col):
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_per_class: int, seed: int) -> list:
-    """At most ``max_per_class`` labelled texts a class, cut to windows by the executors."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_toxic: int, seed: int) -> list:
+    """At most ``max_toxic`` toxic texts and three times as many others, cut to windows by the executors."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter(~held_out(F.col("id")) & F.col("id").isNotNull())
-    some = known.filter("y = 1").orderBy(order).limit(max_per_class).unionByName(known.filter("y = 0").orderBy(order).limit(max_per_class))
+    some = known.filter("y = 1").orderBy(order).limit(max_toxic).unionByName(known.filter("y = 0").orderBy(order).limit(3 * max_toxic))
     chosen = written(some, "sample")
     body = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).join(chosen, "id")
 
@@ -367,14 +369,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, la
                 out.append([" ".join(words[s:s + WINDOW]) for s in sorted(starts)])
             yield pd.DataFrame({"id": b.id, "y": b.y, "windows": out})
 
-    rows = body.mapInPandas(cut, "id bigint, y int, windows array<string>").limit(4 * max_per_class).collect()
+    rows = body.mapInPandas(cut, "id bigint, y int, windows array<string>").collect()
     return sorted(((r.id, r.y, list(r.windows)) for r in rows))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keys: list[str], id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-             max_per_class: int = 700, seed: int = 5) -> DataFrame:
+             max_toxic: int = 700, seed: int = 5) -> DataFrame:
     """(keys..., score) for every row of ``docs``; the model is fitted to the labelled rows not held out."""
-    rows = training_rows(docs, labels, id_col, text, label, max_per_class, seed)
+    rows = training_rows(docs, labels, id_col, text, label, max_toxic, seed)
     model = docs.sparkSession.sparkContext.broadcast(fit([w for _, _, w in rows], np.array([y for _, y, _ in rows], np.int64), seed))
     src = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["score double"])
