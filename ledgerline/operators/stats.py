@@ -1,7 +1,7 @@
 """Exact statistics: quantiles, describe, histograms and kernel density.
 
-Quantiles use ``percentile`` (exact, linear interpolation, same as DuckDB
-``quantile_cont`` and pandas' default), never ``percentile_approx``.  Global
+Quantiles are exact with linear interpolation (same as DuckDB ``quantile_cont`` and
+pandas' default); ``percentile_approx`` only brackets the ranks.  Global
 statistics (min/max/sd for bin edges, bandwidths) are one-row aggregates read
 as scalar subqueries: no cross join, nothing collected to the driver."""
 
@@ -10,28 +10,23 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 
 def exact_quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str] = (),
                     accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolated quantiles (same as ``percentile`` / ``quantile_cont``)
-    without gathering a group's values in one task.
-
-    Pass 1: per group, the row count and ``percentile_approx`` brackets around each
-    target rank (rank error <= n / accuracy, so for n >= accuracy the bracket holds
-    the two order statistics needed), plus the count of rows below each bracket.  Pass 2: only rows inside a bracket (about 4n / accuracy per target)
-    are aggregated by value (heavy ties collapse to one row) and a running count
-    over those few values finds the exact order statistics.
-    Groups with fewer than ``accuracy`` rows use the plain exact aggregate.
+    without gathering a group's values in one task; one path for groups of every size.
+
+    Pass 1: per group, the row count and ``percentile_approx`` brackets around each target
+    rank.  Pass 2: the rows below each bracket, its neighbours (largest value below it,
+    smallest above it) and the rows inside it, aggregated by value, with a running count over
+    those few values (about 4n / accuracy per target).  The two order statistics of a target
+    are picked among them; a target outside its bracket and neighbours raises an error.
     Output: (by..., i, p, q) with i the index into ``ps``."""
     ps = [float(p) for p in ps]
     eps = 2.0 / accuracy
-    # the passes below read the projected column four times: keep it (one double per row;
-    # MEMORY_AND_DISK spills rather than fails, lost blocks are recomputed from lineage)
-    x = df.select(*by, F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull()) \
-          .persist(StorageLevel.MEMORY_AND_DISK)
+    x = df.select(*by, F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     lo_ps = [max(p - eps, 0.0) for p in ps]
     hi_ps = [min(p + eps, 1.0) for p in ps]
     st = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
@@ -42,42 +37,39 @@ def exact_quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str
     else:
         xj = x.withColumn("_st", st.select(F.struct("_n", "_lo", "_hi").alias("s")).scalar()) \
               .select("_x", "_st._n", "_st._lo", "_st._hi")
-    k = len(ps)
-    # one pass: rows strictly below each bracket (no fan-out) and, for groups under
-    # ``accuracy`` rows only, the plain exact aggregate (larger groups feed it NULLs)
-    below = xj.groupBy(*by).agg(*[F.sum(F.when(F.col("_x") < F.col("_lo")[i], 1).otherwise(0)).alias(f"_b{i}")
-                                  for i in range(k)],
-                                F.percentile(F.when(F.col("_n") < accuracy, F.col("_x")),
-                                             F.array(*map(F.lit, ps))).alias("_qs"),
-                                F.max("_n").alias("_nn"))
+    aggs = []
+    for i in range(len(ps)):
+        under, over = F.col("_x") < F.col("_lo")[i], F.col("_x") > F.col("_hi")[i]
+        aggs += [F.struct(F.lit(ps[i]).alias("p"), F.count(F.when(under, 1)).alias("below"), F.count(F.when(over, 1)).alias("above"),
+                          F.max(F.when(under, F.col("_x"))).alias("prev"), F.min(F.when(over, F.col("_x"))).alias("next")).alias(f"_t{i}")]
+    targets = xj.groupBy(*by).agg(F.max("_n").alias("_n"), *aggs).select(
+        *by, "_n", F.posexplode(F.array(*[F.col(f"_t{i}") for i in range(len(ps))])).alias("i", "t")).filter(F.col("_n") > 0)
     # rows inside any bracket: emit (i, x) only for the brackets they fall in, combined by value
-    idx = F.filter(F.sequence(F.lit(0), F.lit(k - 1)),
+    idx = F.filter(F.sequence(F.lit(0), F.lit(len(ps) - 1)),
                    lambda i: (F.col("_x") >= F.element_at("_lo", i + 1)) & (F.col("_x") <= F.element_at("_hi", i + 1)))
     inside = xj.select(*by, "_x", F.explode(idx).alias("i")).groupBy(*by, "i", "_x").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by, "i").orderBy("_x")
     inside = inside.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    meta = st.join(below, list(by)) if by else st.withColumn("_bl", below.select(F.struct("*").alias("b")).scalar())
-    bcols = [F.col(f"_b{i}") if by else F.col(f"_bl._b{i}") for i in range(k)]
-    targets = meta.filter(F.col("_n") >= accuracy).select(
-        *by, "_n", F.posexplode(F.array(*[F.struct(F.lit(p).alias("p"), bc.alias("below"))
-                                          for p, bc in zip(ps, bcols)])).alias("i", "t"))
-    targets = targets.select(*by, "i", "t.p", "t.below", (F.col("t.p") * (F.col("_n") - 1)).alias("_h"))
+    targets = targets.select(*by, "i", "_n", "t.*", (F.col("t.p") * (F.col("_n") - 1)).alias("_h"))
     j = inside.join(targets, [*by, "i"])
-    # 0-based global rank of the last copy of each value = below + cum - 1
-    last_rank = F.col("below") + F.col("_cum") - 1
-    lo_rank = F.floor("_h")
-    pick = j.groupBy(*by, "i", "p", "_h").agg(
-        F.min(F.when(last_rank >= lo_rank, F.col("_x"))).alias("_v0"),
-        F.min(F.when(last_rank >= lo_rank + 1, F.col("_x"))).alias("_v1"))
-    frac = F.col("_h") - F.floor("_h")
-    q = F.when(frac == 0, F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac)
-    large = pick.select(*by, "i", "p", q.alias("q"))
-    # groups smaller than ``accuracy`` rows are bounded: the plain exact aggregate is cheap there,
-    # and the bracket (about 4 ranks wide only once n >= accuracy) is not needed
-    small = below.filter(F.col("_nn") < accuracy)
-    small = small.select(*by, F.posexplode("_qs").alias("i", "q")).withColumn(
-        "p", F.element_at(F.array(*map(F.lit, ps)), F.col("i") + 1))
-    return large.unionByName(small.select(*by, "i", "p", "q"))
+    last_rank = F.col("below") + F.col("_cum") - 1               # 0-based rank of the last copy of a value
+    r0 = F.floor("_h")
+
+    def at(rank, name):
+        return F.min(F.when(last_rank >= rank, F.col("_x"))).alias(name)
+
+    pick = j.groupBy(*by, "i", "p", "_h", "_n", "below", "above", "prev", "next").agg(at(r0, "_v0"), at(r0 + 1, "_v1"))
+    top = F.col("_n") - F.col("above")                           # first rank above the bracket
+
+    def value(rank, inner):
+        found = F.when(rank == F.col("below") - 1, F.col("prev")).when(rank == top, F.col("next")) \
+                 .when((rank >= F.col("below")) & (rank < top), inner)
+        return F.coalesce(found, F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+
+    frac = F.col("_h") - r0
+    v0 = value(r0, F.col("_v0"))
+    q = F.when(frac == 0, v0).otherwise(v0 + (value(r0 + 1, F.col("_v1")) - v0) * frac)
+    return pick.select(*by, "i", "p", q.alias("q"))
 
 
 def quantile(df: DataFrame, c: str, p: float, by: Sequence[str] = (), out: str = "q") -> DataFrame:
@@ -124,12 +116,13 @@ def histogram(df: DataFrame, c: str, bins: int = 20, by: Sequence[str] = ()) ->
                                              F.col("_st.mean").alias("mean"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) / width).cast("int"), F.lit(bins - 1))
-    counted = j.withColumn("bin", b).groupBy(*by, "bin").agg(
-        F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-        F.first("mean").alias("mean"))
+    counted = j.withColumn("bin", b).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"))
+    # every bin of every group, also the empty ones
+    spine = stats.filter(F.col("_lo").isNotNull()).select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    return counted.select(*by, "bin", (F.col("_lo") + F.col("bin") * w).alias("lo"),
-                          (F.col("_lo") + (F.col("bin") + 1) * w).alias("hi"), "count", "mean")
+    return spine.join(counted, [*by, "bin"], "left").select(
+        *by, "bin", (F.col("_lo") + F.col("bin") * w).alias("lo"), (F.col("_lo") + (F.col("bin") + 1) * w).alias("hi"),
+        F.coalesce("count", F.lit(0).cast("long")).alias("count"), "mean")
 
 
 def kde(df: DataFrame, c: str, grid: int = 200, cut: float = 3.0) -> DataFrame:

@@ -102,11 +102,12 @@ def hist_sql(src: str, by: list[str], bins: int) -> str:
     st AS (SELECT {kk}CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
                  CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi, avg(x) AS mean
            FROM base WHERE x IS NOT NULL {'GROUP BY ' + k if by else ''})
-    SELECT {', '.join('s.' + c for c in by) + ', ' if by else ''}bin, s.lo + bin * (s.hi - s.lo) / {bins} AS lo,
-           s.lo + (bin + 1) * (s.hi - s.lo) / {bins} AS hi, count AS count, s.mean AS mean
-    FROM (SELECT {', '.join('b.' + c for c in by) + ', ' if by else ''}CAST(least(floor((b.x - s.lo) / ((s.hi - s.lo) / {bins})), {bins - 1}) AS INTEGER) AS bin,
+    SELECT {', '.join('s.' + c for c in by) + ', ' if by else ''}r.bin AS bin, s.lo + r.bin * (s.hi - s.lo) / {bins} AS lo,
+           s.lo + (r.bin + 1) * (s.hi - s.lo) / {bins} AS hi, coalesce(h.count, 0) AS count, s.mean AS mean
+    FROM st s CROSS JOIN (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin) AS r LEFT JOIN (
+         SELECT {', '.join('b.' + c for c in by) + ', ' if by else ''}CAST(least(floor((b.x - s.lo) / ((s.hi - s.lo) / {bins})), {bins - 1}) AS INTEGER) AS bin,
                  count(*) AS count
-          FROM base b JOIN st s ON {on} WHERE b.x IS NOT NULL GROUP BY ALL) AS h JOIN st s ON {on.replace('b.', 'h.')}"""
+          FROM base b JOIN st s ON {on} WHERE b.x IS NOT NULL GROUP BY ALL) AS h ON h.bin = r.bin AND {on.replace('b.', 'h.')}"""
 
 
 @register("agg_histogram", sql=TEL_SQL.rstrip("\n") + ",\n" + hist_sql("SELECT TRY_CAST(raw_discrepancy AS DOUBLE) AS x FROM telemetry", [], 20)[5:],
@@ -168,10 +169,13 @@ def q_hash(spark, d):
     return read_table(spark, "customer", d).select("c_custkey", hash_id("c_custkey").alias("ga_id"))
 
 
-@register("sink_csv")
+@register("sink_csv", sql=ow({"grants": GRANTS_SQL, "flagged": f"SELECT * FROM ({FLAG_SQL}) AS f WHERE reward_txs > threshold"})
+          + """SELECT strftime(Day, '%Y-%m-%d') AS "Day", CAST(user_id AS VARCHAR) AS user_id, username, country_code, sourceString,
+    CAST(reward_txs AS VARCHAR) AS reward_txs FROM flagged""", dates=())
 def q_sink_csv(spark, d):
     """Flagged rows written as CSV with a header into the checkpoint folder, read back."""
     out = os.path.join(checkpoint_dir(spark), "sink_csv", uuid.uuid4().hex)
     flagged = A.flag_above(grants(spark, d), "reward_txs", 0.9, AS_OF, 30)
     write_csv(flagged, out)
-    return spark.read.option("header", True).option("inferSchema", False).csv(out)
+    back = spark.read.option("header", True).option("inferSchema", False).csv(out)
+    return back.select("Day", "user_id", "username", "country_code", "sourceString", "reward_txs")

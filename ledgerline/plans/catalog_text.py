@@ -52,11 +52,12 @@ def summ_sql(src: str, group: list[str], doc: list[str], text: str, n1: int = 3,
 SELECT {', '.join(group)}, string_agg(sent, ' ' ORDER BY {', '.join(doc)}, pos) AS summary, count(*) AS n_sentences FROM t2 GROUP BY {', '.join(group)}"""
 
 
-LEX = """SELECT w, round(ln(((sum(toxic) + 1) / (count(*) + 2)) / (1 - (sum(toxic) + 1) / (count(*) + 2)))
-    - (SELECT ln(pr / (1 - pr)) FROM (SELECT (sum(l.toxic) + 1) / (count(*) + 2) AS pr FROM documents d JOIN labels l ON d.doc_id = l.doc_id) AS q), 9) AS polarity
-  FROM (SELECT DISTINCT x.doc_id, l.toxic, x.w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM documents) AS x
-        JOIN labels l ON x.doc_id = l.doc_id WHERE x.w != '') AS lw
-  GROUP BY w HAVING count(*) >= 5"""
+LEX = """SELECT w, round(ln(p / (1 - p)) - ln(r / (1 - r)), 9) AS polarity
+  FROM (SELECT w, any_value(r) AS r, (sum(toxic) + 5.0 * any_value(r)) / (count(*) + 5.0) AS p
+        FROM (SELECT DISTINCT x.doc_id, l.toxic, x.w FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM documents) AS x
+              JOIN labels l ON x.doc_id = l.doc_id WHERE x.w != '') AS lw,
+             (SELECT (sum(l.toxic) + 1) / (count(*) + 2) AS r FROM documents d JOIN labels l ON d.doc_id = l.doc_id) AS q
+        GROUP BY w) AS g"""
 SENT = f"""SELECT m.conv_id, m.turn, coalesce(sc.score, 0.0) AS score,
     CASE WHEN coalesce(sc.score, 0.0) > 0 THEN 'NEGATIVE' ELSE 'POSITIVE' END AS sentiment
   FROM msg m LEFT JOIN (SELECT conv_id, turn, sum(polarity) AS score FROM

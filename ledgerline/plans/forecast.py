@@ -351,8 +351,8 @@ def saturating_fit(pdf: pd.DataFrame, horizon: int = 36, cap_mult: float = 2.0,
                          "forecast": fc, "lo": np.nan, "hi": np.nan})
 
 
-def _ar_design(w, exog, p, P, m):
-    start = max(p, P * m)
+def _ar_design(w, exog, p, P, m, common=None):
+    start = max(p, P * m) if common is None else common
     rows, ys = [], []
     for i in range(start, len(w)):
         r = [1.0] + [w[i - j] for j in range(1, p + 1)] + [w[i - m * j] for j in range(1, P + 1)]
@@ -360,7 +360,7 @@ def _ar_design(w, exog, p, P, m):
             r += list(exog[i])
         rows.append(r)
         ys.append(w[i])
-    return np.array(rows), np.array(ys)
+    return np.array(rows).reshape(len(ys), -1), np.array(ys)
 
 
 def _difference(y, d, D, m):
@@ -485,11 +485,12 @@ def fee_rate_fit(pdf: pd.DataFrame, horizon: int = 36, cap_growth: float = 1.5,
     fw, se = seasonal_ar_forecast(y, spike, np.zeros((len(fut), 1)), (1, 0, 0, 0), coef, s2, len(fut), m)
     capline = y[-1] + math.log(cap_growth) / 12 * np.arange(1, len(fut) + 1)
     fw = np.minimum(fw, capline)
-    rate = np.exp(fw + fut["donor_seasonal"].fillna(0).to_numpy())
+    season = fut["donor_seasonal"].fillna(0).to_numpy()
+    rate = np.exp(fw + season)
     prem = fut["prem_fc"].to_numpy(dtype=float)
     return pd.DataFrame({"tenant": key["tenant"], "series": "fees", "model": "fee_rate", "month": fut["month"].to_numpy(),
-                         "forecast": rate * prem, "lo": np.exp(np.minimum(fw - 1.96 * se, capline)) * prem,
-                         "hi": np.exp(np.minimum(fw + 1.96 * se, capline + 0.5)) * prem})
+                         "forecast": rate * prem, "lo": np.exp(np.minimum(fw - 1.96 * se, capline) + season) * prem,
+                         "hi": np.exp(np.minimum(fw + 1.96 * se, capline + 0.5) + season) * prem})
 
 
 RESID_SCHEMA = "tenant string, series string, month date, r_hat double"
@@ -503,6 +504,7 @@ def residual_rollout(pdf: pd.DataFrame, coef: list[float], n_lags: int = 12, cli
     key = pdf.iloc[0]
     r = pdf["resid"].to_numpy(dtype=float)
     known = ~np.isnan(r)
+    n_known = int(np.flatnonzero(known)[-1]) + 1 if known.any() else 0
     mu, sd = (float(np.nanmean(r)), float(np.nanstd(r))) if known.any() else (0.0, 0.0)
     lo, hi = mu - clip_sd * sd, mu + clip_sd * sd
     rmin, rmax = (float(np.nanmin(r)), float(np.nanmax(r))) if known.any() else (0.0, 1.0)
@@ -513,7 +515,9 @@ def residual_rollout(pdf: pd.DataFrame, coef: list[float], n_lags: int = 12, cli
     buf = list(sc[:n_lags])
     out = [np.nan] * min(n_lags, len(pdf))
     for i in range(n_lags, len(pdf)):
-        x = np.concatenate([[1.0], buf[-n_lags:], feats[i]])
+        if i == n_known:                                   # the horizon starts from the last actual residuals
+            buf = list(sc[i - n_lags:i])
+        x = np.concatenate([[1.0], buf[:-n_lags - 1:-1], feats[i]])      # newest lag first, as in training
         v = float(np.clip(x @ c, (lo - rmin) / span, (hi - rmin) / span))
         buf.append(v)
         out.append(v * span + rmin)

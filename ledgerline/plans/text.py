@@ -13,7 +13,6 @@ import textwrap
 from typing import Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -57,16 +56,8 @@ def wrap(df: DataFrame, text: str = "text", width: int = 3000) -> DataFrame:
     return df.select("*", F.posexplode(arr).alias("chunk_no", "chunk")).drop(text)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Text work is CPU-bound per row: when the input arrives in fewer partitions
-    than task slots (a few large files), spread the rows first.  On a cluster
-    reading many files this is a no-op."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots * 2) if df.rdd.getNumPartitions() < slots else df
-
-
 def sentences(df: DataFrame, doc_keys: Sequence[str], text: str) -> DataFrame:
-    s = spread(df.select(*doc_keys, text)).select(
+    s = df.select(
         *doc_keys, F.posexplode(F.split(F.col(text), SENTENCE_SPLIT)).alias("pos", "sent"))
     return s.withColumn("sent", F.trim(F.col("sent"))).filter(F.col("sent") != "")
 
@@ -79,9 +70,8 @@ def sentence_scores(sents: DataFrame, doc_keys: Sequence[str]) -> DataFrame:
     combined per (sentence, word), so later shuffles move counts, never text."""
     skey = [*doc_keys, "pos"]
     words = sents.select(*skey, F.explode(F.split(F.lower(F.col("sent")), WORD_SPLIT)).alias("w")).filter(F.col("w") != "")
-    # map-side combined; persisted because both the df aggregate and the join read it
-    # (MEMORY_AND_DISK: spills rather than fails, recomputed from lineage if an executor is lost)
-    tf = words.groupBy(*skey, "w").agg(F.count(F.lit(1)).alias("tf")).persist(StorageLevel.MEMORY_AND_DISK)
+    # map-side combined; the df aggregate and the join read the same exchange
+    tf = words.groupBy(*skey, "w").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("w").agg(F.ln(F.count(F.lit(1))).alias("ldf"))
     sc = tf.join(dfreq, "w").groupBy(*skey).agg((F.sum(F.col("tf") * F.col("ldf")) / F.sum("tf")).alias("rarity"))
     return sc.withColumn("rarity", F.round("rarity", 9))
@@ -105,24 +95,26 @@ def summarise(df: DataFrame, group: Sequence[str], doc_key: Sequence[str], text:
                                       F.count(F.lit(1)).alias("n_sentences"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", min_docs: int = 5) -> DataFrame:
-    """Word polarity = smoothed log-odds of the label among labelled documents
-    containing the word, minus the overall log-odds (> 0: leans to the label);
-    words in at least ``min_docs`` labelled documents."""
+def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", weight: float = 5.0) -> DataFrame:
+    """Word polarity = log-odds of the label among labelled documents containing the
+    word, minus the overall log-odds (> 0: leans to the label).  Every word counts; its
+    share is smoothed towards the overall share with ``weight`` documents, so rare words
+    stay near 0."""
     lab = docs.join(labels.select("doc_id", label_col), "doc_id")
     words = lab.select("doc_id", label_col, F.explode(F.split(F.lower("text"), WORD_SPLIT)).alias("w")) \
                .filter(F.col("w") != "").distinct()
-    g = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum(label_col).alias("k")).filter(F.col("n") >= min_docs)
-    p = (F.col("k") + 1) / (F.col("n") + 2)
-    pr = (F.sum(label_col) + 1) / (F.count(F.lit(1)) + 2)
-    prior_logit = lab.agg(F.ln(pr / (1 - pr))).scalar()          # referenced once: one subquery run
-    return g.select("w", F.round(F.ln(p / (1 - p)) - prior_logit, 9).alias("polarity"))
+    g = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum(label_col).alias("k"))
+    overall = lab.agg(((F.sum(label_col) + 1) / (F.count(F.lit(1)) + 2)).alias("r")).scalar()   # one subquery run
+    g = g.withColumn("r", overall)
+    p = (F.col("k") + weight * F.col("r")) / (F.col("n") + weight)
+    return g.select("w", F.round(F.ln(p / (1 - p)) - F.ln(F.col("r") / (1 - F.col("r"))), 9).alias("polarity"))
 
 
 def sentiment_lexicon(df: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "clean_content") -> DataFrame:
     """Sum of word polarities per message; > 0 (label-leaning) -> NEGATIVE."""
-    toks = df.select(*keys, F.explode(F.split(F.lower(F.col(text)), WORD_SPLIT)).alias("w")).filter(F.col("w") != "")
-    sc = toks.join(lexicon, "w").groupBy(*keys).agg(F.sum("polarity").alias("score"))
+    toks = df.select(*keys, F.explode(F.split(F.lower(F.col(text)), WORD_SPLIT)).alias("w")).filter(F.col("w") != "") \
+             .groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("tf"))     # combined before the join on the word
+    sc = toks.join(lexicon, "w").groupBy(*keys).agg(F.sum(F.col("tf") * F.col("polarity")).alias("score"))
     out = df.select(*keys).join(sc, list(keys), "left").fillna(0.0, subset=["score"])
     return out.withColumn("sentiment", F.when(F.col("score") > 0, "NEGATIVE").otherwise("POSITIVE"))
 

@@ -8,14 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 def append_snapshot(df: DataFrame, path: str, run_date, col: str = "run_date") -> DataFrame:
     out = df.withColumn(col, F.to_date(F.lit(str(run_date))))
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.write.mode("overwrite").partitionBy(col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    return spark.read.parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def replace_table(df: DataFrame, path_or_table: str, as_table: bool = False) -> None:

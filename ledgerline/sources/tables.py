@@ -18,16 +18,9 @@ def table_path(base: str, name: str) -> str:
     return p if os.path.exists(p) or "://" in base else os.path.join(base, name)
 
 
-_READS: dict[tuple, DataFrame] = {}
-
-
 def _scan(spark: SparkSession, name: str, base: str | None) -> DataFrame:
-    """One lazy scan per (session, table): file listing and footer reads happen once
-    per process, and every consumer shares the same relation."""
-    key = (spark.sparkContext.applicationId, base, name)
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(table_path(base, name)) if base else spark.table(name)
-    return _READS[key]
+    """A lazy scan; listed anew each time, so replaced or appended files are seen."""
+    return spark.read.parquet(table_path(base, name)) if base else spark.table(name)
 
 
 def read_table(spark: SparkSession, name: str, base: str | None = None, schema: StructType | None = None,
