@@ -8,8 +8,8 @@ runs that end at the next one, are the candidates: the whole chunk and its parti
 of a shared passage, which begins or ends inside a chunk.
 
 A run is a multi-line run with at least ``min_words`` words, or a single line with ``alone_words`` or more.
-Runs whose hash occurs again anywhere in the corpus are repeated; their bytes are then compared: all
-occurrences of a hash must have the same text, otherwise each text of that hash counts for itself.
+Runs whose 64-bit hash occurs again anywhere in the corpus are candidates; their bytes are then compared through
+their SHA-256: runs are repeated if hash and bytes agree, so texts that merely share a hash count apart.
 The lines of repeated runs are removed from every text but the one with the smallest doc_id, where the
 first occurrence stays.
 
@@ -83,7 +83,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", div
     lines = lines_of(F.col("text"))
     body = lambda a, r: F.array_join(F.slice(a, r["at"] + 1, r["n"]), "\n")
     digest = let(lines, lambda a: F.transform("runs", lambda r: F.struct(r["at"], r["n"], r["h"], F.sha2(body(a, r), 256).alias("bytes"))))
-    # byte comparison: one row per hash and text of it; the text itself is compared where a hash has two
+    # byte comparison: occurrences are grouped by hash and digest of their bytes
     seen = met.filter("runs IS NOT NULL").select("doc_id", "twin", F.explode(digest).alias("r")).select("doc_id", "twin", "r.*")
     first = F.min(F.struct("doc_id", "twin", "at"))
     groups = written(seen.groupBy("h", "bytes").agg(F.count("*").alias("n_seen"), first.alias("first")).filter("n_seen > 1"), "repeated")
