@@ -3,8 +3,10 @@
 Each binding is written once in the SQL subset shared by Spark and DuckDB.
 Spark runs it with DataFrame parameters (``spark.sql(text, lineitem=df)``), so
 the derived input is a lazy plan over the given tables (its size grows with
-them); the oracle inlines the same text as CTEs.  The vocabulary below (game,
-currency and recipe names) is invented for these derived inputs.
+them); the oracle inlines the same text as CTEs.  Recipes, crafts, boosters and currency
+payments are named by the given tables' own values (part names, order priorities,
+statuses and flags); the grant sources of ``token_tx`` still follow the source
+system's naming pattern.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.sources.tables import DRIVER_TABLES, read_table
 
-# The invented vocabulary of the derived inputs and the dates used
+# Names in the derived inputs and the dates used
 # by the registered queries (data cover 1995-01-01..2001-11-04 for lineitem and
 # orders, 2024-01-01..2024-01-30 for events).
 PRIMARY_GAME = "Sky Forge"
@@ -67,8 +69,8 @@ BINDINGS: dict[str, str] = {
         FROM {lineitem} WHERE l_returnflag = 'N'""",
     "booster_crafts": """
         SELECT l_shipdate AS event_arrival_ts,
-               CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'Extract' WHEN 'gear' THEN 'Extract_Core'
-                    WHEN 'bolt' THEN 'TatteredCrackedShard' WHEN 'rod' THEN 'ShardPolish' ELSE 'Other' END AS recipe_slug,
+               CASE split_part(p_name, ' ', 1) WHEN 'small' THEN split_part(p_name, ' ', 2)
+                    ELSE split_part(p_name, ' ', 2) || '_' || split_part(p_name, ' ', 1) END AS recipe_slug,
                CASE WHEN l_linestatus = 'O' THEN 'Booster_Workshop' ELSE 'Booster_Portal' END AS cost_slug,
                l_quantity AS cost_total, l_extendedprice / l_quantity / 997.3 AS booster_unit_price
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
@@ -77,14 +79,14 @@ BINDINGS: dict[str, str] = {
                CASE o_orderpriority WHEN '5-LOW' THEN 'shop' WHEN '4-NOT SPECIFIED' THEN 'game' ELSE 'craft' END AS transaction_source,
                CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'grant' ELSE 'deduct' END AS action,
                o_totalprice / 97.3 AS amount,
-               CASE o_orderpriority WHEN '1-URGENT' THEN '{{"sourceString": "StartCraft warden"}}'
+               CASE o_orderpriority WHEN '1-URGENT' THEN '{{"sourceString": "1-URGENT"}}'
                     WHEN '2-HIGH' THEN '{{"sourceString": {{"nested": 1}}}}'
                     ELSE '{{"sourceString": "Craft"}}' END AS extra,
-               '[{{"archetypeId": "' || CASE WHEN o_orderstatus = 'F' THEN 'speed-arch-1' ELSE 'speed-arch-2' END
+               '[{{"archetypeId": "' || CASE WHEN o_totalprice > 100000 THEN 'large' ELSE 'small' END
                  || '", "amount": "' || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || '"}}]' AS speed_up_payment
         FROM {orders}""",
     "currencies": """
-        SELECT DISTINCT o_orderstatus AS id, CASE o_orderstatus WHEN 'F' THEN 'Gold' ELSE 'Crystals' END AS name
+        SELECT DISTINCT o_orderstatus AS id, CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE 'open' END AS name
         FROM {orders}""",
     "crafts": """
         SELECT CAST(l_orderkey AS STRING) AS id, CAST(l_partkey AS STRING) AS recipe_id,
@@ -92,18 +94,12 @@ BINDINGS: dict[str, str] = {
                CASE l_linestatus WHEN 'O' THEN 'cancelled' ELSE 'completed' END AS status, l_shipdate AS created_at
         FROM {lineitem} WHERE l_linenumber = 1""",
     "recipes": """
-        SELECT CAST(p_partkey AS STRING) AS id,
-               CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'Extract $GEM from ' || p_name
-                    WHEN 'gear' THEN 'Recharge ' || p_name WHEN 'bolt' THEN 'Refine ' || p_name
-                    WHEN 'anvil' THEN 'Extract ' || p_name ELSE p_name END AS name
+        SELECT CAST(p_partkey AS STRING) AS id, p_name AS name
         FROM {part}""",
     "sinks_long": """
         SELECT l_shipdate AS created_at,
-               CASE l_returnflag WHEN 'A' THEN 'ERC20_$GEM' WHEN 'R' THEN 'Polished Shard' ELSE 'Dust' END AS name,
-               CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'Extract $GEM from ' || p_name
-                    WHEN 'bolt' THEN 'Cracked Shard Pressed into Polished Shard'
-                    WHEN 'plate' THEN 'Cracked Shard ' || p_name WHEN 'rod' THEN 'CExtract $GEM x'
-                    ELSE 'Craft ' || p_name END AS craft_name,
+               l_returnflag AS name,
+               split_part(p_name, ' ', 1) || ' $' || split_part(p_name, ' ', 2) AS craft_name,
                l_quantity AS amount,
                CASE WHEN l_discount = 0 THEN NULL ELSE l_extendedprice / l_quantity / 997.3 END AS currency_price
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
@@ -145,24 +141,22 @@ BINDINGS: dict[str, str] = {
                CASE WHEN value < 1 THEN 'cancelled' ELSE 'completed' END AS status, ts AS created_at
         FROM {events} WHERE event_type IN ('click', 'view')""",
     "seg_recipes": """
-        SELECT CAST(p_partkey AS STRING) AS id,
-               CASE split_part(p_name, ' ', 2) WHEN 'ring' THEN 'Recharge ' || p_name WHEN 'gear' THEN 'Refine ' || p_name
-                    WHEN 'bolt' THEN 'Extract ' || p_name ELSE 'Craft ' || p_name END AS name
+        SELECT CAST(p_partkey AS STRING) AS id, p_name AS name
         FROM {part}""",
     "dungeon_runs": """
         SELECT CAST(ts AS DATE) AS event_date,
                CASE event_type WHEN 'view' THEN 'PvP' WHEN 'signup' THEN 'Prestige' WHEN 'error' THEN 'Portal'
                     WHEN 'click' THEN 'Party' ELSE 'Town' END AS portal_type,
-               CASE WHEN CAST(get_json_object(props, '$.k') AS INT) < 10 THEN 'FTUE Intro'
+               CASE WHEN CAST(get_json_object(props, '$.k') AS INT) < 10 THEN 'Intro run'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 20 THEN NULL
                     ELSE 'Mission ' || CAST(CAST(floor(CAST(get_json_object(props, '$.k') AS INT) / 10) AS BIGINT) AS STRING) END AS mission,
                CAST(CAST(floor(event_id / 3) AS BIGINT) AS STRING) AS instance_id,
                sha2(CAST(user_id AS STRING), 256) AS member_0,
-               CASE WHEN value > 20 THEN sha2(CAST((user_id + 1) % 150 AS STRING), 256) END AS member_1,
-               CASE WHEN value > 40 THEN sha2(CAST((user_id + 7) % 150 AS STRING), 256) END AS member_2,
-               CASE WHEN value > 60 THEN sha2(CAST((user_id + 13) % 150 AS STRING), 256) END AS member_3,
-               CASE WHEN value > 80 THEN sha2(CAST((user_id + 29) % 150 AS STRING), 256) END AS member_4,
-               CASE WHEN value > 100 THEN sha2(CAST((user_id + 31) % 150 AS STRING), 256) END AS member_5
+               CASE WHEN value > 20 THEN sha2(CAST(user_id + 1 AS STRING), 256) END AS member_1,
+               CASE WHEN value > 40 THEN sha2(CAST(user_id + 7 AS STRING), 256) END AS member_2,
+               CASE WHEN value > 60 THEN sha2(CAST(user_id + 13 AS STRING), 256) END AS member_3,
+               CASE WHEN value > 80 THEN sha2(CAST(user_id + 29 AS STRING), 256) END AS member_4,
+               CASE WHEN value > 100 THEN sha2(CAST(user_id + 31 AS STRING), 256) END AS member_5
         FROM {events}""",
     "checkpoints": """
         SELECT sha2(CAST(user_id AS STRING), 256) AS user_id, CAST(ts AS DATE) AS checkpoint

@@ -71,26 +71,26 @@ def q_in_list(spark, d):
 
 
 @register("filter_like", sql=ow(["booster_crafts", "sinks_long"]) + """SELECT 'slug' AS kind, recipe_slug AS name, count(*) AS n FROM booster_crafts
-    WHERE recipe_slug LIKE '%Extract_%' GROUP BY 1, 2
-    UNION ALL SELECT 'craft', craft_name, count(*) FROM sinks_long WHERE craft_name LIKE '%Extract $GEM%' AND craft_name NOT LIKE '%x' GROUP BY 1, 2""",
+    WHERE recipe_slug LIKE '%ring_%' GROUP BY 1, 2
+    UNION ALL SELECT 'craft', craft_name, count(*) FROM sinks_long WHERE craft_name LIKE '%$ring%' AND craft_name NOT LIKE 'small%' GROUP BY 1, 2""",
           dates=())
 def q_like(spark, d):
-    """``_`` is a one-character wildcard ('Extract' does not match '%Extract_%'); ``$`` is literal."""
-    a = b(spark, d, "booster_crafts").filter(F.col("recipe_slug").like("%Extract_%")).groupBy(
+    """``_`` is a one-character wildcard ('ring' does not match '%ring_%'); ``$`` is literal."""
+    a = b(spark, d, "booster_crafts").filter(F.col("recipe_slug").like("%ring_%")).groupBy(
         F.lit("slug").alias("kind"), F.col("recipe_slug").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    s = b(spark, d, "sinks_long").filter(F.col("craft_name").like("%Extract $GEM%") & ~F.col("craft_name").like("%x")).groupBy(
+    s = b(spark, d, "sinks_long").filter(F.col("craft_name").like("%$ring%") & ~F.col("craft_name").like("small%")).groupBy(
         F.lit("craft").alias("kind"), F.col("craft_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return a.unionByName(s)
 
 
 @register("filter_compound", sql=ow(["dungeon_runs"]) + """SELECT instance_id, portal_type, mission FROM dungeon_runs
-    WHERE (mission IS NULL OR mission NOT LIKE '%FTUE%') AND (portal_type IN ('PvP', 'Portal') OR (portal_type = 'Party' AND member_1 IS NOT NULL))""",
+    WHERE (mission IS NULL OR mission NOT LIKE '%Intro%') AND (portal_type IN ('PvP', 'Portal') OR (portal_type = 'Party' AND member_1 IS NOT NULL))""",
           dates=())
 def q_compound(spark, d):
     """Nested AND/OR with NULL-tolerant halves written out."""
     r = b(spark, d, "dungeon_runs")
     m = F.col("mission")
-    return r.filter((m.isNull() | ~m.like("%FTUE%"))
+    return r.filter((m.isNull() | ~m.like("%Intro%"))
                     & (F.col("portal_type").isin("PvP", "Portal") | ((F.col("portal_type") == "Party") & F.col("member_1").isNotNull()))) \
             .select("instance_id", "portal_type", "mission")
 

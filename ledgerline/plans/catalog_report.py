@@ -154,7 +154,7 @@ SELECT mission, players, tokens_granted, note FROM (
         WHERE Day = {D} GROUP BY 1) AS p ON g.mission_norm = p.mission_norm
   WHERE g.mission_norm IS NOT NULL
   UNION ALL
-  SELECT 1, sum(amount), sourceString, sourceString, CAST(NULL AS BIGINT), CAST(trunc(sum(amount)) AS BIGINT), 'mission link unavailable'
+  SELECT 1, sum(amount), sourceString, sourceString, CAST(NULL AS BIGINT), CAST(trunc(sum(amount)) AS BIGINT), 'no dungeon of this name today'
   FROM kpi_token WHERE Day = {D} AND action = 'grant' AND sourceString IS NOT NULL GROUP BY sourceString
 ) AS u ORDER BY _prio, _o DESC, mission_norm LIMIT 1"""
 
@@ -231,11 +231,11 @@ def _num_sql(x: str) -> str:
 
 
 BULLETS_SQL = ow({"k": KPI_SQL}) + f"""
-SELECT date, substr(concat_ws(chr(10), '**Daily Update — ' || date || '**',
-  '- Revenue: $' || format('{{:,.0f}}', revenue_today) || ' (' || {_num_sql('revenue_dod_pct')} || '% DoD, '
-    || {_num_sql('revenue_vs7d_avg_pct')} || '% vs 7d); buyers=' || format('{{:,}}', buyers) || ', tx=' || format('{{:,}}', transactions),
-  '- DAU: ' || format('{{:,}}', dau_today) || ' (' || {_num_sql('dau_dod_pct')} || '% DoD, ' || {_num_sql('dau_vs7d_avg_pct')}
-    || '% vs 7d); avg time=' || {_num_sql('avg_time_today_min')} || ' min'), 1, 4000) AS summary FROM k"""
+SELECT date, substr(concat_ws(chr(10), 'Figures of ' || date,
+  'Sales ' || format('{{:,.0f}}', revenue_today) || ' USD in ' || format('{{:,}}', transactions) || ' payments by ' || format('{{:,}}', buyers)
+    || ' people; day before ' || {_num_sql('revenue_dod_pct')} || ' %, week ' || {_num_sql('revenue_vs7d_avg_pct')} || ' %',
+  'Active players ' || format('{{:,}}', dau_today) || ', ' || {_num_sql('avg_time_today_min')} || ' minutes each; day before '
+    || {_num_sql('dau_dod_pct')} || ' %, week ' || {_num_sql('dau_vs7d_avg_pct')} || ' %'), 1, 4000) AS summary FROM k"""
 
 
 @register("rep_bullets", sql=BULLETS_SQL, dates=())
