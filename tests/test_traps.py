@@ -65,7 +65,8 @@ def test_histogram_max_in_last_bin_and_constant_column(spark):
     h = {r.bin: r["count"] for r in histogram(df, "x", bins=2).collect()}
     assert h == {0: 1, 1: 2}
     c = histogram(spark.createDataFrame([(3.0,), (3.0,)], "x double"), "x", bins=4).collect()
-    assert [(r.bin, r["count"], r.lo, r.hi) for r in c] == [(2, 2, 3.0, 3.25)]
+    # every bin is returned, empty ones with 0
+    assert sorted((r.bin, r["count"], r.lo, r.hi) for r in c) == [(0, 0, 2.5, 2.75), (1, 0, 2.75, 3.0), (2, 2, 3.0, 3.25), (3, 0, 3.25, 3.5)]
 
 
 def _base(spark, rows):
