@@ -218,12 +218,16 @@ def read_checksums(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) -
     whole = done.filter("size = 4 * n_tokens").select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
     pieces = (done.filter("size < 4 * n_tokens").groupBy("doc_id", "start", "n_tokens")
               .agg(F.sort_array(F.collect_list(F.struct("block", "size", "crc"))).alias("p")))
-    joined_crc = F.udf(combined_crc, "bigint")
-    return whole.unionByName(pieces.select("doc_id", "start", "n_tokens", joined_crc("p").alias("ids_crc32")))
+
+    def fold(batches):
+        for b in batches:
+            yield b.assign(ids_crc32=[combined_crc((x["block"], x["size"], x["crc"]) for x in p) for p in b.p]).drop(columns="p")
+
+    return whole.unionByName(pieces.mapInPandas(fold, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
 def combined_crc(pieces) -> int:
-    """CRC-32 of the concatenation of pieces given as (block, size, crc)."""
+    """CRC-32 of the concatenation of pieces given as (block, size, crc) in block order."""
     total = 0
     for _, size, crc in pieces:
         total = shifted_crc(total, size) ^ crc
