@@ -5,7 +5,8 @@ own and the previous line's hash is divisible by ``divisor``, or it has ``long_l
 (long lines are distinctive).  Boundaries thus fall on the same lines wherever a passage stands,
 however the text before it shifts.  From each boundary the runs of lines up to the next one, and the
 runs that end at the next one, are the candidates: the whole chunk and its partial forms at the edges
-of a shared passage, which begins or ends inside a chunk.
+of a shared passage, which begins or ends inside a chunk.  A chunk ends after ``max_lines`` lines, counted from
+its boundary, at the latest: only lines that recur with a short period (blank lines, say) go on so long without one.
 
 A run is a multi-line run with at least ``min_words`` words, or a single line with ``alone_words`` or more.
 Runs whose 64-bit hash occurs again anywhere in the corpus are candidates; their bytes are then compared through
@@ -30,7 +31,7 @@ from ledgerline.llm.mixing import word_count
 RUN = "array<struct<at:int,n:int,h:bigint>>"
 
 
-def runs_of(lines: Column, divisor: int, long_line: int, min_words: int, alone_words: int) -> Column:
+def runs_of(lines: Column, divisor: int, long_line: int, min_words: int, alone_words: int, max_lines: int = 64) -> Column:
     """Candidate runs (first line, number of lines, hash) of an array of lines."""
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), word_count(x).cast("int").alias("w")))
 
@@ -40,7 +41,13 @@ def runs_of(lines: Column, divisor: int, long_line: int, min_words: int, alone_w
             return (x["w"] >= long_line) | (F.pmod(rolling, F.lit(divisor)) == 0)
 
         marked = F.transform(a, lambda x, i: F.when(boundary(x, i), i))
-        heads = F.concat(F.array(F.lit(0)), F.filter(marked, lambda x: x.isNotNull() & (x > 0)), F.array(F.size(a)))
+        found = F.concat(F.array(F.lit(0)), F.filter(marked, lambda x: x.isNotNull() & (x > 0)), F.array(F.size(a)))
+
+        def filled(c):
+            steps = F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.sequence(F.get(c, i), F.get(c, i + 1) - 1, F.lit(max_lines)))
+            return F.concat(F.flatten(steps), F.array(F.size(a)))
+
+        heads = let(found, filled)
         upto = running_sums(F.transform(a, lambda x: x["w"]))
 
         def chunks(c, sums):
@@ -69,11 +76,11 @@ def lines_of(text: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", divisor: int = 2, long_line: int = 16, min_words: int = 8,
-                alone_words: int = 50) -> DataFrame:
+                alone_words: int = 50, max_lines: int = 64) -> DataFrame:
     """Per row: doc_id, text (without the removed lines), n_lines, n_repeated (lines in repeated runs) and
     n_removed."""
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("twin", F.xxhash64(F.coalesce("text", F.lit(""))))
-    runs = src.select("doc_id", "twin", F.explode(runs_of(lines_of(F.col("text")), divisor, long_line, min_words, alone_words)).alias("r")).select("doc_id", "twin", "r.*")
+    runs = src.select("doc_id", "twin", F.explode(runs_of(lines_of(F.col("text")), divisor, long_line, min_words, alone_words, max_lines)).alias("r")).select("doc_id", "twin", "r.*")
     # only the hashes: a run inside one text also counts when it stands there twice
     often = written(runs.groupBy("h").count().filter("count > 1").select("h"), "often")
     hits = runs.join(often, "h").groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set(F.struct("at", "n", "h"))).alias("runs"))
@@ -95,9 +102,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", div
     def result(a):
         stays = F.array_distinct(F.flatten(F.transform(F.filter("runs", lambda r: r["stays"]), lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
         every = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
+        left = lambda gone: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), gone)
         return let(F.struct(every.alias("every"), F.array_except(every, stays).alias("gone")), lambda x: F.struct(
             F.size(a).cast("long").alias("n_lines"), F.size(x["every"]).cast("long").alias("n_repeated"), F.size(x["gone"]).cast("long").alias("n_removed"),
-            F.array_join(F.filter(a, lambda _, i: ~F.array_contains(x["gone"], i)), "\n").alias("kept")))
+            F.array_join(F.transform(left(x["gone"]), lambda i: F.get(a, i)), "\n").alias("kept")))
 
     return (src.join(ok, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("twin") == F.col("t")), "left")
             .select("doc_id", "text", F.when(F.col("runs").isNotNull(), let(lines, result)).alias("x"), F.size(lines).cast("long").alias("n"))

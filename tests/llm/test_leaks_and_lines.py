@@ -131,3 +131,23 @@ def test_repeat_inside_one_text(spark):
 
 def test_lines_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_lines_without_boundaries(spark):
+    """Lines that recur with a short period have no boundary of their own; chunks are bounded all the same."""
+    rng = random.Random(8)
+    passage = "\n".join(" ".join(f"p{rng.randint(0, 10**6)}" for _ in range(n)) for n in (25, 4, 30))
+    texts = ["\n" * 30_000 + passage, "head\n" + "x y z\n" * 5_000 + passage, "a\nb\n" * 3_000]
+    got = {r.doc_id: r for r in L.dedup_lines(rows_of(spark, texts)).collect()}
+    assert got[0].n_lines == 30_003 and passage in got[0].text
+    assert passage not in got[1].text and got[1].n_removed >= 3
+    assert max(len(r) for r in brute_runs(spark, [""] * 500 + ["word " * 9])) <= 65
+
+
+def test_clean_keeps_clashing_columns(spark):
+    text = "what is the name of the tall grey tower by the river bank. it is the old mill tower of the town"
+    docs = spark.createDataFrame([(1, "nothing of that kind in here", 5, "r", 2), (2, text, 6, None, 3)],
+                                 "doc_id bigint, text string, twin int, row string, _twin int")
+    bench = spark.createDataFrame([(1, text, 9)], "item_id bigint, text string, twin int")
+    got = D.clean(docs, bench)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "nothing of that kind in here", 5, "r", 2)]
