@@ -16,7 +16,7 @@ text, modulo 5, is 0) are never used.
 
 Nulls: a null or empty text is one window of padding and gets that window's score; null labels are not
 used; a null doc_id counts as "" for the split.  Without both classes every score is the share of toxic training
-rows (0 without any).  Repeated rows score alike.  Empty tables give empty results; other columns are ignored.
+rows (0 without any).  Repeated rows score alike; rows that share a doc_id teach once, with the least text.  Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -351,10 +351,10 @@ def held_out(id_col):
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_toxic: int, seed: int) -> list:
     """At most ``max_toxic`` toxic texts and three times as many others, cut to windows by the executors."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter(~held_out(F.col("id")) & F.col("id").isNotNull())
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter(~held_out(F.col("id")) & F.col("id").isNotNull()).distinct()
     some = known.filter("y = 1").orderBy(order).limit(max_toxic).unionByName(known.filter("y = 0").orderBy(order).limit(3 * max_toxic))
     chosen = written(some, "sample")
-    body = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).join(chosen, "id")
+    body = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def cut(batches):
         import zlib
