@@ -222,10 +222,10 @@ def leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text"
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a verified leak, with their columns.  Leaking rows are matched back by the
     hash of their text, of which there is one row each."""
-    names = docs.columns
-    marked = docs.withColumn("_twin", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    bad = written(leaks(marked, items, ["_twin"], text, **options).select("_twin").distinct(), "leaking")
-    return marked.join(bad, "_twin", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    whole = docs.select(F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("twin"), F.col(f"`{text}`").alias("text"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))      # a struct: no name can clash
+    bad = written(leaks(whole.select("twin", "text"), items, ["twin"], "text", **options).select("twin").distinct(), "leaking")
+    return whole.join(bad, "twin", "left_anti").select("row.*")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -117,10 +117,12 @@ def repetitions(whole: Column, cut: Column, h: Column) -> Column:
 def mixed(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (not at all, once, twice ...)."""
     _, plan = mix(docs, seed=seed, id_col=id_col, source=source, **options)
-    p = plan.select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    times = repetitions(F.col("_whole"), F.col("_cut"), seeded_hash(id_col, seed))
-    return (docs.join(p, F.col(f"`{source}`").eqNullSafe(F.col("_s"))).withColumn("_n", F.explode(F.array_repeat(F.lit(0), times)))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    p = plan.select("source", "whole", "cut")
+    whole = docs.select(F.col(f"`{source}`").alias("s"), seeded_hash(id_col, seed).alias("h"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))      # a struct: no name can clash
+    times = repetitions(F.col("whole"), F.col("cut"), F.col("h"))
+    return (whole.join(p, F.col("s").eqNullSafe(F.col("source"))).select("row", F.explode(F.array_repeat(F.lit(0), times)))
+            .select("row.*"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

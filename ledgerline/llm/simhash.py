@@ -285,13 +285,14 @@ def simhash_groups(docs: DataFrame, keys: list[str], id_col: str = "doc_id", tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group, the one with the smallest ``id_col`` (null last), with its columns.
     Rows equal in id and text are one group; one of them stays."""
-    names = docs.columns
-    marked = docs.withColumn("_twin", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    groups = simhash_groups(marked, [id_col, "_twin"], id_col, text, **options)
-    first = F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("_twin").alias("twin")))
-    keep = written(groups.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("_id"), F.col("k.twin").alias("_t")), "kept")
-    rows = marked.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_t")), "left_semi")
-    return rows.dropDuplicates([id_col, "_twin"]).select(*[F.col(f"`{c}`") for c in names])
+    twin = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    whole = docs.select(F.col(f"`{id_col}`").alias("id"), twin.alias("twin"), F.col(f"`{text}`").alias("text"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))      # a struct: no name can clash
+    groups = simhash_groups(whole.select("id", "twin", "text"), ["id", "twin"], "id", "text", **options)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "twin"))
+    keep = written(groups.groupBy("root").agg(first.alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.twin").alias("kept_twin")), "kept")
+    rows = whole.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("twin") == F.col("kept_twin")), "left_semi")
+    return rows.dropDuplicates(["id", "twin"]).select("row.*")
 
 
 def hex16(c):

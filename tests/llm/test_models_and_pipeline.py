@@ -134,3 +134,10 @@ def test_pipeline_stages(spark, sf):
     for r in rows:
         assert r.start == at
         at += r.n_tokens
+
+
+def test_repeated_training_rows(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in (1, 2, 3, 4)] * 40, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)] * 3, "doc_id bigint, toxic int")
+    rows = T.training_rows(docs, labels, "doc_id", "text", "toxic", 700, 5)
+    assert len(rows) == len({r[0] for r in rows}) > 0

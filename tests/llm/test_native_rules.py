@@ -170,3 +170,10 @@ def test_oracle_on_odd_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
     got = Q.judged(docs, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_mixed_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a", "w " * 9, i, 1, 2, 3, "r") for i in range(8)],
+                                 "doc_id bigint, source string, text string, s int, _n int, whole int, cut int, row string")
+    out = M.mixed(docs)
+    assert out.columns == docs.columns and {r.s - r.doc_id for r in out.collect()} == {0} and out.count() == 12

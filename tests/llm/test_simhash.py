@@ -92,3 +92,10 @@ def test_chain_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.node: r.root for r in S.components(e).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[101] == 100
+
+
+def test_keep_one_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 4, 5, "r", 6, 7), (2, "a b c d", 8, 9, None, 1, 2)],
+                                 "doc_id bigint, text string, _twin int, id int, row string, kept_id int, _t int")
+    got = S.keep_one(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d", 4, 5, "r", 6, 7)]
