@@ -5,20 +5,21 @@ from __future__ import annotations
 import math
 import os
 import uuid
+from functools import reduce
 
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Window, functions as F
 
-from ledgerline.functions.exprs import clip
+from ledgerline.functions.exprs import clip, safe_div
 from ledgerline.operators.aggregates import by_year, grand_total, model_range
 from ledgerline.operators.joins import align
 from ledgerline.operators.reshape import melt
 from ledgerline.operators.windows import difference, first_last_value, lag_features, sequence_index, split_holdout
 from ledgerline.plans import bindings as B
-from ledgerline.plans import forecast as FC
+from ledgerline.plans import forecast as FC, series_models as SM
 from ledgerline.plans.registry import register
-from ledgerline.session import checkpoint_dir
+from ledgerline.session import checkpoint_dir, cut_lineage
 from ledgerline.sources.sinks import write_csv
 from ledgerline.sources.tables import read_policies
 
@@ -410,82 +411,135 @@ def q_date(spark, d):
 
 
 # ------------------------------------------------------------------ model fits (rows-only)
+PREMIUMS = ["new_premium", "renewal_premium"]
+TRAIN_STARTS = {"new_premium": "1996-01-01", "renewal_premium": "1996-01-01", "fees": "1998-07-01"}
+TREND_STARTS = {"new_premium": TREND_START, "renewal_premium": "1997-01-01", "fees": TREND_START}
+AR_STARTS = {"renewal_premium": "1996-01-01"}
+RATE_START = "1998-01-01"
+KEYS = ["tenant", "series"]
 
-def _train(spark, d):
-    return FC.winsorise(long(spark, d), 0.025, 0.975, train_start="1996-01-01")
+
+def _train(lg):
+    """Each series from its own training start, clipped to its 2.5 / 97.5 % quantiles (fees: 5 / 95 %)."""
+    tr = SM.since(lg, TRAIN_STARTS)
+    fees = F.col("series") == "fees"
+    return FC.winsorise(tr.filter(~fees), 0.025, 0.975).unionByName(FC.winsorise(tr.filter(fees), 0.05, 0.95))
+
+
+def _saturating(train):
+    donor = SM.year_shape(train.filter(F.col("series") == "new_premium")).select("tenant", "moy", "shape")
+    return SM.saturating(train.filter(F.col("series") == "fees"), donor, SPIKE)
+
+
+def _sarima(lg, holdout=0):
+    return SM.sarima(SM.since(lg, AR_STARTS).filter(F.col("series").isin(PREMIUMS)), 12 if holdout else 36, holdout)
+
+
+def _fee_rate(lg, premium, holdout=0):
+    wide = lg.groupBy("tenant", "month").agg(*[F.max(F.when(F.col("series") == s, F.col("value"))).alias(s) for s in [*PREMIUMS, "fees"]],
+                                             F.max(F.when(F.col("series") == "fees", F.col("policy_count"))).alias("policy_count"))
+    rates = wide.filter(F.col("month") >= F.lit(RATE_START).cast("date")).select(
+        "tenant", "month", safe_div(F.col("fees"), F.col("new_premium") + F.col("renewal_premium")).alias("rate"), "policy_count")
+    return SM.fee_rate(rates, premium, FC.donor_season(FC.decompose(lg), PREMIUMS), SPIKE, 12 if holdout else 36, holdout)
+
+
+def _residual(lg):
+    """The learner is fitted on all series' months but the last twelve of each."""
+    rows = SM.residual_rows(lg, TREND_STARTS, SPIKE, cap_slope={"fees": FEE_CAP})
+    feats = SM.residual_features()
+    lags = [f"lag_{i}" for i in range(1, 13)]
+    known = F.max(F.when(~F.col("is_future"), F.col("month"))).over(Window.partitionBy(*KEYS))
+    data = rows.withColumn("_known", known).filter((F.col("month") <= F.add_months("_known", -12)) & F.col("sc").isNotNull()).select("sc", *lags, *feats)
+    va = VectorAssembler(inputCols=[*lags, *feats], outputCol="x", handleInvalid="skip")
+    lr = LinearRegression(featuresCol="x", labelCol="sc", regParam=0.01).fit(va.transform(data))
+    coef = [float(c) for c in lr.coefficients]
+    return SM.residual_rollout(rows, float(lr.intercept), coef[:12], dict(zip(feats, coef[12:])))
 
 
-@register("fc_additive")
+def _premium(sarima):
+    return sarima.groupBy("tenant", "month").agg(F.sum("forecast").alias("prem"))
+
+
+def _models(lg):
+    """The three models' forecasts of the three series, each series by its own form of the model."""
+    tr, ar = _train(lg), cut_lineage(_sarima(lg))
+    cols = [*KEYS, "month", "forecast"]
+    parts = {"additive": [SM.additive(tr.filter(F.col("series").isin(PREMIUMS))), _saturating(tr)],
+             "residual": [_residual(lg).filter("is_future")], "seasonal_ar": [ar, _fee_rate(lg, _premium(ar))]}
+    out = [f.select(*cols, F.lit(m).alias("model")) for m, fs in parts.items() for f in fs]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@register("fc_additive", dates=("month",))
 def q_additive(spark, d):
-    """Ridge fit of log value on trend hinges + yearly Fourier + policy count, 36 steps, capped at 2x last."""
-    return _train(spark, d).groupBy("tenant", "series").applyInPandas(lambda pdf: FC.additive_fit(pdf), FC.FC_SCHEMA)
+    """Ridge fit of log value on trend bends, the year's harmonics and policy count, 36 steps, capped at 2x last."""
+    return SM.additive(_train(long(spark, d)))
 
 
-@register("fc_logistic_borrowed")
+@register("fc_logistic_borrowed", dates=("month",))
 def q_saturating(spark, d):
-    """Fees: logit-linear growth between floor and cap plus half the donor's yearly shape."""
-    tr = _train(spark, d)
-    donor = tr.filter(F.col("series") == "new_premium").groupBy("tenant", "series").applyInPandas(lambda pdf: FC.seasonal_component(pdf), "tenant string, moy int, donor_seasonal double")
-    fees = tr.filter(F.col("series") == "fees").withColumn("moy", F.month("month")).join(donor, ["tenant", "moy"], "left")
-    return fees.groupBy("tenant", "series").applyInPandas(lambda pdf: FC.saturating_fit(pdf), FC.FC_SCHEMA)
+    """Fees: growth between floor and cap with policy count and spike, plus half the donor's yearly shape."""
+    return _saturating(_train(long(spark, d)))
 
 
 @register("fc_order_search")
 def q_orders(spark, d):
-    """AIC of every (p, d, P, D) per series; the chosen order is the per-series minimum."""
-    aics = long(spark, d).groupBy("tenant", "series").applyInPandas(lambda pdf: FC.order_search_fit(pdf), FC.ORDER_SCHEMA)
-    best = aics.groupBy("tenant", "series").agg(F.min(F.struct("aic", "p", "d", "sp", "sd")).alias("b"))
-    return aics.join(best, ["tenant", "series"]).withColumn(
-        "chosen", (F.col("aic") == F.col("b.aic")) & (F.col("p") == F.col("b.p")) & (F.col("d") == F.col("b.d"))
-        & (F.col("sp") == F.col("b.sp")) & (F.col("sd") == F.col("b.sd"))).drop("b")
-
+    """AIC of every order per series on one sample, differences chosen by tests before; the chosen order is the minimum."""
+    return SM.order_table(SM.seasonal_ar(SM.log_input(SM.since(long(spark, d), AR_STARTS)), {"pol": True}))
 
-def _sarima(spark, d):
-    return long(spark, d).groupBy("tenant", "series").applyInPandas(lambda pdf: FC.sarima_fit(pdf), FC.FC_SCHEMA)
 
-
-@register("fc_sarima")
+@register("fc_sarima", dates=("month",))
 def q_sarima(spark, d):
-    """Seasonal AR (orders by AIC on the training part), refit on all, 36 steps with 95% bounds."""
-    return _sarima(spark, d)
+    """Seasonal autoregression of the chosen order for every series, 36 steps with 95 % bounds."""
+    return SM.sarima(SM.since(long(spark, d), AR_STARTS))
 
 
-@register("fc_fee_rate")
+@register("fc_fee_rate", dates=("month",))
 def q_fee_rate(spark, d):
-    """fees / total premium, de-seasoned by the donor index, AR on the log rate,
+    """fees / total premium, de-seasoned by the donor index, autoregression on policy count and spike,
     capped at +50%/yr, times the premium forecast (joined on tenant, month)."""
     lg = long(spark, d)
-    m = monthly(spark, d).select("tenant", "month", (F.col("fees") / F.col("total_premium")).alias("rate"))
-    donor = FC.donor_season(FC.decompose(lg), ["new_premium", "renewal_premium"])
-    prem = _sarima(spark, d).filter(F.col("series").isin("new_premium", "renewal_premium")) \
-        .groupBy("tenant", "month").agg(F.sum("forecast").alias("prem_fc"))
-    hist = m.withColumn("is_future", F.lit(False)).withColumn("prem_fc", F.lit(None).cast("double"))
-    fut = prem.withColumn("rate", F.lit(None).cast("double")).withColumn("is_future", F.lit(True))
-    allr = hist.unionByName(fut).withColumn("moy", F.month("month")).join(donor, ["tenant", "moy"], "left") \
-        .withColumn("spike", (F.col("month") == F.lit(SPIKE).cast("date")).cast("double")).withColumn("series", F.lit("fees"))
-    return allr.groupBy("tenant").applyInPandas(lambda pdf: FC.fee_rate_fit(pdf), FC.FC_SCHEMA)
-
-
-@register("fc_residual_learner")
+    return _fee_rate(lg, _premium(_sarima(lg)))
+
+
+@register("fc_residual_learner", dates=("month",))
 def q_residual(spark, d):
-    """Residuals after log trend + seasonal: one global linear model over 12 lags
-    + Fourier + policy (all series' rows), then a recursive, clipped roll-out per series."""
-    lg = long(spark, d)
-    dec = FC.decompose(lg)
-    tr = FC.log_trend(lg, TREND_START)
-    base = dec.join(tr, ["tenant", "series"]).withColumn("t", FC.month_index(F.col("month")))
-    base = base.withColumn("resid", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t")) - F.coalesce(F.col("seasonal_index"), F.lit(0.0)))
-    st = base.groupBy("tenant", "series").agg(F.min("resid").alias("_mn"), F.max("resid").alias("_mx"),
-                                              F.avg("policy_count").alias("_pm"))
-    sc = base.join(st, ["tenant", "series"]).withColumn("r_sc", (F.col("resid") - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + F.lit(1e-12))) \
-        .withColumn("policy_norm", F.col("policy_count") / (F.col("_pm") + F.lit(1e-8)))
-    sc = FC.fourier(sc)
-    lagged = lag_features(sc, ["tenant", "series"], "month", "r_sc", 12).filter(F.col("r_sc").isNotNull())
-    feats = [f"lag_{i}" for i in range(1, 13)] + [f"{f}_{p}" for p in FC.PERIODS for f in ("sin", "cos")] + ["policy_norm"]
-    va = VectorAssembler(inputCols=feats, outputCol="x", handleInvalid="skip")
-    lr = LinearRegression(featuresCol="x", labelCol="r_sc", regParam=0.01).fit(va.transform(lagged))
-    coef = [float(lr.intercept)] + [float(c) for c in lr.coefficients]
-    horizon = FC.features(lg, 36).select("tenant", "series", "month", "policy_norm",
-                                         *[f"{f}_{p}" for p in FC.PERIODS for f in ("sin", "cos")])
-    roll = horizon.join(base.select("tenant", "series", "month", "resid"), ["tenant", "series", "month"], "left")
-    return roll.groupBy("tenant", "series").applyInPandas(lambda pdf: FC.residual_rollout(pdf, coef), FC.RESID_SCHEMA)
+    """Residuals after trend and season: one linear model over 12 lags of residual, policy count and spike and the
+    month's waves (all series), rolled out per series; levels of the known months and of 36 more."""
+    return _residual(cut_lineage(long(spark, d)))
+
+
+@register("fc_models", dates=("month",))
+def q_models(spark, d):
+    """Forecasts of the additive, residual and seasonal-AR models for every series."""
+    return _models(cut_lineage(long(spark, d)))
+
+
+@register("fc_model_ensemble", dates=("month",))
+def q_model_ensemble(spark, d):
+    """Equal-weight mean of the three models per month, with total premium and topline."""
+    return FC.totals(FC.ensemble(_models(cut_lineage(long(spark, d)))))
+
+
+@register("fc_model_yoy", dates=())
+def q_model_yoy(spark, d):
+    """Annual topline of every model and of their mean against the base-year actual."""
+    lg = cut_lineage(long(spark, d))
+    models = cut_lineage(_models(lg))
+    both = models.unionByName(FC.ensemble(models).withColumn("model", F.lit("ensemble")))
+    top = both.groupBy("tenant", "model", "month").agg(F.sum("forecast").alias("forecast"))
+    act = lg.groupBy("tenant", "month").agg(F.sum("value").alias("value")).join(top.select("tenant", "model").distinct(), "tenant")
+    return FC.yoy(top, act, BASE_YEAR, ["tenant", "model"])
+
+
+@register("fc_holdout_mape", dates=())
+def q_holdout_mape(spark, d):
+    """MAPE per series and model on the last 12 months, which no fit has seen."""
+    lg = cut_lineage(long(spark, d))
+    actual = lg.filter(F.col("value").isNotNull())
+    ar = _sarima(lg, 12)
+    premium = actual.filter(F.col("series").isin(PREMIUMS)).groupBy("tenant", "month").agg(F.sum("value").alias("prem"))
+    fees = _fee_rate(lg, premium, 12).withColumn("model", F.lit("seasonal_ar"))
+    res = _residual(lg).filter("NOT is_future").withColumn("model", F.lit("residual"))
+    cols = [*KEYS, "month", "model", "forecast"]
+    return FC.mape(actual, ar.select(*cols).unionByName(fees.select(*cols)).unionByName(res.select(*cols)))

@@ -4,15 +4,8 @@ Input is a long table ``(tenant, series, month, value, policy_count)``; the scal
 axis is the number of series.  Everything expressible as SQL (monthly
 preparation on a calendar spine, winsorising, Fourier terms, a centred moving
 average decomposition, seasonal indices, log-linear trends, MAPE, comparison,
-ensemble, YoY, model bands) is DataFrame code.  Per-series model fits are small
-numpy least-squares problems run with ``groupBy(...).applyInPandas``: one task
-per series, complete monthly history in the task (a few hundred rows at most).
-
-The fitted models are re-aimed, not the source's libraries: additive = ridge on
-trend hinges + Fourier + regressor; saturating = logit-linear between floor and
-cap; residual learner = one global linear model over 12 lags + features with a
-recursive roll-out; seasonal AR = conditional least squares with differencing
-and a regressor (no MA terms), orders by AIC.
+ensemble, YoY, model bands) is DataFrame code here; the fitted models are in
+``series_models``.
 """
 
 from __future__ import annotations
@@ -20,8 +13,6 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.functions.exprs import safe_div
@@ -251,274 +242,3 @@ def band(forecasts: DataFrame, models: Sequence[str], by: Sequence[str] = KEYS)
     wide = forecasts.groupBy(*by, "month").pivot("model", list(models)).agg(F.first("forecast"))
     return wide.select(*by, "month", *models, F.least(*[F.col(m) for m in models]).alias("low"),
                        F.greatest(*[F.col(m) for m in models]).alias("high"))
-
-
-# ---------------------------------------------------------------------------
-# numpy model fits (one task per series)
-# ---------------------------------------------------------------------------
-
-FC_SCHEMA = "tenant string, series string, model string, month date, forecast double, lo double, hi double"
-
-
-def _fourier_np(t, order=6, period=12.0):
-    cols = []
-    for k in range(1, order + 1):
-        s = np.sin(2 * np.pi * k * t / period)
-        if k * 2 != period or np.any(np.abs(s) > 1e-9):
-            cols.append(s)
-        cols.append(np.cos(2 * np.pi * k * t / period))
-    return np.column_stack(cols) if cols else np.zeros((len(t), 0))
-
-
-def _ridge(X, y, lam=1.0):
-    p = X.shape[1]
-    reg = lam * np.eye(p)
-    reg[0, 0] = 0.0
-    return np.linalg.solve(X.T @ X + reg, X.T @ y)
-
-
-def _future_months(last, h):
-    return [(pd.Timestamp(last) + pd.DateOffset(months=i)).date() for i in range(1, h + 1)]
-
-
-def additive_fit(pdf: pd.DataFrame, horizon: int = 36, n_changepoints: int = 10, order: int = 6,
-                 cap_mult: float = 2.0, lam: float = 1.0) -> pd.DataFrame:
-    """Ridge least squares on log(value): trend + hinges at up to ``n_changepoints``
-    (first 80% of history) + yearly Fourier + policy regressor (held constant)."""
-    pdf = pdf.sort_values("month").dropna(subset=["value_w"])
-    pdf = pdf[pdf["value_w"] > 0]
-    key = pdf.iloc[0]
-    n = len(pdf)
-    t = np.arange(n, dtype=float)
-    y = np.log(pdf["value_w"].to_numpy())
-    cps = np.unique(np.linspace(0, 0.8 * (n - 1), n_changepoints + 2)[1:-1].round()) if n > 4 else np.array([])
-    pol = pdf["policy_count"].fillna(0).to_numpy(dtype=float)
-    pm = pol.mean() if pol.mean() else 1.0
-
-    def design(tt, pp):
-        hinge = np.column_stack([np.maximum(0, tt - c) for c in cps]) if len(cps) else np.zeros((len(tt), 0))
-        return np.column_stack([np.ones_like(tt), tt, hinge, _fourier_np(tt, order), pp / pm])
-
-    beta = _ridge(design(t, pol), y, lam)
-    tf = np.arange(n, n + horizon, dtype=float)
-    yf = design(tf, np.full(horizon, pol[-1])) @ beta
-    fc = np.minimum(np.exp(yf), cap_mult * pdf["value_w"].iloc[-1])
-    resid = y - design(t, pol) @ beta
-    sd = float(np.std(resid)) if n > 1 else 0.0
-    months = _future_months(pdf["month"].iloc[-1], horizon)
-    return pd.DataFrame({"tenant": key["tenant"], "series": key["series"], "model": "additive", "month": months,
-                         "forecast": fc, "lo": np.exp(yf - 1.28 * sd), "hi": np.minimum(np.exp(yf + 1.28 * sd), cap_mult * pdf["value_w"].iloc[-1])})
-
-
-def seasonal_component(pdf: pd.DataFrame, order: int = 6) -> pd.DataFrame:
-    """Yearly Fourier component of the additive fit per calendar month (donor shape)."""
-    pdf = pdf.sort_values("month").dropna(subset=["value_w"])
-    pdf = pdf[pdf["value_w"] > 0]
-    key = pdf.iloc[0]
-    n = len(pdf)
-    t = np.arange(n, dtype=float)
-    X = np.column_stack([np.ones(n), t, _fourier_np(t, order)])
-    beta = _ridge(X, np.log(pdf["value_w"].to_numpy()))
-    comp = _fourier_np(t, order) @ beta[2:]
-    moy = pd.to_datetime(pdf["month"]).dt.month.to_numpy()
-    out = pd.DataFrame({"moy": moy, "s": comp}).groupby("moy", as_index=False)["s"].mean()
-    return pd.DataFrame({"tenant": key["tenant"], "moy": out["moy"].astype("int32"), "donor_seasonal": out["s"]})
-
-
-def saturating_fit(pdf: pd.DataFrame, horizon: int = 36, cap_mult: float = 2.0, floor_mult: float = 0.5,
-                   borrow: float = 0.5) -> pd.DataFrame:
-    """Logit-linear growth of log(value) between log(floor) and log(cap) plus
-    ``borrow`` x the donor's yearly shape (joined by calendar month)."""
-    pdf = pdf.sort_values("month").dropna(subset=["value_w"])
-    pdf = pdf[pdf["value_w"] > 0]
-    key = pdf.iloc[0]
-    n = len(pdf)
-    last, first = pdf["value"].iloc[-1], pdf["value"].iloc[0]
-    lc, lf = math.log(cap_mult * last), math.log(max(floor_mult * first, 1e-9))
-    y = np.log(pdf["value_w"].to_numpy())
-    z = np.clip((y - lf) / (lc - lf), 1e-4, 1 - 1e-4)
-    t = np.arange(n, dtype=float)
-    X = np.column_stack([np.ones(n), t])
-    a, b = np.linalg.lstsq(X, np.log(z / (1 - z)), rcond=None)[0]
-    tf = np.arange(n, n + horizon, dtype=float)
-    base = lf + (lc - lf) / (1 + np.exp(-(a + b * tf)))
-    months = _future_months(pdf["month"].iloc[-1], horizon)
-    moy = np.array([m.month for m in months])
-    don = dict(zip(pdf["moy"].to_numpy(), pdf["donor_seasonal"].to_numpy())) if "donor_seasonal" in pdf else {}
-    seas = np.array([don.get(m, 0.0) or 0.0 for m in moy]) * borrow
-    fc = np.minimum(np.exp(base + seas), cap_mult * last)
-    return pd.DataFrame({"tenant": key["tenant"], "series": key["series"], "model": "saturating", "month": months,
-                         "forecast": fc, "lo": np.nan, "hi": np.nan})
-
-
-def _ar_design(w, exog, p, P, m, common=None):
-    start = max(p, P * m) if common is None else common
-    rows, ys = [], []
-    for i in range(start, len(w)):
-        r = [1.0] + [w[i - j] for j in range(1, p + 1)] + [w[i - m * j] for j in range(1, P + 1)]
-        if exog is not None:
-            r += list(exog[i])
-        rows.append(r)
-        ys.append(w[i])
-    return np.array(rows).reshape(len(ys), -1), np.array(ys)
-
-
-def _difference(y, d, D, m):
-    w = y.copy()
-    for _ in range(d):
-        w = w[1:] - w[:-1]
-    for _ in range(D):
-        w = w[m:] - w[:-m]
-    return w
-
-
-def seasonal_ar(y: np.ndarray, exog: np.ndarray | None, p: int, d: int, P: int, D: int, m: int = 12):
-    """Conditional least squares for a seasonal AR with differencing and an
-    exogenous regressor.  Returns (coef, sigma2, aic, nobs) or None if underdetermined."""
-    w = _difference(y, d, D, m)
-    ex = exog[len(y) - len(w):] if exog is not None else None
-    X, t = _ar_design(w, ex, p, P, m)
-    if len(t) <= X.shape[1] + 1:
-        return None
-    coef, *_ = np.linalg.lstsq(X, t, rcond=None)
-    res = t - X @ coef
-    s2 = float(res @ res / len(t)) or 1e-12
-    aic = len(t) * math.log(s2) + 2 * (X.shape[1] + 1)
-    return coef, s2, aic, len(t)
-
-
-def seasonal_ar_forecast(y, exog, exog_future, order, coef, s2, horizon, m=12):
-    """Recursive forecast on the differenced scale, then integrated back."""
-    p, d, P, D = order
-    levels = [y.copy()]
-    w = y.copy()
-    for _ in range(d):
-        w = w[1:] - w[:-1]
-        levels.append(w.copy())
-    for _ in range(D):
-        w = w[m:] - w[:-m]
-        levels.append(w.copy())
-    hist = list(w)
-    out = []
-    for h in range(horizon):
-        r = [1.0] + [hist[-j] for j in range(1, p + 1)] + [hist[-m * j] for j in range(1, P + 1)]
-        if exog_future is not None:
-            r += list(exog_future[h])
-        v = float(np.dot(coef, r))
-        hist.append(v)
-        out.append(v)
-    fw = np.array(out)
-    # integrate: seasonal first (last applied), then ordinary
-    for k in range(D):
-        base = levels[d + D - 1 - k]
-        ext = list(base)
-        for v in fw:
-            ext.append(v + ext[-m])
-        fw = np.array(ext[len(base):])
-    for k in range(d):
-        base = levels[d - 1 - k]
-        ext = list(base)
-        for v in fw:
-            ext.append(v + ext[-1])
-        fw = np.array(ext[len(base):])
-    se = np.sqrt(s2 * np.arange(1, horizon + 1))
-    return fw, se
-
-
-ORDER_GRID = [(p, d, P, D) for p in range(3) for d in range(2) for P in range(2) for D in range(2)]
-ORDER_SCHEMA = "tenant string, series string, p int, d int, sp int, sd int, aic double, nobs int"
-
-
-def order_search_fit(pdf: pd.DataFrame, grid=ORDER_GRID, m: int = 12) -> pd.DataFrame:
-    """AIC of every order in the grid for one series (each a tiny least squares)."""
-    pdf = pdf.sort_values("month").dropna(subset=["value"])
-    key = pdf.iloc[0]
-    y = np.log1p(pdf["value"].clip(lower=0).to_numpy())
-    pol = pdf["policy_count"].fillna(0).to_numpy(dtype=float)
-    ex = ((pol - pol.mean()) / (pol.std() + 1e-8)).reshape(-1, 1)
-    rows = []
-    for (p, d, P, D) in grid:
-        r = seasonal_ar(y, ex, p, d, P, D, m)
-        if r is not None:
-            rows.append((key["tenant"], key["series"], p, d, P, D, r[2], r[3]))
-    return pd.DataFrame(rows, columns=["tenant", "series", "p", "d", "sp", "sd", "aic", "nobs"])
-
-
-def sarima_fit(pdf: pd.DataFrame, horizon: int = 36, n_val: int = 12, m: int = 12) -> pd.DataFrame:
-    """Seasonal AR with the order chosen by AIC on the training part (holdout =
-    last ``n_val``), refit on all, 36 steps with 95% bounds, policy count as a
-    z-scored regressor held at its last value."""
-    pdf = pdf.sort_values("month").dropna(subset=["value"])
-    key = pdf.iloc[0]
-    y = np.log1p(pdf["value"].clip(lower=0).to_numpy())
-    pol = pdf["policy_count"].fillna(0).to_numpy(dtype=float)
-    ex = ((pol - pol.mean()) / (pol.std() + 1e-8)).reshape(-1, 1)
-    best = None
-    for order in ORDER_GRID:
-        r = seasonal_ar(y[:-n_val], ex[:-n_val], order[0], order[1], order[2], order[3], m)
-        if r is not None and (best is None or r[2] < best[1]):
-            best = (order, r[2])
-    order = best[0] if best else (1, 1, 0, 0)
-    fit = seasonal_ar(y, ex, order[0], order[1], order[2], order[3], m)
-    coef, s2 = (fit[0], fit[1]) if fit else (np.zeros(1 + order[0] + order[2] + 1), 1e-6)
-    fw, se = seasonal_ar_forecast(y, ex, np.full((horizon, 1), ex[-1, 0]), order, coef, s2, horizon, m)
-    months = _future_months(pdf["month"].iloc[-1], horizon)
-    return pd.DataFrame({"tenant": key["tenant"], "series": key["series"], "model": "seasonal_ar", "month": months,
-                         "forecast": np.expm1(fw), "lo": np.expm1(fw - 1.96 * se), "hi": np.expm1(fw + 1.96 * se)})
-
-
-def fee_rate_fit(pdf: pd.DataFrame, horizon: int = 36, cap_growth: float = 1.5, m: int = 12) -> pd.DataFrame:
-    """fee rate = fees / total premium; de-seasoned with the donor index; AR(1)
-    with the spike regressor on the de-seasoned log rate; the trend is capped at
-    ``cap_growth`` per year from the last point; seasonal added back.  The
-    premium forecast arrives joined on (tenant, month) as ``prem_fc``."""
-    pdf = pdf.sort_values("month")
-    key = pdf.iloc[0]
-    hist = pdf[~pdf["is_future"]].dropna(subset=["rate"])
-    hist = hist[hist["rate"] > 0]
-    fut = pdf[pdf["is_future"]]
-    seas = hist["donor_seasonal"].fillna(0).to_numpy()
-    y = np.log(hist["rate"].to_numpy()) - seas
-    spike = hist["spike"].fillna(0).to_numpy().reshape(-1, 1)
-    fit = seasonal_ar(y, spike, 1, 0, 0, 0, m)
-    coef, s2 = (fit[0], fit[1]) if fit else (np.array([y.mean() if len(y) else 0.0, 0.0, 0.0]), 1e-6)
-    fw, se = seasonal_ar_forecast(y, spike, np.zeros((len(fut), 1)), (1, 0, 0, 0), coef, s2, len(fut), m)
-    capline = y[-1] + math.log(cap_growth) / 12 * np.arange(1, len(fut) + 1)
-    fw = np.minimum(fw, capline)
-    season = fut["donor_seasonal"].fillna(0).to_numpy()
-    rate = np.exp(fw + season)
-    prem = fut["prem_fc"].to_numpy(dtype=float)
-    return pd.DataFrame({"tenant": key["tenant"], "series": "fees", "model": "fee_rate", "month": fut["month"].to_numpy(),
-                         "forecast": rate * prem, "lo": np.exp(np.minimum(fw - 1.96 * se, capline) + season) * prem,
-                         "hi": np.exp(np.minimum(fw + 1.96 * se, capline + 0.5) + season) * prem})
-
-
-RESID_SCHEMA = "tenant string, series string, month date, r_hat double"
-
-
-def residual_rollout(pdf: pd.DataFrame, coef: list[float], n_lags: int = 12, clip_sd: float = 1.5) -> pd.DataFrame:
-    """Recursive roll-out of the global residual model for one series: the
-    in-sample part also rolls recursively from month ``n_lags``; predictions are
-    clipped to mean +/- clip_sd * sd of the residuals."""
-    pdf = pdf.sort_values("month").reset_index(drop=True)
-    key = pdf.iloc[0]
-    r = pdf["resid"].to_numpy(dtype=float)
-    known = ~np.isnan(r)
-    n_known = int(np.flatnonzero(known)[-1]) + 1 if known.any() else 0
-    mu, sd = (float(np.nanmean(r)), float(np.nanstd(r))) if known.any() else (0.0, 0.0)
-    lo, hi = mu - clip_sd * sd, mu + clip_sd * sd
-    rmin, rmax = (float(np.nanmin(r)), float(np.nanmax(r))) if known.any() else (0.0, 1.0)
-    span = (rmax - rmin) or 1.0
-    sc = (np.nan_to_num(r, nan=mu) - rmin) / span
-    feats = pdf[[c for c in pdf.columns if c.startswith(("sin_", "cos_"))] + ["policy_norm"]].to_numpy(dtype=float)
-    c = np.asarray(coef)
-    buf = list(sc[:n_lags])
-    out = [np.nan] * min(n_lags, len(pdf))
-    for i in range(n_lags, len(pdf)):
-        if i == n_known:                                   # the horizon starts from the last actual residuals
-            buf = list(sc[i - n_lags:i])
-        x = np.concatenate([[1.0], buf[:-n_lags - 1:-1], feats[i]])      # newest lag first, as in training
-        v = float(np.clip(x @ c, (lo - rmin) / span, (hi - rmin) / span))
-        buf.append(v)
-        out.append(v * span + rmin)
-    return pd.DataFrame({"tenant": key["tenant"], "series": key["series"], "month": pdf["month"], "r_hat": out})

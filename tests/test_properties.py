@@ -14,6 +14,7 @@ from ledgerline.operators.joins import assign_nearest
 from ledgerline.operators.ordering import sample_n
 from ledgerline.plans import forecast as FC
 from ledgerline.plans import segment as S
+from ledgerline.plans import series_models as SM
 from ledgerline.plans import text as X
 from ledgerline.plans.catalog_forecast import MODELS, long, sql_forecasts
 from ledgerline.plans.catalog_segment import HIST, b as seg_b
@@ -100,13 +101,99 @@ def test_trend_recovery(spark):
     assert r.slope == pytest.approx(0.02, abs=1e-9)
 
 
-def test_seasonal_ar_recovers_ar1():
+def monthly(series: dict, start=1995):
+    """(tenant, series, month, y, pol) rows of arrays; None leaves the month out."""
+    import datetime as dt
+    return [("T", name, dt.date(start + i // 12, i % 12 + 1, 1), float(v), 0.0) for name, y in series.items() for i, v in enumerate(y) if v is not None]
+
+
+AR_COLS = "tenant string, series string, month date, y double, pol double"
+
+
+def test_seasonal_ar_recovers_ar1(spark):
     rng = np.random.default_rng(0)
     y = np.zeros(400)
     for i in range(1, 400):
         y[i] = 0.7 * y[i - 1] + rng.normal(scale=0.1)
-    coef, s2, aic, n = FC.seasonal_ar(y, None, 1, 0, 0, 0)
-    assert coef[1] == pytest.approx(0.7, abs=0.08)
+    fits = SM.seasonal_ar(spark.createDataFrame(monthly({"s": y}), AR_COLS), {"pol": True})
+    r = fits.first()
+    assert (r.d, r.sd) == (0, 0)
+    # brute force on the shared sample: every row with lags 1, 2 and 12
+    rows = np.arange(12, 400)
+    for o in r.orders:
+        x = np.column_stack([np.ones(len(rows)), *[y[rows - i] for i in range(1, o.p + 1)], *([y[rows - 12]] if o.sp else [])])
+        coef, sse, *_ = np.linalg.lstsq(x, y[rows], rcond=None)
+        k = x.shape[1] + 1                                # the regressor counts, although it is constant here
+        assert o.aic == pytest.approx(len(rows) * np.log(sse[0] / len(rows)) + 2 * (k + 1), rel=1e-9)
+        got = [o.coef[0], *o.coef[2:2 + o.p], *([o.coef[4]] if o.sp else [])]
+        assert got == pytest.approx(list(coef), abs=1e-8)
+    assert r.best.p >= 1 and r.best.coef[2] == pytest.approx(0.7, abs=0.12)
+    table = SM.order_table(fits).collect()
+    assert sum(t.chosen for t in table) == 1 and min(table, key=lambda t: t.aic).chosen
+
+
+def test_rollout_uses_the_right_lags_and_bounds(spark):
+    """y repeats the value of a year ago: the forecast does too, and its error grows once a year."""
+    from pyspark.sql import functions as f
+    m, d = 12, f.lit(0)
+    w = f.array(*[f.lit(float(i)) for i in range(1, 13)])
+    for ar, season, want in (([1.0, 0.0], 0.0, [12.0] * 15), ([0.0, 1.0], 0.0, [11.0, 12.0] * 7 + [11.0]), ([0.0, 0.0], 1.0, [float(1 + i % 12) for i in range(15)])):
+        got = spark.range(1).select(SM.rolled(f.array_repeat(f.lit(0.0), 15), [f.lit(c) for c in ar], f.lit(season), d, d, w, f.lit(12.0), f.lit(1.0), w, m).alias("y")).first().y
+        assert got == want
+    walk = spark.range(1).select(SM.rolled(f.array_repeat(f.lit(1.0), 4), [f.lit(0.0)] * 2, f.lit(0.0), f.lit(1), d, w, f.lit(5.0), f.lit(0.0), w, m).alias("y")).first().y
+    assert walk == [6.0, 7.0, 8.0, 9.0]
+
+
+def test_short_and_gappy_series(spark):
+    rng = np.random.default_rng(2)
+    season = np.array([0.3, 0.1, -0.2, -0.4, 0.0, 0.2, 0.25, -0.1, -0.15, 0.05, 0.1, -0.15])
+    t = np.arange(132)
+    y = 6 + 0.01 * t + season[t % 12] + rng.normal(scale=1e-3, size=132)
+    gap = [None if 40 <= i < 43 else v for i, v in enumerate(y[:96])]
+    cases = {f"n{n:02d}": y[:n] for n in (1, 2, 5, 12, 13, 14)} | {"gap": gap, "whole": y[:96]}
+    rows = [(a, s, m, float(np.expm1(v)), 5.0) for a, s, m, v, _ in monthly(cases)]
+    rows += [("T", "none", rows[0][2], None, 0.0), ("T", "zero", rows[0][2], 0.0, 0.0)]
+    rows += [("T", "nulls", m, None if 40 <= i < 43 else v, c) for i, (_, s, m, v, c) in enumerate(r for r in rows if r[1] == "whole")]
+    df = spark.createDataFrame(rows, "tenant string, series string, month date, value double, policy_count double")
+    out = SM.sarima(df).toPandas()
+    sizes = out.groupby("series").size()
+    assert set(sizes) == {36} and len(sizes) == len(cases) + 3
+    for name, g in out.groupby("series"):
+        g = g.sort_values("month")
+        if name in ("gap", "whole", "nulls"):
+            assert np.abs(np.log1p(g.forecast.to_numpy()) - y[96:]).max() < 0.05, name
+            assert (g.lo <= g.forecast).all() and (g.forecast <= g.hi).all() and g.reason.isna().all()
+        else:
+            assert g.reason.eq("short history").all(), name
+            if name.startswith("n") and name != "none":
+                assert np.log1p(g.forecast.to_numpy()) == pytest.approx(y[int(name[1:]) - 1])
+    assert out[out.series == "none"].forecast.isna().all()
+    wide = out.pivot(index="month", columns="series", values="forecast")
+    assert wide["gap"].dropna().tolist() == pytest.approx(wide["nulls"].dropna().tolist())
+    train = FC.winsorise(df, 0.0, 1.0)
+    donor = SM.year_shape(train.filter("series = 'whole'")).select("tenant", "moy", "shape")
+    assert [r["shape"] for r in donor.orderBy("moy").collect()] == pytest.approx(list(season), abs=0.05)
+    sat = SM.saturating(train.filter("series = 'nulls'"), donor, None).toPandas()
+    assert (sat.lo <= sat.forecast).all() and (sat.forecast <= sat.hi).all() and (sat.forecast > np.expm1(y[95]) / 1.5).all()
+    add = SM.additive(train).toPandas()
+    for name in ("gap", "whole", "nulls"):
+        g = add[add.series == name].sort_values("month")
+        assert np.abs(np.log(g.forecast.to_numpy()[:12]) - y[96:108]).max() < 0.1, name
+        assert (g.lo <= g.forecast).all() and (g.forecast <= g.hi).all()
+    assert add[add.series == "none"].forecast.isna().all()
+
+
+def test_residual_rollout_newest_lag_first(spark):
+    """With only lag 1 = 1 every step repeats the last one; the horizon starts from the last actual residual."""
+    import datetime as dt
+    resid = [0.1 * ((i * 7) % 11) for i in range(30)]
+    rows = [("T", "s", dt.date(1995 + i // 12, i % 12 + 1, 1), i >= 30, resid[i] if i < 30 else None, 0.0, 1.0, 0.5, 9.0, 0.0, 0.0) for i in range(36)]
+    df = spark.createDataFrame(rows, "tenant string, series string, month date, is_future boolean, sc double, low double, span double, mu double, sdev double, line double, season double")
+    got = SM.residual_rollout(df, 0.0, [1.0] + [0.0] * 11, {}).toPandas().sort_values("month")
+    assert got[~got.is_future].r_hat.tolist() == pytest.approx([resid[11]] * 18)
+    assert got[got.is_future].r_hat.tolist() == pytest.approx([resid[29]] * 6)
+    oldest = SM.residual_rollout(df, 0.0, [0.0] * 11 + [1.0], {}).toPandas().sort_values("month")
+    assert oldest[oldest.is_future].r_hat.tolist() == pytest.approx(resid[18:24])
 
 
 def test_expression_operators_stay_in_the_jvm(spark):
@@ -173,7 +260,7 @@ def test_two_pass_quantiles_equal_exact_percentile(spark):
 
 
 MODEL_KEYS = {"seg_elbow", "seg_silhouette", "seg_rolling_job", "sink_model", "seg_kmeans", "seg_assign", "seg_pca",
-              "seg_pca_select", "fc_residual_learner", "txt_sentiment_model"}
+              "seg_pca_select", "fc_residual_learner", "fc_models", "fc_model_ensemble", "fc_model_yoy", "fc_holdout_mape", "txt_sentiment_model"}
 
 
 @pytest.mark.parametrize("key", sorted(k for k in Q if k not in MODEL_KEYS))
@@ -208,20 +295,15 @@ def test_planted_anomaly_is_flagged(spark):
     assert (s.unique_days, s.total_reward_txs, s.suspended_days) == (4, 160, 152)
 
 
-def test_seasonal_ar_continues_trend_and_season():
-    """With d = D = 1 a deterministic trend + season is continued by the recursion
-    and the integration back to levels (log1p scale)."""
-    import pandas as pd
+def test_seasonal_ar_continues_trend_and_season(spark):
+    """A deterministic trend + season is continued by the recursion and the sums back to levels."""
     season = np.array([0.3, 0.1, -0.2, -0.4, 0.0, 0.2, 0.25, -0.1, -0.15, 0.05, 0.1, -0.15])
     rng = np.random.default_rng(5)
     n, h = 96, 24
     t = np.arange(n + h)
     y = 5 + 0.01 * t + season[t % 12] + rng.normal(scale=1e-4, size=n + h)
-    coef, s2, aic, _ = FC.seasonal_ar(y[:n], None, 0, 1, 0, 1)
-    fw, se = FC.seasonal_ar_forecast(y[:n], None, None, (0, 1, 0, 1), coef, s2, h)
-    assert np.max(np.abs(fw - y[n:])) < 0.01
-    pdf = pd.DataFrame({"tenant": "T", "series": "s", "month": [dt.date(1995 + i // 12, i % 12 + 1, 1) for i in range(n)],
-                        "value": np.expm1(y[:n]), "policy_count": 1.0})
-    out = FC.sarima_fit(pdf, horizon=h)
-    assert len(out) == h and np.all(np.isfinite(out.forecast)) and np.all(out.lo <= out.hi)
-    assert np.max(np.abs(np.log1p(out.forecast.to_numpy()) - y[n:])) < 0.05
+    fits = SM.seasonal_ar(spark.createDataFrame(monthly({"s": y[:n]}), AR_COLS), {"pol": True}, h)
+    assert fits.first().sd == 1
+    f = SM.ar_forecasts(fits, ["pol"]).toPandas().sort_values("step")
+    assert len(f) == h and np.max(np.abs(f.yhat.to_numpy() - y[n:])) < 0.01
+    assert (f.se > 0).all() and f.se.is_monotonic_increasing
