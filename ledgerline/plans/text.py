@@ -9,15 +9,12 @@ learned from the ``labels`` table.  Every text is processed whole."""
 
 from __future__ import annotations
 
-import textwrap
 from typing import Sequence
 
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.functions.exprs import clean_message
 from ledgerline.operators.aggregates import join_text
@@ -38,22 +35,77 @@ def daily_documents(df: DataFrame, keys: Sequence[str] = ("channel",), ts: str =
     return join_text(d, [*keys, "day"], [o for o in order if o in d.columns], text, sep="\n", out="text")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def wrap_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: textwrap.wrap(t, 3000) if isinstance(t, str) else [])
+# Fixed patterns of word wrapping: a piece is a run of spaces, a dash of two or more between words, or a word, which
+# may end after a hyphen between letters.  White space that ends a line is dropped.
+WRAP_PIECE = (r"(?U)[ ]+|(?<=[\w!\"'&.,?])-{2,}(?=\w)|[^ ]+?(?:-(?:(?<=[\w&&[^\d]]{2}-)|(?<=[\w&&[^\d]]-[\w&&[^\d]]-))"
+              r"(?=[\w&&[^\d]]-?[\w&&[^\d]])|(?=[ ]|\z)|(?<=[\w!\"'&.,?])(?=-{2,}\w))")
+BLANK = r"^[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*$"
+
+
+def expand_tabs(c: Column, size: int = 8) -> Column:
+    """Tabs to spaces up to the next stop of each line, then every white space character to a space."""
+    def line(x):
+        parts = F.split(x, "\t", -1)
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), parts[0], lambda acc, p: F.concat(F.rpad(acc, (F.floor(F.length(acc) / size) * size + size).cast("int"), " "), p))
+
+    wide = F.when(F.contains(c, F.lit("\t")), F.array_join(F.transform(F.split(c, "[\n\r]", -1), line), " ")).otherwise(c)
+    return F.translate(wide, "\t\n\x0b\x0c\r", "     ")
+
+
+def wrapped(text: Column, width: int) -> Column:
+    """The lines of greedily wrapped text: as many pieces as fit into ``width`` characters; a piece longer than a line
+    is cut, after its last hyphen that still fits if it has one.  One fold over the pieces of a text."""
+    pieces = F.regexp_extract_all(expand_tabs(text), F.lit(WRAP_PIECE), F.lit(0))
+    none, zero = F.lit(""), F.lit(0)
+    blank = lambda p: p.rlike(BLANK)
+
+    def state(done, cur=none, n=zero, tail=zero, rest=none, skipped=F.lit(False)):
+        return F.struct(done.alias("done"), cur.alias("cur"), n.alias("n"), tail.alias("tail"), rest.alias("rest"), skipped.alias("skipped"))
+
+    def skips(s, p):
+        """A later line drops the blank piece it would begin with, but no second one."""
+        return (s["n"] == 0) & ~s["skipped"] & (F.size(s["done"]) > 0) & blank(p)
+
+
+    def closed(s):
+        """The lines with the current one ended; ``tail`` is the length of a blank last piece."""
+        line = F.substring(s["cur"], F.lit(1), s["n"] - s["tail"])
+        return F.when(s["n"] > s["tail"], F.concat(s["done"], F.array(line))).otherwise(s["done"])
+
+    def put(s, p):
+        """Piece ``p`` taken into the current line."""
+        return F.when(skips(s, p), state(s["done"], skipped=F.lit(True))).otherwise(
+            state(s["done"], F.concat(s["cur"], p), s["n"] + F.length(p), F.when(blank(p), F.length(p)).otherwise(zero), skipped=s["skipped"]))
+
+    def cut(s):
+        """A piece longer than a line: what fits now, the line ended, the rest kept."""
+        free = F.lit(width) - s["n"]
+        front = F.substring(s["rest"], zero + 1, free)
+        hyphen = free - F.instr(F.reverse(front), "-") + 1                 # place of the last hyphen that fits
+        after = F.when(F.contains(front, F.lit("-")) & (hyphen > 1) & F.substring(front, zero + 1, hyphen - 1).rlike("[^-]"), hyphen).otherwise(free)
+        return F.transform(F.array(after), lambda k: F.transform(F.array(F.substring(s["rest"], zero + 1, k)), lambda f: state(
+            closed(state(s["done"], F.concat(s["cur"], f), s["n"] + F.length(f), F.when(blank(f), F.length(f)).otherwise(zero))),
+            rest=F.substring(s["rest"], k + 1, F.length(s["rest"]))))[0])[0]
+
+    def long_piece(s, p):
+        def again(x, _):
+            return (F.when(F.length(x["rest"]) == 0, x).when(skips(x, x["rest"]), state(x["done"], skipped=F.lit(True)))
+                    .when(x["n"] + F.length(x["rest"]) <= width, put(x, x["rest"])).when(F.length(x["rest"]) > width, cut(x))
+                    .otherwise(put(state(closed(x)), x["rest"])))
+
+        return F.aggregate(F.sequence(zero, F.length(p)), state(s["done"], s["cur"], s["n"], s["tail"], p, s["skipped"]), again)
+
+    def step(s, p):
+        return (F.when(s["n"] + F.length(p) <= width, put(s, p)).when(F.length(p) > width, long_piece(s, p))
+                .otherwise(put(state(closed(s)), p)))
+
+    return F.aggregate(pieces, state(F.array().cast("array<string>")), step, closed)
 
 
 def wrap(df: DataFrame, text: str = "text", width: int = 3000) -> DataFrame:
     """Greedy word wrap of each whole document into chunks of at most ``width``
     characters (long words are cut, hyphenated words may break) — one row per chunk."""
-    if width == 3000:
-        arr = wrap_udf(F.col(text))
-    else:
-        @F.pandas_udf(ArrayType(StringType()))
-        def _w(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: textwrap.wrap(t, width) if isinstance(t, str) else [])
-        arr = _w(F.col(text))
-    return df.select("*", F.posexplode(arr).alias("chunk_no", "chunk")).drop(text)
+    return df.select("*", F.posexplode(wrapped(F.col(text), width)).alias("chunk_no", "chunk")).drop(text)
 
 
 def sentences(df: DataFrame, doc_keys: Sequence[str], text: str) -> DataFrame:

@@ -56,6 +56,22 @@ def test_chunks_within_width_and_words_preserved(spark):
         assert rejoined[r.doc_id] == " ".join(textwrap.wrap(r.text, 3000)).split()
 
 
+def test_wrap_equals_the_greedy_rule(spark):
+    import random
+    rng = random.Random(4)
+    texts = ["", None, "   ", "a", "  lead and trail  ", "one--two three---four well-known a-b-c x-1 e-mail's", "tab\there\n\tand\tthere\r\nend", "x" * 50, "y" * 9 + " " * 40 + "z",
+             " " * 30 + "late", "ab-" * 20, "-" * 35, "über-maß É-ï 日本語テキスト日本語テキスト", "a " + "long-" * 9 + "word b", "em\u2003space \u3000 wide\x85x", "q" * 7 + " " + "r" * 8 + "  s-t"]
+    for _ in range(150):
+        texts.append("".join(rng.choice(["a", "bc", "def", "-", "--", " ", "  ", "\n", "\t", "é", ".", "1", "_", "'", "wordword"]) for _ in range(rng.randint(1, 40))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    for width in (1, 4, 9, 20):
+        got = {}
+        for r in X.wrap(df, width=width).orderBy("doc_id", "chunk_no").collect():
+            got.setdefault(r.doc_id, []).append(r.chunk)
+        for i, t in enumerate(texts):
+            assert got.get(i, []) == textwrap.wrap(t or "", width), (width, t)
+
+
 def test_chosen_order_is_the_group_minimum(spark):
     o = Q["fc_order_search"](spark, SF_SMALL).toPandas()
     for _, g in o.groupby(["tenant", "series"]):
