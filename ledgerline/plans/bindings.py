@@ -3,10 +3,9 @@
 Each binding is written once in the SQL subset shared by Spark and DuckDB.
 Spark runs it with DataFrame parameters (``spark.sql(text, lineitem=df)``), so
 the derived input is a lazy plan over the given tables (its size grows with
-them); the oracle inlines the same text as CTEs.  Recipes, crafts, boosters and currency
-payments are named by the given tables' own values (part names, order priorities,
-statuses and flags); the grant sources of ``token_tx`` still follow the source
-system's naming pattern.
+them); the oracle inlines the same text as CTEs.  Recipes, crafts, boosters, currency
+payments and grant sources are named by the given tables' own values (part names, order
+priorities, statuses, flags, and bands of the events' ``k``).
 """
 
 from __future__ import annotations
@@ -123,13 +122,13 @@ BINDINGS: dict[str, str] = {
                CASE WHEN event_type = 'click' THEN 'craft' ELSE 'game' END AS source,
                value / 1.07 AS amount, ts AS created_at,
                CASE WHEN CAST(get_json_object(props, '$.k') AS INT) < 15 THEN '{{"sourceString": "Craft"}}'
-                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 30 THEN '{{"sourceString": "epochchest.gem.' || get_json_object(props, '$.k') || '"}}'
-                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 45 THEN '{{"sourceString": "race.drop"}}'
-                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 60 THEN '{{"sourceString": "HeldGemReward.Jackpot.Daily"}}'
-                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 70 THEN '{{"sourceString": "Airdrop"}}'
+                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 30 THEN '{{"sourceString": "band two.' || get_json_object(props, '$.k') || '"}}'
+                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 45 THEN '{{"sourceString": "band three"}}'
+                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 60 THEN '{{"sourceString": "Top Band.Daily"}}'
+                    WHEN CAST(get_json_object(props, '$.k') AS INT) < 70 THEN '{{"sourceString": "band five"}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 80 THEN '{{"sourceString": null}}'
                     WHEN CAST(get_json_object(props, '$.k') AS INT) < 90 THEN '{{"sourceString": {{"x": 1}}}}'
-                    ELSE '{{"sourceString": "heldgemreward.jackpot.bonus"}}' END AS extra
+                    ELSE '{{"sourceString": "top band.extra"}}' END AS extra
         FROM {events}""",
     "users": """
         SELECT CAST(c_custkey AS STRING) AS id, c_name AS username,

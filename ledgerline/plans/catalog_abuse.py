@@ -17,7 +17,7 @@ from ledgerline.session import checkpoint_dir
 from ledgerline.sources.sinks import write_csv
 from ledgerline.sources.tables import read_table
 
-PATTERN = "%heldgemreward.jackpot.%"
+PATTERN = "%top band.%"
 AS_OF = "2024-01-31"
 TELEMETRY = ["raw_discrepancy", "current_discrepancy", "lifetime", "detected_count", "detected_window"]
 

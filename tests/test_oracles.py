@@ -9,7 +9,7 @@ from tools.check_oracle import digest
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
-SLOW_ROWS = {"seg_elbow", "seg_silhouette"}   # sweeps of 8-13 K-Means fits; covered in test_models
+SLOW_ROWS = {"seg_elbow", "seg_silhouette"}   # sweeps of 8-13 K-Means fits
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
