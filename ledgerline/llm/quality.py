@@ -140,7 +140,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host:
     sites, _ = fit(docs, labels, id_col, host, path, text, **options)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), features(F.col(f"`{text}`")).alias("f"))
     z = document_log_odds(sites.coefficients, sites.intercept, lambda name: F.col(f"f.{name}"))
-    rows = joined_sites(whole.select("row", z.alias("z")), sites, F.col(f"row.`{host}`"), F.col(f"row.`{path}`"))
+    # z is never null; said so, no null check of it is pushed below, where it would compute the features again
+    rows = joined_sites(whole.select("row", F.coalesce(z, F.lit(0.0)).alias("z")), sites, F.col(f"row.`{host}`"), F.col(f"row.`{path}`"))
     return rows.filter(posteriors(sites, F.col("z"), site_weight)[3] >= threshold).select("row.*")
 
 
