@@ -11,8 +11,8 @@ its boundary, at the latest: only lines that recur with a short period (blank li
 A run is a multi-line run with at least ``min_words`` words, or a single line with ``alone_words`` or more.
 Runs whose 64-bit hash occurs again anywhere in the corpus are candidates; their bytes are then compared through
 their SHA-256: runs are repeated if hash and bytes agree, so texts that merely share a hash count apart.
-The lines of repeated runs are removed from every text but the one with the smallest doc_id, where the
-first occurrence stays.
+A line is removed if any repeated run over it first stands in an earlier text (by doc_id) or earlier in its own
+without overlap, whatever other runs first stand here; the line it repeats stands before it, so one copy always stays.
 
 Only hashes and counts are shuffled to find the repeats; a run that stands in a third of all texts is
 counted map-side first.  Texts are shuffled once, to meet their repeated runs.
@@ -94,16 +94,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", div
     seen = met.filter("runs IS NOT NULL").select("doc_id", "twin", F.explode(digest).alias("r")).select("doc_id", "twin", "r.*")
     first = F.min(F.struct("doc_id", "twin", "at"))
     groups = written(seen.groupBy("h", "bytes").agg(F.count("*").alias("n_seen"), first.alias("first")).filter("n_seen > 1"), "repeated")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.twin") == F.col("twin")) & (F.col("at") < F.col("first.at") + F.col("n"))
     ok = (seen.join(groups.withColumnRenamed("h", "g").withColumnRenamed("bytes", "b"), (F.col("h") == F.col("g")) & (F.col("bytes") == F.col("b")))
-          .select("doc_id", "twin", F.struct("at", "n", F.struct("doc_id", "twin", "at").eqNullSafe(F.col("first")).alias("stays")).alias("r"))
+          .select("doc_id", "twin", F.struct("at", "n", stays.alias("stays")).alias("r"))
           .groupBy("doc_id", "twin").agg(F.collect_set("r").alias("runs")))
     ok = written(ok.select(F.col("doc_id").alias("d"), F.col("twin").alias("t"), "runs"), "verified")
 
     def result(a):
-        stays = F.array_distinct(F.flatten(F.transform(F.filter("runs", lambda r: r["stays"]), lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
-        every = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
+        over = lambda runs: F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1))))
         left = lambda gone: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), gone)
-        return let(F.struct(every.alias("every"), F.array_except(every, stays).alias("gone")), lambda x: F.struct(
+        return let(F.struct(over(F.col("runs")).alias("every"), over(F.filter("runs", lambda r: ~r["stays"])).alias("gone")), lambda x: F.struct(
             F.size(a).cast("long").alias("n_lines"), F.size(x["every"]).cast("long").alias("n_repeated"), F.size(x["gone"]).cast("long").alias("n_removed"),
             F.array_join(F.transform(left(x["gone"]), lambda i: F.get(a, i)), "\n").alias("kept")))
 

@@ -129,6 +129,37 @@ def test_repeat_inside_one_text(spark):
     assert got.n_removed == 2 and got.text == block + "\nmiddle"
 
 
+def brute_kept(texts, min_words=8, alone_words=50):
+    """Kept lines of every text: a line goes if a repeated run over it first stands in an earlier text or, apart, in its own."""
+    split = [[] if t is None else t.split("\n") for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    for d, lines in enumerate(split):
+        for at in range(len(lines)):
+            for n in range(1, len(lines) - at + 1):
+                run = tuple(lines[at:at + n])
+                if sum(len(x.split()) for x in run) >= (min_words if n > 1 else alone_words):
+                    e, where = first.setdefault(run, (d, at))
+                    if e < d or where + n <= at:
+                        gone[d].update(range(at, at + n))
+    return [[x for i, x in enumerate(lines) if i not in g] for lines, g in zip(split, gone)]
+
+
+def test_passage_in_a_text_that_has_a_copy(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"c{rng.randint(0, 10**6)}" for _ in range(n))
+    passages = [[line(20), line(18), line(25)], [line(60)], [line(17), line(16)]]
+    texts = []
+    for p in passages:
+        host = [line(20), line(17)], [line(19), line(30)]
+        texts += ["\n".join([line(20)] + p + [line(20)]), "\n".join(host[0] + p + host[1])]
+        texts += [texts[-1], texts[-1] + "\n" + line(20)]        # an exact and a near copy of the text that holds the passage
+    got = [r.text for r in L.dedup_lines(rows_of(spark, texts)).orderBy("doc_id").collect()]
+    want = ["\n".join(k) for k in brute_kept(texts)]
+    assert got == want
+    for k, p in enumerate(passages):
+        assert not set(p) & set(got[4 * k + 1].split("\n")) and set(p) <= set(got[4 * k].split("\n"))
+
+
 def test_lines_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
