@@ -1,14 +1,14 @@
 """Line dedup by content-defined chunks of lines (DataFrame functions only).
 
-A text's lines are hashed.  A line is a boundary by its content alone: a rolling hash over its
-own and the previous line's hash is divisible by ``divisor``, or it has ``long_line`` words or more
-(long lines are distinctive).  Boundaries thus fall on the same lines wherever a passage stands,
-however the text before it shifts.  From each boundary the runs of lines up to the next one, and the
-runs that end at the next one, are the candidates: the whole chunk and its partial forms at the edges
-of a shared passage, which begins or ends inside a chunk.  A chunk ends after ``max_lines`` lines, counted from
-its boundary, at the latest: only lines that recur with a short period (blank lines, say) go on so long without one.
-
-A run is a multi-line run with at least ``min_words`` words, or a single line with ``alone_words`` or more.
+A run is a multi-line run with at least ``min_words`` words, or a single line with ``alone_words`` or more.  Chunks are
+cut by their content alone, and overlap: from every line the smallest run that starts there, and to every line
+the smallest run that ends there.  They are the same wherever a passage stands, so every repeated run, however short its lines, is covered by
+repeated chunks: those that start and end in it cover it up to the end of the last, and the smallest run to its last line
+covers the rest.
+
+A line's words bound its chunks: a chunk holds at most ``min_words`` lines with words.  Chunks that start (or end) at a line
+without words reach over at most ``max_lines`` lines, so only wordless lines far from any word can stay.
+
 Runs whose 64-bit hash occurs again anywhere in the corpus are candidates; their bytes are then compared through
 their SHA-256: runs are repeated if hash and bytes agree, so texts that merely share a hash count apart.
 A line is removed if any repeated run over it first stands in an earlier text (by doc_id) or earlier in its own
@@ -32,43 +32,50 @@ RUN = "array<struct<at:int,n:int,h:bigint>>"
 
 
 def runs_of(lines: Column, divisor: int, long_line: int, min_words: int, alone_words: int, max_lines: int = 64) -> Column:
-    """Candidate runs (first line, number of lines, hash) of an array of lines."""
+    """Candidate runs (first line, number of lines, hash) of an array of lines.  ``divisor`` and ``long_line`` are
+    not used any more: chunks need no boundary lines."""
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), word_count(x).cast("int").alias("w")))
 
-    def with_hashes(a):
-        def boundary(x, i):
-            rolling = F.xxhash64(F.coalesce(F.get(a, i - 1)["h"], F.lit(0).cast("long")), x["h"])
-            return (x["w"] >= long_line) | (F.pmod(rolling, F.lit(divisor)) == 0)
-
-        marked = F.transform(a, lambda x, i: F.when(boundary(x, i), i))
-        found = F.concat(F.array(F.lit(0)), F.filter(marked, lambda x: x.isNotNull() & (x > 0)), F.array(F.size(a)))
-
-        def filled(c):
-            steps = F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.sequence(F.get(c, i), F.get(c, i + 1) - 1, F.lit(max_lines)))
-            return F.concat(F.flatten(steps), F.array(F.size(a)))
-
-        heads = let(found, filled)
-        upto = running_sums(F.transform(a, lambda x: x["w"]))
-
-        def chunks(c, sums):
-            words = lambda at, n: F.get(sums, at + n - 1) - F.coalesce(F.get(sums, at - 1), F.lit(0))
-            run = lambda at, n: F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"),
-                                         F.xxhash64(F.transform(F.slice(a, at + 1, n), lambda x: x["h"])).alias("h"),
-                                         F.when(n > 1, words(at, n) >= min_words).otherwise(words(at, n) >= alone_words).alias("ok"))
-
-            def of_chunk(i):
-                lo, hi = F.get(c, i), F.get(c, i + 1)
-                # the chunk's own front parts (shortest first), then its back parts with the next boundary line
-                front = F.when(hi > lo, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), hi - lo)), lambda n: run(lo, n))).otherwise(F.array())
-                back = F.when((hi < F.size(a)) & (hi > lo), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), hi - lo)), lambda n: run(hi - n, n + 1)))
-                return F.concat(front, F.coalesce(back, F.array()))
-
-            every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(c) - 2), of_chunk))
-            return F.transform(F.filter(every, lambda r: r["ok"]), lambda r: F.struct(r["at"], r["n"], r["h"])).cast(RUN)
-
-        return let(heads, lambda c: let(upto, lambda s: chunks(c, s)))
-
-    return let(hashed, with_hashes)
+    def with_words(a):
+        whole = F.struct(F.transform(a, lambda x: x["h"]).alias("h"), F.transform(a, lambda x: x["w"]).alias("w"),
+                         running_sums(F.transform(a, lambda x: x["w"])).alias("sums"),
+                         running_sums(F.transform(a, lambda x: (x["w"] > 0).cast("int"))).alias("rank"),      # lines with words, up to each
+                         F.filter(F.transform(a, lambda x, i: F.when(x["w"] > 0, i)), lambda i: i.isNotNull()).alias("full"))
+        return let(whole, chunks)
+
+    def chunks(t):
+        size = F.size(t["h"])
+        upto = lambda i: F.coalesce(F.get(t["sums"], i), F.lit(0))
+        words = lambda at, end: F.get(t["sums"], end) - upto(at - 1)
+        run = lambda at, n: F.struct(at.cast("int").alias("at"), n.cast("int").alias("n"), F.xxhash64(F.slice(t["h"], at + 1, n)).alias("h"))
+        near = lambda first: F.transform(F.sequence(F.lit(0), F.lit(max(min_words - 1, 0))), lambda k: F.get(t["full"], first(k)))
+        bounded = lambda w, n: (w > 0) | (n <= max_lines)
+
+        def end_from(i, w):
+            """Last line of the smallest run from line i (null: none)."""
+            before = F.get(t["rank"], i) - (w > 0).cast("int")
+            least = F.get(F.filter(near(lambda k: before + k), lambda j: words(i, j) >= min_words), F.lit(0))
+            return F.when(words(i, i + 1) >= min_words, i + 1).otherwise(F.when(least.isNotNull(), F.greatest(least, i + 1)))
+
+        def start_to(j):
+            """First line of the smallest run to line j (null: none)."""
+            last = F.get(t["rank"], j) - 1
+            most = F.get(F.filter(near(lambda k: last - k), lambda i: words(i, j) >= min_words), F.lit(0))
+            return F.when(most.isNotNull(), F.least(most, j - 1))
+
+        def forward(w, i):
+            return F.when(i + 1 < size, let(end_from(i, w), lambda e: F.when(e.isNotNull() & bounded(w, e - i + 1), run(i, e - i + 1))))
+
+        def backward(w, j):
+            # two lines are a run from their first line already, and so is a run that falls short without its last line
+            def of(s):
+                return F.when(s.isNotNull() & (s < j - 1) & (words(s, j - 1) >= min_words) & bounded(w, j - s + 1), run(s, j - s + 1))
+            return F.when((j > 0) & (words(j - 1, j) < min_words), let(start_to(j), of))
+
+        alone = F.transform(t["w"], lambda w, i: F.when(w >= alone_words, run(i, F.lit(1))))
+        return F.filter(F.concat(F.transform(t["w"], forward), F.transform(t["w"], backward), alone), lambda r: r.isNotNull()).cast(RUN)
+
+    return let(hashed, with_words)
 
 
 def lines_of(text: Column) -> Column:

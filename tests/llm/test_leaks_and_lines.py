@@ -160,6 +160,24 @@ def test_passage_in_a_text_that_has_a_copy(spark):
         assert not set(p) & set(got[4 * k + 1].split("\n")) and set(p) <= set(got[4 * k].split("\n"))
 
 
+def test_short_line_passages(spark):
+    """Passages of short lines (verse, lists, code) go wherever they stand, as brute force over all runs says."""
+    rng = random.Random(13)
+    line = lambda n: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(n))
+    texts = []
+    for k in range(60):
+        lengths = [rng.randint(1, 4) for _ in range(5)] if k % 3 == 0 else [rng.choice([0, 2, 3, 9]) for _ in range(8)] if k % 3 == 1 else [rng.randint(6, 15) for _ in range(5)]
+        passage = [line(n) for n in lengths]
+        for _ in range(2):
+            texts.append("\n".join([line(rng.randint(1, 9)) for _ in range(rng.randint(0, 4))] + passage + [line(rng.randint(1, 9)) for _ in range(rng.randint(0, 4))]))
+    few = ["a b", "", "c", "d e f g h", "i j k l m n o p q"]                       # texts over few lines, with periods and blanks
+    texts += ["\n".join(rng.choice(few) for _ in range(rng.randint(1, 14))) for _ in range(60)] + [line(55) + "\n" + line(2)]
+    got = [r.text for r in L.dedup_lines(rows_of(spark, texts)).orderBy("doc_id").collect()]
+    want = brute_kept(texts)
+    assert got == ["\n".join(k) for k in want]
+    assert sum(len(t.split("\n")) for t in texts) - sum(map(len, want)) > 300
+
+
 def test_lines_empty(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
