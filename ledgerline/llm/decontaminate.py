@@ -11,6 +11,10 @@ under the threshold is skipped; segments are stored in blocks of ``BLOCK`` and,
 only blocks whose summed block maxima reach the threshold are opened and scored.  Both bounds
 are upper bounds, so all (passage, segment) pairs above the threshold are retrieved.
 
+An item whose question and answer stand far apart, or in pieces, may reach the threshold in no passage.  So
+items are also retrieved by runs of their longer part: of its m runs a leak holds c at least, so any m - c + 1 of them (those with
+the rarest words) have one in the text.  Every item that verifies is thus retrieved, wherever its words stand.
+
 A retrieved pair is verified on the words: question and answer (an item's last sentence, unless given)
 are each compared as ``shingle``-word runs (a shorter part as one run) and a document leaks an item when
 at least ``overlap`` of the question's and of the answer's runs stand in its text.
@@ -54,17 +58,34 @@ def runs(words: list[str], shingle: int) -> set:
     return set(zip(*(words[i:] for i in range(k)))) if k else set()
 
 
+FILTER = 1 << 20
+
+
+def run_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` term numbers, as far as all of them are known (not -1)."""
+    n = max(len(ids) - k + 1, 0)
+    h, real = np.zeros(n, np.uint64), np.ones(n, bool)
+    for i in range(k):
+        part = ids[i:i + n]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + (part + 1).astype(np.uint64)
+        real &= part >= 0
+    h = h[real]
+    return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 class Index:
     """Impact-ordered blocks of one shard.  ``items``: (item number, question, answer); ``df``: word -> segments
     holding it over all shards; ``n`` and ``mean``: number and mean length of all segments."""
 
-    def __init__(self, items, df: dict, n: int, mean: float, segment: int, shingle: int):
+    def __init__(self, items, df: dict, n: int, mean: float, segment: int, shingle: int, overlap: float = 0.8):
         self.segment, self.shingle = segment, shingle
-        self.parts, self.owner, segments = {}, [], []
+        self.parts, self.owner, segments, longer = {}, [], [], {}
         for number, question, answer in items:
             parts = parts_of(question or "", answer)
             self.parts[number] = [runs(p, shingle) for p in parts]
             words = [w for p in parts for w in p]
+            if words:
+                longer[number] = max(range(len(parts)), key=lambda i: len(parts[i]))
             for at in range(0, len(words), segment):
                 self.owner.append(number)
                 segments.append(words[at:at + segment])
@@ -94,10 +115,36 @@ class Index:
         self.bm_max = np.maximum.reduceat(self.post_val, first) if len(rows) else np.zeros(0)
         self.bm_at = np.searchsorted(rows[first], np.arange(len(self.terms) + 1))
         self.bm_post = np.append(first, len(rows))           # where each block's postings begin
+        found: dict[int, list] = {}                          # run length: (hash, item) of the runs one of which a leak holds
+        for number, i in longer.items():
+            some = sorted(self.parts[number][i], key=lambda r: (min(df[w] for w in r), r))
+            for r in some[:len(some) - max(int(np.ceil(overlap * len(some) - 1e-9)), 1) + 1]:
+                found.setdefault(len(r), []).append((int(run_hashes(np.array([self.terms[w] for w in r]), len(r))[0]), number))
+        self.by_run = {}
+        for k, pairs in found.items():
+            hashes, numbers = np.array([h for h, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
+            order = np.argsort(hashes, kind="stable")
+            seen = np.zeros(FILTER, bool)
+            seen[hashes & np.uint64(FILTER - 1)] = True
+            self.by_run[k] = (hashes[order], numbers[order], seen)
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """Term numbers of words, -1 for those in no item."""
+        return np.fromiter(map(self.terms.get, words, [-1] * len(words)), np.int64, len(words))
+
+    def sharing(self, known: np.ndarray) -> set:
+        """Numbers of the items with one of their indexed runs in a text: all that can reach the overlap are among them."""
+        out: set = set()
+        for k, (hashes, numbers, seen) in self.by_run.items():
+            h = run_hashes(known, k)
+            h = np.unique(h[seen[h & np.uint64(FILTER - 1)]])
+            for a, b in zip(np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")):
+                out.update(numbers[a:b].tolist())
+        return out
 
-    def search(self, words: list[str], threshold: float) -> set:
+    def search(self, words: list[str], threshold: float, known: np.ndarray | None = None) -> set:
         """Numbers of the items with a segment scoring at least ``threshold`` against some passage of ``words``."""
-        known = np.fromiter(map(self.terms.get, words, [-1] * len(words)), np.int64, len(words))
+        known = self.known(words) if known is None else known
         step = self.segment
         starts = np.arange(0, max(len(words) - step, 1), step)
         bound = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, self.list_max[known], 0.0))]) if len(self.terms) else np.zeros(len(words) + 1)
@@ -132,7 +179,8 @@ class Index:
         """(item number, question overlap, answer overlap) of the verified items."""
         words = tokens(text)
         out = []
-        candidates = self.search(words, threshold)
+        known = self.known(words)
+        candidates = self.search(words, threshold, known) | self.sharing(known)
         held: dict[int, set] = {}
         for number in sorted(candidates):
             shares = []
@@ -153,7 +201,7 @@ def item_table(items: DataFrame, id_col: str, question: str, answer: str | None)
     return rows.withColumn("number", F.xxhash64("item_id", "question", "answer"))
 
 
-def shards(items: DataFrame, segment: int, shingle: int, shard_words: int):
+def shards(items: DataFrame, segment: int, shingle: int, shard_words: int, overlap: float = 0.8):
     """Indexes of the benchmark, one after another, each of about ``shard_words`` words at most."""
     spark = items.sparkSession
     rows = written(items, "items")
@@ -183,7 +231,7 @@ def shards(items: DataFrame, segment: int, shingle: int, shard_words: int):
         df = {r.word: r.df for r in counts.join(words, "word").collect()}
         items_here = [(r.number, r.question, r.answer) for r in mine.collect()]
         if items_here:
-            yield spark.sparkContext.broadcast(Index(items_here, df, total["df"], total["n"] / total["df"], segment, shingle))
+            yield spark.sparkContext.broadcast(Index(items_here, df, total["df"], total["n"] / total["df"], segment, shingle, overlap))
 
 
 def leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", question: str = "text",
@@ -195,7 +243,7 @@ def leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text"
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
     schema = ", ".join([*head, "number bigint", "question_overlap double", "answer_overlap double"])
     found = None
-    for index in shards(known, segment, shingle, shard_words):
+    for index in shards(known, segment, shingle, shard_words, overlap):
         def run(batches, index=index):
             import pyarrow as pa
 

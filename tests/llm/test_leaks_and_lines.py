@@ -73,6 +73,31 @@ def test_search_equals_plain_scores():
             assert index.search(words, threshold) == {i for (i, _, _), s in zip(items, segs) if score(words, s) >= threshold}
 
 
+def index_of(items):
+    segs = [w[at:at + 64] for _, q, a in items for w in [[x for p in D.parts_of(q, a) for x in p]] for at in range(0, len(w), 64)]
+    df = {}
+    for s in segs:
+        for w in set(s):
+            df[w] = df.get(w, 0) + 1
+    return D.Index(items, df, len(segs), sum(map(len, segs)) / len(segs), 64, 5)
+
+
+def test_question_and_answer_far_apart():
+    """The question at the top and the answer at the end, or the question in two places: each passage holds too little."""
+    rng = random.Random(14)
+    words = lambda n: " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(n))
+    items = [(i, words(rng.randint(1, 40)), words(rng.randint(1, 40))) for i in range(60)] + [(60, words(150), words(3))]
+    index = index_of(items)
+    for i, q, a in items:
+        far = " ".join([q, words(600), a])
+        cut = q.split()
+        half = len(cut) // 2 + 2
+        pieces = " ".join([a, words(500), *cut[:half], words(500), *cut[max(half - 4, 0):], words(300)])
+        for text in (far, pieces):
+            assert [n for n, _, _ in index.leaks(text, 0.6, 0.8)] == [i]
+        assert index.leaks(" ".join([q, words(600)]), 0.6, 0.8) == []
+
+
 def test_leaks_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
     bench = spark.createDataFrame([], "item_id bigint, text string")
