@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerline.llm import (decontaminate, line_dedup, mixing, periodic_runs, quality, quality_rules, secrets, simhash, spelling, token_output,
+from ledgerline.llm import (decontaminate, fingerprints, line_dedup, mixing, periodic_runs, quality, quality_rules, secrets, simhash, spelling, token_output,
                             toxicity, url_rules)
 
 QUERIES = {
@@ -18,7 +18,9 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
     "op13_spelling": spelling.op13_spelling,
+    "fingerprint_classes": fingerprints.fingerprint_classes,
     "pipeline": corpus_pipeline.run,
 }
 
