@@ -465,7 +465,7 @@ def _models(lg):
     tr, ar = _train(lg), cut_lineage(_sarima(lg))
     cols = [*KEYS, "month", "forecast"]
     parts = {"additive": [SM.additive(tr.filter(F.col("series").isin(PREMIUMS))), _saturating(tr)],
-             "residual": [_residual(lg).filter("is_future")], "seasonal_ar": [ar, _fee_rate(lg, _premium(ar))]}
+             "residual": [_residual(lg).filter("is_future")], "seasonal_arma": [ar, _fee_rate(lg, _premium(ar))]}
     out = [f.select(*cols, F.lit(m).alias("model")) for m, fs in parts.items() for f in fs]
     return reduce(lambda a, b: a.unionByName(b), out)
 
@@ -485,18 +485,18 @@ def q_saturating(spark, d):
 @register("fc_order_search")
 def q_orders(spark, d):
     """AIC of every order per series on one sample, differences chosen by tests before; the chosen order is the minimum."""
-    return SM.order_table(SM.seasonal_ar(SM.log_input(SM.since(long(spark, d), AR_STARTS)), {"pol": True}))
+    return SM.order_table(SM.seasonal_arma(SM.log_input(SM.since(long(spark, d), AR_STARTS)), {"pol": True}))
 
 
 @register("fc_sarima", dates=("month",))
 def q_sarima(spark, d):
-    """Seasonal autoregression of the chosen order for every series, 36 steps with 95 % bounds."""
+    """Seasonal autoregressive moving average of the chosen order for every series, 36 steps with 95 % bounds."""
     return SM.sarima(SM.since(long(spark, d), AR_STARTS))
 
 
 @register("fc_fee_rate", dates=("month",))
 def q_fee_rate(spark, d):
-    """fees / total premium, de-seasoned by the donor index, autoregression on policy count and spike,
+    """fees / total premium, de-seasoned by the donor index, autoregressive moving average with policy count and spike,
     capped at +50%/yr, times the premium forecast (joined on tenant, month)."""
     lg = long(spark, d)
     return _fee_rate(lg, _premium(_sarima(lg)))
@@ -539,7 +539,7 @@ def q_holdout_mape(spark, d):
     actual = lg.filter(F.col("value").isNotNull())
     ar = _sarima(lg, 12)
     premium = actual.filter(F.col("series").isin(PREMIUMS)).groupBy("tenant", "month").agg(F.sum("value").alias("prem"))
-    fees = _fee_rate(lg, premium, 12).withColumn("model", F.lit("seasonal_ar"))
+    fees = _fee_rate(lg, premium, 12).withColumn("model", F.lit("seasonal_arma"))
     res = _residual(lg).filter("NOT is_future").withColumn("model", F.lit("residual"))
     cols = [*KEYS, "month", "model", "forecast"]
     return FC.mape(actual, ar.select(*cols).unionByName(fees.select(*cols)).unionByName(res.select(*cols)))

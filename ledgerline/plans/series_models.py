@@ -136,17 +136,37 @@ def differenced(df: DataFrame, xs: Sequence[str], by: Sequence[str] = KEYS, seas
     return out.drop("_k0", "_k1", "step2", *[n for x in xs for n in names[x]])
 
 
-def seasonal_ar(df: DataFrame, xs: Mapping[str, bool], horizon: int = 36, by: Sequence[str] = KEYS, holdout: int = 0, max_p: int = 2,
-                max_sp: int = 1, seasonal: bool = True, m: int = 12) -> DataFrame:
+def shocks(rows: DataFrame, xs: Sequence[str], by: Sequence[str], seasonal: bool, m: int = 12, reach: int = 6) -> DataFrame:
+    """Adds ``e``, the part of the differenced value ``w`` that its own past does not explain: the residual of a long autoregression
+    (lags 1 to ``reach`` and, if ``seasonal``, m and m + 1) with the regressors, per series.  Months without all lags, or to come, have 0."""
+    o = Window.partitionBy(*by).orderBy("month")
+    lags = {f"_l{i}": F.lag("w", i).over(o) for i in [*range(1, reach + 1), *([m, m + 1] if seasonal else [])]}
+    names = ["one", *[f"d_{x}" for x in xs], *lags]
+    rows = rows.withColumns(lags)
+    full = ~F.col("is_future")
+    for c in [*names, "w"]:
+        full = full & F.col(c).isNotNull()
+    rows = rows.withColumn("ok", full)
+    k = len(names)
+    fit = rows.groupBy(*by).agg(products([*names, "w"]).alias("_sums")).select(*by, F.slice(solver(k, [list(range(k))])(F.col("_sums"))[0], 1, k).alias("_long"))
+    rows = rows.join(fit, list(by))
+    return rows.withColumn("e", F.when(F.col("ok"), F.col("w") - dot(F.col("_long"), [F.col(c) for c in names])).otherwise(0.0)).drop("ok", "_long", *lags)
+
+
+def seasonal_arma(df: DataFrame, xs: Mapping[str, bool], horizon: int = 36, by: Sequence[str] = KEYS, holdout: int = 0, max_p: int = 2,
+                  max_sp: int = 1, max_q: int = 2, max_sq: int = 1, seasonal: bool = True, m: int = 12) -> DataFrame:
     """One row per series with every order's fit.  ``df``: by, month, y and the regressors ``xs`` (name -> hold its last
-    value over the horizon, else 0).  All orders share one sample (the rows that have every lag), so their AIC compare.
-    Columns: sd, d, n, orders (p, sp, aic, coef with the squared error last), best, past and ahead (the roll-out's input)."""
+    value over the horizon, else 0).  Moving-average terms are lags of ``shocks``, so every order is one regression (two stages, no
+    iteration).  All orders share one sample (the rows that have every lag), so their AIC compare.
+    Columns: sd, d, n, orders (p, sp, q, sq, aic, coef with the squared error last), best, past and ahead (the roll-out's input)."""
     o = Window.partitionBy(*by).orderBy("month")
     rows = timeline(df.select(*by, "month", "y", *xs), horizon, by, holdout)
     rows = rows.withColumns({x: F.coalesce(F.col(x), *([F.last(x, ignorenulls=True).over(o)] if hold else []), F.lit(0.0)) for x, hold in xs.items()})
-    rows = differenced(rows, list(xs), by, seasonal, m)
+    rows = differenced(rows, list(xs), by, seasonal, m).withColumn("one", F.lit(1.0))
+    rows = shocks(rows, list(xs), by, bool(max_sp or max_sq), m) if max_q or max_sq else rows.withColumn("e", F.lit(0.0))
     lags = {f"w_{i}": F.lag("w", i).over(o) for i in range(1, max_p + 1)} | ({"w_season": F.lag("w", m).over(o)} if max_sp else {})
-    rows = rows.withColumns(lags).withColumn("one", F.lit(1.0))
+    lags |= {f"e_{i}": F.lag("e", i, 0.0).over(o) for i in range(1, max_q + 1)} | ({"e_season": F.lag("e", m, 0.0).over(o)} if max_sq else {})
+    rows = rows.withColumns(lags)
     names = ["one", *[f"d_{x}" for x in xs], *lags]
     full = ~F.col("is_future")
     for c in [*names, "w"]:
@@ -156,71 +176,94 @@ def seasonal_ar(df: DataFrame, xs: Mapping[str, bool], horizon: int = 36, by: Se
     per = rows.groupBy(*by).agg(
         products([*names, "w"]).alias("sums"), F.sum(F.col("ok").cast("int")).alias("n"), F.first("sd").alias("sd"), F.first("d").alias("d"),
         F.sort_array(F.collect_list(F.when(~F.col("is_future"), F.struct("month", F.coalesce("_w", F.lit(0.0)).alias("w"), F.col("_base").alias("base"),
-                                                                         F.col("_step1").alias("step1"), F.col("_y").alias("y"))))).alias("past"),
+                                                                         F.col("_step1").alias("step1"), F.col("_y").alias("y"), "e")))).alias("past"),
         F.sort_array(F.collect_list(F.when(F.col("is_future"), F.struct("month", *[f"d_{x}" for x in xs])))).alias("ahead"))
     k, first = len(names), 1 + len(xs)
-    orders = [(p, sp) for p in range(max_p + 1) for sp in range(max_sp + 1)]
-    subsets = [[*range(first + p), *([k - 1] if sp else [])] for p, sp in orders]
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(sp).alias("sp"), F.lit(len(s)).alias("width")) for (p, sp), s in zip(orders, subsets)])
+    orders = [(p, sp, q, sq) for p in range(max_p + 1) for sp in range(max_sp + 1) for q in range(max_q + 1) for sq in range(max_sq + 1)]
+    at_e = first + max_p + max_sp
+    subsets = [[*range(first + p), *([first + max_p] if sp else []), *range(at_e, at_e + q), *([at_e + max_q] if sq else [])] for p, sp, q, sq in orders]
+    table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("p", "sp", "q", "sq", "width"), (*order, len(s)))]) for order, s in zip(orders, subsets)])
     per = per.withColumn("coef", solver(k, subsets)(F.col("sums")))
 
     def scored(c, o):
         sse = F.greatest(c[k], F.col("n") * F.lit(1e-16))
         return F.struct(F.when(F.col("n") > o["width"] + 1, F.col("n") * F.ln(sse / F.col("n")) + 2 * (o["width"] + 1)).alias("aic"),
-                        o["p"].alias("p"), o["sp"].alias("sp"), o["width"].alias("width"), c.alias("coef"))
+                        o["p"].alias("p"), o["sp"].alias("sp"), o["q"].alias("q"), o["sq"].alias("sq"), o["width"].alias("width"), c.alias("coef"))
 
     per = per.withColumn("orders", F.zip_with("coef", table, scored)).drop("sums", "coef")
     return per.withColumn("best", F.array_min(F.filter("orders", lambda x: x["aic"].isNotNull())))
 
 
+def seasonal_ar(df: DataFrame, xs: Mapping[str, bool], horizon: int = 36, by: Sequence[str] = KEYS, holdout: int = 0, max_p: int = 2,
+                max_sp: int = 1, seasonal: bool = True, m: int = 12) -> DataFrame:
+    """``seasonal_arma`` without moving-average terms."""
+    return seasonal_arma(df, xs, horizon, by, holdout, max_p, max_sp, 0, 0, seasonal, m)
+
+
 def order_table(fits: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """AIC of every order per series; ``chosen`` marks the smallest, (0, 0) with a ``reason`` in a series too short to fit any."""
+    """AIC of every order per series; ``chosen`` marks the smallest, all 0 with a ``reason`` in a series too short to fit any."""
     rows = fits.select(*by, "d", "sd", "n", "best", F.explode("orders").alias("o"))
     short = F.col("best").isNull()
-    chosen = F.when(short, (F.col("o.p") == 0) & (F.col("o.sp") == 0)).otherwise((F.col("o.p") == F.col("best.p")) & (F.col("o.sp") == F.col("best.sp")))
-    return rows.select(*by, F.col("o.p").alias("p"), "d", F.col("o.sp").alias("sp"), "sd", F.col("o.aic").alias("aic"), F.col("n").cast("int").alias("nobs"),
-                       chosen.alias("chosen"), F.when(short, "short history").alias("reason"))
+    same = lambda of: F.lit(True) if not of else same(of[1:]) & (F.col(f"o.{of[0]}") == F.coalesce(F.col(f"best.{of[0]}"), F.lit(0)))
+    return rows.select(*by, F.col("o.p").alias("p"), "d", F.col("o.q").alias("q"), F.col("o.sp").alias("sp"), "sd", F.col("o.sq").alias("sq"), F.col("o.aic").alias("aic"),
+                       F.col("n").cast("int").alias("nobs"), same(["p", "sp", "q", "sq"]).alias("chosen"), F.when(short, "short history").alias("reason"))
 
 
-def rolled(inputs: Column, ar: Sequence[Column], season: Column, d: Column, sd: Column, w: Column, base: Column, step1: Column, y: Column, m: int) -> Column:
+def rolled(inputs: Column, ar: Sequence[Column], season: Column, d: Column, sd: Column, w: Column, base: Column, step1: Column, y: Column, m: int,
+           ma: Sequence[Column] = (), season_ma: Column | None = None, e: Column | None = None, shock: Column | None = None) -> Column:
     """y over the steps of ``inputs``: each step's w is its input plus the lag terms, then summed back to levels.
-    ``w`` and ``y`` hold the last ``m`` values, oldest first."""
-    def step(acc, u):
-        new = u + season * acc["w"][0]
+    ``w``, ``y`` and ``e`` hold the last ``m`` values, oldest first; ``shock``: each step's own shock (none unless given)."""
+    with_e = bool(ma) or season_ma is not None
+    zeros = F.array_repeat(F.lit(0.0), m)
+
+    def step(acc, x):
+        new = x["u"] + x["v"] + season * acc["w"][0]
         for i, c in enumerate(ar, 1):
             new = new + c * acc["w"][m - i]
+        for i, c in enumerate(ma, 1):
+            new = new + c * acc["e"][m - i]
+        if season_ma is not None:
+            new = new + season_ma * acc["e"][0]
         return F.transform(F.array(new), lambda x: F.struct(
             x.alias("w"), F.when(d == 2, acc["step1"] + x).otherwise(x).alias("step1"),
             F.when(d == 0, x).when(d == 1, acc["base"] + x).otherwise(acc["base"] + acc["step1"] + x).alias("base")))[0]
 
-    def fold(acc, u):
+    def fold(acc, x):
         def put(s):
             level = s["base"] + F.when(sd == 1, acc["y"][0]).otherwise(0.0)
+            past = [F.concat(F.slice(acc["e"], 2, m - 1), F.array(x["v"])).alias("e")] if with_e else []
             return F.struct(F.concat(F.slice(acc["w"], 2, m - 1), F.array(s["w"])).alias("w"), s["base"].alias("base"), s["step1"].alias("step1"),
-                            F.concat(F.slice(acc["y"], 2, m - 1), F.array(level)).alias("y"), F.concat(acc["out"], F.array(level)).alias("out"))
-        return F.transform(F.array(step(acc, u)), put)[0]
+                            F.concat(F.slice(acc["y"], 2, m - 1), F.array(level)).alias("y"), *past, F.concat(acc["out"], F.array(level)).alias("out"))
+        return F.transform(F.array(step(acc, x)), put)[0]
 
-    start = F.struct(w.alias("w"), base.alias("base"), step1.alias("step1"), y.alias("y"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(inputs, start, fold, lambda acc: acc["out"])
+    steps = F.zip_with(inputs, shock if shock is not None else F.transform(inputs, lambda u: F.lit(0.0)), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+    buffer = [(e if e is not None else zeros).alias("e")] if with_e else []
+    start = F.struct(w.alias("w"), base.alias("base"), step1.alias("step1"), y.alias("y"), *buffer, F.array().cast("array<double>").alias("out"))
+    return F.aggregate(steps, start, fold, lambda acc: acc["out"])
 
 
-def ar_forecasts(fits: DataFrame, xs: Sequence[str], max_p: int = 2, max_sp: int = 1, by: Sequence[str] = KEYS, m: int = 12) -> DataFrame:
-    """by, step, month, yhat, se, reason: the best order rolled out over the horizon.  The standard error sums the
-    squared responses of the whole recursion, differences included, to a unit shock."""
+def arma_forecasts(fits: DataFrame, xs: Sequence[str], max_p: int = 2, max_sp: int = 1, by: Sequence[str] = KEYS, m: int = 12,
+                   max_q: int = 2, max_sq: int = 1) -> DataFrame:
+    """by, step, month, yhat, se, reason: the best order rolled out over the horizon from the last values and shocks.  The standard
+    error sums the squared responses of the whole recursion, moving averages and differences included, to a unit shock."""
     has, first = F.col("best").isNotNull(), 1 + len(xs)
     coef = lambda i: F.coalesce(F.col("best.coef")[i], F.lit(0.0))
+    at_e = first + max_p + max_sp
     f = fits.withColumn("last", F.get("past", F.size("past") - 1))
     f = f.withColumns({"d": F.when(has, F.col("d")).otherwise(1), "sd": F.when(has, F.col("sd")).otherwise(0), "ar": F.array(*[coef(first + i) for i in range(max_p)]),
-                       "season": coef(first + max_p) if max_sp else F.lit(0.0),
+                       "ma": F.array(*[coef(at_e + i) for i in range(max_q)]).cast("array<double>"), "season": coef(first + max_p) if max_sp else F.lit(0.0),
+                       "season_ma": coef(at_e + max_q) if max_sq else F.lit(0.0),
                        "base": F.when(has, F.col("last.base")).otherwise(F.col("last.y")), "step1": F.coalesce("last.step1", F.lit(0.0))})
     inputs = F.transform("ahead", lambda r: sum((coef(1 + i) * r[f"d_{x}"] for i, x in enumerate(xs)), coef(0)))
     tail = lambda c: F.slice(F.concat(F.array_repeat(F.lit(0.0), m), F.transform("past", lambda r: F.coalesce(r[c], F.lit(0.0)))), -m, m)
-    ar = [F.col("ar")[i] for i in range(max_p)]
+    ar, ma = ([F.col(c)[i] for i in range(k)] for c, k in (("ar", max_p), ("ma", max_q)))
     shape = (ar, F.col("season"), F.col("d"), F.col("sd"))
+    average = {"ma": ma, "season_ma": F.col("season_ma") if max_sq else None}
     zero = F.array_repeat(F.lit(0.0), m)
+    none = F.transform("ahead", lambda r: F.lit(0.0))
     shock = F.transform("ahead", lambda r, i: F.when(i == 0, 1.0).otherwise(0.0))
-    f = f.withColumns({"yhat": rolled(inputs, *shape, tail("w"), F.col("base"), F.col("step1"), tail("y"), m),
-                       "psi": rolled(shock, *shape, zero, F.lit(0.0), F.lit(0.0), zero, m),
+    f = f.withColumns({"yhat": rolled(inputs, *shape, tail("w"), F.col("base"), F.col("step1"), tail("y"), m, **average, e=tail("e")),
+                       "psi": rolled(none, *shape, zero, F.lit(0.0), F.lit(0.0), zero, m, **average, shock=shock),
                        "s2": safe_div(F.greatest(F.col("best.coef")[F.size("best.coef") - 1], F.lit(0.0)), F.col("n") - F.col("best.width"))})
     rows = f.select(*by, "s2", F.when(~has, "short history").alias("reason"), F.posexplode(
         F.zip_with("ahead", F.arrays_zip("yhat", "psi"), lambda r, v: F.struct(r["month"].alias("month"), v["yhat"].alias("yhat"), v["psi"].alias("psi")))).alias("i", "v"))
@@ -228,6 +271,11 @@ def ar_forecasts(fits: DataFrame, xs: Sequence[str], max_p: int = 2, max_sp: int
     return rows.select(*by, (F.col("i") + 1).alias("step"), "v.month", "v.yhat", F.sqrt(F.col("s2") * F.sum(F.col("v.psi") ** 2).over(sofar)).alias("se"), "reason")
 
 
+def ar_forecasts(fits: DataFrame, xs: Sequence[str], max_p: int = 2, max_sp: int = 1, by: Sequence[str] = KEYS, m: int = 12) -> DataFrame:
+    """``arma_forecasts`` of ``seasonal_ar`` fits."""
+    return arma_forecasts(fits, xs, max_p, max_sp, by, m, 0, 0)
+
+
 def log_input(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """by, month, y = log1p of the value (negative values count as 0), pol = z-scored policy count."""
     p = Window.partitionBy(*by)
@@ -237,16 +285,16 @@ def log_input(df: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
 
 
 def sarima(df: DataFrame, horizon: int = 36, holdout: int = 0, by: Sequence[str] = KEYS) -> DataFrame:
-    """Levels with 95 % bounds of the seasonal autoregression with the policy count as regressor."""
-    f = ar_forecasts(seasonal_ar(log_input(df, by), {"pol": True}, horizon, by, holdout), ["pol"], by=by)
-    return f.select(*by, F.lit("seasonal_ar").alias("model"), "month", F.expm1("yhat").alias("forecast"), F.expm1(F.col("yhat") - 1.96 * F.col("se")).alias("lo"),
+    """Levels with 95 % bounds of the seasonal autoregressive moving average with the policy count as regressor."""
+    f = arma_forecasts(seasonal_arma(log_input(df, by), {"pol": True}, horizon, by, holdout), ["pol"], by=by)
+    return f.select(*by, F.lit("seasonal_arma").alias("model"), "month", F.expm1("yhat").alias("forecast"), F.expm1(F.col("yhat") - 1.96 * F.col("se")).alias("lo"),
                     F.expm1(F.col("yhat") + 1.96 * F.col("se")).alias("hi"), "reason")
 
 
 def fee_rate(rates: DataFrame, premium: DataFrame, donor: DataFrame, spike_month: str, horizon: int = 36, holdout: int = 0,
              cap_growth: float = 1.5) -> DataFrame:
     """Fees = rate x premium.  ``rates``: tenant, month, rate, policy_count; ``premium``: tenant, month, prem; ``donor``: tenant,
-    moy, donor_seasonal.  The log rate without the donor's season follows an autoregression on policy count and spike, grows
+    moy, donor_seasonal.  The log rate without the donor's season follows an autoregressive moving average with policy count and spike, grows
     at most ``cap_growth`` a year from its last point, and gets the season back, its bounds too."""
     by = ["tenant"]
     p = Window.partitionBy("tenant")
@@ -255,8 +303,8 @@ def fee_rate(rates: DataFrame, premium: DataFrame, donor: DataFrame, spike_month
     src = rates.withColumn("moy", F.month("month")).join(donor, ["tenant", "moy"], "left").select(
         "tenant", "month", (F.ln(F.when(F.col("rate") > 0, F.col("rate"))) - season).alias("y"),
         ((pol - F.avg(pol).over(p)) / (F.stddev_pop(pol).over(p) + 1e-8)).alias("pol"), (F.col("month") == F.lit(spike_month).cast("date")).cast("double").alias("spike"))
-    fits = seasonal_ar(src, {"pol": True, "spike": False}, horizon, by, holdout, max_p=3, max_sp=0, seasonal=False)
-    f = ar_forecasts(fits, ["pol", "spike"], 3, 0, by)
+    fits = seasonal_arma(src, {"pol": True, "spike": False}, horizon, by, holdout, max_p=3, max_sp=0, max_q=2, max_sq=0, seasonal=False)
+    f = arma_forecasts(fits, ["pol", "spike"], 3, 0, by, max_q=2, max_sq=0)
     last = fits.select("tenant", F.get("past", F.size("past") - 1)["y"].alias("last_y"))
     f = f.join(last, "tenant").withColumn("moy", F.month("month")).join(donor, ["tenant", "moy"], "left").join(premium, ["tenant", "month"], "left")
     line = F.col("last_y") + F.lit(math.log(cap_growth) / 12) * F.col("step")

@@ -323,3 +323,70 @@ def test_seasonal_ar_continues_trend_and_season(spark):
     f = SM.ar_forecasts(fits, ["pol"]).toPandas().sort_values("step")
     assert len(f) == h and np.max(np.abs(f.yhat.to_numpy() - y[n:])) < 0.01
     assert (f.se > 0).all() and f.se.is_monotonic_increasing
+
+
+def shocks_by_hand(w, reach=6, season=12):
+    """Residuals of the long autoregression of a series; 0 where a lag is missing."""
+    lags = [*range(1, reach + 1), season, season + 1]
+    rows = np.arange(max(lags), len(w))
+    x = np.column_stack([np.ones(len(rows)), *[w[rows - i] for i in lags]])
+    e = np.zeros(len(w))
+    e[rows] = w[rows] - x @ np.linalg.lstsq(x, w[rows], rcond=None)[0]
+    return e
+
+
+def test_moving_averages_are_recovered(spark):
+    """MA(1) and seasonal MA(1) of known size; every order equals a plain regression on one sample."""
+    rng = np.random.default_rng(11)
+    n = 600
+    e = rng.normal(scale=0.2, size=n + 12)
+    ma = 3 + e[12:] + 0.6 * e[11:-1]
+    seasonal = 3 + e[12:] + 0.7 * e[:-12]
+    fits = SM.seasonal_arma(spark.createDataFrame(monthly({"ma": ma, "seasonal": seasonal}), AR_COLS), {"pol": True})
+    got = {r.series: r for r in fits.collect()}
+    for name, y in (("ma", ma), ("seasonal", seasonal)):
+        r = got[name]
+        assert (r.d, r.sd, len(r.orders)) == (0, 0, 36)
+        h, rows = shocks_by_hand(y), np.arange(12, n)
+        for o in r.orders:
+            x = np.column_stack([np.ones(len(rows)), *[y[rows - i] for i in range(1, o.p + 1)], *([y[rows - 12]] if o.sp else []),
+                                 *[h[rows - i] for i in range(1, o.q + 1)], *([h[rows - 12]] if o.sq else [])])
+            coef, sse, *_ = np.linalg.lstsq(x, y[rows], rcond=None)
+            assert o.aic == pytest.approx(len(rows) * np.log(sse[0] / len(rows)) + 2 * (x.shape[1] + 2), rel=1e-8)
+        assert r.best.aic == min(o.aic for o in r.orders)
+    one = next(o for o in got["ma"].orders if (o.p, o.sp, o.q, o.sq) == (0, 0, 1, 0))
+    year = next(o for o in got["seasonal"].orders if (o.p, o.sp, o.q, o.sq) == (0, 0, 0, 1))
+    assert one.coef[5] == pytest.approx(0.6, abs=0.08) and year.coef[7] == pytest.approx(0.7, abs=0.12)
+    assert got["ma"].best.q >= 1 and got["seasonal"].best.sq == 1
+    table = SM.order_table(fits).toPandas()
+    assert (table.groupby("series").chosen.sum() == 1).all() and len(table) == 72
+
+
+def test_rollout_with_moving_averages(spark):
+    """The shock buffer moves on, and a unit shock's response is the moving average's own."""
+    from pyspark.sql import functions as f
+    m, zero, d = 12, f.array_repeat(f.lit(0.0), 12), f.lit(0)
+    e = f.array(*[f.lit(float(i)) for i in range(1, 13)])
+    none = f.array_repeat(f.lit(0.0), 14)
+    shape = ([f.lit(0.0)], f.lit(0.0), d, d, zero, f.lit(0.0), f.lit(0.0), zero, m)
+    ma = {"ma": [f.lit(0.5), f.lit(0.25)], "season_ma": f.lit(2.0)}
+    got = spark.range(1).select(SM.rolled(none, *shape, **ma, e=e).alias("y")).first().y
+    assert got == [2.0 + 6.0 + 2.75, 4.0 + 3.0, *[2.0 * i for i in range(3, 13)], 0.0, 0.0]
+    shock = f.array(f.lit(1.0), *[f.lit(0.0)] * 13)
+    psi = spark.range(1).select(SM.rolled(none, *shape, **ma, shock=shock).alias("y")).first().y
+    assert psi == [1.0, 0.5, 0.25, *[0.0] * 9, 2.0, 0.0]
+    walk = spark.range(1).select(SM.rolled(none, [f.lit(0.0)], f.lit(0.0), f.lit(1), d, zero, f.lit(0.0), f.lit(0.0), zero, m, ma=[f.lit(0.5)], shock=shock).alias("y")).first().y
+    assert walk == [1.0, *[1.5] * 13]
+
+
+def test_moving_average_bounds(spark):
+    """The standard error of an MA(1) grows once and then stays: sqrt(s2 (1 + theta^2))."""
+    rng = np.random.default_rng(12)
+    e = rng.normal(scale=0.2, size=501)
+    y = 3 + e[1:] + 0.6 * e[:-1]
+    fits = SM.seasonal_arma(spark.createDataFrame(monthly({"s": y}), AR_COLS), {"pol": True}, 12, max_p=0, max_sp=0, max_q=1, max_sq=0)
+    theta = fits.first().best.coef[2]
+    f = SM.arma_forecasts(fits, ["pol"], 0, 0, max_q=1, max_sq=0).toPandas().sort_values("step")
+    ratio = f.se.to_numpy()[1:] / f.se.to_numpy()[0]
+    assert ratio == pytest.approx([np.sqrt(1 + theta ** 2)] * 11) and abs(f.se.iloc[0] - 0.2) < 0.02
+    assert f.yhat.to_numpy()[1:] == pytest.approx([f.yhat.iloc[1]] * 11)
