@@ -8,15 +8,17 @@ a window of ``WINDOW`` words, attention weights their states into one vector, an
 gives the window's logit.  A text is cut into overlapping windows every ``STRIDE`` words, all of them are
 scored, and the text's score is that of its highest window.
 
-Training knows only labels of whole texts, so each round scores all windows of a training text, takes
-the highest one, and back-propagates through it (through time, Adam).  It sees at most ``max_toxic``
-toxic and three times as many other labelled rows, and ``MAX_WINDOWS`` windows of one text, chosen by a seeded hash; both bounds
-are parameters of fitting alone - every text is scored whole.  Rows held out (crc32 of the doc_id as
+Training knows only labels of whole texts, so each round scores all windows of every training text, takes
+the highest one of each, and back-propagates through it (through time, Adam).  The executors read the training texts: they
+count the polarities over whole texts and, round after round, return the highest window of each text, so what reaches
+the driver is ``WINDOW`` words a labelled row and the polarity counts (a fixed number of rows), however long the texts are.  In half of the
+training windows the polarities are blanked, so that the learned inputs carry the score too.  At most ``max_toxic``
+toxic and three times as many other labelled rows are used; this bound on rows is the only one.  Rows held out (crc32 of the doc_id as
 text, modulo 5, is 0) are never used.
 
 Nulls: a null or empty text is one window of padding and gets that window's score; null labels are not
 used; a null doc_id counts as "" for the split.  Without both classes every score is the share of toxic training
-rows (0 without any).  Repeated rows score alike; rows that share a doc_id teach once, with the least text.  Empty tables give empty results; other columns are ignored.
+rows (0 without any).  Repeated rows score alike; rows that share a doc_id teach once, with the least text.  Empty tables give empty results; other columns are ignored, also clashing ones.
 """
 
 from __future__ import annotations
@@ -28,14 +30,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm.common import table, written
 
-WINDOW, STRIDE, MAX_WINDOWS = 32, 24, 60
-HIDDEN, EMBED, ATTEND = 6, 4, 6
-WORD_ROWS = RUN_ROWS = 1 << 8           # learned rows: few, so that rare words are not memorised
+WINDOW, STRIDE = 32, 24
+HIDDEN, EMBED, ATTEND = 8, 8, 8
+WORD_ROWS = RUN_ROWS = 1 << 14          # learned rows
 STAT_ROWS = 1 << 18                     # polarity rows
 PIECE = 24                              # characters of a word read together; longer words go on as more words
 PREFIXES, INNER = (3, 5, 6, 7, 8, 9), 4     # characters of the runs read at a word's start, and anywhere
 CACHE = 150_000
-TABLE_RATE = 0.03                       # the learned rows move slower than the network
+TABLE_RATE = 0.3                        # the learned rows move slower than the network
+DECAY = 0.1                             # share of a weight lost a step, in units of the rate
+LEAST_TEXTS = 6                         # training texts a learned word or run stands in
+BLANKED = 0.25                          # share of training windows that don't see the polarities
 FIXED = 4                               # polarities of a word
 TOKEN = re.compile(r"[^\W_]{1,%d}" % PIECE)
 F32 = np.float32
@@ -74,20 +79,23 @@ def polarity(hit: np.ndarray, miss: np.ndarray, hits: int, misses: int) -> np.nd
 
 
 def inputs(words: list[str], stats: dict) -> tuple:
-    """(word row, run rows, run weights, polarities) of words, for the network's first layer."""
+    """(word row, word weight, run rows, run weights, polarities) of words, for the network's first layer.  Words and runs that stand
+    in too few training texts have weight 0."""
     word, runs, real = hashed(words)
-    z = np.where(real, stats["runs"][(runs % STAT_ROWS).astype(np.int64)], 0)
+    at, each = (word % STAT_ROWS).astype(np.int64), (runs % STAT_ROWS).astype(np.int64)
+    z = np.where(real, stats["runs"][each], 0)
     n, head = real.sum(axis=1), len(PREFIXES)
-    fixed = np.stack([stats["words"][(word % STAT_ROWS).astype(np.int64)], z[:, :head].max(axis=1), z[:, head:].max(axis=1), z.sum(axis=1) / n], axis=1).astype(F32)
-    return (word % WORD_ROWS).astype(np.int64), (runs % RUN_ROWS).astype(np.int64), (real / n[:, None]).astype(F32), fixed
+    fixed = np.stack([stats["words"][at], z[:, :head].max(axis=1), z[:, head:].max(axis=1), z.sum(axis=1) / n], axis=1).astype(F32)
+    weight = (real & stats["known_runs"][each]) / n[:, None]
+    return (word % WORD_ROWS).astype(np.int64), stats["known_words"][at].astype(F32), (runs % RUN_ROWS).astype(np.int64), weight.astype(F32), fixed
 
 
 def first_layer(p: dict, x: tuple) -> np.ndarray:
-    word, runs, weight, fixed = x
+    word, known, runs, weight, fixed = x
     chars = np.zeros((len(word), EMBED), F32)
     for i in range(runs.shape[1]):
         chars += p["runs"][runs[:, i]] * weight[:, i:i + 1]
-    return np.concatenate([p["words"][word], chars, fixed], axis=1)
+    return np.concatenate([p["words"][word] * known[:, None], chars, fixed], axis=1)
 
 
 # ---------------------------------------------------------------- network
@@ -198,9 +206,9 @@ def gradients(p: dict, x: tuple, ids: np.ndarray, y: np.ndarray, weight: np.ndar
     per_word = np.zeros((len(used), dx.shape[2]), F32)
     np.add.at(per_word, place.reshape(-1), dx.reshape(-1, dx.shape[2]))
     g["words"], g["runs"] = np.zeros_like(p["words"]), np.zeros_like(p["runs"])
-    np.add.at(g["words"], part[0], per_word[:, :EMBED])
-    for i in range(part[1].shape[1]):
-        np.add.at(g["runs"], part[1][:, i], per_word[:, EMBED:2 * EMBED] * part[2][:, i:i + 1])
+    np.add.at(g["words"], part[0], per_word[:, :EMBED] * part[1][:, None])
+    for i in range(part[2].shape[1]):
+        np.add.at(g["runs"], part[2][:, i], per_word[:, EMBED:2 * EMBED] * part[3][:, i:i + 1])
     return g
 
 
@@ -227,58 +235,74 @@ def windows_of(n: int, first: int) -> np.ndarray:
     return np.where(at < n, at + first, -1)
 
 
-def fit(texts: list[list[str]], labels: np.ndarray, seed: int = 5, rounds: int = 6, passes: int = 3, rate: float = 0.02) -> dict:
-    """Fits the network to texts, each a list of windows (space-joined words), with labels 0 and 1."""
+def tables(count: np.ndarray, hits: int, misses: int) -> dict:
+    """Polarities and known rows of presence counts (kind, class, row)."""
+    known = count.sum(axis=1) >= LEAST_TEXTS
+    return {"words": polarity(count[0, 1], count[0, 0], hits, misses), "runs": polarity(count[1, 1], count[1, 0], hits, misses),
+            "known_words": known[0], "known_runs": known[1]}
+
+
+def without(count: np.ndarray, y: int) -> np.ndarray:
+    """The counts without one text of class ``y``, at every row that it has."""
+    return np.maximum(count - np.array([1 - y, y])[None, :, None], 0)
+
+
+def blank(stats: dict) -> dict:
+    """The same without polarities."""
+    return {k: v if k.startswith("known") else np.zeros_like(v) for k, v in stats.items()}
+
+
+def batch_rows(windows: list[list[str]], labels: np.ndarray, stats: list[dict]) -> tuple[tuple, np.ndarray, int]:
+    """Inputs of all words of the windows as clean and toxic texts see them, then both without polarities; the windows' rows in the first
+    two; and how many rows further (twice that number) a row's blanked one is."""
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for win in windows for w in win))}
+    n = len(vocabulary)
+    x = tuple(np.concatenate(part) for part in zip(*(inputs(list(vocabulary), s) for s in (*stats, *map(blank, stats)))))
+    ids = np.full((len(windows), WINDOW), -1)
+    for r, win in enumerate(windows):
+        ids[r, :len(win)] = [vocabulary[w] for w in win]
+    return x, np.where(ids >= 0, ids + n * labels[:, None], -1), n
+
+
+def fit(labels: np.ndarray, count: np.ndarray, highest, seed: int = 5, rounds: int = 6, passes: int = 4, rate: float = 0.02) -> dict:
+    """Fits the network to texts with labels 0 and 1.  ``count``: presence counts (kind, class, row) of their words and runs;
+    ``highest(model)``: the words of each text's highest window, scored as a model's ``stats`` by class and ``p`` (None: by polarity) do."""
     rng = np.random.default_rng(seed)
-    split = [[w.split(" ") if w else [] for w in t] for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in split for win in t for w in win))}
     hits, misses = int((labels == 1).sum()), int((labels == 0).sum())
-    if not hits or not misses or not vocabulary:
+    if not hits or not misses or not count.any():
         return {"constant": hits / max(hits + misses, 1)}
-    word, runs, real = hashed(list(vocabulary))
-    count = np.zeros((2, 2, STAT_ROWS), np.int32)                        # kind, class, row
-    for t, y in zip(split, labels):
-        w = np.unique([vocabulary[x] for win in t for x in win]).astype(np.int64)
-        count[0, y, np.unique(word[w] % STAT_ROWS).astype(np.int64)] += 1
-        count[1, y, np.unique(runs[w][real[w]] % STAT_ROWS).astype(np.int64)] += 1
-    tables = lambda c, h, m: {"words": polarity(c[0, 1], c[0, 0], h, m), "runs": polarity(c[1, 1], c[1, 0], h, m)}
-    stats = tables(count, hits, misses)
-    # in training a text's own count is left out of the polarities it sees: toxic texts get the first set of inputs
-    without = lambda y: np.maximum(count - np.array([1 - y, y])[None, :, None], 0)
-    own = [inputs(list(vocabulary), tables(without(y), hits, misses)) for y in (1, 0)]
-    x = tuple(np.concatenate(part) for part in zip(*own))
-    ids = np.full((sum(len(t) for t in split), WINDOW), -1)
-    owner = np.repeat(np.arange(len(split)), [len(t) for t in split])
-    for r, win in enumerate(win for t in split for win in t):
-        ids[r, :len(win)] = [vocabulary[w] for w in win]
-    ids[(ids >= 0) & (labels[owner] == 0)[:, None]] += len(vocabulary)
+    # in training a text's own count is left out of the polarities it sees
+    stats = [tables(without(count, y), hits, misses) for y in (0, 1)]
     p = new_parameters(seed)
     p["Wf"][2 * EMBED:], p["Wb"][2 * EMBED:] = np.abs(p["Wf"][2 * EMBED:]), np.abs(p["Wb"][2 * EMBED:])
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    loudest = x[3][:, :2].max(axis=1)
-    score = np.array([loudest[r[r >= 0]].max(initial=-9) for r in ids])   # the first round starts from the polarities
     step = 0
-    for _ in range(rounds):
-        order = np.lexsort((-score, owner))
-        top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
-        n_batches = -(-len(top) // 128)
-        for _ in range(max(passes, -(-45 // n_batches))):                # few texts are seen more often
-            for batch in np.array_split(rng.permutation(top), n_batches):
-                y = labels[owner[batch]]
-                g = gradients(p, x, ids[batch], y, np.full(len(batch), 1 / len(batch)))
+    for turn in range(rounds):
+        windows = highest({"p": p if turn else None, "stats": stats})     # the first round starts from the polarities
+        x, ids, n = batch_rows(windows, labels, stats)
+        if not n:
+            break
+        n_batches = -(-len(ids) // 128)
+        for _ in range(max(passes, -(-60 // n_batches))):                # few texts are seen more often
+            for batch in np.array_split(rng.permutation(len(ids)), n_batches):
+                y = labels[batch]
+                hide = (rng.random(len(batch)) < BLANKED)[:, None] & (ids[batch] >= 0)
+                g = gradients(p, x, ids[batch] + np.where(hide, 2 * n, 0), y, np.full(len(batch), 1 / len(batch)))
                 step += 1
                 for k, d in g.items():
                     m, v = moment[k]
                     m += 0.1 * (d - m)
                     v += 0.01 * (d * d - v)
                     pace = rate * TABLE_RATE if k in ("words", "runs") else rate
+                    if DECAY and k not in ("b", "cf", "cb"):
+                        p[k] *= F32(1 - pace * DECAY)
                     p[k] -= (pace * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)).astype(F32)
-        score = window_logits(p, word_gates(p, x), ids)
-    return {"p": p, "stats": stats}
+    return {"p": p, "stats": tables(count, hits, misses)}
 
 
 class Scorer:
-    """Scores texts; keeps the input gates of words already seen (bounded)."""
+    """Scores texts; keeps the input gates of words already seen (bounded).  Without a network a word counts by its polarity and
+    a window by its loudest word."""
 
     def __init__(self, model: dict):
         self.model = model
@@ -286,7 +310,12 @@ class Scorer:
 
     def reset(self):
         self.rows: dict[str, int] = {}
-        self.gates = tuple(np.zeros((0, 3 * HIDDEN), F32) for _ in "fb")
+        width = 3 * HIDDEN if self.model.get("p") else 1
+        self.gates = tuple(np.zeros((0, width), F32) for _ in "fb")
+
+    def word_values(self, words: list[str]) -> tuple:
+        x = inputs(words, self.model["stats"])
+        return word_gates(self.model["p"], x) if self.model["p"] else (x[-1][:, :2].max(axis=1, keepdims=True),) * 2
 
     def look_up(self, words: list[str]) -> np.ndarray:
         new = list(dict.fromkeys(w for w in words if w not in self.rows))
@@ -296,7 +325,7 @@ class Scorer:
                 new = list(dict.fromkeys(words))
             for at in range(0, len(new), 4096):
                 some = new[at:at + 4096]
-                fresh = word_gates(self.model["p"], inputs(some, self.model["stats"]))
+                fresh = self.word_values(some)
                 self.grow(len(self.rows) + len(some))
                 for g, f in zip(self.gates, fresh):
                     g[len(self.rows):len(self.rows) + len(some)] = f
@@ -305,13 +334,18 @@ class Scorer:
 
     def grow(self, n: int):
         if n > len(self.gates[0]):
-            self.gates = tuple(np.concatenate([g, np.zeros((max(n, 2 * len(g)) - len(g), 3 * HIDDEN), F32)]) for g in self.gates)
+            self.gates = tuple(np.concatenate([g, np.zeros((max(n, 2 * len(g)) - len(g), g.shape[1]), F32)]) for g in self.gates)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Scores 0 to 1 of whole texts; long texts are looked up and scored in runs of windows."""
-        if "constant" in self.model:
-            return np.full(len(texts), float(self.model["constant"]))
+    def window_scores(self, ids: np.ndarray) -> np.ndarray:
+        if self.model["p"]:
+            return window_logits(self.model["p"], self.gates, ids)
+        values = np.append(self.gates[0][:, 0], F32(-9))                 # -1, the padding, is the last
+        return values[ids].max(axis=1)
+
+    def best(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[str]]]:
+        """The logit and the words of each text's highest window (ties: the first); long texts are looked up and scored in runs of windows."""
         best = np.full(len(texts), -np.inf, F32)
+        where: list[list[str]] = [[] for _ in texts]
         held, owners, size = [], [], 0
 
         def flush():
@@ -322,9 +356,16 @@ class Scorer:
                 wins.append(windows_of(len(ws), first))
                 first += len(ws)
             at = np.concatenate(wins)
-            ids = np.where(at >= 0, rows[at], -1) if len(rows) else at
-            who = np.repeat(owners, [len(w) for w in wins])
-            np.maximum.at(best, who, window_logits(self.model["p"], self.gates, ids))
+            score = self.window_scores(np.where(at >= 0, rows[at], -1) if len(rows) else at)
+            part = np.repeat(np.arange(len(held)), [len(w) for w in wins])
+            begin = np.cumsum([0] + [len(w) for w in wins])
+            order = np.lexsort((np.arange(len(score)), -score, part))
+            for i in order[np.r_[True, part[order][1:] != part[order][:-1]]].tolist():
+                k, d = int(part[i]), owners[part[i]]
+                if score[i] > best[d]:
+                    best[d] = score[i]
+                    start = (i - int(begin[k])) * STRIDE
+                    where[d] = held[k][start:start + WINDOW]
             held.clear()
             owners.clear()
             size = 0
@@ -341,43 +382,92 @@ class Scorer:
                     flush()
         if held:
             flush()
-        return 1 / (1 + np.exp(-best.astype(np.float64)))
+        return best, where
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Scores 0 to 1 of whole texts."""
+        if "constant" in self.model:
+            return np.full(len(texts), float(self.model["constant"]))
+        return 1 / (1 + np.exp(-self.best(texts)[0].astype(np.float64)))
 
 
 def held_out(id_col):
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_toxic: int, seed: int) -> list:
-    """At most ``max_toxic`` toxic texts and three times as many others, cut to windows by the executors."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, max_toxic: int, seed: int) -> DataFrame:
+    """(id, y, text) of at most ``max_toxic`` toxic texts and three times as many others, whole, written to the shared folder."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter(~held_out(F.col("id")) & F.col("id").isNotNull()).distinct()
     some = known.filter("y = 1").orderBy(order).limit(max_toxic).unionByName(known.filter("y = 0").orderBy(order).limit(3 * max_toxic))
     chosen = written(some, "sample")
     body = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return written(body.repartition("id"), "training")
 
-    def cut(batches):
-        import zlib
 
+def presence(rows: DataFrame) -> np.ndarray:
+    """Counts (kind, class, row) of the texts in which a hashed word (kind 0) or run (kind 1) stands, over whole texts."""
+    def run(batches):
         import pandas as pd
 
+        count = np.zeros((2, 2, STAT_ROWS), np.int64)
         for b in batches:
-            out = []
-            for i, t in zip(b.id, b.text):
-                words = words_of(t)
-                starts = sorted(window_starts(len(words)), key=lambda s: zlib.crc32(f"{seed}:{s}".encode()))[:MAX_WINDOWS]
-                out.append([" ".join(words[s:s + WINDOW]) for s in sorted(starts)])
-            yield pd.DataFrame({"id": b.id, "y": b.y, "windows": out})
+            for y, t in zip(b.y, b.text):
+                words = list(dict.fromkeys(words_of(t)))
+                seen = [np.zeros(0, np.int64)] * 2
+                for at in range(0, len(words), 4096):
+                    word, runs, real = hashed(words[at:at + 4096])
+                    seen = [np.unique(np.concatenate([s, (h % STAT_ROWS).astype(np.int64)])) for s, h in zip(seen, (word, runs[real]))]
+                for kind in (0, 1):
+                    count[kind, y, seen[kind]] += 1
+        cell = np.flatnonzero(count)
+        yield pd.DataFrame({"cell": cell, "n": count.reshape(-1)[cell]})
+
+    got = rows.select("y", "text").mapInPandas(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(4 * STAT_ROWS, np.int64)                                # as many rows at most
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out.reshape(2, 2, STAT_ROWS)
+
+
+def highest_windows(rows: DataFrame, model: dict) -> dict:
+    """id -> words of the highest window of each training text, scored on the executors."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
-    rows = body.mapInPandas(cut, "id bigint, y int, windows array<string>").collect()
-    return sorted(((r.id, r.y, list(r.windows)) for r in rows))
+    def run(batches):
+        import pandas as pd
+
+        of = [Scorer({"p": sent.value["p"], "stats": s}) for s in sent.value["stats"]]
+        for b in batches:
+            out = [None] * len(b)
+            for y in (0, 1):
+                at = np.flatnonzero(b.y == y)
+                for i in range(0, len(at), 256):
+                    for k, words in zip(at[i:i + 256], of[y].best([b.text.iloc[j] for j in at[i:i + 256]])[1]):
+                        out[k] = " ".join(words)
+            yield pd.DataFrame({"id": b.id, "window": out})
+
+    got = {r.id: r.window.split() for r in rows.mapInPandas(run, "id bigint, window string").collect()}
+    sent.unpersist()
+    return got
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = 700, seed: int = 5) -> dict:
+    """The model of the labelled rows not held out."""
+    rows = training_rows(docs, labels, id_col, text, label, max_toxic, seed)
+    known = sorted((r.id, r.y) for r in rows.select("id", "y").collect())    # 4 * max_toxic at most
+    order = [i for i, _ in known]
+
+    def highest(model):
+        got = highest_windows(rows, model)
+        return [got[i] for i in order]
+
+    return fit(np.array([y for _, y in known], np.int64), presence(rows), highest, seed)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keys: list[str], id_col: str = "doc_id", text: str = "text", label: str = "toxic",
              max_toxic: int = 700, seed: int = 5) -> DataFrame:
     """(keys..., score) for every row of ``docs``; the model is fitted to the labelled rows not held out."""
-    rows = training_rows(docs, labels, id_col, text, label, max_toxic, seed)
-    model = docs.sparkSession.sparkContext.broadcast(fit([w for _, _, w in rows], np.array([y for _, y, _ in rows], np.int64), seed))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col, text, label, max_toxic, seed))
     src = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + ["score double"])
 

@@ -20,6 +20,7 @@ def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(12)]
     stats = {k: (rng.standard_normal(T.STAT_ROWS) * 0.3).astype(np.float32) for k in ("words", "runs")}
+    stats |= {k: np.ones(T.STAT_ROWS, bool) for k in ("known_words", "known_runs")}
     x = T.inputs(words, stats)
     p = {k: v.astype(np.float64) for k, v in T.new_parameters(1).items()}
     ids = np.full((3, T.WINDOW), -1)
@@ -140,4 +141,70 @@ def test_repeated_training_rows(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in (1, 2, 3, 4)] * 40, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)] * 3, "doc_id bigint, toxic int")
     rows = T.training_rows(docs, labels, "doc_id", "text", "toxic", 700, 5)
-    assert len(rows) == len({r[0] for r in rows}) > 0
+    assert rows.count() == rows.select("id").distinct().count() > 0
+
+
+def plain_forward(p, x):
+    """One window's logit, word by word and gate by gate, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    h = T.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    word, known, runs, weight, fixed = x
+    inp = [np.concatenate([p["words"][word[i]] * known[i], sum(p["runs"][r] * w for r, w in zip(runs[i], weight[i])), fixed[i]]) for i in range(len(word))]
+
+    def read(order, k):
+        state, out = np.zeros(h), {}
+        for i in order:
+            gate = inp[i] @ p[f"W{k}"] + p[f"c{k}"]
+            z, r = sig(gate[:h] + state @ p[f"U{k}"][:, :h]), sig(gate[h:2 * h] + state @ p[f"U{k}"][:, h:2 * h])
+            c = np.tanh(gate[2 * h:] + (r * state) @ p[f"U{k}"][:, 2 * h:])
+            state = z * state + (1 - z) * c
+            out[i] = state
+        return out
+
+    there, back = read(range(len(inp)), "f"), read(range(len(inp) - 1, -1, -1), "b")
+    states = [np.concatenate([there[i], back[i]]) for i in range(len(inp))]
+    e = np.exp([np.tanh(s @ p["A"]) @ p["a"] for s in states])
+    return sum(w * s for w, s in zip(e / e.sum(), states)) @ p["o"] + p["b"][0]
+
+
+def random_model(seed):
+    rng = np.random.default_rng(seed)
+    p = T.new_parameters(seed)
+    p["words"] = (rng.standard_normal(p["words"].shape) * 0.5).astype(np.float32)
+    stats = {k: (rng.standard_normal(T.STAT_ROWS) * 0.5).astype(np.float32) for k in ("words", "runs")}
+    return {"p": p, "stats": stats | {k: rng.random(T.STAT_ROWS) < 0.7 for k in ("known_words", "known_runs")}}
+
+
+def test_scorer_equals_plain_forward_pass():
+    """Every window of texts of many lengths, scored one by one."""
+    rng, model = random.Random(7), random_model(3)
+    texts = [prose(rng, n) for n in (1, 2, 31, 32, 33, 56, 57, 300)] + ["one", "Ünïcode 12 wörds!"]
+    best, where = T.Scorer(model).best(texts)
+    for text, got, words in zip(texts, best, where):
+        own = T.words_of(text)
+        windows = [own[s:s + T.WINDOW] for s in T.window_starts(len(own))]
+        logits = [plain_forward(model["p"], T.inputs(w, model["stats"])) for w in windows]
+        assert got == pytest.approx(max(logits), abs=1e-4)
+        assert words == windows[int(np.argmax(logits))]
+
+
+def test_one_toxic_window_in_a_long_training_text(spark):
+    """The executors find it among all windows of a 20,000-word text, and the polarities count the text once, whole."""
+    rng = random.Random(8)
+    long = prose(rng, 20_000).split()
+    long[13_337:13_337] = ["vilest", "scumbag"]
+    rows = spark.createDataFrame([(1, 1, " ".join(long)), (2, 0, prose(rng, 50)), (3, 1, "vilest scumbag " + prose(rng, 8)), (4, 0, prose(rng, 900)), (5, 0, None)], "id bigint, y int, text string")
+    count = T.presence(rows)
+    word, runs, real = T.hashed(["vilest"])
+    assert count[0, 1, int(word[0] % T.STAT_ROWS)] == 2 and count[0, 0, int(word[0] % T.STAT_ROWS)] == 0
+    brute = np.zeros_like(count)
+    for r in rows.collect():
+        w, rs, ok = T.hashed(sorted(set(T.words_of(r.text))) or [""])
+        if r.text:
+            brute[0, r.y, np.unique((w % T.STAT_ROWS).astype(int))] += 1
+            brute[1, r.y, np.unique((rs[ok] % T.STAT_ROWS).astype(int))] += 1
+    assert (count == brute).all()
+    got = T.highest_windows(rows, {"p": None, "stats": [T.tables(T.without(count, y), 2, 3) for y in (0, 1)]})
+    assert {"vilest", "scumbag"} & set(got[1]) and len(got[1]) == T.WINDOW and got[5] == []
+    assert all(len(w) <= T.WINDOW for w in got.values())
