@@ -9,6 +9,8 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerline.operators.stats import size_bound
+
 
 
 def newest_first(df: DataFrame, c: str, *tiebreak: str) -> DataFrame:
@@ -38,11 +40,29 @@ def head_records(df: DataFrame, order: Sequence[Column], n: int = 8) -> DataFram
     return df.orderBy(*order).limit(n)
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exact-n sample without replacement, deterministic under repartitioning:
-    rank rows by md5(key || seed) and keep the first n (a TakeOrderedAndProject)."""
+def sample_n(df: DataFrame, key: str, n: int, seed: int = 42, rounds: int | None = None) -> DataFrame:
+    """Exact-n sample without replacement, deterministic under repartitioning: the ``n`` rows with the smallest md5(key || seed).
+
+    Rows are counted by the first four hex digits of their hash and, where the frame's estimated size asks for a second of the ``rounds``, those of
+    the range that holds the n-th by the next four.  Only rows up to the last range's end, about ``n``, leave the scan to be
+    ordered (ties of the hash by key)."""
+    if n <= 0:
+        return df.limit(0)
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    return df.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+    rows = df.withColumn("_h", F.coalesce(h, F.lit("f" * 32)))          # a null key comes last
+    if rounds is None:
+        rounds = 1 if size_bound(df) / n < 1 << 16 else 2
+    hashes, top = rows.select("_h"), None
+    for r in range(1, rounds + 1):
+        # counts of ranges, smaller ones inside those found before; the range that holds the n-th row is the new top
+        digits = F.col("_h") if top is None else F.when(F.substring("_h", 1, 4 * r - 4) == F.col("_top"), F.substring("_h", 1, 4 * r)).otherwise(F.substring("_h", 1, 4 * r - 4))
+        part = hashes if top is None else hashes.withColumn("_top", top).filter(F.substring("_h", 1, 4 * r - 4) <= F.col("_top"))
+        counts = part.groupBy((F.substring("_h", 1, 4) if top is None else digits).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))      # 65,536 rows at most, and n
+        found = counts.withColumn("upto", upto).agg(F.coalesce(F.min(F.when(F.col("upto") >= n, F.col("p"))), F.max("p")).alias("t"))
+        top = found.select("t").scalar()
+    kept = rows.withColumn("_top", top).filter(F.substring(F.col("_h"), F.lit(1), F.length("_top")) <= F.col("_top"))
+    return kept.orderBy("_h", key).limit(n).drop("_h", "_top")
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

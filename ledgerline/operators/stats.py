@@ -13,30 +13,78 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+LEFT = 100_000         # rows that may be left for the last, single-task step of a quantile
+PARTS = 256            # ranges a narrowing round cuts a bracket into
+
+
+def size_bound(df: DataFrame) -> int:
+    """Catalyst's bytes of a frame's sources (files, ranges; unknown ones count as 0); nothing is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def _attach(x: DataFrame, st: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with their group's count and brackets."""
+    if by:
+        return x.join(st, list(by))
+    return x.withColumn("_st", st.select(F.struct("_n", "_lo", "_hi").alias("s")).scalar()).select("_x", "_st._n", "_st._lo", "_st._hi")
+
+
+def _inside(xj: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """(by..., i, _x): rows in the bracket of target i, once for each bracket they fall in."""
+    idx = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.col("_x") >= F.element_at("_lo", i + 1)) & (F.col("_x") <= F.element_at("_hi", i + 1)))
+    return xj.select(*by, "_x", F.explode(idx).alias("i"))
+
+
+def _narrowed(x: DataFrame, st: DataFrame, ps: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    """Brackets about ``PARTS`` times smaller: the rows of each are counted by ranges between their own approximate
+    quantiles, and the ranges that hold the target's two ranks are kept.  Ranges follow the values' ranks, so any distribution narrows alike."""
+    xj = _attach(x, st, by)
+    inside = _inside(xj, by, len(ps))
+    below = xj.groupBy(*by).agg(F.max("_n").alias("_n"), F.array(*[F.struct(F.lit(p).alias("p"), F.count(F.when(F.col("_x") < F.col("_lo")[i], 1)).alias("below"))
+                                                                  for i, p in enumerate(ps)]).alias("t"))
+    below = below.select(*by, "_n", F.posexplode("t").alias("i", "t")).select(*by, "_n", "i", "t.*")
+    cuts = inside.groupBy(*by, "i").agg(F.percentile_approx("_x", F.array(*[F.lit(j / PARTS) for j in range(1, PARTS)]), accuracy).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
+    part = inside.join(cuts, [*by, "i"]).groupBy(*by, "i", place.alias("_s")).agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    w = Window.partitionBy(*by, "i").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)             # PARTS rows a target
+    part = part.withColumn("_upto", F.sum("_c").over(w)).join(below, [*by, "i"])
+    r0 = F.floor(F.col("p") * (F.col("_n") - 1))
+    new = part.groupBy(*by, "i").agg(
+        F.max("_n").alias("_n"),
+        F.coalesce(F.min(F.when(F.col("below") + F.col("_upto") - 1 >= r0, F.col("_a"))), F.max("_b")).alias("lo"),
+        F.coalesce(F.max(F.when(F.col("below") + F.col("_upto") - F.col("_c") <= r0 + 1, F.col("_b"))), F.min("_a")).alias("hi"))
+    rows = F.sort_array(F.collect_list(F.struct("i", "lo", "hi")))
+    return new.groupBy(*by).agg(F.max("_n").alias("_n"), rows.alias("t")).select(
+        *by, "_n", F.transform("t", lambda r: r["lo"]).alias("_lo"), F.transform("t", lambda r: r["hi"]).alias("_hi"))
+
+
 def exact_quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, rounds: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (same as ``percentile`` / ``quantile_cont``)
     without gathering a group's values in one task; one path for groups of every size.
 
     Pass 1: per group, the row count and ``percentile_approx`` brackets around each target
-    rank.  Pass 2: the rows below each bracket, its neighbours (largest value below it,
+    rank (about 4n / accuracy rows).  Then ``rounds`` narrowing rounds, each of which leaves about one row in 256; as many as bring the
+    rows inside a bracket under ``LEFT`` by the size of the frame's sources: none for small frames, two (6,000 rows of 1e12 left) at most.  Last pass: the rows below each bracket, its neighbours (largest value below it,
     smallest above it) and the rows inside it, aggregated by value, with a running count over
-    those few values (about 4n / accuracy per target).  The two order statistics of a target
+    those few values.  The two order statistics of a target
     are picked among them; a target outside its bracket and neighbours raises an error.
     Output: (by..., i, p, q) with i the index into ``ps``."""
     ps = [float(p) for p in ps]
     eps = 2.0 / accuracy
     x = df.select(*by, F.col(c).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    if rounds is None:
+        rounds = min(2, math.ceil(math.log(max(size_bound(x) * 2 * eps / LEFT, 1)) / math.log(PARTS)))
     lo_ps = [max(p - eps, 0.0) for p in ps]
     hi_ps = [min(p + eps, 1.0) for p in ps]
     st = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
                             F.percentile_approx("_x", F.array(*map(F.lit, lo_ps)), accuracy).alias("_lo"),
                             F.percentile_approx("_x", F.array(*map(F.lit, hi_ps)), accuracy).alias("_hi"))
-    if by:
-        xj = x.join(st, list(by))
-    else:
-        xj = x.withColumn("_st", st.select(F.struct("_n", "_lo", "_hi").alias("s")).scalar()) \
-              .select("_x", "_st._n", "_st._lo", "_st._hi")
+    for _ in range(rounds):
+        st = _narrowed(x, st, ps, by, accuracy)
+    xj = _attach(x, st, by)
     aggs = []
     for i in range(len(ps)):
         under, over = F.col("_x") < F.col("_lo")[i], F.col("_x") > F.col("_hi")[i]
@@ -44,10 +92,8 @@ def exact_quantiles(df: DataFrame, c: str, ps: Sequence[float], by: Sequence[str
                           F.max(F.when(under, F.col("_x"))).alias("prev"), F.min(F.when(over, F.col("_x"))).alias("next")).alias(f"_t{i}")]
     targets = xj.groupBy(*by).agg(F.max("_n").alias("_n"), *aggs).select(
         *by, "_n", F.posexplode(F.array(*[F.col(f"_t{i}") for i in range(len(ps))])).alias("i", "t")).filter(F.col("_n") > 0)
-    # rows inside any bracket: emit (i, x) only for the brackets they fall in, combined by value
-    idx = F.filter(F.sequence(F.lit(0), F.lit(len(ps) - 1)),
-                   lambda i: (F.col("_x") >= F.element_at("_lo", i + 1)) & (F.col("_x") <= F.element_at("_hi", i + 1)))
-    inside = xj.select(*by, "_x", F.explode(idx).alias("i")).groupBy(*by, "i", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    # rows inside any bracket, combined by value
+    inside = _inside(xj, by, len(ps)).groupBy(*by, "i", "_x").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by, "i").orderBy("_x")
     inside = inside.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     targets = targets.select(*by, "i", "_n", "t.*", (F.col("t.p") * (F.col("_n") - 1)).alias("_h"))
@@ -125,24 +171,29 @@ def histogram(df: DataFrame, c: str, bins: int = 20, by: Sequence[str] = ()) ->
         F.coalesce("count", F.lit(0).cast("long")).alias("count"), "mean")
 
 
-def kde(df: DataFrame, c: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
+FINE = 16              # cells a density is binned to between two of its points
+
+
+def kde(df: DataFrame, c: str, grid: int = 200, cut: float = 3.0, fine: int = FINE) -> DataFrame:
     """Gaussian kernel density on ``grid`` points over [min - cut*h, max + cut*h],
-    Scott bandwidth h = sd * n^(-1/5).  Values are pre-aggregated to (value, count)
-    so the work is (#distinct values) x grid, each value fanning out to a bounded
-    ``grid`` points through ``sequence`` (no join)."""
-    x = F.col(c).cast("double")
-    vals = df.select(x.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("cnt"))
-    st = df.select(x.alias("v")).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"),
-                                     F.min("v").alias("mn"), F.max("v").alias("mx"))
-    st = st.select(F.struct("n", (F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))).alias("h"), "mn", "mx").alias("s")).scalar()
-    vals = vals.withColumn("_st", st)          # one subquery run, read through the column
-    n, h = F.col("_st.n"), F.col("_st.h")
-    lo = F.col("_st.mn") - F.lit(cut) * h
-    step = (F.col("_st.mx") + F.lit(cut) * h - lo) / F.lit(grid - 1)
-    pts = vals.select("v", "cnt", "_st", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
-    xg = lo + F.col("i") * step
-    u = (xg - F.col("v")) / h
-    dens = F.col("cnt") * F.exp(-0.5 * u * u)
-    norm = F.lit(1.0 / math.sqrt(2 * math.pi)) / (n * h)
-    return pts.groupBy("i", "_st").agg(F.sum(dens).alias("_s")).select(
-        F.col("i").alias("point"), (lo + F.col("i") * step).alias("x"), (F.col("_s") * norm).alias("density"))
+    Scott bandwidth h = sd * n^(-1/5).
+
+    Values are binned linearly: each is shared between the two neighbours of a grid ``fine`` times as dense, in one combined aggregate, and the kernel
+    is summed over that grid's cells only (``grid`` * ``fine`` of them), whatever the number of distinct values.  The density's relative error against
+    the exact sum is of the order (cell / h)^2 / 8: under 1e-4 while the values span fewer than 90 bandwidths (more cells beyond)."""
+    x = df.select(F.col(c).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    st = x.agg(F.count("v").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+    h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
+    lo = F.col("mn") - F.lit(cut) * h
+    step = (F.col("mx") + F.lit(cut) * h - lo) / F.lit(grid - 1)
+    st = st.select(F.struct("n", h.alias("h"), lo.alias("lo"), step.alias("step"), (step / fine).alias("cell")).alias("s")).scalar()
+    at = (F.col("v") - F.col("_st.lo")) / F.col("_st.cell")
+    cells = x.withColumn("_st", st).select("_st", F.floor(at).alias("k"), (at - F.floor(at)).alias("part")) \
+             .groupBy("k", "_st").agg(F.count(F.lit(1)).alias("all"), F.sum("part").alias("next"))
+    cells = cells.select("_st", F.explode(F.array(F.struct("k", (F.col("all") - F.col("next")).alias("w")), F.struct((F.col("k") + 1).alias("k"), F.col("next").alias("w")))).alias("c")) \
+                 .groupBy("_st", "c.k").agg(F.sum("c.w").alias("w"))
+    pts = cells.select("_st", "k", "w", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    u = (F.col("i") * F.col("_st.step") - F.col("k") * F.col("_st.cell")) / F.col("_st.h")
+    norm = F.lit(1.0 / math.sqrt(2 * math.pi)) / (F.col("_st.n") * F.col("_st.h"))
+    return pts.groupBy("i", "_st").agg(F.sum(F.col("w") * F.exp(-0.5 * u * u)).alias("_s")).select(
+        F.col("i").alias("point"), (F.col("_st.lo") + F.col("i") * F.col("_st.step")).alias("x"), (F.col("_s") * norm).alias("density"))

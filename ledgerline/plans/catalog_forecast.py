@@ -48,8 +48,13 @@ def long(spark, d):
     return FC.to_long(monthly(spark, d))
 
 
-def sql_forecasts(spark, d):
-    lg = long(spark, d)
+def kept(spark, d):
+    """The monthly series of every tenant, read once and written to the checkpoint folder: a few hundred rows a tenant, which the models
+    pass over many times."""
+    return cut_lineage(long(spark, d))
+
+
+def sql_forecasts(lg):
     return (FC.fc_seasonal_naive(lg)
             .unionByName(FC.fc_log_trend(lg, TREND_START))
             .unionByName(FC.fc_trend_season(lg, TREND_START)))
@@ -209,15 +214,39 @@ def q_features(spark, d):
     return FC.features(long(spark, d), 36, SPIKE)
 
 
-DEC_OUT = "SELECT d.tenant, d.series, d.month, d.y, d.trend, s.seasonal_index, d.y - d.trend - s.seasonal_index AS resid FROM dec1 d " \
-          "LEFT JOIN sidx s ON d.tenant = s.tenant AND d.series = s.series AND d.moy = s.moy"
+OVER_MA = "OVER (PARTITION BY tenant, series ORDER BY month ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
+OVER_T = "OVER (PARTITION BY tenant, series ORDER BY month)"
+ROUNDS = 2
+
+
+def robust_ctes(rounds: int = ROUNDS) -> dict[str, str]:
+    """The decomposition and its rounds of weights, a table a step."""
+    smooth = lambda c: f"(sum({c}) {OVER_MA} + 0.5 * (lag({c}, 6) {OVER_T} + lead({c}, 6) {OVER_T}))"
+    out = {"rs0": """SELECT tenant, series, moy, s - avg(s) OVER (PARTITION BY tenant, series) AS seasonal_index
+        FROM (SELECT tenant, series, moy, median(y - trend) AS s FROM dec1 GROUP BY 1, 2, 3) AS m""",
+           "rd0": """SELECT d.*, s.seasonal_index, d.y - d.trend - s.seasonal_index AS resid FROM dec1 d
+        LEFT JOIN rs0 s ON d.tenant = s.tenant AND d.series = s.series AND d.moy = s.moy"""}
+    for r in range(1, rounds + 1):
+        out[f"rw{r}"] = f"""SELECT tenant, series, month, moy, y, seasonal_index AS before, trend IS NOT NULL AS whole,
+            CASE WHEN resid IS NULL THEN 1.0 WHEN abs(resid) >= far THEN 0.0 ELSE pow(1 - pow(resid / far, 2), 2) END AS w
+            FROM (SELECT *, 6 * median(abs(resid)) OVER (PARTITION BY tenant, series) + 1e-9 AS far FROM rd{r - 1}) AS x"""
+        out[f"rz{r}"] = f"SELECT *, w * (y - coalesce(before, 0)) AS wz FROM rw{r}"
+        out[f"rt{r}"] = f"SELECT *, CASE WHEN whole THEN {smooth('wz')} / nullif({smooth('w')}, 0) END AS trend FROM rz{r}"
+        out[f"rs{r}"] = f"""SELECT tenant, series, moy, s - avg(s) OVER (PARTITION BY tenant, series) AS seasonal_index FROM (
+            SELECT tenant, series, moy, sum(w * (y - trend)) / nullif(sum(CASE WHEN y - trend IS NOT NULL THEN w END), 0) AS s FROM rt{r} GROUP BY 1, 2, 3) AS m"""
+        out[f"rd{r}"] = f"""SELECT d.*, s.seasonal_index, d.y - d.trend - s.seasonal_index AS resid FROM rt{r} d
+            LEFT JOIN rs{r} s ON d.tenant = s.tenant AND d.series = s.series AND d.moy = s.moy"""
+    return out
+
 
+CTE |= robust_ctes()
 
-@register("fc_decompose", sql=ow(*PREP, "dec0", "dec1", "sidx") + DEC_OUT, dbl=["y", "trend", "seasonal_index", "resid"],
-          dates=("month",))
+
+@register("fc_decompose", sql=ow(*PREP, "dec0", "dec1", *robust_ctes()) + f"SELECT tenant, series, month, y, trend, seasonal_index, resid FROM rd{ROUNDS}",
+          dbl=["y", "trend", "seasonal_index", "resid"], dates=("month",))
 def q_decompose(spark, d):
-    """Centred 2x12 moving-average trend, centred monthly seasonal index, residual (log1p scale)."""
-    return FC.decompose(long(spark, d)).select("tenant", "series", "month", "y", "trend", "seasonal_index", "resid")
+    """Moving-average trend, centred monthly seasonal index and residual (log1p scale) after two rounds of bisquare weights."""
+    return FC.decompose(long(spark, d), robust=ROUNDS).select("tenant", "series", "month", "y", "trend", "seasonal_index", "resid")
 
 
 @register("fc_seasonal_index", sql=ow(*PREP, "dec0", "dec1", "sidx") + """SELECT s.tenant, s.moy, avg(s.seasonal_index) AS donor_seasonal
@@ -258,7 +287,7 @@ FC_DBL = ["forecast"]
           + " AND ".join(f"{m} IS NOT NULL" for m in MODELS) + " GROUP BY 1, 2, 3", dbl=MODELS, dates=())
 def q_compare(spark, d):
     """Models aligned on common months, annual totals side by side."""
-    return FC.compare(sql_forecasts(spark, d), MODELS)
+    return FC.compare(sql_forecasts(kept(spark, d)), MODELS)
 
 
 @register("melt_models", sql=ow(*FCS, "wide") + """SELECT tenant, series, year, model, value FROM (SELECT tenant, series, CAST(year(month) AS INTEGER) AS year, """
@@ -266,26 +295,26 @@ def q_compare(spark, d):
           + f" GROUP BY 1, 2, 3) UNPIVOT (value FOR model IN ({', '.join(MODELS)}))", dbl=["value"], dates=())
 def q_melt(spark, d):
     """Wide model columns -> (year, series, model, value)."""
-    return melt(FC.compare(sql_forecasts(spark, d), MODELS), ["tenant", "series", "year"], MODELS, "model", "value")
+    return melt(FC.compare(sql_forecasts(kept(spark, d)), MODELS), ["tenant", "series", "year"], MODELS, "model", "value")
 
 
 @register("fc_ensemble", sql=ow(*FCS, "ens") + "SELECT * FROM ens", dbl=FC_DBL, dates=("month",))
 def q_ensemble(spark, d):
     """Equal-weight mean of the models per series and month."""
-    return FC.ensemble(sql_forecasts(spark, d))
+    return FC.ensemble(sql_forecasts(kept(spark, d)))
 
 
 @register("fc_band", sql=ow(*FCS, "wide") + "SELECT *, least(" + ", ".join(MODELS) + ") AS low, greatest(" + ", ".join(MODELS)
           + ") AS high FROM wide", dbl=MODELS + ["low", "high"], dates=("month",))
 def q_band(spark, d):
     """Min-max range across models per month."""
-    return FC.band(sql_forecasts(spark, d), MODELS)
+    return FC.band(sql_forecasts(kept(spark, d)), MODELS)
 
 
 @register("agg_row_minmax", sql=ow(*FCS, "wide") + "SELECT tenant, series, month, least(" + ", ".join(MODELS) + ") AS low, greatest("
           + ", ".join(MODELS) + ") AS high FROM wide", dbl=["low", "high"], dates=("month",))
 def q_row_minmax(spark, d):
-    w = FC.band(sql_forecasts(spark, d), MODELS)
+    w = FC.band(sql_forecasts(kept(spark, d)), MODELS)
     lo, hi = model_range(MODELS)
     return w.select("tenant", "series", "month", lo.alias("low"), hi.alias("high"))
 
@@ -300,9 +329,9 @@ def q_row_minmax(spark, d):
           dbl=["topline", "yoy"], dates=())
 def q_yoy(spark, d):
     """Annual topline (actual months where present, else forecast) vs the base-year actual."""
-    lg = long(spark, d)
+    lg = kept(spark, d)
     act = lg.groupBy("tenant", "month").agg(F.sum("value").alias("value"))
-    ens = FC.ensemble(sql_forecasts(spark, d)).groupBy("tenant", "month").agg(F.sum("forecast").alias("forecast"))
+    ens = FC.ensemble(sql_forecasts(lg)).groupBy("tenant", "month").agg(F.sum("forecast").alias("forecast"))
     return FC.yoy(ens, act, BASE_YEAR)
 
 
@@ -317,7 +346,7 @@ INS = f"""SELECT l.tenant, l.series, l.month, l.value, exp(tr.intercept + tr.slo
     WHERE rn <= 12 GROUP BY 1, 2""", dbl=["mape"], dates=())
 def q_mape(spark, d):
     """MAPE of the trend+season fit over each series' last 12 months."""
-    lg = long(spark, d)
+    lg = kept(spark, d)
     tr = FC.log_trend(lg, TREND_START)
     s = FC.seasonal_by_month(FC.decompose(lg))
     ins = lg.join(tr, ["tenant", "series"]).withColumn("moy", F.month("month")).join(s, ["tenant", "series", "moy"], "left")
@@ -337,7 +366,7 @@ def q_year(spark, d):
     sum(CASE WHEN series = 'renewal_premium' THEN forecast END) AS renewal_premium, sum(CASE WHEN series = 'fees' THEN forecast END) AS fees,
     sum(forecast) AS topline_revenue FROM ens""", dbl=["new_premium", "renewal_premium", "fees", "topline_revenue"], dates=(), digits=2)
 def q_grand(spark, d):
-    e = FC.ensemble(sql_forecasts(spark, d))
+    e = FC.ensemble(sql_forecasts(kept(spark, d)))
     s = F.col("series")
     return grand_total(e, {"new_premium": F.sum(F.when(s == "new_premium", F.col("forecast"))),
                            "renewal_premium": F.sum(F.when(s == "renewal_premium", F.col("forecast"))),
@@ -419,16 +448,20 @@ RATE_START = "1998-01-01"
 KEYS = ["tenant", "series"]
 
 
-def _train(lg):
-    """Each series from its own training start, clipped to its 2.5 / 97.5 % quantiles (fees: 5 / 95 %)."""
+def _train(lg, holdout=0):
+    """Each series from its own training start, clipped to its 2.5 / 97.5 % quantiles (fees: 5 / 95 %) of the months before the
+    last ``holdout``, which stay as rows without a value."""
     tr = SM.since(lg, TRAIN_STARTS)
+    if holdout:
+        last = F.add_months(F.max("month").over(Window.partitionBy(*KEYS)), -holdout)
+        tr = tr.withColumn("_cut", last).withColumn("value", F.when(F.col("month") <= F.col("_cut"), F.col("value"))).drop("_cut")
     fees = F.col("series") == "fees"
     return FC.winsorise(tr.filter(~fees), 0.025, 0.975).unionByName(FC.winsorise(tr.filter(fees), 0.05, 0.95))
 
 
-def _saturating(train):
-    donor = SM.year_shape(train.filter(F.col("series") == "new_premium")).select("tenant", "moy", "shape")
-    return SM.saturating(train.filter(F.col("series") == "fees"), donor, SPIKE)
+def _saturating(train, holdout=0):
+    donor = SM.year_shape(train.filter(F.col("series") == "new_premium"), holdout=holdout).select("tenant", "moy", "shape")
+    return SM.saturating(train.filter(F.col("series") == "fees"), donor, SPIKE, 12 if holdout else 36, holdout=holdout)
 
 
 def _sarima(lg, holdout=0):
@@ -440,7 +473,7 @@ def _fee_rate(lg, premium, holdout=0):
                                              F.max(F.when(F.col("series") == "fees", F.col("policy_count"))).alias("policy_count"))
     rates = wide.filter(F.col("month") >= F.lit(RATE_START).cast("date")).select(
         "tenant", "month", safe_div(F.col("fees"), F.col("new_premium") + F.col("renewal_premium")).alias("rate"), "policy_count")
-    return SM.fee_rate(rates, premium, FC.donor_season(FC.decompose(lg), PREMIUMS), SPIKE, 12 if holdout else 36, holdout)
+    return SM.fee_rate(rates, premium, FC.donor_season(FC.decompose(lg, robust=ROUNDS), PREMIUMS), SPIKE, 12 if holdout else 36, holdout)
 
 
 def _residual(lg):
@@ -472,33 +505,42 @@ def _models(lg):
 
 @register("fc_additive", dates=("month",))
 def q_additive(spark, d):
-    """Ridge fit of log value on trend bends, the year's harmonics and policy count, 36 steps, capped at 2x last."""
-    return SM.additive(_train(long(spark, d)))
+    """Ridge fit of log value on the trend bends it needs, the year's harmonics and policy count, 36 steps, capped at 2x last."""
+    return SM.additive(_train(kept(spark, d)))
+
+
+@register("fc_trend_bends", dates=())
+def q_bends(spark, d):
+    """Per series the number of its trend's bends, chosen out of 25 candidates, and their months."""
+    tr = _train(kept(spark, d))
+    months = F.sort_array(F.collect_list(F.date_format("month", "yyyy-MM")))
+    found = SM.trend_bends(tr).groupBy(*KEYS).agg(F.count("*").alias("n_bends"), F.array_join(months, " ").alias("bends"))
+    return tr.select(*KEYS).distinct().join(found, KEYS, "left").fillna({"n_bends": 0, "bends": ""})
 
 
 @register("fc_logistic_borrowed", dates=("month",))
 def q_saturating(spark, d):
     """Fees: growth between floor and cap with policy count and spike, plus half the donor's yearly shape."""
-    return _saturating(_train(long(spark, d)))
+    return _saturating(_train(kept(spark, d)))
 
 
 @register("fc_order_search")
 def q_orders(spark, d):
     """AIC of every order per series on one sample, differences chosen by tests before; the chosen order is the minimum."""
-    return SM.order_table(SM.seasonal_arma(SM.log_input(SM.since(long(spark, d), AR_STARTS)), {"pol": True}))
+    return SM.order_table(SM.seasonal_arma(SM.log_input(SM.since(kept(spark, d), AR_STARTS)), {"pol": True}))
 
 
 @register("fc_sarima", dates=("month",))
 def q_sarima(spark, d):
     """Seasonal autoregressive moving average of the chosen order for every series, 36 steps with 95 % bounds."""
-    return SM.sarima(SM.since(long(spark, d), AR_STARTS))
+    return SM.sarima(SM.since(kept(spark, d), AR_STARTS))
 
 
 @register("fc_fee_rate", dates=("month",))
 def q_fee_rate(spark, d):
     """fees / total premium, de-seasoned by the donor index, autoregressive moving average with policy count and spike,
     capped at +50%/yr, times the premium forecast (joined on tenant, month)."""
-    lg = long(spark, d)
+    lg = kept(spark, d)
     return _fee_rate(lg, _premium(_sarima(lg)))
 
 
@@ -506,25 +548,25 @@ def q_fee_rate(spark, d):
 def q_residual(spark, d):
     """Residuals after trend and season: one linear model over 12 lags of residual, policy count and spike and the
     month's waves (all series), rolled out per series; levels of the known months and of 36 more."""
-    return _residual(cut_lineage(long(spark, d)))
+    return _residual(kept(spark, d))
 
 
 @register("fc_models", dates=("month",))
 def q_models(spark, d):
     """Forecasts of the additive, residual and seasonal-AR models for every series."""
-    return _models(cut_lineage(long(spark, d)))
+    return _models(kept(spark, d))
 
 
 @register("fc_model_ensemble", dates=("month",))
 def q_model_ensemble(spark, d):
     """Equal-weight mean of the three models per month, with total premium and topline."""
-    return FC.totals(FC.ensemble(_models(cut_lineage(long(spark, d)))))
+    return FC.totals(FC.ensemble(_models(kept(spark, d))))
 
 
 @register("fc_model_yoy", dates=())
 def q_model_yoy(spark, d):
     """Annual topline of every model and of their mean against the base-year actual."""
-    lg = cut_lineage(long(spark, d))
+    lg = kept(spark, d)
     models = cut_lineage(_models(lg))
     both = models.unionByName(FC.ensemble(models).withColumn("model", F.lit("ensemble")))
     top = both.groupBy("tenant", "model", "month").agg(F.sum("forecast").alias("forecast"))
@@ -535,11 +577,14 @@ def q_model_yoy(spark, d):
 @register("fc_holdout_mape", dates=())
 def q_holdout_mape(spark, d):
     """MAPE per series and model on the last 12 months, which no fit has seen."""
-    lg = cut_lineage(long(spark, d))
+    lg = kept(spark, d)
     actual = lg.filter(F.col("value").isNotNull())
     ar = _sarima(lg, 12)
     premium = actual.filter(F.col("series").isin(PREMIUMS)).groupBy("tenant", "month").agg(F.sum("value").alias("prem"))
     fees = _fee_rate(lg, premium, 12).withColumn("model", F.lit("seasonal_arma"))
     res = _residual(lg).filter("NOT is_future").withColumn("model", F.lit("residual"))
+    tr = _train(lg, 12)
+    add = SM.additive(tr.filter(F.col("series").isin(PREMIUMS)), 12, holdout=12)
+    sat = _saturating(tr, 12)
     cols = [*KEYS, "month", "model", "forecast"]
-    return FC.mape(actual, ar.select(*cols).unionByName(fees.select(*cols)).unionByName(res.select(*cols)))
+    return FC.mape(actual, reduce(lambda a, b: a.unionByName(b), [f.select(*cols) for f in (ar, fees, res, add, sat)]))

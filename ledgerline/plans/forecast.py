@@ -115,22 +115,43 @@ def features(df: DataFrame, horizon: int = 36, spike_month: str | None = None, o
 # decomposition, seasonal index, trend
 # ---------------------------------------------------------------------------
 
-def decompose(df: DataFrame, m: int = 12, by: Sequence[str] = KEYS, col: str = "value") -> DataFrame:
+def decompose(df: DataFrame, m: int = 12, by: Sequence[str] = KEYS, col: str = "value", robust: int = 0) -> DataFrame:
     """Centred 2 x m moving average trend on log1p(value), seasonal = month means of
-    the detrended series centred to sum 0, residual = the rest."""
-    w = Window.partitionBy(*by).orderBy("month")
-    y = F.log1p(F.col(col))
+    the detrended series centred to sum 0, residual = the rest.
+
+    With ``robust`` rounds the first seasonal means are medians, and then a month weighs (1 - (residual / s)^2)^2 with s six times the series' median absolute residual, 0
+    beyond s and 1 where it has no residual; the trend is then the weighted moving average of the series without its season, the
+    season the weighted month means.  All of it is window columns over one partitioning."""
+    p, o = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("month")
+    same_month = Window.partitionBy(*by, "moy")
     half = m // 2
-    d = df.withColumn("y", y)
-    inner = F.sum("y").over(w.rowsBetween(-(half - 1), half - 1))
-    ends = F.lag("y", half).over(w) + F.lead("y", half).over(w)
-    full = F.count("y").over(w.rowsBetween(-half, half))
-    d = d.withColumn("trend", F.when(full == m + 1, (inner + F.lit(0.5) * ends) / F.lit(m)))
-    d = d.withColumn("moy", F.month("month"))
-    idx = d.groupBy(*by, "moy").agg(F.avg(F.col("y") - F.col("trend")).alias("_s"))
-    idx = idx.withColumn("seasonal_index", F.col("_s") - F.avg("_s").over(Window.partitionBy(*by))).drop("_s")
-    out = d.join(idx, [*by, "moy"], "left")
-    return out.withColumn("resid", F.col("y") - F.col("trend") - F.col("seasonal_index"))
+    whole = F.count("y").over(o.rowsBetween(-half, half)) == m + 1
+
+    def smooth(c):
+        ends = F.lag(c, half).over(o) + F.lead(c, half).over(o)
+        return F.sum(c).over(o.rowsBetween(-(half - 1), half - 1)) + F.lit(0.5) * ends
+
+    def with_season(d, weight):
+        """Weighted month means (without weights: medians) of y - trend, centred over the months that have one."""
+        off = F.col("y") - F.col("trend")
+        middle = F.percentile(off, F.lit(0.5)).over(same_month) if weight is None else \
+            safe_div(F.sum(weight * off).over(same_month), F.sum(F.when(off.isNotNull(), weight)).over(same_month))
+        d = d.withColumn("_s", middle)
+        share = F.when(F.col("_s").isNotNull(), F.lit(1.0) / F.count(F.lit(1)).over(same_month))     # each month counts once
+        d = d.withColumn("_one", share)
+        d = d.withColumn("seasonal_index", F.col("_s") - F.sum(F.col("_s") * F.col("_one")).over(p) / F.sum("_one").over(p)).drop("_s", "_one")
+        return d.withColumn("resid", F.col("y") - F.col("trend") - F.col("seasonal_index"))
+
+    d = df.withColumns({"y": F.log1p(F.col(col)), "moy": F.month("month")})
+    d = with_season(d.withColumn("trend", F.when(whole, smooth("y") / F.lit(m))), None if robust else F.lit(1.0))
+    for _ in range(robust):
+        d = d.withColumn("_a", F.abs("resid")).withColumn("_far", 6 * F.percentile("_a", F.lit(0.5)).over(p) + F.lit(1e-9))
+        bisquare = F.pow(1 - F.pow(F.col("resid") / F.col("_far"), 2), 2)
+        d = d.withColumn("_w", F.when(F.col("resid").isNull(), 1.0).when(F.col("_a") >= F.col("_far"), 0.0).otherwise(bisquare))
+        d = d.withColumn("_wz", F.col("_w") * (F.col("y") - F.coalesce("seasonal_index", F.lit(0.0))))
+        d = d.withColumn("trend", F.when(whole, safe_div(smooth("_wz"), smooth("_w"))))
+        d = with_season(d, F.col("_w")).drop("_a", "_far", "_w", "_wz")
+    return d
 
 
 def seasonal_by_month(dec: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:

@@ -61,32 +61,94 @@ def products(names: Sequence[str]) -> Column:
     return F.expr("array(" + ", ".join(f"sum(if(ok, {a} * {b}, 0D))" for i, a in enumerate(names) for b in names[i:]) + ")")
 
 
+def inverse(a: np.ndarray) -> np.ndarray:
+    """Inverses of many symmetric systems (n, k, k), scaled by their diagonals; dependent directions are left out."""
+    size = np.sqrt(np.maximum(np.einsum("nii->ni", a), 1e-300))
+    return np.linalg.pinv(a / size[:, :, None] / size[:, None, :], rcond=1e-11, hermitian=True) / size[:, :, None] / size[:, None, :]
+
+
+def unpacked(sums: pd.Series, k: int) -> np.ndarray:
+    """The symmetric matrices of sums of products of [x_0 .. x_k-1, y]."""
+    upper = np.triu_indices(k + 1)
+    flat = np.stack(sums.to_numpy()).astype(float)
+    g = np.zeros((len(flat), k + 1, k + 1))
+    g[:, upper[0], upper[1]] = flat
+    g[:, upper[1], upper[0]] = flat
+    return g
+
+
+def squared_error(g: np.ndarray, coef: np.ndarray, cols: Sequence[int]) -> np.ndarray:
+    cols, k = list(cols), g.shape[1] - 1
+    return g[:, k, k] - 2 * (coef * g[:, cols, k]).sum(axis=1) + np.einsum("ni,nij,nj->n", coef, g[:, cols][:, :, cols], coef)
+
+
 def solver(k: int, subsets: Sequence[Sequence[int]], penalty: Sequence[float] | None = None):
     """Column function: products of [x_0 .. x_k-1, y] -> for each subset of the x the coefficients (0 outside it)
     and, last, the squared error.  Dependent columns share the smallest coefficients."""
-    upper = np.triu_indices(k + 1)
     ridge = np.array(penalty if penalty is not None else [0.0] * k)
 
     @F.pandas_udf("array<array<double>>")
     def solve(sums: pd.Series) -> pd.Series:
-        flat = np.stack(sums.to_numpy()).astype(float)
-        g = np.zeros((len(flat), k + 1, k + 1))
-        g[:, upper[0], upper[1]] = flat
-        g[:, upper[1], upper[0]] = flat
-        out = np.zeros((len(flat), len(subsets), k + 1))
+        g = unpacked(sums, k)
+        out = np.zeros((len(g), len(subsets), k + 1))
         for s, cols in enumerate(map(list, subsets)):
-            xx, xy = g[:, cols][:, :, cols], g[:, cols, k]
-            damped = xx + np.diag(ridge[cols])
-            size = np.sqrt(np.maximum(np.einsum("nii->ni", damped), 1e-300))
-            inverse = np.linalg.pinv(damped / size[:, :, None] / size[:, None, :], rcond=1e-11, hermitian=True)
-            coef = np.einsum("nij,nj->ni", inverse, xy / size) / size
+            coef = np.einsum("nij,nj->ni", inverse(g[:, cols][:, :, cols] + np.diag(ridge[cols])), g[:, cols, k])
             out[:, s, cols] = coef
-            out[:, s, k] = g[:, k, k] - 2 * (coef * xy).sum(axis=1) + np.einsum("ni,nij,nj->n", coef, xx, coef)
+            out[:, s, k] = squared_error(g, coef, cols)
         return pd.Series(out.tolist())
 
     return solve
 
 
+def chosen_bends(g: np.ndarray, n: np.ndarray, bends: Sequence[int], ridge: np.ndarray, strength: float, sweeps: int = 200) -> np.ndarray:
+    """(series, bends): which bends a series needs.  The other columns are projected out of the normal equations, and the bends' unit-length
+    parts get l1-penalised coefficients by coordinate descent, all series at once.  The penalty is ``strength`` times the level
+    that the largest of so many pure-noise correlations stays under, sigma sqrt(2 log number), sigma from the fit with every bend
+    (with none where that leaves under ten degrees of freedom)."""
+    k = g.shape[1] - 1
+    b, rest = list(bends), [i for i in range(k) if i not in set(bends)]
+    gram = g[:, :k, :k] + np.diag(ridge)
+    inner = inverse(gram[:, rest][:, :, rest])
+    cross = gram[:, b][:, :, rest]
+    system = gram[:, b][:, :, b] - cross @ inner @ cross.transpose(0, 2, 1)
+    score = g[:, b, k] - np.einsum("nbr,nrs,ns->nb", cross, inner, g[:, rest, k])
+    size = np.sqrt(np.maximum(np.einsum("nbb->nb", system), 0))
+    live = size > 1e-6 * np.sqrt(np.maximum(np.einsum("nbb->nb", g[:, b][:, :, b]), 1e-300))
+    size = np.where(live, size, 1)
+    corr, z = system / size[:, :, None] / size[:, None, :], np.where(live, score / size, 0)
+    every = np.einsum("nij,nj->ni", inverse(gram), g[:, :k, k])
+    none = np.einsum("nij,nj->ni", inner, g[:, rest, k])
+    free = n - k
+    variance = np.where(free >= 10, squared_error(g, every, range(k)) / np.maximum(free, 1), squared_error(g, none, rest) / np.maximum(n - len(rest), 1))
+    limit = strength * np.sqrt(np.maximum(variance, 0) * 2 * np.log(max(len(b), 2))) + 1e-6 * np.sqrt(np.maximum(g[:, k, k], 0))
+    beta = np.zeros_like(z)
+    for _ in range(sweeps):
+        before = beta.copy()
+        for j in range(len(b)):
+            left = z[:, j] - np.einsum("ni,ni->n", corr[:, j], beta) + beta[:, j] * corr[:, j, j]
+            beta[:, j] = np.where(live[:, j], np.sign(left) * np.maximum(np.abs(left) - limit, 0), 0)
+        if np.abs(beta - before).max(initial=0) < 1e-9:
+            break
+    return np.abs(beta) > 1e-9
+
+
+def sparse_solver(k: int, bends: Sequence[int], penalty: Sequence[float], strength: float = 1.5):
+    """Column function: products, number of rows -> coefficients of the ridge fit on the columns outside ``bends`` and the bends chosen
+    (0 elsewhere), and, last, the squared error."""
+    ridge = np.array(penalty)
+
+    @F.pandas_udf("array<double>")
+    def solve(sums: pd.Series, n: pd.Series) -> pd.Series:
+        g = unpacked(sums, k)
+        use = np.ones((len(g), k), bool)
+        use[:, list(bends)] = chosen_bends(g, n.to_numpy(dtype=float), bends, ridge, strength)
+        gram = (g[:, :k, :k] + np.diag(ridge)) * use[:, :, None] * use[:, None, :] + np.eye(k) * ~use[:, :, None]
+        coef = np.einsum("nij,nj->ni", inverse(gram), g[:, :k, k] * use)
+        return pd.Series(np.concatenate([coef, squared_error(g, coef, range(k))[:, None]], axis=1).tolist())
+
+    return solve
+
+
 def dot(coef: Column, columns: Sequence[Column]) -> Column:
     return F.aggregate(F.zip_with(coef, F.array(*columns), lambda c, x: c * x), F.lit(0.0), lambda a, x: a + x)
 
@@ -326,14 +388,15 @@ def harmonic(name: str, moy: Column) -> Column:
     return getattr(F, f)(moy * F.lit(2 * math.pi * int(k) / 12))
 
 
-def regressors(df: DataFrame, horizon: int, spike_month: str | None, by: Sequence[str]) -> DataFrame:
+def regressors(df: DataFrame, horizon: int, spike_month: str | None, by: Sequence[str], holdout: int = 0) -> DataFrame:
     """Timeline of a training frame (by, month, value, value_w, policy_count): y = log of the winsorised value where
     positive, t in years from the first month, pol (mean 1, held over the horizon), spike and the series' last value."""
     p, o = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("month")
     v = F.when(F.col("value").isNotNull() & (F.col("value_w") > 0), F.col("value_w"))
     src = df.select(*by, "month", F.ln(v).alias("y"), v.alias("v"),
                     F.coalesce("policy_count", F.lit(0.0)).alias("pol"))
-    rows = timeline(src, horizon, by)
+    rows = timeline(src, horizon, by, holdout)
+    rows = rows.withColumns({c: F.when(~F.col("is_future"), F.col(c)) for c in ("v", "pol")})       # held-out months are not seen
     t = month_index(F.col("month")) - F.min(month_index(F.col("month"))).over(p)
     mean = F.avg("pol").over(p)
     return rows.withColumns({"one": F.lit(1.0), "t": t / 12.0, "pol": F.coalesce(F.col("pol"), F.last("pol", ignorenulls=True).over(o), F.lit(0.0)) / (mean + 1e-8),
@@ -343,49 +406,67 @@ def regressors(df: DataFrame, horizon: int, spike_month: str | None, by: Sequenc
                              "ok": F.col("y").isNotNull()})
 
 
-def least_squares(rows: DataFrame, names: Sequence[str], penalty: Sequence[float], by: Sequence[str]) -> DataFrame:
-    """by, coef and sigma (root mean squared error; null without rows) of the ridge fit of y on columns ``names``."""
+def least_squares(rows: DataFrame, names: Sequence[str], penalty: Sequence[float], by: Sequence[str], bends: Sequence[str] = ()) -> DataFrame:
+    """by, n, coef and sigma (root mean squared error; null without rows) of the ridge fit of y on columns ``names``, of which
+    ``bends`` are used only where a series needs them."""
     k = len(names)
     per = rows.groupBy(*by).agg(products([*names, "y"]).alias("sums"), F.sum(F.col("ok").cast("int")).alias("n"))
-    per = per.withColumn("fit", solver(k, [list(range(k))], penalty)(F.col("sums"))[0])
+    at = [list(names).index(b) for b in bends]
+    fit = sparse_solver(k, at, penalty)(F.col("sums"), F.col("n")) if bends else solver(k, [list(range(k))], penalty)(F.col("sums"))[0]
+    per = per.withColumn("fit", fit)
     return per.select(*by, "n", F.slice("fit", 1, k).alias("coef"), F.when(F.col("n") > 0, F.sqrt(F.greatest(F.col("fit")[k], F.lit(0.0)) / F.col("n"))).alias("sigma"))
 
 
-def additive_design(df: DataFrame, horizon: int, by: Sequence[str], knots: int) -> tuple[DataFrame, list[str], list[float]]:
-    rows = regressors(df, horizon, None, by)
+BENDS = 25          # candidate bends of the trend, evenly over the first 80 % of the history
+
+
+def additive_design(df: DataFrame, horizon: int, by: Sequence[str], knots: int, holdout: int = 0) -> tuple[DataFrame, list[str], list[float], list[str]]:
+    rows = regressors(df, horizon, None, by, holdout)
     p = Window.partitionBy(*by)
     last = F.max(F.when(F.col("ok"), F.col("t"))).over(p)
-    rows = rows.withColumns({f"bend_{i}": F.greatest(F.col("t") - F.lit(0.8 * i / (knots + 1)) * last, F.lit(0.0)) for i in range(1, knots + 1)})
+    rows = rows.withColumn("last_t", last)
+    rows = rows.withColumns({f"bend_{i}": F.greatest(F.col("t") - F.lit(0.8 * i / (knots + 1)) * F.col("last_t"), F.lit(0.0)) for i in range(1, knots + 1)})
     rows = rows.withColumns({h: harmonic(h, F.month("month")) for h in YEAR})
     bends = [f"bend_{i}" for i in range(1, knots + 1)]
-    return rows, ["one", "t", *bends, *YEAR, "pol"], [0.0, 0.0, *[1.0] * knots, *[0.1] * len(YEAR), 0.1]
+    return rows, ["one", "t", *bends, *YEAR, "pol"], [0.0, 0.0, *[0.0] * knots, *[0.1] * len(YEAR), 0.1], bends
 
 
-def additive(df: DataFrame, horizon: int = 36, knots: int = 10, cap: float = 2.0, by: Sequence[str] = KEYS) -> DataFrame:
-    """Log value on a trend with up to ``knots`` bends in the first 80 % of the history, the year's harmonics and the policy
-    count (held), at most ``cap`` times the last training value, with 80 % bounds."""
-    rows, names, penalty = additive_design(df, horizon, by, knots)
-    f = rows.filter("is_future").join(least_squares(rows, names, penalty, by), list(by))
+def additive(df: DataFrame, horizon: int = 36, knots: int = BENDS, cap: float = 2.0, by: Sequence[str] = KEYS, holdout: int = 0) -> DataFrame:
+    """Log value on a trend with the bends that it needs out of ``knots``, the year's harmonics and the policy
+    count (held), at most ``cap`` times the last training value, with 80 % bounds.  The last ``holdout`` months are not fitted."""
+    rows, names, penalty, bends = additive_design(df, horizon, by, knots, holdout)
+    f = rows.filter("is_future").join(least_squares(rows, names, penalty, by, bends), list(by))
     f = f.withColumn("yhat", F.when(F.col("n") > 0, dot(F.col("coef"), [F.coalesce(c, F.lit(0.0)) for c in names])))
     level = lambda c: at_most(F.exp(c), cap * F.col("last_v"))
     return f.select(*by, F.lit("additive").alias("model"), "month", level(F.col("yhat")).alias("forecast"), level(F.col("yhat") - 1.28 * F.col("sigma")).alias("lo"),
                     level(F.col("yhat") + 1.28 * F.col("sigma")).alias("hi"), F.when(F.col("n") == 0, "no values").alias("reason"))
 
 
-def year_shape(df: DataFrame, by: Sequence[str] = KEYS, knots: int = 10) -> DataFrame:
+def trend_bends(df: DataFrame, by: Sequence[str] = KEYS, knots: int = BENDS) -> DataFrame:
+    """by, month, change: the chosen bends of each series' trend, with the change of its yearly log growth."""
+    rows, names, penalty, bends = additive_design(df, 0, by, knots)
+    span = rows.groupBy(*by).agg(F.min("month").alias("first"), F.max("last_t").alias("last_t"))
+    fit = least_squares(rows, names, penalty, by, bends).join(span, list(by))
+    at = names.index(bends[0])
+    place = F.posexplode(F.slice("coef", at + 1, knots)).alias("i", "change")
+    month = F.add_months("first", F.round(F.lit(12 * 0.8 / (knots + 1)) * (F.col("i") + 1) * F.col("last_t")).cast("int"))
+    return fit.select(*by, "first", "last_t", place).filter("abs(change) > 1e-12").select(*by, month.alias("month"), "change")
+
+
+def year_shape(df: DataFrame, by: Sequence[str] = KEYS, knots: int = BENDS, holdout: int = 0) -> DataFrame:
     """by, moy, shape: the yearly part of the additive fit."""
-    rows, names, penalty = additive_design(df, 0, by, knots)
+    rows, names, penalty, bends = additive_design(df, 0, by, knots, holdout)
     at = names.index(YEAR[0])
-    fit = least_squares(rows, names, penalty, by).select(*by, F.slice("coef", at + 1, len(YEAR)).alias("year"))
+    fit = least_squares(rows, names, penalty, by, bends).select(*by, F.slice("coef", at + 1, len(YEAR)).alias("year"))
     months = fit.select(*by, "year", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("moy"))
     return months.select(*by, "moy", dot(F.col("year"), [harmonic(h, F.col("moy")) for h in YEAR]).alias("shape"))
 
 
 def saturating(df: DataFrame, donor: DataFrame, spike_month: str | None, horizon: int = 36, cap: float = 2.0, floor: float = 0.5,
-               borrow: float = 0.5, by: Sequence[str] = KEYS) -> DataFrame:
+               borrow: float = 0.5, by: Sequence[str] = KEYS, holdout: int = 0) -> DataFrame:
     """Growth between a floor and a cap: the logit of the log value's place between them on time, policy count and spike,
     plus ``borrow`` times the year's shape of a donor (tenant, moy, shape)."""
-    rows = regressors(df, horizon, spike_month, by)
+    rows = regressors(df, horizon, spike_month, by, holdout)
     top, bottom = F.ln(cap * F.col("last_v")), F.ln(floor * F.col("first_v"))
     place = at_most(at_least(safe_div(F.col("y") - bottom, top - bottom), F.lit(1e-4)), F.lit(1 - 1e-4))
     rows = rows.withColumns({"top": top, "bottom": bottom, "y": F.ln(place / (1 - place))}).withColumn("ok", F.col("y").isNotNull())
@@ -412,7 +493,7 @@ def residual_rows(df: DataFrame, starts: Mapping[str, str], spike_month: str, ho
     series continues at most at its slope from the last point."""
     o, p = Window.partitionBy(*by).orderBy("month"), Window.partitionBy(*by)
     trend = log_trend(since(df, starts), "1900-01-01", by=by).select(*by, "slope", "intercept")
-    index = decompose(df, by=by).select(*by, "moy", "seasonal_index").distinct()
+    index = decompose(df, by=by, robust=2).select(*by, "moy", "seasonal_index").distinct()
     src = df.select(*by, "month", F.log1p(at_least(F.col("value"), F.lit(0.0))).alias("y"), F.coalesce("policy_count", F.lit(0.0)).alias("pol"))
     rows = timeline(src, horizon, by).withColumn("moy", F.month("month")).join(trend, list(by), "left").join(index, [*by, "moy"], "left")
     t = month_index(F.col("month"))

@@ -390,3 +390,145 @@ def test_moving_average_bounds(spark):
     ratio = f.se.to_numpy()[1:] / f.se.to_numpy()[0]
     assert ratio == pytest.approx([np.sqrt(1 + theta ** 2)] * 11) and abs(f.se.iloc[0] - 0.2) < 0.02
     assert f.yhat.to_numpy()[1:] == pytest.approx([f.yhat.iloc[1]] * 11)
+
+
+def bend_frame(spark, cases):
+    import datetime as dt
+    rows = [("T", name, dt.date(1995 + i // 12, i % 12 + 1, 1), float(np.exp(v)), float(np.exp(v)), 5.0) for name, y in cases.items() for i, v in enumerate(y)]
+    return spark.createDataFrame(rows, "tenant string, series string, month date, value double, value_w double, policy_count double")
+
+
+def test_bends_are_chosen(spark):
+    """A planted bend is found within one candidate's distance, two are told apart, and a straight series gets none."""
+    rng = np.random.default_rng(21)
+    t = np.arange(120)
+    season = 0.2 * np.sin(2 * np.pi * t / 12)
+    noise = lambda: rng.normal(scale=0.03, size=120)
+    cases = {f"straight{i}": 6 + 0.01 * t + season + noise() for i in range(12)}
+    cases |= {"exact": 6 + 0.01 * t, "one": 6 + 0.02 * t - 0.03 * np.maximum(t - 50, 0) + season + noise(),
+              "two": 6 + 0.03 * t - 0.05 * np.maximum(t - 30, 0) + 0.05 * np.maximum(t - 75, 0) + season + noise()}
+    got = {}
+    for r in SM.trend_bends(bend_frame(spark, cases)).collect():
+        got.setdefault(r.series, []).append(((r.month.year - 1995) * 12 + r.month.month - 1, r.change))
+    assert not [s for s in got if s.startswith("straight") or s == "exact"]
+    step = 0.8 * 119 / 26
+    for name, places in (("one", [50]), ("two", [30, 75])):
+        for place in places:
+            near = [c for m, c in got[name] if abs(m - place) <= 2 * step]
+            assert near, (name, got[name])
+            assert sum(near) == pytest.approx(12 * {50: -0.03, 30: -0.05, 75: 0.05}[place], rel=0.25)
+        assert all(min(abs(m - p) for p in places) <= 3 * step for m, _ in got[name]), got[name]
+
+
+def test_bends_equal_plain_coordinate_descent():
+    """One series at a time, on the columns themselves instead of their products."""
+    rng = np.random.default_rng(22)
+    t = np.arange(90) / 12
+    x = np.column_stack([np.ones(90), t, *[np.maximum(t - 0.25 * i, 0) for i in range(1, 20)], np.sin(2 * np.pi * t)])
+    bends, rest = list(range(2, 21)), [0, 1, 21]
+    g, want = [], []
+    for slope in (0.0, 0.4, -0.8):
+        y = 1 + 0.3 * t + slope * np.maximum(t - 2.5, 0) + rng.normal(scale=0.05, size=90)
+        full = np.column_stack([x, y])
+        g.append(full.T @ full)
+        out = np.eye(90) - x[:, rest] @ np.linalg.pinv(x[:, rest])
+        xb = out @ x[:, bends]
+        xb, yb = xb / np.linalg.norm(xb, axis=0), out @ y
+        sse = ((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum()
+        limit = 1.5 * np.sqrt(sse / (90 - 22) * 2 * np.log(19))
+        beta = np.zeros(19)
+        for _ in range(200):
+            for j in range(19):
+                r = xb[:, j] @ (yb - xb @ beta) + beta[j]
+                beta[j] = np.sign(r) * max(abs(r) - limit, 0)
+        want.append(np.abs(beta) > 1e-9)
+    got = SM.chosen_bends(np.stack(g), np.full(3, 90.0), bends, np.zeros(22), 1.5)
+    assert not got[0].any() and got[1].any() and got[2].any() and (got == np.stack(want)).all()
+
+
+def test_robust_split_resists_an_outlier(spark):
+    """One month ten times too high moves the plain season by a tenth or more of its height, the robust one by under a fifth of that."""
+    import datetime as dt
+    season = np.array([0.3, 0.1, -0.2, -0.4, 0.0, 0.2, 0.25, -0.1, -0.15, 0.05, 0.1, -0.15])
+    season -= season.mean()
+    rng = np.random.default_rng(23)
+    y = 6 + 0.01 * np.arange(96) + season[np.arange(96) % 12] + rng.normal(scale=0.02, size=96)
+    y[40] += np.log(10)
+    rows = [("T", "s", dt.date(1995 + i // 12, i % 12 + 1, 1), float(np.expm1(v)), 1.0) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "tenant string, series string, month date, value double, policy_count double")
+    off = {}
+    for rounds in (0, 2):
+        got = {r.moy: r.seasonal_index for r in FC.seasonal_by_month(FC.decompose(df, robust=rounds)).collect()}
+        off[rounds] = max(abs(got[i + 1] - season[i]) for i in range(12))
+    assert off[0] > 0.1 and off[2] < 0.05 and off[2] < 0.2 * off[0]
+    assert FC.decompose(df, robust=2).filter("resid IS NOT NULL").count() == 84
+
+
+def test_holdout_months_are_not_seen(spark):
+    """Changing the last twelve months changes no forecast of them."""
+    rng = np.random.default_rng(24)
+    y = 6 + 0.01 * np.arange(96) + rng.normal(scale=0.02, size=96)
+    other = np.concatenate([y[:84], y[84:] + 1])
+    out = [SM.additive(bend_frame(spark, {"s": v}), 12, holdout=12).toPandas().sort_values("month") for v in (y, other)]
+    assert out[0].forecast.to_numpy() == pytest.approx(out[1].forecast.to_numpy()) and len(out[0]) == 12
+    assert out[0].month.min().isoformat() == "2002-01-01"
+
+
+def test_narrowed_quantiles_are_exact(spark):
+    """Forced narrowing rounds change no result: ties, skew over many magnitudes, groups of one row, duplicates of the ranks."""
+    from ledgerline.operators import stats
+    rng = np.random.default_rng(31)
+    groups = {"ties": np.repeat([1.0, 2.0, 3.0], [5000, 3, 900]), "skew": 10.0 ** rng.uniform(-200, 200, 4000), "one": np.array([7.0]),
+              "same": np.full(500, -1.5), "normal": rng.normal(size=6000), "two": np.array([1.0, 9.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, x double").repartition(8)
+    ps = [0.0, 0.05, 0.5, 0.9, 0.999, 1.0]
+    for rounds in (1,):
+        got = {(r.g, r.i): r.q for r in stats.exact_quantiles(df, "x", ps, ["g"], accuracy=100, rounds=rounds).collect()}
+        for g, vs in groups.items():
+            for i, p in enumerate(ps):
+                assert got[g, i] == pytest.approx(np.quantile(vs, p), rel=1e-9), (g, p, rounds)
+    whole = {r.i: r.q for r in stats.exact_quantiles(df.filter("g = 'normal'"), "x", ps, accuracy=50, rounds=2).collect()}
+    assert [whole[i] for i in range(6)] == pytest.approx(list(np.quantile(groups["normal"], ps)))
+
+
+def test_narrowing_leaves_few_rows(spark):
+    """After a round a bracket holds a small part of its rows, and a frame of 1e8 rows and more gets rounds by its size alone."""
+    from ledgerline.operators import stats
+    x = spark.range(200_000).select((F.xxhash64("id") % 1_000_003).cast("double").alias("_x"))
+    st = x.agg(F.count("*").alias("_n"), F.percentile_approx("_x", F.array(F.lit(0.48)), 1000).alias("_lo"), F.percentile_approx("_x", F.array(F.lit(0.52)), 1000).alias("_hi"))
+    rows = lambda s: stats._inside(stats._attach(x, s, ()), (), 1).count()
+    before, after = rows(st), rows(stats._narrowed(x, st, [0.5], (), 10_000))
+    assert before > 7000 and after <= before / 100
+    big = spark.range(10 ** 11).select(F.col("id").cast("double").alias("x"))
+    p = plan(stats.exact_quantiles(big, "x", [0.9]))
+    assert p.count("percentile_approx") > plan(stats.exact_quantiles(spark.range(1000).select(F.col("id").cast("double").alias("x")), "x", [0.9])).count("percentile_approx")
+
+
+def test_sample_by_counted_prefixes(spark):
+    import hashlib
+    from ledgerline.operators.ordering import sample_n
+    ids = list(range(3000)) + [5, 5, 6]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(7)
+    order = sorted(ids, key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
+    for rounds in (1, 2):
+        for n in (0, 1, 40, 3003, 9000):
+            assert sorted(r.id for r in sample_n(df, "id", n, rounds=rounds).collect()) == sorted(order[:n]), (rounds, n)
+    assert sample_n(df.limit(0), "id", 5).count() == 0
+    # about n rows leave the scan
+    big = spark.range(400_000).select("id")
+    p = sample_n(big, "id", 100, rounds=2)
+    h = F.md5(F.concat(F.col("id").cast("string"), F.lit(":42")))
+    last = p.select(F.max(h)).first()[0]
+    assert big.filter(F.substring(h, 1, 8) <= last[:8]).count() <= 110
+
+
+def test_binned_density_error(spark):
+    """Against the exact sum over all values: relative error under 1e-4 wherever the density is not negligible."""
+    from ledgerline.operators.stats import kde
+    rng = np.random.default_rng(33)
+    v = np.concatenate([rng.normal(size=3000), rng.exponential(3, 2000), np.full(500, 2.0)])
+    got = kde(spark.createDataFrame([(float(a),) for a in v], "x double"), "x").toPandas().sort_values("point")
+    h = v.std(ddof=1) * len(v) ** -0.2
+    exact = np.exp(-0.5 * ((got.x.to_numpy()[:, None] - v) / h) ** 2).sum(axis=1) / np.sqrt(2 * np.pi) / len(v) / h
+    assert len(got) == 200 and np.abs(got.density.to_numpy() / exact - 1)[exact > 1e-6].max() < 1e-3
+    assert np.abs(got.density.to_numpy() - exact).max() < 1e-4 * exact.max()
