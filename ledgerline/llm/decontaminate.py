@@ -1,43 +1,45 @@
 """Benchmark decontamination: BM25 over test items with block-max pruning, then overlap checks.
 
-The indexed side is the benchmark: every test item, cut into segments of at most ``segment`` words,
-is a document of an inverted index (term -> segments with BM25 impacts).  The query side is every
-training passage: windows of ``2 * segment`` words, half overlapping, over each whole text, so every
+The indexed side is the benchmark: question and answer of every test item (without an answer column its last sentence is the
+answer) are segments of their own, cut after ``segment`` words, and each is a document of an inverted index (term -> segments with BM25 impacts).  The query
+side is every training passage: windows of ``2 * segment`` words, half overlapping, over each whole text, so every
 stretch of ``segment`` words lies in one passage.  Scores are divided by the segment's score against
 itself: 1 means that a passage holds all of its weighted terms.
 
 Search is WAND with block maxima, for many passages at once.  A passage whose summed list maxima stay
 under the threshold is skipped; segments are stored in blocks of ``BLOCK`` and, for the passages left,
 only blocks whose summed block maxima reach the threshold are opened and scored.  Both bounds
-are upper bounds, so all (passage, segment) pairs above the threshold are retrieved.
+are upper bounds, so all (passage, segment) pairs above the threshold are retrieved.  Short segments, whose few terms weigh much, have lists and
+maxima of their own (a tier), so that they don't loosen the bounds of the long ones.
 
-An item whose question and answer stand far apart, or in pieces, may reach the threshold in no passage.  So
-items are also retrieved by runs of their longer part: of its m runs a leak holds c at least, so any m - c + 1 of them (those with
-the rarest words) have one in the text.  Every item that verifies is thus retrieved, wherever its words stand.
-
-A retrieved pair is verified on the words: question and answer (an item's last sentence, unless given)
+An item is retrieved if any of its segments is: the question at the top of a text and the answer at its end, or one of both in pieces, is
+found by the other.  A retrieved item is verified on the words of the whole text: question and answer
 are each compared as ``shingle``-word runs (a shorter part as one run) and a document leaks an item when
 at least ``overlap`` of the question's and of the answer's runs stand in its text.
 
-The index goes to the tasks in shards whose size is counted first: items are dealt into as many shards as
-keep each under ``shard_words`` words, one shard is broadcast at a time, and every shard meets every
-passage (the stated query set against all rows, in blocks).  Term statistics cover all items.
+The index is built in shards: items are dealt into as many as keep each under ``shard_words`` words (their number is counted first), each
+shard is built by one executor task from its items and their words' counts over all items, and is stored in the shared folder.  Tasks over documents
+hold some batches of texts at a time and load the shards from there one after another, so nothing of the benchmark passes
+through the driver, a task holds one shard, documents are read once, and every shard meets every passage (the stated query set against all rows, in blocks).
 
 Nulls: null texts are empty, and an empty item can't leak; a null item_id or doc_id is kept as such.
-Repeated rows are judged alike.  Empty tables give empty results.  Other columns are ignored.
+Repeated rows are judged alike.  Very long texts are searched whole.  Empty tables give empty results.  Other columns are ignored, also clashing ones.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.llm.common import table, written
+from ledgerline.llm.common import scratch, table, written
 
 K1, B = 1.2, 0.75
 BLOCK = 16
+SHORT = 8                # words under which a segment belongs to the short tier
+HELD = 32 << 20          # bytes of texts a task holds while it goes through the shards
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -58,131 +60,106 @@ def runs(words: list[str], shingle: int) -> set:
     return set(zip(*(words[i:] for i in range(k)))) if k else set()
 
 
-FILTER = 1 << 20
-
-
-def run_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the runs of ``k`` term numbers, as far as all of them are known (not -1)."""
-    n = max(len(ids) - k + 1, 0)
-    h, real = np.zeros(n, np.uint64), np.ones(n, bool)
-    for i in range(k):
-        part = ids[i:i + n]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + (part + 1).astype(np.uint64)
-        real &= part >= 0
-    h = h[real]
-    return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-class Index:
-    """Impact-ordered blocks of one shard.  ``items``: (item number, question, answer); ``df``: word -> segments
-    holding it over all shards; ``n`` and ``mean``: number and mean length of all segments."""
+class Tier:
+    """Lists of some segments (term numbers, impacts) with list and block maxima."""
 
-    def __init__(self, items, df: dict, n: int, mean: float, segment: int, shingle: int, overlap: float = 0.8):
-        self.segment, self.shingle = segment, shingle
-        self.parts, self.owner, segments, longer = {}, [], [], {}
-        for number, question, answer in items:
-            parts = parts_of(question or "", answer)
-            self.parts[number] = [runs(p, shingle) for p in parts]
-            words = [w for p in parts for w in p]
-            if words:
-                longer[number] = max(range(len(parts)), key=lambda i: len(parts[i]))
-            for at in range(0, len(words), segment):
-                self.owner.append(number)
-                segments.append(words[at:at + segment])
-        self.terms = {w: i for i, w in enumerate(dict.fromkeys(w for s in segments for w in s))}
-        rows, cols, vals = [], [], []
-        for s, words in enumerate(segments):
-            count: dict[str, int] = {}
-            for w in words:
-                count[w] = count.get(w, 0) + 1
-            impact = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean)) for w, c in count.items()}
-            own = sum(impact.values())
-            for w, x in impact.items():
-                rows.append(self.terms[w])
-                cols.append(s)
-                vals.append(x / own)
-        self.n_segments = len(segments)
-        rows, cols, vals = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals)
+    def __init__(self, impacts: list[dict], owner: list[int], n_terms: int):
+        self.owner, self.n_segments = owner, len(impacts)
+        rows = np.array([t for s in impacts for t in s], np.int64)
+        cols = np.repeat(np.arange(len(impacts)), [len(s) for s in impacts])
+        vals = np.array([v for s in impacts for v in s.values()], float)
         order = np.lexsort((cols, rows))
         self.post_seg, self.post_val, rows = cols[order], vals[order], rows[order]
-        self.post_at = np.searchsorted(rows, np.arange(len(self.terms) + 1))
-        self.list_max = np.maximum.reduceat(self.post_val, self.post_at[:-1]) if len(rows) else np.zeros(0)
-        block = self.post_seg // BLOCK                       # block maxima: postings of a term grouped by block
-        head = np.ones(len(rows), bool)
+        head = np.ones(len(rows), bool)                      # block maxima: postings of a term grouped by block
+        block = self.post_seg // BLOCK
         head[1:] = (rows[1:] != rows[:-1]) | (block[1:] != block[:-1])
         first = np.flatnonzero(head)
         self.bm_block = block[first]
         self.bm_max = np.maximum.reduceat(self.post_val, first) if len(rows) else np.zeros(0)
-        self.bm_at = np.searchsorted(rows[first], np.arange(len(self.terms) + 1))
+        self.bm_at = np.searchsorted(rows[first], np.arange(n_terms + 1))
         self.bm_post = np.append(first, len(rows))           # where each block's postings begin
-        found: dict[int, list] = {}                          # run length: (hash, item) of the runs one of which a leak holds
-        for number, i in longer.items():
-            some = sorted(self.parts[number][i], key=lambda r: (min(df[w] for w in r), r))
-            for r in some[:len(some) - max(int(np.ceil(overlap * len(some) - 1e-9)), 1) + 1]:
-                found.setdefault(len(r), []).append((int(run_hashes(np.array([self.terms[w] for w in r]), len(r))[0]), number))
-        self.by_run = {}
-        for k, pairs in found.items():
-            hashes, numbers = np.array([h for h, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
-            order = np.argsort(hashes, kind="stable")
-            seen = np.zeros(FILTER, bool)
-            seen[hashes & np.uint64(FILTER - 1)] = True
-            self.by_run[k] = (hashes[order], numbers[order], seen)
-
-    def known(self, words: list[str]) -> np.ndarray:
-        """Term numbers of words, -1 for those in no item."""
-        return np.fromiter(map(self.terms.get, words, [-1] * len(words)), np.int64, len(words))
-
-    def sharing(self, known: np.ndarray) -> set:
-        """Numbers of the items with one of their indexed runs in a text: all that can reach the overlap are among them."""
-        out: set = set()
-        for k, (hashes, numbers, seen) in self.by_run.items():
-            h = run_hashes(known, k)
-            h = np.unique(h[seen[h & np.uint64(FILTER - 1)]])
-            for a, b in zip(np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")):
-                out.update(numbers[a:b].tolist())
-        return out
+        self.list_max = np.zeros(n_terms + 1)                # the last, for words in no item, stays 0
+        np.maximum.at(self.list_max, rows, self.post_val)
 
-    def search(self, words: list[str], threshold: float, known: np.ndarray | None = None) -> set:
-        """Numbers of the items with a segment scoring at least ``threshold`` against some passage of ``words``."""
-        known = self.known(words) if known is None else known
-        step = self.segment
-        starts = np.arange(0, max(len(words) - step, 1), step)
-        bound = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, self.list_max[known], 0.0))]) if len(self.terms) else np.zeros(len(words) + 1)
-        stops = np.minimum(starts + 2 * step, len(words))
-        live = np.flatnonzero(bound[stops] - bound[starts] >= threshold - 1e-9)           # list maxima
+    def search(self, known: np.ndarray, starts: np.ndarray, stops: np.ndarray, threshold: float) -> set:
+        """Owners of the segments that score ``threshold`` or more against some passage [start, stop) of term numbers (-1: no term)."""
         found: set = set()
+        if not self.n_segments:
+            return found
+        bound = np.concatenate([[0.0], np.cumsum(self.list_max[known])])
+        live = np.flatnonzero(bound[stops] - bound[starts] >= threshold - 1e-9)               # list maxima
+        n_blocks = -(-self.n_segments // BLOCK)
         for at in range(0, len(live), 64):
             some = live[at:at + 64]
-            pairs = np.unique(np.concatenate([(i << 32) + known[starts[p]:stops[p]][known[starts[p]:stops[p]] >= 0] for i, p in enumerate(some)]))
+            inside = [known[starts[p]:stops[p]] for p in some]
+            pairs = np.unique(np.concatenate([(i << 32) + w[self.list_max[w] > 0] for i, w in enumerate(inside)]))
             passage, term = pairs >> 32, pairs & 0xFFFFFFFF
-            short = np.bincount(passage, self.list_max[term], len(some)) >= threshold - 1e-9   # each term once
-            passage, term = passage[short[passage]], term[short[passage]]
+            enough = np.bincount(passage, self.list_max[term], len(some)) >= threshold - 1e-9  # each term once
+            passage, term = passage[enough[passage]], term[enough[passage]]
             if not len(term):
                 continue
-            n = self.bm_at[term + 1] - self.bm_at[term]                                   # block maxima
+            n = self.bm_at[term + 1] - self.bm_at[term]                                       # block maxima
             cell = np.repeat(self.bm_at[term], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             who = np.repeat(passage, n)
-            n_blocks = -(-self.n_segments // BLOCK)
             top = np.bincount(who * n_blocks + self.bm_block[cell], self.bm_max[cell], len(some) * n_blocks) >= threshold - 1e-9
             opened = top[who * n_blocks + self.bm_block[cell]]
             cell, who = cell[opened], who[opened]
             if not len(cell):
                 continue
-            m = self.bm_post[cell + 1] - self.bm_post[cell]                               # opened blocks only
+            m = self.bm_post[cell + 1] - self.bm_post[cell]                                   # opened blocks only
             post = np.repeat(self.bm_post[cell], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             key, at_key = np.unique(np.repeat(who, m) * self.n_segments + self.post_seg[post], return_inverse=True)
             score = np.bincount(at_key, self.post_val[post])
-            found.update(self.owner[s] for s in set((key[score >= threshold] % self.n_segments).tolist()))
+            found.update(self.owner[s] for s in set((key[score >= threshold - 1e-9] % self.n_segments).tolist()))
         return found
 
+
+class Index:
+    """One shard.  ``items``: (item number, question, answer); ``df``: word -> segments
+    holding it over all shards; ``n`` and ``mean``: number and mean length of all segments."""
+
+    def __init__(self, items, df: dict, n: int, mean: float, segment: int, shingle: int):
+        self.segment, self.shingle = segment, shingle
+        self.parts, self.words, self.terms = {}, {}, {}
+        tiers: list[tuple[list, list]] = [([], []), ([], [])]
+        for number, question, answer in items:
+            parts = parts_of(question or "", answer)
+            self.words[number] = parts
+            self.parts[number] = [runs(p, shingle) for p in parts]
+            for words in segments_of(parts, segment):
+                count: dict[str, int] = {}
+                for w in words:
+                    count[w] = count.get(w, 0) + 1
+                impact = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(words) / mean)) for w, c in count.items()}
+                own = sum(impact.values())
+                impacts, owner = tiers[len(words) >= SHORT]
+                impacts.append({self.terms.setdefault(w, len(self.terms)): x / own for w, x in impact.items()})
+                owner.append(number)
+        self.tiers = [Tier(impacts, owner, len(self.terms)) for impacts, owner in tiers]
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """Term numbers of words, -1 for those in no item."""
+        return np.fromiter(map(self.terms.get, words, [-1] * len(words)), np.int64, len(words))
+
+    def search(self, words: list[str], threshold: float) -> set:
+        """Numbers of the items with a segment scoring at least ``threshold`` against some passage of ``words``."""
+        step = self.segment
+        starts = np.arange(0, max(len(words) - step, 1), step)
+        stops = np.minimum(starts + 2 * step, len(words))
+        known = self.known(words)
+        return set().union(*(t.search(known, starts, stops, threshold) for t in self.tiers))
+
     def leaks(self, text: str | None, threshold: float, overlap: float) -> list[tuple]:
         """(item number, question overlap, answer overlap) of the verified items."""
         words = tokens(text)
         out = []
-        known = self.known(words)
-        candidates = self.search(words, threshold, known) | self.sharing(known)
+        candidates = self.search(words, threshold)
+        present = set(words) if candidates else set()
         held: dict[int, set] = {}
         for number in sorted(candidates):
+            # a run held begins with a word held: too few of them, and no runs need be looked at
+            if any(sum(w in present for w in p) < overlap * len(r) - 1e-9 for p, r in zip(self.words[number], self.parts[number])):
+                continue
             shares = []
             for part in self.parts[number]:
                 k = len(next(iter(part)))
@@ -194,6 +171,10 @@ class Index:
         return out
 
 
+def segments_of(parts: list[list[str]], segment: int) -> list[list[str]]:
+    return [p[at:at + segment] for p in parts for at in range(0, len(p), segment)]
+
+
 def item_table(items: DataFrame, id_col: str, question: str, answer: str | None) -> DataFrame:
     """Distinct items (a repeated row is one item) with a number of their own."""
     a = F.col(f"`{answer}`") if answer else F.lit(None).cast("string")
@@ -201,68 +182,101 @@ def item_table(items: DataFrame, id_col: str, question: str, answer: str | None)
     return rows.withColumn("number", F.xxhash64("item_id", "question", "answer"))
 
 
-def shards(items: DataFrame, segment: int, shingle: int, shard_words: int, overlap: float = 0.8):
-    """Indexes of the benchmark, one after another, each of about ``shard_words`` words at most."""
-    spark = items.sparkSession
-    rows = written(items, "items")
-
+def build_shards(items: DataFrame, segment: int, shingle: int, shard_words: int) -> tuple[str, int]:
+    """(path, number): the shards' indexes, each of about ``shard_words`` words at most, built and written by one executor task each."""
     def terms(batches):
         import pandas as pd
 
         for b in batches:
             got = []
-            for q, a in zip(b.question, b.answer):
-                words = [w for p in parts_of(q, a) for w in p]
-                for at in range(0, len(words), segment):
-                    s = words[at:at + segment]
-                    got.extend((w, 1) for w in set(s))
-                    got.append(("", len(s)))             # the empty word counts segments and their words
-            yield pd.DataFrame(got, columns=["word", "n"])
-
-    counts = written(rows.select("question", "answer").mapInPandas(terms, "word string, n bigint")
-                     .groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("n")), "terms")
-    total = counts.filter("word = ''").first()
-    if total is None:
-        return
-    n_shards = -(-total["n"] // shard_words)
-    for k in range(n_shards):
-        mine = written(rows.filter(F.pmod("number", F.lit(n_shards)) == k), "shard")
-        words = mine.select("question", "answer").mapInPandas(terms, "word string, n bigint").select("word").distinct()
-        df = {r.word: r.df for r in counts.join(words, "word").collect()}
-        items_here = [(r.number, r.question, r.answer) for r in mine.collect()]
-        if items_here:
-            yield spark.sparkContext.broadcast(Index(items_here, df, total["df"], total["n"] / total["df"], segment, shingle, overlap))
+            for shard, q, a in zip(b.shard, b.question, b.answer):
+                for s in segments_of(parts_of(q, a), segment):
+                    got.extend((shard, w, 1) for w in set(s))
+                    got.append((shard, "", len(s)))          # the empty word counts segments and their words
+            yield pd.DataFrame(got, columns=["shard", "word", "n"])
+
+    def counted(rows):
+        return rows.select("shard", "question", "answer").mapInPandas(terms, "shard int, word string, n bigint")
+
+    total = counted(items.withColumn("shard", F.lit(0))).filter("word = ''").agg(F.count("*").alias("segments"), F.sum("n").alias("words")).first()
+    if not total["segments"]:
+        return "", 0
+    n_shards = -(-total["words"] // shard_words)
+    dealt = items.withColumn("shard", F.pmod("number", F.lit(n_shards)).cast("int"))
+    words = written(counted(dealt).filter("word <> ''").groupBy("word", "shard").agg(F.count("*").alias("n")), "words")
+    df = words.join(words.groupBy("word").agg(F.sum("n").alias("df")), "word").select("shard", "word", "df")
+    n, mean = total["segments"], total["words"] / total["segments"]
+
+    def build(key, rows, counts):
+        import pandas as pd
+
+        known = dict(zip(counts["word"], counts["df"]))
+        index = Index(list(zip(rows["number"], rows["question"], rows["answer"])), known, n, mean, segment, shingle)
+        return pd.DataFrame({"shard": [key[0]], "data": [pickle.dumps(index)]})
+
+    path = scratch(items.sparkSession, "index")
+    dealt.select("shard", "number", "question", "answer").groupBy("shard").cogroup(df.groupBy("shard")).applyInPandas(build, "shard int, data binary") \
+         .write.parquet(path)
+    return path, n_shards
+
+
+def load_shard(path: str, shard: int) -> "Index | None":
+    """A shard's index from the shared folder."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    got = ds.dataset(at, filesystem=store, format="parquet").to_table(filter=ds.field("shard") == shard).column("data").to_pylist()
+    return pickle.loads(got[0]) if got else None
 
 
 def leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text", item_id: str = "item_id", question: str = "text",
           answer: str | None = None, threshold: float = 0.6, overlap: float = 0.8, shingle: int = 5, segment: int = 64,
-          shard_words: int = 2_000_000) -> DataFrame:
+          shard_words: int = 500_000) -> DataFrame:
     """(keys..., item_id, question_overlap, answer_overlap): every verified leak of every row of ``docs``."""
     known = written(item_table(items, item_id, question, answer), "benchmark")
     src = docs.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").alias("_text"))
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]]
     schema = ", ".join([*head, "number bigint", "question_overlap double", "answer_overlap double"])
-    found = None
-    for index in shards(known, segment, shingle, shard_words, overlap):
-        def run(batches, index=index):
-            import pyarrow as pa
-
-            for b in batches:
-                rows, hits = [], []
-                for i in range(b.num_rows):
-                    for hit in index.value.leaks(b.column(b.num_columns - 1)[i].as_py(), threshold, overlap):
-                        rows.append(i)
-                        hits.append(hit)
-                at = pa.array(rows, pa.int64())
-                cols = [b.column(j).take(at) for j in range(b.num_columns - 1)]
-                kinds = (pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([h[j] for h in hits], kinds[j]) for j in range(3))],
-                                                 [*keys, "number", "question_overlap", "answer_overlap"])
-
-        part = src.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], schema)
+    path, n_shards = build_shards(known, segment, shingle, shard_words)
+
+    def run(batches):
+        import pyarrow as pa
+
+        loaded: dict[int, Index | None] = {}
+
+        def shard(k):
+            if k not in loaded:
+                loaded.clear()                               # one at a time
+                loaded[k] = load_shard(path, k)
+            return loaded[k]
+
+        def out(held):
+            for k in range(n_shards):
+                index = shard(k)
+                if index is None:
+                    continue
+                for b in held:
+                    rows, hits = [], []
+                    for i, t in enumerate(b.column(b.num_columns - 1)):
+                        for hit in index.leaks(t.as_py(), threshold, overlap):
+                            rows.append(i)
+                            hits.append(hit)
+                    cols = [b.column(j).take(pa.array(rows, pa.int64())) for j in range(b.num_columns - 1)]
+                    kinds = (pa.int64(), pa.float64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([*cols, *(pa.array([h[j] for h in hits], kinds[j]) for j in range(3))],
+                                                     [*keys, "number", "question_overlap", "answer_overlap"])
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= HELD or n_shards == 1:
+                yield from out(held)
+                held, size = [], 0
+        yield from out(held)
+
+    found = src.mapInArrow(run, schema)
     ids = known.select("number", "item_id")
     return found.join(ids, "number").select(*[F.col(f"`{k}`") for k in keys], F.col("item_id"), "question_overlap", "answer_overlap")
 

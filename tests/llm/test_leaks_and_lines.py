@@ -56,7 +56,7 @@ def test_search_equals_plain_scores():
     import math
     rng = random.Random(5)
     items = [(i, prose(rng, rng.randint(5, 60), 80), "") for i in range(70)]
-    segs = [[w for p in D.parts_of(q, a) for w in p][:64] for _, q, a in items]
+    segs = [D.parts_of(q, a)[0] for _, q, a in items]
     df = {}
     for s in segs:
         for w in set(s):
@@ -74,7 +74,7 @@ def test_search_equals_plain_scores():
 
 
 def index_of(items):
-    segs = [w[at:at + 64] for _, q, a in items for w in [[x for p in D.parts_of(q, a) for x in p]] for at in range(0, len(w), 64)]
+    segs = [w for _, q, a in items for w in D.segments_of(D.parts_of(q, a), 64)]
     df = {}
     for s in segs:
         for w in set(s):
@@ -82,6 +82,35 @@ def index_of(items):
     return D.Index(items, df, len(segs), sum(map(len, segs)) / len(segs), 64, 5)
 
 
+def test_retrieval_by_search_alone(monkeypatch):
+    """Without the search nothing is found: verification sees retrieved items only."""
+    item = [(1, "one two three four five six seven", "eight nine ten eleven twelve")]
+    text = "one two three four five six seven then eight nine ten eleven twelve"
+    assert [n for n, _, _ in index_of(item).leaks(text, 0.6, 0.8)] == [1]
+    monkeypatch.setattr(D.Tier, "search", lambda *a: set())
+    assert index_of(item).leaks(text, 0.6, 0.8) == []
+
+
+def test_recall_of_all_items_that_verify():
+    """Against every item verified without retrieval, on edited and scattered copies among common words."""
+    rng = random.Random(15)
+    items = [(i, prose(rng, rng.randint(5, 90), 3000), prose(rng, rng.randint(2, 30), 3000)) for i in range(80)]
+    index = index_of(items)
+    want = got = 0
+    for i, q, a in items:
+        far = " ".join([prose(rng, 200, 3000), a, prose(rng, 300, 3000), q])
+        words = q.split()
+        if len(words) > 30:                                    # one word in thirty is another
+            words[rng.randrange(len(words))] = "edited"
+        for text in (far, " ".join(words) + " " + a):
+            have = D.tokens(text)
+            for n, parts in index.parts.items():
+                if min(len(p & set(zip(*(have[j:] for j in range(len(next(iter(p)))))))) / len(p) for p in parts) >= 0.8:
+                    want += 1
+                    got += n in {m for m, _, _ in index.leaks(text, 0.6, 0.8)}
+    assert want >= 150 and got == want
+
+
 def test_question_and_answer_far_apart():
     """The question at the top and the answer at the end, or the question in two places: each passage holds too little."""
     rng = random.Random(14)
