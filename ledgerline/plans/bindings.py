@@ -91,7 +91,7 @@ BINDINGS: dict[str, str] = {
         SELECT CAST(l_orderkey AS STRING) AS id, CAST(l_partkey AS STRING) AS recipe_id,
                CAST(l_suppkey AS STRING) AS user_id,
                CASE l_linestatus WHEN 'O' THEN 'cancelled' ELSE 'completed' END AS status, l_shipdate AS created_at
-        FROM {lineitem} WHERE l_linenumber = 1""",
+        FROM {lineitem}""",
     "recipes": """
         SELECT CAST(p_partkey AS STRING) AS id, p_name AS name
         FROM {part}""",
