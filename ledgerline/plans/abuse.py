@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.functions.exprs import scalar_json
 from ledgerline.operators.stats import describe_exact, exact_quantiles, histogram
+from ledgerline.session import cut_lineage
 
 
 def daily_grants(tx: DataFrame, users: DataFrame, *, token_id: str, pattern: str, action: str = "grant") -> DataFrame:
@@ -29,10 +29,9 @@ def daily_grants(tx: DataFrame, users: DataFrame, *, token_id: str, pattern: str
 def flag_above(df: DataFrame, col: str, p: float, as_of, days: int = 30, date_col: str = "Day") -> DataFrame:
     """Rows of the last ``days`` before ``as_of`` whose ``col`` is strictly above the
     exact ``p`` quantile of those rows.  Adds the threshold as a column."""
-    # the threshold takes several passes over the recent rows and the filter one more:
-    # keep them (MEMORY_AND_DISK spills; lost blocks are recomputed from lineage)
-    recent = df.filter(F.col(date_col) > F.date_sub(F.to_date(F.lit(str(as_of))), days)) \
-               .persist(StorageLevel.MEMORY_AND_DISK)
+    # the threshold takes several passes over the recent rows and the filter one more: they are written to the
+    # checkpoint folder once
+    recent = cut_lineage(df.filter(F.col(date_col) > F.date_sub(F.to_date(F.lit(str(as_of))), days)))
     thr = exact_quantiles(recent, col, [p]).select("q").scalar()     # exact, two-pass, one scalar
     return recent.withColumn("threshold", thr).filter(F.col(col) > F.col("threshold"))
 

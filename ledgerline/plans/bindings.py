@@ -159,7 +159,8 @@ BINDINGS: dict[str, str] = {
         FROM {events}""",
     "checkpoints": """
         SELECT sha2(CAST(user_id AS STRING), 256) AS user_id, CAST(ts AS DATE) AS checkpoint
-        FROM {events} WHERE event_type IN ('signup', 'view')""",
+        FROM {events} WHERE event_type IN ('signup', 'view')
+        UNION ALL SELECT DISTINCT sha2(CAST(o_custkey AS STRING), 256), DATE '2024-01-20' FROM {orders} WHERE o_orderstatus = 'P'""",
     "cluster_history": """
         SELECT run_date, user_id, ga_id,
                CASE event_type WHEN 'view' THEN -1 WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS cluster,

@@ -36,7 +36,7 @@ def test_transition_counts_sum_to_users(spark):
 
 
 def test_ensemble_lies_within_band(spark):
-    f = sql_forecasts(spark, SF_SMALL)
+    f = sql_forecasts(long(spark, SF_SMALL))
     ens = FC.ensemble(f)
     band = FC.band(f, MODELS)
     j = ens.join(band, ["tenant", "series", "month"])
@@ -532,3 +532,33 @@ def test_binned_density_error(spark):
     exact = np.exp(-0.5 * ((got.x.to_numpy()[:, None] - v) / h) ** 2).sum(axis=1) / np.sqrt(2 * np.pi) / len(v) / h
     assert len(got) == 200 and np.abs(got.density.to_numpy() / exact - 1)[exact > 1e-6].max() < 1e-3
     assert np.abs(got.density.to_numpy() - exact).max() < 1e-4 * exact.max()
+
+
+def test_euclidean_silhouette_equals_brute_force(spark):
+    rng = np.random.default_rng(41)
+    x = np.concatenate([rng.normal(size=(40, 3)), rng.normal(size=(35, 3)) + 4, rng.normal(size=(1, 3)) + 20])
+    labels = np.stack([np.r_[np.zeros(40), np.ones(36)], np.r_[np.zeros(40), np.ones(35), [2]]], axis=1).astype(int)
+    df = spark.createDataFrame([(str(i), [float(v) for v in a], [int(v) for v in c]) for i, (a, c) in enumerate(zip(x, labels))], "user_id string, pcs array<double>, labels array<int>")
+    want = {}
+    for at, k in enumerate((2, 3)):
+        c, d = labels[:, at], np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        s = []
+        for i in range(len(x)):
+            own = (c == c[i]) & (np.arange(len(x)) != i)
+            a = d[i, own].mean() if own.any() else None
+            b = min(d[i, c == o].mean() for o in set(c) - {c[i]})
+            s.append((b - a) / max(a, b) if a is not None else 0.0)
+        want[k] = np.mean(s)
+    for block_rows in (1000, 11):
+        got = {r.k: r.silhouette for r in S.euclidean_silhouette(df, [2, 3], block_rows).collect()}
+        assert got == pytest.approx(want), block_rows
+
+
+def test_both_classes_and_unseen_rows(spark):
+    """Free-to-play and paying users are both there, and the rolling run scores users by a model that did not see their window."""
+    split = {r.cluster: r.n for r in Q["row_total_split"](spark, SF_SMALL).groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    assert split[-1] > 0 and split[None] > 0
+    run = Q["seg_rolling_job"](spark, SF_SMALL).toPandas()
+    assert set(run.cluster) >= {-1} and len(set(run.cluster)) > 1 and run.user_id.is_unique
+    again = Q["seg_rolling_job"](spark, SF_SMALL).toPandas()
+    assert len(again) == len(run)                            # a folder of its own: no earlier run leaks in
