@@ -5,15 +5,17 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import functions as F
+
 from ledgerline.functions.exprs import hash_id, ilike_pattern, scalar_json, to_double
-from ledgerline.operators.aggregates import distinct_count
+from ledgerline.operators.aggregates import active_over, day_sketches, distinct_count
 from ledgerline.operators.ordering import sample_n
 from ledgerline.operators.stats import histogram, kde, quantile, quantile_grid
 from ledgerline.plans import abuse as A
 from ledgerline.plans import bindings as B
 from ledgerline.plans.catalog_token import sj
 from ledgerline.plans.registry import register
-from ledgerline.session import checkpoint_dir
+from ledgerline.session import checkpoint_dir, cut_lineage
 from ledgerline.sources.sinks import write_csv
 from ledgerline.sources.tables import read_table
 
@@ -149,6 +151,23 @@ def q_sample(spark, d):
     return sample_n(telemetry(spark, d), "event_id", SAMPLE, seed=42)
 
 
+SAMPLED = f"(SELECT * FROM telemetry ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT {SAMPLE}) AS s"
+
+
+@register("abu_telemetry_sample", sql=TEL_SQL.rstrip("\n") + ",\n" + hist_sql(STACK.replace("FROM telemetry", f"FROM {SAMPLED}"), ["measure"], 20)[5:],
+          dbl=["lo", "hi", "mean"], dates=())
+def q_profile_sample(spark, d):
+    """The telemetry profile of an exact-size sample instead of all rows."""
+    return A.telemetry_profile(sample_n(telemetry(spark, d), "event_id", SAMPLE, seed=42), TELEMETRY, bins=20)
+
+
+@register("agg_active_users", dates=("day",))
+def q_active(spark, d):
+    """Active users of the last 1, 7 and 30 days per day, estimated from stored day sketches."""
+    events = read_table(spark, "events", d).select(F.to_date("ts").alias("day"), F.col("user_id").cast("string").alias("user_id"))
+    return active_over(cut_lineage(day_sketches(events, "day", "user_id")), "day", [1, 7, 30])
+
+
 @register("fn_cast", sql=TEL_SQL + "SELECT event_id, " + ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in TELEMETRY) + " FROM telemetry",
           dbl=TELEMETRY, dates=())
 def q_cast(spark, d):
@@ -186,3 +205,14 @@ def q_sink_csv(spark, d):
     write_csv(flagged, out)
     back = spark.read.option("header", True).option("inferSchema", False).csv(out)
     return back.select("Day", "user_id", "username", "country_code", "sourceString", "reward_txs")
+
+
+@register("sink_csv_bans", sql=ow({"grants": GRANTS_SQL, "flagged": f"SELECT * FROM ({FLAG_SQL}) AS f WHERE reward_txs > threshold"})
+          + """SELECT CAST(user_id AS VARCHAR) AS user_id, username, country_code, CAST(count(DISTINCT Day) AS VARCHAR) AS unique_days,
+    CAST(CAST(sum(reward_txs) AS BIGINT) AS VARCHAR) AS total_reward_txs, CAST(CAST(sum(reward_txs) - 2 * count(DISTINCT Day) AS BIGINT) AS VARCHAR) AS suspended_days
+    FROM flagged WHERE user_id IS NOT NULL AND username IS NOT NULL AND country_code IS NOT NULL GROUP BY 1, 2, 3""", dates=())
+def q_sink_bans(spark, d):
+    """The suspension list written as CSV with a header into the checkpoint folder, read back."""
+    out = os.path.join(checkpoint_dir(spark), "sink_csv_bans", uuid.uuid4().hex)
+    write_csv(A.suspensions(A.flag_above(grants(spark, d), "reward_txs", 0.9, AS_OF, 30)), out)
+    return spark.read.option("header", True).option("inferSchema", False).csv(out)

@@ -562,3 +562,17 @@ def test_both_classes_and_unseen_rows(spark):
     assert set(run.cluster) >= {-1} and len(set(run.cluster)) > 1 and run.user_id.is_unique
     again = Q["seg_rolling_job"](spark, SF_SMALL).toPandas()
     assert len(again) == len(run)                            # a folder of its own: no earlier run leaks in
+
+
+def test_merged_sketches_are_near_the_exact_counts(spark):
+    from ledgerline.operators.aggregates import active_over, day_sketches
+    import datetime as dt
+    day = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.xxhash64("id") % 20 + 20).cast("int") % 40)
+    ev = spark.range(120_000).select(day.alias("day"), (F.xxhash64("id", F.lit(1)) % 30_000).cast("string").alias("u")).filter("day <> '2024-01-09'")
+    got = active_over(day_sketches(ev, "day", "u"), "day", [1, 7, 30]).toPandas().set_index("day")
+    exact = ev.distinct().toPandas()
+    assert set(got.index) == set(exact.day)
+    for d in got.index:
+        for w in (1, 7, 30):
+            want = exact[(exact.day <= d) & (exact.day > d - dt.timedelta(days=w))].u.nunique()
+            assert abs(got.loc[d, f"active_{w}"] / want - 1) < 0.03, (d, w)
