@@ -14,6 +14,7 @@ sorted or gathered.  Rows with one doc_id share a hash and are taken or left tog
 
 Nulls: a null source is a source of its own, last; a null or empty text has size 0; a null doc_id
 hashes like "".  Repeated rows count each time.  An empty table, or one without words, takes nothing.
+Very long texts are counted whole; ties of the hash order by doc_id.  Other columns are ignored, also clashing ones.
 Only one row per source is collected or broadcast-sized.
 """
 

@@ -208,3 +208,32 @@ def test_one_toxic_window_in_a_long_training_text(spark):
     got = T.highest_windows(rows, {"p": None, "stats": [T.tables(T.without(count, y), 2, 3) for y in (0, 1)]})
     assert {"vilest", "scumbag"} & set(got[1]) and len(got[1]) == T.WINDOW and got[5] == []
     assert all(len(w) <= T.WINDOW for w in got.values())
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and columns whose names the stages use inside."""
+    rng = random.Random(17)
+    rows = [(i, prose(rng, rng.randint(20, 80)), rng.choice(["en", None]), rng.choice(["a", "b", None]), i, "x", 1.5) for i in range(40)]
+    leak = "who built the old mill tower by the river bend. it was the miller of the upper town"
+    rows += [(100, None, None, None, None, None, None), (101, "", "en", "a", 0, "y", 0.0), (None, prose(rng, 30), "en", "b", 1, "z", 2.0), rows[3], rows[3],
+             (102, prose(rng, 9000), "en", "a", 2, "l", 1.0), (103, prose(rng, 30) + " " + leak, "en", "a", 3, "q", 1.0)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, z double"
+    for name, docs in (("odd", rows), ("none", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, leak), (2, None)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(None, 0, 1), (31, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        now, seen = spark.read.parquet(f"{d}/documents.parquet"), []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = corpus_pipeline.written(stage(spark, now, d), f"odd{k}")
+            seen.append(now.collect())
+            if k < 4:
+                assert now.columns == [c.split()[0] for c in schema.split(", ")]
+                assert {tuple(r) for r in seen[k]} <= set(docs)
+        if not docs:
+            assert not any(seen)
+            continue
+        assert len(seen[0]) == len(rows)                      # one class of labels only: nothing is rejected
+        assert len(seen[1]) == len({(r.doc_id, r.text) for r in seen[1]}) and sum(r.doc_id == 3 for r in seen[1]) == 1
+        assert 103 in {r.doc_id for r in seen[1]} - {r.doc_id for r in seen[2]} and len(seen[2]) == len(seen[1]) - 1
+        assert len(seen[4]) == len(seen[3])
