@@ -3,6 +3,11 @@ copies, drop benchmark leaks, mix sources to target weights, write bit-packed to
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 back as the next stage's documents, so a lost executor never costs more than one stage.
+
+Nulls in any column are kept as such: a null text counts as empty, a null source or lang as a value of its own, and a null
+doc_id orders last where one document of a group stays.  Rows equal in doc_id and text are one document to the near-dedup stage.  Very long texts are
+read whole; ties fall to the smallest doc_id, then to the seeded hash.  Empty tables give an empty result.  Other columns, also ones whose names the
+stages use inside, pass through every stage but the last, which returns the token table alone.
 """
 
 from __future__ import annotations
