@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ledgerline.plans import bindings as B
 from ledgerline.plans import text as X
+from ledgerline.plans.chunking import chunk_threads
 from ledgerline.plans.registry import register
 from ledgerline.sources.tables import read_table, recent_messages
 
@@ -99,8 +100,8 @@ def q_text_join(spark, d):
 
 @register("txt_chunks")
 def q_chunks(spark, d):
-    """Per (channel, day): join and wrap to chunks of at most 3,000 characters."""
-    return X.wrap(X.daily_documents(messages(spark, d)))
+    """Per (channel, day): messages in order, wrapped to chunks of at most 3,000 characters; no channel-day is gathered."""
+    return chunk_threads(messages(spark, d))
 
 
 @register("fn_wrap_chunks")
