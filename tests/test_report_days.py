@@ -41,12 +41,15 @@ def test_each_date_equals_a_single_run(spark):
         assert (missions[date].mission, missions[date].players, missions[date].tokens_granted) == (want.mission, want.players, want.tokens_granted)
 
 
-def test_tenants_and_empty_dates(spark):
+def test_tenants_and_empty_dates(spark, tmp_path):
     tables = [B.binding(spark, SF_SMALL, t) for t in TABLES]
     date = {"kpi_revenue": "Date", "kpi_dau": "Date"}
     first = R.run_dates(B.RUN_DATE, 2)[-1]
     two = [t.withColumn("tenant", F.lit("a")).unionByName(t.withColumn("tenant", F.lit(None).cast("string")).filter(F.col(date.get(n, "Day")) < F.to_date(F.lit(first))))
            for n, t in zip(TABLES, tables)]
+    for n, t in zip(TABLES, two):
+        t.write.parquet(str(tmp_path / n))
+    two = [spark.read.parquet(str(tmp_path / n)) for n in TABLES]
     rows = {(r.tenant, r.date): json.loads(r.context) for r in P.context_days(P.Facts(*two, first, B.RUN_DATE, by=["tenant"])).collect()}
     single = {r.date: json.loads(r.context) for r in P.context_days(P.Facts(*tables, first, B.RUN_DATE)).collect()}
     assert len(rows) == 4
