@@ -1,20 +1,22 @@
 """URL allow/block rules by a sort-merge range join (DataFrame functions only).
 
 A host becomes a canonical key: its labels reversed, each closed by a dot (``a.example.org`` ->
-``org.example.a.``).  A rule's host and all its subdomains are then one interval of keys,
-[``org.example.``, ``org.example/``): "/" follows "." in byte order.  The intervals nest, so a
-sweep over hosts and interval ends in key order keeps a stack: the rules open at that point.
-The state changes only at interval ends and each end carries the stack after it, so a host takes
-the stack of the last end before it.
-
-The sweep is dealt by key range: hosts (one row per distinct host, so a hot host is one row) and
-interval ends are sorted together, each range is swept on its own, and a range that begins inside
-open intervals takes the stack that the last end of the ranges before it left.
-
-A rule on the stack fits a URL whose path starts with the rule's path; the longest rule (host and
-path together) wins, then the deeper host, then the rule text, then block.  A URL without a rule
+``org.example.a.``).  A rule's host and all its subdomains are then one interval of keys, those that begin with the
+rule's key; the paths a rule fits are one interval below its host.  Such intervals nest, so a sweep over points
+and interval ends in key order keeps a stack.  A rule that opens goes on the level above those open, a rule that
+ends leaves its level: the level is a running sum of +1 and -1, and the rule on a level is the last that opened there.
+
+Two sweeps judge the URLs.  The first, over distinct hosts, gives each host the rule hosts on its stack.  The
+second, over distinct (rule host, path), gives the innermost path rule of each rule host, which is its longest.  A URL costs
+as many rows as rule hosts lie around its host, however many rules and paths these have.
+
+A sweep is dealt by key range: each range is swept on its own, begins at the level that the ranges before it leave, and
+takes rules that opened there from one row per range and level.
+
+The longest rule (host and path together) wins, then the deeper host, then the rule text, then block.  A URL without a rule
 gets ``default``.  A null or malformed URL (no "://") has empty host and path and no rule.  Repeated
-rows stay, empty tables give empty results, other columns are ignored, null rule parts count as "".
+rows and null ids stay, very long paths are compared whole, empty tables give empty results, other columns are ignored,
+null rule parts count as "".
 """
 
 from __future__ import annotations
@@ -41,49 +43,54 @@ def key_of(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def interval_ends(rules: DataFrame) -> DataFrame:
-    """(key, stack) for both ends of every rule host's interval: the open rules just after it."""
+def prefix_sweep(points: DataFrame, rules: DataFrame, innermost: bool) -> DataFrame:
+    """(key, entry) for every point (distinct binary ``key``) and every rule (distinct binary ``key``, ``entry``) on the stack there, that is
+    whose key the point's begins with; only the top of the stack if ``innermost``."""
+    opens = rules.select("key", F.lit(1).alias("kind"), F.lit(1).alias("step"), "entry")
+    ends = rules.select(F.concat("key", F.lit(bytearray(b"\xff"))).alias("key"), F.lit(0).alias("kind"), F.lit(-1).alias("step"), F.lit(None).cast(rules.schema["entry"].dataType).alias("entry"))
+    seen = points.select("key", F.lit(2).alias("kind"), F.lit(0).alias("step"), F.lit(None).cast(rules.schema["entry"].dataType).alias("entry"))
+    # a rule opens before a point of the same key; written once, so ranges stay as dealt
+    events = written(opens.unionByName(ends).unionByName(seen).repartitionByRange("key", "kind").withColumn("part", F.spark_partition_id()), "events")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)                          # one row per range
+    starts = events.groupBy("part").agg(F.sum("step").alias("net")).select("part", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = written(events.withColumn("ran", F.sum("step").over(order)).join(starts, "part")
+                    .select("part", "key", "kind", "entry", (F.col("start") + F.col("ran")).alias("level")).filter("kind > 0 AND level > 0"), "swept")
+    # the last rule that each range opened on each level, handed on to the ranges after it
+    left = swept.filter("kind = 1").groupBy("part", "level").agg(F.max_by("entry", "key").alias("last"))
+    levels = swept.select("part", "level").distinct() if innermost else swept.groupBy("part").agg(F.max("level").alias("top")).select(
+        "part", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("top"))).alias("level"))
+    handed = levels.join(left, ["part", "level"], "left").select(
+        "part", "level", F.last("last", ignorenulls=True).over(Window.partitionBy("level").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("handed"))
+    at = F.array("level") if innermost else F.when(F.col("kind") == 1, F.array("level")).otherwise(F.sequence(F.lit(1).cast("bigint"), F.col("level")))
+    on = Window.partitionBy("part", "level").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (swept.withColumn("at", F.explode(at)).drop("level").withColumnRenamed("at", "level")
+             .withColumn("open", F.last("entry", ignorenulls=True).over(on)).filter("kind = 2"))
+    return found.join(handed, ["part", "level"], "left").select("key", F.coalesce("open", "handed").alias("entry"))
+
+
+def rule_entries(rules: DataFrame) -> DataFrame:
+    """(up, path, entry): one row per rule host (as a key) and path."""
     r = rules.select(F.lower(F.coalesce("verdict", F.lit(""))).alias("verdict"), ascii_lower(F.coalesce("host", F.lit(""))).alias("host"),
                      F.coalesce("path", F.lit("")).alias("path"))
-    r = r.select(key_of(F.col("host")).alias("key"), F.struct(
-        (F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"),
-        F.concat("host", "path").alias("rule"), "verdict", "path").alias("entry"))
-    own = r.groupBy("key").agg(F.collect_set("entry").alias("own"))
-    # nested intervals: every enclosing rule host is a label prefix of the key
-    labels = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.", -1)
-    above = (own.select("key", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), "."), F.lit(".")))).alias("up"))
-        .join(own.select(F.col("key").alias("up"), "own"), "up")
-        .groupBy("key").agg(F.flatten(F.collect_list(F.when(F.col("up") == F.col("key"), F.col("own")))).alias("mine"),
-                            F.flatten(F.collect_list(F.when(F.col("up") != F.col("key"), F.col("own")))).alias("outer")))
-    return (above.select("key", F.concat("outer", "mine").alias("stack"))
-            .union(above.select(F.expr("concat(substring(key, 1, length(key) - 1), '/')").alias("key"), F.col("outer").alias("stack"))))
-
-
-def open_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, stack) for every distinct host that lies in some rule's interval."""
-    ends = interval_ends(rules).select("key", F.lit(None).cast("string").alias("host"), "stack")
-    seen = hosts.select(key_of(F.col("host")).alias("key"), "host", F.lit(None).cast(ends.schema["stack"].dataType).alias("stack"))
-    # rule ends sort before an equal host key; written once, so ranges stay as dealt
-    events = written(ends.unionByName(seen).withColumn("is_host", F.col("host").isNotNull())
-                     .repartitionByRange("key", "is_host").withColumn("part", F.spark_partition_id()), "events")
-    last = (events.filter("stack IS NOT NULL").groupBy("part").agg(F.max_by("stack", "key").alias("left")))
-    parts = events.select("part").distinct().join(last, "part", "left")
-    carried = written(parts.select("part", F.last("left", ignorenulls=True).over(
-        Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried")), "carried")   # one row per range
-    sweep = Window.partitionBy("part").orderBy("key", "is_host").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = events.withColumn("found", F.last("stack", ignorenulls=True).over(sweep)).filter("is_host")
-    return (swept.join(carried, "part").select("host", F.coalesce("found", "carried").alias("stack"))
-            .filter(F.size(F.coalesce("stack", F.array())) > 0))
+    entry = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), "verdict")
+    return r.groupBy(key_of(F.col("host")).alias("up"), "path").agg(F.max(entry).alias("entry"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict) for every row of ``pages``."""
     parsed = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
-    stacks = written(open_rules(parsed.select("host").distinct(), rules), "stacks")
-    path = F.col("path")
-    best = F.array_max(F.filter("stack", lambda e: path.startswith(e["path"])))
-    return (parsed.join(stacks, "host", "left").select("page_id", "host", "path", best.alias("best"))
+    entries = written(rule_entries(rules), "rules")
+    bytes_of = lambda c: F.encode(c, "UTF-8")
+    hosts = parsed.select("host").distinct().select("host", bytes_of(key_of(F.col("host"))).alias("key"))
+    stacks = prefix_sweep(hosts.select("key"), entries.select("up").distinct().select(bytes_of(F.col("up")).alias("key"), F.col("up").alias("entry")), False)
+    stacks = written(hosts.join(stacks, "key").select("host", F.col("entry").alias("up")), "stacks")
+    # a byte that no text holds parts the rule host from the path
+    key = F.concat(bytes_of(F.col("up")), F.lit(bytearray(b"\xfe")), bytes_of(F.col("path"))).alias("key")
+    pairs = written(parsed.select("host", "path").distinct().join(stacks, "host").select("host", "path", key), "pairs")
+    best = prefix_sweep(pairs.select("key").distinct(), entries.select(key, "entry"), True)
+    best = written(pairs.join(best, "key").groupBy("host", "path").agg(F.max("entry").alias("best")), "best")
+    return (parsed.join(best, ["host", "path"], "left")
             .select(F.col("page_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
                     F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict")))
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 import re
 
 import duckdb
@@ -177,3 +178,38 @@ def test_mixed_clashing_columns(spark):
                                  "doc_id bigint, source string, text string, s int, _n int, whole int, cut int, row string")
     out = M.mixed(docs)
     assert out.columns == docs.columns and {r.s - r.doc_id for r in out.collect()} == {0} and out.count() == 12
+
+
+def test_many_path_rules_on_one_host(spark):
+    """10,000 path rules on one host and nested ones around it; repeated rows, null ids, a very long path."""
+    rng = random.Random(8)
+    rules = [(rng.choice(["allow", "block"]), "hot.example.org", f"/p/{i}") for i in range(9_000)]
+    rules += [(rng.choice(["allow", "block"]), "hot.example.org", "/" + "/".join("d" * k for k in range(1, n))) for n in range(2, 30)]
+    rules += [(rng.choice(["allow", "block"]), h, "/p/" + str(i)) for i in range(300) for h in ("example.org", "org", "a.b.hot.example.org")]
+    urls = ["http://" + rng.choice(["hot.example.org", "x.hot.example.org", "a.b.hot.example.org", "example.org", "other.com", "z.a.b.hot.example.org"])
+            + rng.choice([f"/p/{rng.randint(0, 99_999)}", "/" + "/".join("d" * k for k in range(1, rng.randint(2, 33))), "/p", ""]) for _ in range(1_500)]
+    urls += ["http://hot.example.org/p/7" + "x" * 100_000] + ["http://hot.example.org/p/8"] * 700
+    pages = spark.createDataFrame([(None if i % 400 == 0 else i // 2, u) for i, u in enumerate(urls)], "page_id bigint, url string").repartition(7)
+    table = {}
+    for v, h, p in rules:
+        table.setdefault(h, {})[p] = max(v, table.get(h, {}).get(p, ""))
+
+    def judge(u):
+        host, path = split_url(u)
+        labels, best = host.split("."), None
+        for k in range(len(labels)):
+            h = ".".join(labels[k:])
+            for n in range(len(path) if len(path) < 1000 else 40, -1, -1):
+                if path[:n] in table.get(h, {}):
+                    best = max(best or (0,), (len(h) + n, len(h), h + path[:n], table[h][path[:n]]))
+                    break
+        return best[2:] if best else (None, "allow")
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")          # so that rules stay open across ranges
+    try:
+        got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in U.judge_urls(pages, U.rule_table(spark, rules)).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = Counter((None if i % 400 == 0 else i // 2, *split_url(u), *judge(u)) for i, u in enumerate(urls))
+    assert got == want
