@@ -149,3 +149,18 @@ def q_negative(spark, d):
     lex = X.learn_lexicon(documents(spark, d), read_table(spark, "labels", d))
     s = X.sentiment_lexicon(m, lex, MSG_KEYS)
     return X.negative_theme(m, s, MSG_KEYS, ["channel"])
+
+
+NEG_BUDGET = 1024
+BUDGET_SRC = f"""SELECT * FROM (SELECT n.*, sum(len(list_filter(string_split_regex(clean_content, '\\s+'), lambda x: x != '')))
+    OVER (PARTITION BY channel ORDER BY conv_id, turn) AS upto FROM ({NEG_SRC}) AS n) AS b WHERE upto <= {NEG_BUDGET}"""
+
+
+@register("txt_negative_budget",
+          sql=ow({"msg": MSG, "lex": LEX, "sent": SENT}).rstrip("\n") + ",\n"
+          + summ_sql(BUDGET_SRC, ["channel"], ["conv_id", "turn"], "clean_content")[5:], dates=())
+def q_negative_budget(spark, d):
+    """Summary per channel of the first negative messages that hold 1,024 words together (the feature's own limit)."""
+    m = messages(spark, d)
+    s = X.sentiment_lexicon(m, X.learn_lexicon(documents(spark, d), read_table(spark, "labels", d)), MSG_KEYS)
+    return X.negative_theme(m, s, MSG_KEYS, ["channel"], budget=NEG_BUDGET)

@@ -187,8 +187,33 @@ def sentiment_model(df: DataFrame, model, text: str = "clean_content") -> DataFr
                  .drop("tok", "tf", "features", "rawPrediction", "probability")
 
 
+def within_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, budget: int) -> DataFrame:
+    """The messages with words of each group, in order, whose words up to and with them come to at most ``budget``; a
+    message is kept or dropped whole.  Every key and message left has a word, so only the first ``budget`` + 1 of a group can
+    matter: they are ranked under that bound, first the keys ``order[0]`` by their sums, then the messages of those
+    left."""
+    words = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
+    sized = df.withColumn("_w", words.cast("bigint")).filter("_w > 0")
+
+    def first(d, parts, by, size):
+        """The first rows of each part, with the words before them."""
+        w = Window.partitionBy(*parts).orderBy(*by)
+        top = d.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= budget + 1)
+        return top.withColumn("_before", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(size)).drop("_i")
+
+    head = order[0]
+    heads = first(sized.groupBy(*group, head).agg(F.sum("_w").alias("_s")), group, [head], "_s").filter(F.col("_before") < budget)
+    near = sized.join(heads.select(*group, head, F.col("_before").alias("_ahead")), [*group, head])
+    kept = first(near, [*group, head], list(order[1:]) or [text], "_w")
+    return kept.filter(F.col("_ahead") + F.col("_before") + F.col("_w") <= budget).drop("_w", "_before", "_ahead")
+
+
 def negative_theme(messages: DataFrame, sentiment: DataFrame, keys: Sequence[str], group: Sequence[str] = ("channel",),
-                   text: str = "clean_content", n1: int = 3, n2: int = 5) -> DataFrame:
-    """Summary of the negative messages per channel (every negative message whole)."""
+                   text: str = "clean_content", n1: int = 3, n2: int = 5, budget: int | None = None) -> DataFrame:
+    """Summary of the negative messages per channel: every negative message whole, or with ``budget`` those that come
+    first in the order of ``keys`` and hold at most so many words together."""
     neg = messages.join(sentiment.filter(F.col("sentiment") == "NEGATIVE").select(*keys), list(keys))
-    return summarise(neg, list(group), [k for k in keys if k not in group], text, n1, n2)
+    order = [k for k in keys if k not in group]
+    if budget is not None:
+        neg = within_budget(neg, list(group), order, text, budget)
+    return summarise(neg, list(group), order, text, n1, n2)

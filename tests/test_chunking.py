@@ -46,3 +46,17 @@ def test_blank_messages_and_empty_input(spark):
     assert chunk_threads(m.limit(0), width=10).count() == 0
     blank = m.withColumn("clean_content", F.when(F.col("conv_id") < 150, F.lit("")).otherwise(F.col("clean_content")))
     assert rows(chunk_threads(blank, width=20, parts=30)) == rows(X.wrap(X.daily_documents(blank), width=20))
+
+
+def test_word_budget(spark):
+    rng = random.Random(3)
+    rows_ = [(c, i, t, " ".join(["w"] * rng.choice([0, 1, 2, 5, 9]))) for c in ("a", "b") for i in range(12) for t in range(rng.randint(1, 6))]
+    df = spark.createDataFrame(rows_, "channel string, conv_id int, turn int, clean_content string").repartition(5)
+    for budget in (0, 1, 7, 40, 10_000):
+        want, used = [], {}
+        for r in sorted(rows_):
+            used[r[0]] = used.get(r[0], 0) + len(r[3].split())
+            if r[3] and used[r[0]] <= budget:
+                want.append(r)
+        got = X.within_budget(df, ["channel"], ["conv_id", "turn"], "clean_content", budget)
+        assert sorted(tuple(r) for r in got.select("channel", "conv_id", "turn", "clean_content").collect()) == want
