@@ -183,7 +183,7 @@ def test_mixed_clashing_columns(spark):
 def test_many_path_rules_on_one_host(spark):
     """10,000 path rules on one host and nested ones around it; repeated rows, null ids, a very long path."""
     rng = random.Random(8)
-    rules = [(rng.choice(["allow", "block"]), "hot.example.org", f"/p/{i}") for i in range(9_000)]
+    rules = [(rng.choice(["allow", "block"]), "hot.example.org", f"/p/{i}") for i in range(10_000)]
     rules += [(rng.choice(["allow", "block"]), "hot.example.org", "/" + "/".join("d" * k for k in range(1, n))) for n in range(2, 30)]
     rules += [(rng.choice(["allow", "block"]), h, "/p/" + str(i)) for i in range(300) for h in ("example.org", "org", "a.b.hot.example.org")]
     urls = ["http://" + rng.choice(["hot.example.org", "x.hot.example.org", "a.b.hot.example.org", "example.org", "other.com", "z.a.b.hot.example.org"])
