@@ -126,18 +126,14 @@ def q_profile(spark, d):
     return A.telemetry_profile(telemetry(spark, d), TELEMETRY, bins=20)
 
 
-@register("agg_kde", sql=ow({"grants": GRANTS_SQL}) + """, st AS (SELECT n, h, mn - 3 * h AS lo, ((mx + 3 * h) - (mn - 3 * h)) / 199 AS step,
-      ((mx + 3 * h) - (mn - 3 * h)) / 199 / 16 AS cell FROM (SELECT count(x) AS n, stddev_samp(x) * pow(count(x), -0.2) AS h, min(x) AS mn, max(x) AS mx
-      FROM (SELECT CAST(reward_txs AS DOUBLE) AS x FROM grants) t) AS m),
-    v AS (SELECT floor((x - lo) / cell) AS k, (x - lo) / cell - floor((x - lo) / cell) AS part
-      FROM (SELECT CAST(reward_txs AS DOUBLE) AS x FROM grants) t, st WHERE x IS NOT NULL),
-    cells AS (SELECT k, sum(w) AS w FROM (SELECT k, 1 - part AS w FROM v UNION ALL SELECT k + 1, part FROM v) AS b GROUP BY k),
-    g AS (SELECT i, st.* FROM range(0, 200) AS r(i), st)
-    SELECT g.i AS point, g.lo + g.i * g.step AS x,
-      sum(c.w * exp(-0.5 * ((g.i * g.step - c.k * g.cell) / g.h) * ((g.i * g.step - c.k * g.cell) / g.h))) * (1 / sqrt(2 * pi())) / (g.n * g.h) AS density
-    FROM g, cells c GROUP BY g.i, g.lo, g.step, g.n, g.h""", dbl=["x", "density"], dates=())
+@register("agg_kde", sql=ow({"grants": GRANTS_SQL}) + """, st AS (SELECT count(x) AS n, stddev_samp(x) * pow(count(x), -0.2) AS h,
+      min(x) AS mn, max(x) AS mx FROM (SELECT CAST(reward_txs AS DOUBLE) AS x FROM grants) t),
+    v AS (SELECT CAST(reward_txs AS DOUBLE) AS v, count(*) AS cnt FROM grants GROUP BY 1),
+    g AS (SELECT i, st.mn - 3 * st.h + i * ((st.mx + 3 * st.h) - (st.mn - 3 * st.h)) / 199 AS x, st.n, st.h FROM range(0, 200) AS r(i), st)
+    SELECT g.i AS point, g.x, sum(v.cnt * exp(-0.5 * ((g.x - v.v) / g.h) * ((g.x - v.v) / g.h))) * (1 / sqrt(2 * pi())) / (g.n * g.h) AS density
+    FROM g, v GROUP BY g.i, g.x, g.n, g.h""", dbl=["x", "density"], dates=())
 def q_kde(spark, d):
-    """Gaussian density (Scott bandwidth) on a 200-point grid, values binned to 16 cells a step."""
+    """Gaussian density (Scott bandwidth) on a 200-point grid, the exact sum over all values."""
     return kde(grants(spark, d), "reward_txs", grid=200)
 
 
