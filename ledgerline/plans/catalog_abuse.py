@@ -137,16 +137,14 @@ def q_kde(spark, d):
     return kde(grants(spark, d), "reward_txs", grid=200)
 
 
-SAMPLE = 500        # rows sampled: fewer than the table has at any scale
-
-
-@register("sample_exact_n", sql=TEL_SQL + f"""SELECT * FROM telemetry ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT {SAMPLE}""",
+@register("sample_exact_n", sql=TEL_SQL + """SELECT * FROM telemetry ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT 10000""",
           dates=())
 def q_sample(spark, d):
-    """Exactly 500 rows, seed 42, without replacement; deterministic under repartitioning."""
-    return sample_n(telemetry(spark, d), "event_id", SAMPLE, seed=42)
+    """Exactly 10,000 rows, seed 42, without replacement; deterministic under repartitioning."""
+    return sample_n(telemetry(spark, d), "event_id", 10000, seed=42)
 
 
+SAMPLE = 500        # rows of the sampled profile
 SAMPLED = f"(SELECT * FROM telemetry ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id LIMIT {SAMPLE}) AS s"
 
 

@@ -546,6 +546,16 @@ def test_density_is_the_exact_sum(spark):
     assert len(got) == 200 and np.abs(got.density.to_numpy() - exact).max() < 1e-12 * exact.max()
 
 
+def test_sample_query_takes_10000_rows(spark, tmp_path):
+    """The query's rows are the 10,000 of 12,000 with the smallest hashes."""
+    import hashlib
+    events = spark.range(12_000).select(F.col("id").alias("event_id"), (F.col("id") % 50).alias("user_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+                                        F.lit("view").alias("event_type"), F.rand(1).alias("value"), F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = [r.event_id for r in Q["sample_exact_n"](spark, str(tmp_path)).select("event_id").collect()]
+    assert sorted(got) == sorted(sorted(range(12_000), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())[:10_000])
+
+
 def test_euclidean_silhouette_equals_brute_force(spark):
     rng = np.random.default_rng(41)
     x = np.concatenate([rng.normal(size=(40, 3)), rng.normal(size=(35, 3)) + 4, rng.normal(size=(1, 3)) + 20])
