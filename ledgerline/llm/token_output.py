@@ -16,6 +16,7 @@ are written repeatedly.  An empty table gives an empty folder.  Other columns ar
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -26,6 +27,13 @@ from ledgerline.llm.common import scratch, written
 BLOCK_IDS = 1 << 16
 CACHE_WORDS = 600_000
 SIGNS = frozenset([b".", b",", b";", b":", b"!", b"?", b"|"])
+#: Words the tokenizer's normalizer only lower-cases: visible ASCII and Latin-1, dashes, quotes and the like.
+PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff\u2010-\u2027\u2030-\u205e]+")
+#: The pieces its pre-tokenizer cuts them into: endings, letters, single digits, other signs.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|"
+                    "[^a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+#: A byte-level vocabulary's signs for the bytes that have no visible Latin-1 character of their own.
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 FORMAT = ("shard int, block int, bits int, n_ids int, payload binary, doc_ids array<bigint>, "
           "doc_starts array<bigint>, doc_lengths array<bigint>")
 
@@ -71,10 +79,9 @@ class WordIds(dict):
     the older generation, from which words still in use come back without being encoded again."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.bytes_as_text = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -90,13 +97,16 @@ class WordIds(dict):
     def encoded(self, word: bytes) -> bytes:
         core = word.lower()
         if core.isalpha():                               # ASCII letters are one piece: only the merges are needed
-            return self.merged(core.decode())
+            return self.merged(core.decode()) if core == word else self[core]
         rest = core[:-1]
         if core[-1:] in SIGNS and (rest.isalpha() or rest.decode().lower()[-1:].isalpha()):   # a sign after a letter is encoded apart
             return self[word[:-1]] + self[word[-1:]]
         text = word.decode()
-        if text.isalpha() and max(text) < "\u0100":       # Latin-1 letters are one piece too, already composed
-            return self.merged(self.bytes_as_text(text.lower())[0][0])
+        if PLAIN.fullmatch(text) and "<|" not in text:   # cut here, pieces met before are not encoded again; special ids begin with <|
+            pieces = PIECES.findall(text.lower())
+            if len(pieces) > 1:
+                return b"".join([self[p.encode()] for p in pieces])
+            return self.merged(pieces[0].encode().decode("latin-1").translate(BYTE_SIGNS))
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def merged(self, piece: str) -> bytes:

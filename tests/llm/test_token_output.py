@@ -1,4 +1,5 @@
 import zlib
+from array import array
 
 import numpy as np
 import pytest
@@ -45,6 +46,29 @@ def test_words_equal_whole_text():
         assert np.frombuffer(T.encode_text((t or "").encode(), words), "<u4").tolist() == want, t
 
 
+def test_plain_words_are_cut_into_known_pieces():
+    """Visible ASCII, Latin-1 and punctuation words give the tokenizer's ids from their pieces, without a full encoding."""
+    import random
+    rng = random.Random(7)
+    signs = [chr(c) for c in [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]]
+    texts = signs + ["aux&&&", "Anoi***", "ÉCOLE%%%", "it's'll", "x'Sy're12", "don’t", "“Été”—ß!", "a1²b½", "'", "''s", "ªº.µ", "<<|>", "1,5.", "<|x|>", "<|endoftext|>s"]
+    texts += ["".join(rng.choice(signs + list("aeiouABC'stl.,19éÈ") * 12) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    words = T.WordIds(T.default_tokenizer())
+    whole = [array("I", e.ids).tobytes() for e in words.tok.encode_batch(texts, add_special_tokens=False)]
+
+    class Full:
+        model, calls = words.tok.model, 0
+
+        def encode(self, *a, **k):
+            Full.calls += 1
+            return real.encode(*a, **k)
+
+    real, words.tok = words.tok, Full()
+    for t, ids in zip(texts, whole):
+        assert T.encode_text(t.encode(), words) == ids, t
+    assert Full.calls == len({t for t in texts if "<|" in t})
+
+
 @pytest.mark.parametrize("block_ids", [7, 1 << 16])
 def test_files(spark, block_ids):
     tok = T.default_tokenizer()
