@@ -40,6 +40,11 @@ def daily_documents(df: DataFrame, keys: Sequence[str] = ("channel",), ts: str =
 WRAP_PIECE = (r"(?U)[ ]+|(?<=[\w!\"'&.,?])-{2,}(?=\w)|[^ ]+?(?:-(?:(?<=[\w&&[^\d]]{2}-)|(?<=[\w&&[^\d]]-[\w&&[^\d]]-))"
               r"(?=[\w&&[^\d]]-?[\w&&[^\d]])|(?=[ ]|\z)|(?<=[\w!\"'&.,?])(?=-{2,}\w))")
 BLANK = r"^[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]*$"
+# The same for whole lines: a run of white space other than spaces, and the places where a piece ends (the last one needs
+# the width, which bounds a run of dashes).
+BLANK_RUN = BLANK[1:-2].replace("\\x20", "\\x1F") + "+"
+PIECE_END = (r"\z|(?<=[^ ])(?=[ ])|(?<=[ ])(?=[^ ])|(?<=-)(?:(?<=[\w&&[^\d]]{2}-)|(?<=[\w&&[^\d]]-[\w&&[^\d]]-))(?=[\w&&[^\d]]-?[\w&&[^\d]])"
+             r"|(?<=[\w!\"'&.,?])(?=-{2,}\w)|(?<=--)(?=\w)(?<=[\w!\"'&.,?]-{2,%d})")
 
 
 def expand_tabs(c: Column, size: int = 8) -> Column:
@@ -54,8 +59,28 @@ def expand_tabs(c: Column, size: int = 8) -> Column:
 
 def wrapped(text: Column, width: int) -> Column:
     """The lines of greedily wrapped text: as many pieces as fit into ``width`` characters; a piece longer than a line
-    is cut, after its last hyphen that still fits if it has one.  One fold over the pieces of a text."""
-    pieces = F.regexp_extract_all(expand_tabs(text), F.lit(WRAP_PIECE), F.lit(0))
+    is cut, after its last hyphen that still fits if it has one.
+
+    Lines are matched whole, each up to the last end of a piece within the width, which takes one pass over a text.  Only texts that
+    may hold a piece longer than a line, or begin with a line of blanks, are folded piece by piece."""
+    line = (rf"(?Us)(?:(?!\A)(?:[ ]+|{BLANK_RUN}(?=[ ]|\z)))?+(.{{1,{width}}})(?:{PIECE_END % max(width, 2)})")
+    long_run = rf"(?<![^ ])[^ ]{{{width + 1}}}|(?<![ ])[ ]{{{width + 1}}}"
+
+    def trimmed(x):
+        """A line without its last piece if that is blank."""
+        return F.when(x.endswith(" "), F.rtrim(x)).otherwise(F.regexp_replace(x, rf"(?<![^ ]){BLANK_RUN}\z", ""))
+
+    def lines(t):
+        found = F.regexp_extract_all(t, F.lit(line), F.lit(1))
+        return F.transform(F.array(found), lambda v: F.when(F.get(v, F.lit(0)).rlike(BLANK), folded(t, width))
+                           .otherwise(F.filter(F.transform(v, trimmed), lambda x: x != "")))[0]
+
+    return F.transform(F.array(expand_tabs(text)), lambda t: F.when(t.rlike(long_run), folded(t, width)).otherwise(lines(t)))[0]
+
+
+def folded(text: Column, width: int) -> Column:
+    """The lines of a text without tabs or line ends, by one fold over its pieces."""
+    pieces = F.regexp_extract_all(text, F.lit(WRAP_PIECE), F.lit(0))
     none, zero = F.lit(""), F.lit(0)
     blank = lambda p: p.rlike(BLANK)
 

@@ -72,6 +72,34 @@ def test_wrap_equals_the_greedy_rule(spark):
             assert got.get(i, []) == textwrap.wrap(t or "", width), (width, t)
 
 
+def wrap_texts():
+    import random
+    rng = random.Random(11)
+    bits = ["a", "bc", "def", "wordword", "-", "--", "---", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x85", " \u3000 ", "\u00e9", ".", "1", "_", "'", "\U0001F600", "well-known", "a-b-c", "x--y", "\x1c"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(1, 160))) for _ in range(400)] + [" " * 5 + "\u00a0 ab c", "   \u00a0 ab", "end \u00a0", "\u00a0", " \u00a0 \u00a0"]
+
+
+def test_lines_matched_whole_equal_the_greedy_rule(spark):
+    texts = wrap_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    for width in (3, 12, 30, 75, 300):
+        got = {}
+        for r in X.wrap(df, width=width).orderBy("doc_id", "chunk_no").collect():
+            got.setdefault(r.doc_id, []).append(r.chunk)
+        for i, t in enumerate(texts):
+            assert got.get(i, []) == textwrap.wrap(t, width), (width, t)
+
+
+def test_wrapping_does_not_fold_every_piece(spark):
+    """1,500 texts of 30,000 characters: one match a line instead of one step a piece (a fold takes some minutes)."""
+    import time
+    df = spark.range(1500).repartition(8).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("some words of a text "), F.col("id"), F.lit(", ")), 1200).alias("text"))
+    X.wrap(df.limit(20)).count()
+    t = time.time()
+    assert X.wrap(df).agg(F.sum(F.length("chunk"))).first()[0] > 1500 * 25_000
+    assert time.time() - t < 30
+
+
 def test_chosen_order_is_the_group_minimum(spark):
     o = Q["fc_order_search"](spark, SF_SMALL).toPandas()
     for _, g in o.groupby(["tenant", "series"]):
