@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.functions.exprs import clean_message
 from ledgerline.operators.aggregates import join_text
+from ledgerline.session import cut_lineage
 
 SENTENCE_SPLIT = r"[.!?]+"
 WORD_SPLIT = r"[^\p{L}]+"
@@ -139,18 +140,38 @@ def sentences(df: DataFrame, doc_keys: Sequence[str], text: str) -> DataFrame:
     return s.withColumn("sent", F.trim(F.col("sent"))).filter(F.col("sent") != "")
 
 
-def sentence_scores(sents: DataFrame, doc_keys: Sequence[str]) -> DataFrame:
+COMMON = 50_000        # words whose frequencies are broadcast
+
+
+def word_frequencies(df: DataFrame, sents: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(w, ldf): ln of the number of sentences that hold the word.  A sentence is one row of ``sents``, so words are
+    counted map-side; only where documents share their key are their sentences (key, pos) merged, and what they were counted too
+    often is taken off again."""
+    raw = sents.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    shared = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    some = shared.agg(F.count(F.lit(1)).alias("n")).scalar()              # none: no text is shuffled for them
+    merged = sents.filter(some > 0).join(shared, same, "left_semi").select(*keys, "pos", F.explode(F.array_distinct("ws")).alias("w"))
+    extra = merged.groupBy(*keys, "pos", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", (1 - F.col("c")).alias("n"))
+    return raw.unionByName(extra).groupBy("w").agg(F.ln(F.sum("n")).alias("ldf"))
+
+
+def sentence_scores(df: DataFrame, sents: DataFrame, doc_keys: Sequence[str]) -> DataFrame:
     """Sentence rarity = mean ln(document frequency) of its words, where a word's
     document frequency counts the sentences containing it.  Mean TF-IDF is
     ln(N) minus this, so ranking by rarity ascending is ranking by mean TF-IDF
-    descending, without a separate pass to count N.  Word occurrences are first
-    combined per (sentence, word), so later shuffles move counts, never text."""
+    descending, without a separate pass to count N.  The ``COMMON`` most frequent words meet their frequency in a
+    broadcast of that many rows, where a sentence's words are summed up in place; only the occurrences of the others are shuffled."""
     skey = [*doc_keys, "pos"]
-    words = sents.select(*skey, F.explode(F.split(F.lower(F.col("sent")), WORD_SPLIT)).alias("w")).filter(F.col("w") != "")
-    # map-side combined; the df aggregate and the join read the same exchange
-    tf = words.groupBy(*skey, "w").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy("w").agg(F.ln(F.count(F.lit(1))).alias("ldf"))
-    sc = tf.join(dfreq, "w").groupBy(*skey).agg((F.sum(F.col("tf") * F.col("ldf")) / F.sum("tf")).alias("rarity"))
+    listed = sents.select(*skey, F.filter(F.split(F.lower(F.col("sent")), WORD_SPLIT), lambda w: w != "").alias("ws"))
+    ldf = word_frequencies(df, listed, doc_keys)
+    common = F.broadcast(ldf.orderBy(F.col("ldf").desc(), "w").limit(COMMON))
+    words = listed.select(*skey, F.explode("ws").alias("w"))
+    known = words.join(common, "w").select(*skey, "ldf")
+    rare = words.join(common, "w", "left_anti").join(ldf, "w").select(*skey, "ldf")
+    sc = known.unionByName(rare).groupBy(*skey).agg((F.sum("ldf") / F.count(F.lit(1))).alias("rarity"))
     return sc.withColumn("rarity", F.round("rarity", 9))
 
 
@@ -158,15 +179,15 @@ def summarise(df: DataFrame, group: Sequence[str], doc_key: Sequence[str], text:
     """Two-level extractive summary: top ``n1`` sentences per document, then the top
     ``n2`` of those per group, re-joined in document order.  Ranking runs on
     (keys, score) only; the text of the <= n2 winners per group is joined back,
-    so no group's text is gathered whole."""
+    so no group's text is gathered whole.  ``df`` is read several times."""
     keys = [*group, *doc_key]
-    sents = sentences(df, keys, text)
-    sc = sentence_scores(sents, keys)
+    sc = sentence_scores(df, sentences(df, keys, text), keys)
     w1 = Window.partitionBy(*keys).orderBy(F.col("rarity").asc(), "pos")
     top1 = sc.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n1)
     w2 = Window.partitionBy(*group).orderBy(F.col("rarity").asc(), *doc_key, "pos")
     top2 = top1.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= n2).select(*keys, "pos")
-    picked = top2.join(sents, [*keys, "pos"])
+    picked = df.select(*keys, F.col(text).alias("_text")).join(top2, keys).select(
+        *keys, "pos", F.trim(F.get(F.split("_text", SENTENCE_SPLIT), F.col("pos"))).alias("sent")).filter(F.col("sent") != "")
     ordered = F.sort_array(F.collect_list(F.struct(*[F.col(k) for k in doc_key], F.col("pos"), F.col("sent"))))
     return picked.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda s: s["sent"]), " ").alias("summary"),
                                       F.count(F.lit(1)).alias("n_sentences"))
@@ -241,4 +262,5 @@ def negative_theme(messages: DataFrame, sentiment: DataFrame, keys: Sequence[str
     order = [k for k in keys if k not in group]
     if budget is not None:
         neg = within_budget(neg, list(group), order, text, budget)
-    return summarise(neg, list(group), order, text, n1, n2)
+    # the summary reads its messages several times: they are written to the checkpoint folder once
+    return summarise(cut_lineage(neg.select(*group, *order, text)), list(group), order, text, n1, n2)

@@ -562,6 +562,49 @@ def test_binned_density_error(spark):
     assert np.abs(got.density.to_numpy() - exact).max() < 1e-4 * exact.max()
 
 
+def summary_by_hand(rows, common=None):
+    """The rule of the summary in plain Python; rows are (group, doc, text), sentences of one (group, doc, pos) merged."""
+    import collections
+    import math
+    import re
+    words, texts = collections.defaultdict(list), collections.defaultdict(list)
+    for g, d, t in rows:
+        for pos, s in enumerate(re.split(r"[.!?]+", t or "")):
+            if s.strip(" "):
+                words[(g, d, pos)] += [w for w in re.split(r"[^a-z]+", s.lower()) if w]
+                texts[(g, d, pos)].append(s.strip(" "))
+    freq = collections.Counter(w for ws in words.values() for w in set(ws))
+    scored = collections.defaultdict(list)
+    for (g, d, pos), ws in words.items():
+        if ws:
+            scored[(g, d)].append((round(sum(math.log(freq[w]) for w in ws) / len(ws), 9), pos))
+    top = collections.defaultdict(list)
+    for (g, d), ss in scored.items():
+        top[g] += [(r, d is not None, d or 0, pos) for r, pos in sorted(ss)[:3]]
+    out = {}
+    for g, ss in top.items():
+        best = [(d, pos) for _, known, d, pos in sorted(ss)[:5] if known and g is not None]
+        found = sorted((d, pos, s) for d, pos in best for s in texts[(g, d, pos)])
+        if found:
+            out[g] = (" ".join(s for *_, s in found), len(found))
+    return out
+
+
+@pytest.mark.parametrize("common", [0, 3, 50_000])
+def test_summary_with_repeated_and_null_keys(spark, monkeypatch, common):
+    """Documents that share a key, null keys and texts, and words inside and outside the broadcast."""
+    import random
+    monkeypatch.setattr(X, "COMMON", common)
+    rng = random.Random(common)
+    vocab = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
+    text = lambda: "".join(rng.choice([". ", "! ", " ", " ", " ", "  "]) + rng.choice(vocab[:rng.randint(1, 10)]) for _ in range(rng.randint(0, 40)))
+    rows = [(rng.choice(["x", "y", "z", None]), rng.choice([None, *range(12)]), rng.choice([None, text(), text(), text()])) for _ in range(60)]
+    rows += rows[:7]
+    df = spark.createDataFrame(rows, "g string, d int, t string").repartition(5)
+    got = {r.g: (r.summary, r.n_sentences) for r in X.summarise(df, ["g"], ["d"], "t").collect()}
+    assert got == summary_by_hand(rows)
+
+
 def test_density_is_the_exact_sum(spark):
     """Every value enters the density where it stands: errors of rounding only."""
     from ledgerline.operators.stats import kde
