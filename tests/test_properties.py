@@ -90,14 +90,13 @@ def test_lines_matched_whole_equal_the_greedy_rule(spark):
             assert got.get(i, []) == textwrap.wrap(t, width), (width, t)
 
 
-def test_wrapping_does_not_fold_every_piece(spark):
-    """1,500 texts of 30,000 characters: one match a line instead of one step a piece (a fold takes some minutes)."""
-    import time
-    df = spark.range(1500).repartition(8).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("some words of a text "), F.col("id"), F.lit(", ")), 1200).alias("text"))
-    X.wrap(df.limit(20)).count()
-    t = time.time()
-    assert X.wrap(df).agg(F.sum(F.length("chunk"))).first()[0] > 1500 * 25_000
-    assert time.time() - t < 30
+def test_only_long_runs_are_folded(spark, monkeypatch):
+    """Texts without a run longer than a line, or a first line of blanks, are matched by lines and never folded."""
+    monkeypatch.setattr(X, "folded", lambda text, width: F.array(F.lit("folded")))
+    texts = ["some words of a text, " * 40, "  lead", "one--two well-known " * 9, "x" * 20, "tab\tand\nline " * 12, "y" * 21, "a " + "z" * 30, " " * 25 + "late"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id for r in X.wrap(df, width=20).filter("chunk = 'folded'").collect()}
+    assert got == {5, 6, 7}
 
 
 def test_chosen_order_is_the_group_minimum(spark):
